@@ -7,13 +7,14 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from evispan.constants import EXCERPT_CHARS, SUMMARY_CHARS
 
 # The characters Python's str.strip() and str.split() treat as white space.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WHITESPACE_CLASS = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -55,7 +56,7 @@ def _outside_native() -> str:
     return "[^" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in NATIVE_RANGES) + "]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_accents_exact(texts: pd.Series) -> pd.Series:
     return texts.map(fold_accents, na_action="ignore")
 
@@ -91,8 +92,7 @@ def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
     """Drop stop words; repeats of the other tokens stay (term frequency needs them)."""
     if not stopwords:
         return tokens
-    table = F.create_map(*[F.lit(part) for word in stopwords for part in (word, True)])
-    return F.filter(tokens, lambda token: F.try_element_at(table, token).isNull())
+    return F.filter(tokens, lambda token: ~token.isin(stopwords))
 
 
 def term_counts(tokens: Column) -> Column:
@@ -154,12 +154,12 @@ def split_lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold_exact(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compat_casefold_exact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: unicodedata.normalize("NFKC", text).casefold(), na_action="ignore")
 
@@ -170,7 +170,7 @@ _LATIN1_OUTSIDE = r"[^\x{0}-\x{ff}]"
 
 def casefold(text: Column) -> Column:
     """Python's ``casefold``: native up to Latin-1, Arrow for rows with any other character."""
-    latin1 = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    latin1 = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("\u00b5"), F.lit("\u03bc"))
     return F.coalesce(_casefold_exact(F.when(text.rlike(_LATIN1_OUTSIDE), text)), latin1)
 
 

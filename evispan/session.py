@@ -52,16 +52,17 @@ def salted_join(
     keys: list[str],
     salt_by: Column,
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    small_fits: bool | None = None,
     salts: int = 64,
 ) -> DataFrame:
     """Join ``big`` with ``small`` on ``keys``.
 
-    ``small`` is broadcast when its counted size allows. Otherwise the rows of every key of ``big`` are
-    dealt over ``salts`` sub-keys (by ``salt_by``) and ``small`` is repeated once per sub-key, so a key
-    holding a large share of ``big`` still spreads over ``salts`` tasks.
+    ``small`` is broadcast when its counted size allows (``small_fits`` saves the count when the caller
+    knows). Otherwise the rows of every key of ``big`` are dealt over ``salts`` sub-keys (by ``salt_by``)
+    and ``small`` is repeated once per sub-key, so a key holding a large share of ``big`` still spreads
+    over ``salts`` tasks.
     """
-    if fits(small, max_rows):
+    if fits(small) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), keys, how)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
