@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -95,11 +96,17 @@ def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
     return F.filter(tokens, lambda token: ~token.isin(stopwords))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, also where ``use`` needs it inside a lambda
+    function (Spark would otherwise evaluate it for every element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def term_counts(tokens: Column) -> Column:
     """``array<struct<term, tf>>`` of an array of tokens, sorted by term, inside the row.
 
     The tokens are sorted and cut at each change of value, so no shuffle is needed to count the terms of a
-    chunk. One-element arrays bind the intermediate arrays, which are then evaluated once per row.
+    chunk.
     """
 
     def runs(ordered: Column) -> Column:
@@ -107,21 +114,19 @@ def term_counts(tokens: Column) -> Column:
             F.sequence(F.lit(0), F.size(ordered) - 1),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-
-        def lengths(first: Column) -> Column:
-            return F.transform(
+        return bind(
+            starts,
+            lambda first: F.transform(
                 first,
                 lambda at, i: F.struct(
                     F.get(ordered, at).alias("term"),
                     (F.coalesce(F.get(first, i + 1), F.size(ordered)) - at).cast("int").alias("tf"),
                 ),
-            )
-
-        return F.get(F.transform(F.array(starts), lengths), F.lit(0))
+            ),
+        )
 
-    counted = F.get(F.transform(F.array(F.sort_array(tokens)), runs), F.lit(0))
     empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(F.size(tokens) > 0, counted).otherwise(empty)
+    return F.when(F.size(tokens) > 0, bind(F.sort_array(tokens), runs)).otherwise(empty)
 
 
 def token_count(text: Column) -> Column:

@@ -89,50 +89,53 @@ def idf(n_chunks: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n_chunks - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def matching_postings(index: LexicalIndex, terms: DataFrame, small_fits: bool) -> DataFrame:
-    """The postings of the terms some query uses."""
-    used = terms.select("collection_id", "term").distinct()
-    return salted_join(
-        postings(index.forward), used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", small_fits
-    )
+@dataclass(frozen=True)
+class QueryWeights:
+    """Analysed queries: ``(query_id, collection_id, term, qtf, idf, avgdl)``, and whether they are few enough
+    to broadcast."""
 
+    table: DataFrame
+    small: bool
 
-def term_weights(index: LexicalIndex, terms: DataFrame, hits: DataFrame, keep_missing: bool = False) -> DataFrame:
-    """Query terms with their inverse document frequency. With ``keep_missing`` terms that occur in no
-    chunk of the collection stay, with df = 0."""
-    counted = terms.join(term_df(hits), ["collection_id", "term"], "left" if keep_missing else "inner")
-    return counted.join(index.stats, "collection_id").select(
+
+def query_weights(
+    index: LexicalIndex, queries: DataFrame, stopwords: list[str] | None = None, exact: bool = True
+) -> QueryWeights:
+    """Terms of the queries with their inverse document frequency, computed once and written. Terms found in
+    no chunk of the collection stay, with the idf of df = 0; they match no posting."""
+    terms = materialize(query_terms(queries, stopwords, exact), "terms")
+    small = fits(terms)
+    counted = terms.join(term_df(_matching(index, terms, small)), ["collection_id", "term"], "left")
+    weights = counted.join(index.stats, "collection_id").select(
         "query_id",
         "collection_id",
         "term",
         "qtf",
-        "avgdl",
         idf(F.col("n_chunks"), F.coalesce("df", F.lit(0))).alias("idf"),
+        "avgdl",
     )
+    return QueryWeights(materialize(weights, "weights"), small)
 
 
-def bm25_scores(
-    index: LexicalIndex,
-    queries: DataFrame,
-    stopwords: list[str] | None = None,
-    exact: bool = True,
-    k1: float = BM25_K1,
-    b: float = BM25_B,
-) -> DataFrame:
+def _matching(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFrame:
+    """The postings of the terms some query uses."""
+    used = terms.select("collection_id", "term").distinct()
+    return salted_join(
+        postings(index.forward), used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", small
+    )
+
+
+def bm25_scores(index: LexicalIndex, weights: QueryWeights, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """``(query_id, collection_id, chunk_id, score)`` of every chunk that shares a term with the query.
 
     A term repeated in the query counts each time. Postings are cut to the query terms, then partitioned
     by chunk, which spreads them evenly whatever the skew of collections and terms and also satisfies the
     grouping by (query, chunk): the fan-out to queries and the sums need no further shuffle.
     """
-    terms = materialize(query_terms(queries, stopwords, exact), "terms")
-    small = fits(terms)
-    hits = matching_postings(index, terms, small)
-    weights = term_weights(index, terms, hits)
+    by_chunk = _matching(index, weights.table, weights.small).repartition("collection_id", "chunk_id")
     tf_part = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    by_chunk = hits.repartition("collection_id", "chunk_id")
     return (
-        salted_join(by_chunk, weights, ["collection_id", "term"], F.col("chunk_id"), small_fits=small)
+        salted_join(by_chunk, weights.table, ["collection_id", "term"], F.col("chunk_id"), small_fits=weights.small)
         .groupBy("query_id", "collection_id", "chunk_id")
         .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part).alias("score"))
         .withColumn("score", F.round("score", SCORE_DECIMALS))
@@ -145,17 +148,7 @@ def top_k(scored: DataFrame, k: int, score: Column, *tie_breaks: str, key: str =
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def keyword_topk(
-    index: LexicalIndex,
-    queries: DataFrame,
-    k: int = CANDIDATES,
-    stopwords: list[str] | None = None,
-    exact: bool = True,
-) -> DataFrame:
-    """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query."""
-    if k < 1:
-        empty = queries.sparkSession.createDataFrame(
-            [], "query_id STRING, collection_id STRING, chunk_id BIGINT, score DOUBLE, rank INT"
-        )
-        return empty
-    return top_k(bm25_scores(index, queries, stopwords, exact), k, F.col("score").desc(), "chunk_id")
+def keyword_topk(index: LexicalIndex, weights: QueryWeights, k: int = CANDIDATES) -> DataFrame:
+    """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query; none for
+    ``k`` below 1."""
+    return top_k(bm25_scores(index, weights), k, F.col("score").desc(), "chunk_id")
