@@ -50,7 +50,7 @@ def retrieve(
     corpus: Corpus, queries: DataFrame, weights: QueryWeights, models: Models = Models()
 ) -> DataFrame:
     """Merged candidates of ``(query_id, collection_id, query)``."""
-    hits = keyword_topk(corpus.index, weights, CANDIDATES)
+    hits = materialize(keyword_topk(corpus.index, weights, CANDIDATES), "hits")
     if corpus.vectors is None:
         picks = queries.select(
             "query_id", "collection_id", F.lit(0).cast("bigint").alias("chunk_id"), F.lit(0).alias("mmr_rank")
@@ -59,7 +59,9 @@ def retrieve(
         asked = materialize(
             vector.embed(queries, "query", models.embed).withColumnRenamed("embedding", "query_vector"), "asked"
         )
-        picks = vector.mmr_select(vector.vector_topk(corpus.vectors, asked, FETCH_K), asked, CANDIDATES)
+        picks = materialize(
+            vector.mmr_select(vector.vector_topk(corpus.vectors, asked, FETCH_K), asked, CANDIDATES), "picks"
+        )
     return hybrid.hybrid_candidates(picks, hits, corpus.chunks)
 
 
