@@ -123,16 +123,16 @@ def mmr_steps():
     parts = [
         f"rel AS (SELECT query_id, collection_id, chunk_id, embedding, {cosine.format('query_vector', 'embedding')} AS rel FROM near)",
         f"among AS (SELECT a.query_id, a.chunk_id, b.chunk_id AS other, {cosine.format('a.embedding', 'b.embedding')} AS sim FROM rel a JOIN rel b USING (query_id))",
-        "pick1 AS (SELECT query_id, collection_id, chunk_id, 1 AS mmr_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, chunk_id) AS at FROM rel) WHERE at = 1)",
+        "pick1 AS (SELECT query_id, collection_id, chunk_id, 1 AS mmr_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, chunk_id) AS nr FROM rel) WHERE nr = 1)",
         "taken1 AS (SELECT * FROM pick1)",
     ]
     for step in range(2, c.CANDIDATES + 1):
         parts.append(
             f"""red{step} AS (SELECT a.query_id, a.chunk_id, max(a.sim) AS red FROM among a JOIN taken{step - 1} t ON t.query_id = a.query_id AND t.chunk_id = a.other GROUP BY ALL),
 pick{step} AS (SELECT query_id, collection_id, chunk_id, {step} AS mmr_rank FROM (
-  SELECT n.query_id, n.collection_id, n.chunk_id, row_number() OVER (PARTITION BY n.query_id ORDER BY {value} DESC, n.chunk_id) AS at
+  SELECT n.query_id, n.collection_id, n.chunk_id, row_number() OVER (PARTITION BY n.query_id ORDER BY {value} DESC, n.chunk_id) AS nr
   FROM rel n JOIN red{step} m ON m.query_id = n.query_id AND m.chunk_id = n.chunk_id
-  WHERE NOT EXISTS (SELECT 1 FROM taken{step - 1} t WHERE t.query_id = n.query_id AND t.chunk_id = n.chunk_id)) WHERE at = 1),
+  WHERE NOT EXISTS (SELECT 1 FROM taken{step - 1} t WHERE t.query_id = n.query_id AND t.chunk_id = n.chunk_id)) WHERE nr = 1),
 taken{step} AS MATERIALIZED (SELECT * FROM taken{step - 1} UNION ALL SELECT * FROM pick{step})"""
         )
     return ",\n".join(parts)
@@ -266,8 +266,8 @@ pieces AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM
   (SELECT doc_id, source, part, {n_tokens('part')} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS pos FROM cut_parts)),
 starts(doc_id, start, base, no) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS BIGINT) FROM pieces
   UNION ALL SELECT doc_id, pos, upto - n, no + 1 FROM (
-    SELECT p.doc_id, p.pos, p.upto, p.n, s.no, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) AS at
-    FROM starts s JOIN pieces p ON p.doc_id = s.doc_id AND p.pos > s.start AND p.upto - s.base > {c.CHUNK_TOKENS}) WHERE at = 1),
+    SELECT p.doc_id, p.pos, p.upto, p.n, s.no, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) AS nr
+    FROM starts s JOIN pieces p ON p.doc_id = s.doc_id AND p.pos > s.start AND p.upto - s.base > {c.CHUNK_TOKENS}) WHERE nr = 1),
 spans AS (SELECT doc_id, no, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY no), 9223372036854775807) AS stop FROM starts),
 made AS (SELECT CAST(p.doc_id AS VARCHAR) AS collection_id, p.source, s.no AS chunk_id, string_agg(p.part, chr(10) ORDER BY p.pos) AS text, CAST(sum(p.n) AS INTEGER) AS n_tokens
   FROM pieces p JOIN spans s ON s.doc_id = p.doc_id AND p.pos >= s.start AND p.pos < s.stop GROUP BY p.doc_id, p.source, s.no)"""
@@ -295,13 +295,13 @@ gaps1 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round,
 next2 AS (SELECT question_id, collection_id, depth, gap AS ord, concat({lit(c.REFINEMENT_PREFIX)}, query) AS query FROM gaps1 JOIN open1 USING (question_id) WHERE gap <= 4),
 round2 AS (SELECT n.question_id, n.collection_id, n.depth, 2 AS round, n.ord, n.query, a.answer, a.n_sources FROM next2 n JOIN answered a USING (collection_id, query)
   WHERE NOT EXISTS (SELECT 1 FROM round1 r WHERE r.question_id = n.question_id AND r.query = n.query)),
-both AS (SELECT * FROM round1 UNION ALL SELECT * FROM round2),
+first_two AS (SELECT * FROM round1 UNION ALL SELECT * FROM round2),
 open2 AS (SELECT DISTINCT question_id FROM round2 WHERE depth > 2),
-gaps2 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round, ord) AS gap FROM both WHERE n_sources = 0),
+gaps2 AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round, ord) AS gap FROM first_two WHERE n_sources = 0),
 next3 AS (SELECT question_id, collection_id, depth, gap AS ord, concat({lit(c.REFINEMENT_PREFIX)}, query) AS query FROM gaps2 JOIN open2 USING (question_id) WHERE gap <= 4),
 round3 AS (SELECT n.question_id, n.collection_id, n.depth, 3 AS round, n.ord, n.query, a.answer, a.n_sources FROM next3 n JOIN answered a USING (collection_id, query)
-  WHERE NOT EXISTS (SELECT 1 FROM both r WHERE r.question_id = n.question_id AND r.query = n.query)),
-every AS (SELECT * FROM both UNION ALL SELECT * FROM round3)"""
+  WHERE NOT EXISTS (SELECT 1 FROM first_two r WHERE r.question_id = n.question_id AND r.query = n.query)),
+every AS (SELECT * FROM first_two UNION ALL SELECT * FROM round3)"""
 
 TALK_LABELS = """array_to_string(list_transform(range(1, len(string_split(reply, chr(10))) + 1), lambda j:
   CASE WHEN j % 2 = 1 THEN concat('página ', j) WHEN j % 4 = 2 THEN concat('linha ', j) ELSE concat('linhas ', j, '-', j + 2) END), ', ')"""
@@ -381,8 +381,8 @@ stored AS (SELECT 'all' AS collection_id, vec_id AS chunk_id, CAST(embedding AS
     "rerank_topn": cte(HYBRID, RERANKED, select="SELECT query_id, rank, chunk_id, rerank_score FROM reranked"),
     "rerank_validate": cte(
         KEYWORD_ONLY,
-        """results AS (SELECT query_id, ord + 1 AS result_ord, CASE WHEN ord % 5 <> 4 THEN ord * 3 - 4 + CASE WHEN collection_id = 'es' THEN 20 ELSE 0 END END AS at, ord * 0.25 AS score FROM cand),
-good AS (SELECT k.query_id, CAST(row_number() OVER (PARTITION BY k.query_id ORDER BY r.result_ord) AS INTEGER) AS rank, k.chunk_id, CAST(r.score AS DOUBLE) AS rerank_score FROM cand k JOIN results r ON r.query_id = k.query_id AND r.at = k.ord)""",
+        """results AS (SELECT query_id, ord + 1 AS result_ord, CASE WHEN ord % 5 <> 4 THEN ord * 3 - 4 + CASE WHEN collection_id = 'es' THEN 20 ELSE 0 END END AS nr, ord * 0.25 AS score FROM cand),
+good AS (SELECT k.query_id, CAST(row_number() OVER (PARTITION BY k.query_id ORDER BY r.result_ord) AS INTEGER) AS rank, k.chunk_id, CAST(r.score AS DOUBLE) AS rerank_score FROM cand k JOIN results r ON r.query_id = k.query_id AND r.nr = k.ord)""",
         select=f"""SELECT query_id, rank, chunk_id, rerank_score, CAST(NULL AS INTEGER) AS status_code FROM good
   UNION ALL SELECT DISTINCT query_id, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), {c.RERANK_NO_DOCUMENTS[0]} FROM cand WHERE query_id NOT IN (SELECT query_id FROM good)""",
     ),
