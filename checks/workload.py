@@ -19,7 +19,7 @@ from evispan.operators import guardrail, hybrid, lexical, sessions, vector
 from evispan.plans import quick_answer as qa
 from evispan.plans import research
 from evispan.schema import CHUNK_COLUMNS
-from evispan.session import materialize, new_path
+from evispan.session import materialize, new_path, spread
 from evispan.sources import blocks, files, rows, store
 from evispan.streaming import jobs
 
@@ -264,14 +264,14 @@ def chunk_blocks(spark, sf):
 
 
 def chunk_pages(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("block_no", "text"))
+    lines = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("block_no", "text"))
     located = lines.groupBy("doc_id").agg(F.collect_set((F.floor(F.col("block_no") / 4) + F.col("doc_id") % 3).cast("int")).alias("found"))
     page, pages = blocks.page_provenance(F.col("found"))
     return located.select("doc_id", page.alias("page"), F.array_join(pages.cast("array<string>"), ",").alias("pages"))
 
 
 def token_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
 
 
 def document_profile(spark, sf):
@@ -314,23 +314,23 @@ def unknown_collections(spark, sf):
 
 
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
 
 
 def tokenize(spark, sf):
-    tokens = table(spark, sf, "documents").select("doc_id", tx.tokenize(tx.normalize_text(F.col("text"))).alias("tokens"))
+    tokens = spread(table(spark, sf, "documents")).select("doc_id", tx.tokenize(tx.normalize_text(F.col("text"))).alias("tokens"))
     return tokens.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n_tokens"))
 
 
 def stopword_filter(spark, sf):
-    tokens = table(spark, sf, "documents").select(
+    tokens = spread(table(spark, sf, "documents")).select(
         "doc_id", tx.remove_stopwords(tx.tokenize(tx.normalize_text(F.col("text"))), stopwords()).alias("tokens")
     )
     return tokens.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n_tokens"))
 
 
 def excerpt(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
 
 
 def location_label(spark, sf):
@@ -349,7 +349,7 @@ def parse_subquestions(spark, sf):
 
 
 def short_summary(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.short_summary(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("summary"))
+    return spread(table(spark, sf, "documents")).select("doc_id", tx.short_summary(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("summary"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -463,11 +463,11 @@ def request_validation(spark, sf):
 
 def guardrail_length(spark, sf):
     text = F.when(F.col("doc_id") % 50 == 0, F.lit(" \t\n")).otherwise(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", rules.is_empty(text).alias("is_empty"), rules.is_too_long(text, 2000).alias("is_too_long"))
+    return spread(table(spark, sf, "documents")).select("doc_id", rules.is_empty(text).alias("is_empty"), rules.is_too_long(text, 2000).alias("is_too_long"))
 
 
 def blocked_terms(spark, sf):
-    normalized = table(spark, sf, "documents").select("doc_id", tx.compat_casefold(F.col("text")).alias("normalized"))
+    normalized = spread(table(spark, sf, "documents")).select("doc_id", tx.compat_casefold(F.col("text")).alias("normalized"))
     found = normalized.select("doc_id", rules.blocked_terms(F.col("normalized"), BLOCKED).alias("found"))
     return found.select("doc_id", F.posexplode_outer("found").alias("pos", "term")).where("term is not null").select("doc_id", "term")
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml.feature import StopWordsRemover
 
 from evispan.functions.text import fold_accents
 
 
-def stopwords(language: str = "portuguese", fold: bool = False) -> list[str]:
+@lru_cache
+def stopwords(language: str = "portuguese", fold: bool = False) -> tuple[str, ...]:
     """Stop words of ``language``.
 
     Text is normalised before stop words are removed, so a list entry with an accent never matches; that is
     the result to reproduce and the default. ``fold=True`` normalises the list too.
     """
     words = StopWordsRemover.loadDefaultStopWords(language)
-    return list(dict.fromkeys(fold_accents(word) for word in words)) if fold else words
+    return tuple(dict.fromkeys(map(fold_accents, words) if fold else words))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -32,6 +32,8 @@ NATIVE_RANGES = ((0x00, 0x24F), (0x300, 0x36F), (0x1E00, 0x1EFF), (0x2010, 0x202
 def fold_accents(text: str) -> str:
     """Casefold, decompose (NFKD), drop combining marks."""
     decomposed = unicodedata.normalize("NFKD", text.casefold())
+    if decomposed.isascii():
+        return decomposed
     return "".join(filter(lambda ch: not unicodedata.combining(ch), decomposed))
 
 
@@ -67,21 +69,21 @@ def normalize_text(text: Column, exact: bool = True) -> Column:
 
     ASCII rows take ``lower``; Latin rows a character translation; both stay in the JVM. With ``exact``
     the rows holding any other script go through an Arrow function (all other rows are sent as null).
-    ``exact=False`` leaves characters outside the native ranges lower-cased only.
+    ``exact=False`` leaves characters outside the native ranges lower-cased only. The tests for the rarer
+    cases are nested behind cheap one-range tests, which most rows end at.
     """
     source, target, expansions = _native_map()
-    translated = F.translate(text, source, target)
-    expanded = translated
+    sharp_s = F.replace(F.translate(text, source, target), F.lit("ß"), F.lit("ss"))
+    expanded = sharp_s
     for char, folded in expansions:
         expanded = F.replace(expanded, F.lit(char), F.lit(folded))
-    has_expansion = text.rlike("[" + "".join(char for char, _ in expansions) + "]")
-    latin = F.when(has_expansion, expanded).otherwise(translated)
+    latin = F.when(text.rlike(r"[\x{bc}-\x{be}\x{100}-\x{10ffff}]"), expanded).otherwise(sharp_s)
+    not_ascii = text.rlike(r"[^\x{0}-\x{7f}]")
+    outside = text.rlike(r"[^\x{0}-\x{24f}]") & text.rlike(_outside_native())
     if not exact:
-        latin = F.when(text.rlike(_outside_native()), F.lower(latin)).otherwise(latin)
-    native = F.when(text.rlike(r"[^\x{0}-\x{7f}]"), latin).otherwise(F.lower(text))
-    if not exact:
-        return native
-    return F.coalesce(_fold_accents_exact(F.when(text.rlike(_outside_native()), text)), native)
+        return F.when(not_ascii, F.when(outside, F.lower(latin)).otherwise(latin)).otherwise(F.lower(text))
+    native = F.when(not_ascii, latin).otherwise(F.lower(text))
+    return F.coalesce(_fold_accents_exact(F.when(outside, text)), native)
 
 
 def tokenize(normalized: Column) -> Column:
@@ -89,11 +91,11 @@ def tokenize(normalized: Column) -> Column:
     return F.regexp_extract_all(normalized, F.lit(TERM), F.lit(0))
 
 
-def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
+def remove_stopwords(tokens: Column, stopwords: Sequence[str]) -> Column:
     """Drop stop words; repeats of the other tokens stay (term frequency needs them)."""
     if not stopwords:
         return tokens
-    return F.filter(tokens, lambda token: ~token.isin(stopwords))
+    return F.filter(tokens, lambda token: ~token.isin(list(stopwords)))
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -179,11 +181,13 @@ def casefold(text: Column) -> Column:
     return F.coalesce(_casefold_exact(F.when(text.rlike(_LATIN1_OUTSIDE), text)), latin1)
 
 
-# Latin-1 characters that NFKC rewrites; rows holding one are normalised by the exact function.
-_NFKC_OUTSIDE = r"[^\x{0}-\x{9f}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{ff}]"
+# Latin-1 characters that NFKC rewrites, and everything beyond; rows holding one take the exact function.
+_NFKC_OUTSIDE = r"[\x{a0}\x{a8}\x{aa}\x{af}\x{b2}-\x{b5}\x{b8}-\x{ba}\x{bc}-\x{be}\x{100}-\x{10ffff}]"
+_SOME_OUTSIDE = r"[\x{a0}-\x{be}\x{100}-\x{10ffff}]"
 
 
 def compat_casefold(text: Column) -> Column:
     """NFKC then casefold; accents are kept."""
     latin1 = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.coalesce(_compat_casefold_exact(F.when(text.rlike(_NFKC_OUTSIDE), text)), latin1)
+    outside = text.rlike(_SOME_OUTSIDE) & text.rlike(_NFKC_OUTSIDE)
+    return F.coalesce(_compat_casefold_exact(F.when(outside, text)), latin1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,7 +24,7 @@ class LexicalIndex:
 
 
 def forward_table(
-    chunks: DataFrame, stopwords: list[str] | None = None, exact: bool = True, key: str = "text"
+    chunks: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True, key: str = "text"
 ) -> DataFrame:
     """One row per chunk with its counted terms. Chunks with empty text are dropped; chunks whose text has
     no terms stay and count in N with length 0. Narrow: no shuffle."""
@@ -62,13 +63,13 @@ def term_df(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("collection_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def build_index(chunks: DataFrame, stopwords: list[str] | None = None, exact: bool = True) -> LexicalIndex:
+def build_index(chunks: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> LexicalIndex:
     """Analyse every chunk once and keep the result as a written table."""
     forward = materialize(forward_table(chunks, stopwords, exact), "forward")
     return LexicalIndex(forward, collection_stats(forward))
 
 
-def query_terms(queries: DataFrame, stopwords: list[str] | None = None, exact: bool = True) -> DataFrame:
+def query_terms(queries: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """``(query_id, collection_id, term, qtf)`` of queries ``(query_id, collection_id, query)``; blank
     queries and queries left without terms yield no rows."""
     words = default_stopwords() if stopwords is None else stopwords
@@ -99,7 +100,7 @@ class QueryWeights:
 
 
 def query_weights(
-    index: LexicalIndex, queries: DataFrame, stopwords: list[str] | None = None, exact: bool = True
+    index: LexicalIndex, queries: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True
 ) -> QueryWeights:
     """Terms of the queries with their inverse document frequency, computed once and written. Terms found in
     no chunk of the collection stay, with the idf of df = 0; they match no posting."""
