@@ -110,7 +110,7 @@ def _keyword_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, lexica
 
 def _keyword_reranked(spark: SparkSession, sf: str) -> DataFrame:
     candidates, weights = _keyword_candidates(spark, sf)
-    results = materialize(hybrid.rerank_overlap(candidates, index(spark, sf), weights), "scores")
+    results = materialize(hybrid.rerank_overlap(candidates, weights), "scores")
     return hybrid.rerank_validate(candidates, results)[0]
 
 
@@ -368,11 +368,11 @@ def term_df(spark, sf):
 
 
 def bm25_scores(spark, sf):
-    return lexical.bm25_scores(index(spark, sf), _weights(spark, sf))
+    return lexical.bm25_scores(_weights(spark, sf))
 
 
 def keyword_topk(spark, sf):
-    return lexical.keyword_topk(index(spark, sf), _weights(spark, sf))
+    return lexical.keyword_topk(_weights(spark, sf))
 
 
 def vector_topk(spark, sf):
@@ -413,7 +413,7 @@ def hybrid_candidates(spark, sf):
 
 def rerank_topn(spark, sf):
     candidates, weights = _hybrid(spark, sf)
-    results = materialize(hybrid.rerank_overlap(candidates, index(spark, sf), weights), "scores")
+    results = materialize(hybrid.rerank_overlap(candidates, weights), "scores")
     return hybrid.rerank_validate(candidates, results)[0].select("query_id", "rank", "chunk_id", "rerank_score")
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evispan.constants import RERANK_FAILED, RERANK_INVALID, RERANK_NO_DOCUMENTS, RERANK_TOP_N
 from evispan.functions.labels import document_location, source_struct
-from evispan.operators.lexical import LexicalIndex, QueryWeights, top_k
+from evispan.operators.lexical import QueryWeights, top_k
 from evispan.plugins import Factory
 from evispan.schema import METADATA_COLUMNS
-from evispan.session import salted_join
+from evispan.session import prune, salted_join
 
 
 def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks:
         )
     )
     located = salted_join(
-        chunks.select("collection_id", "chunk_id", "text", *METADATA_COLUMNS),
+        prune(chunks, paths, "collection_id").select("collection_id", "chunk_id", "text", *METADATA_COLUMNS),
         paths,
         ["collection_id", "chunk_id"],
         F.col("chunk_id"),
@@ -46,29 +46,19 @@ def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks:
 RESULTS = "query_id string, result_ord int, index int, relevance_score double, status_code int, detail string"
 
 
-def rerank_overlap(
-    candidates: DataFrame, index: LexicalIndex, weights: QueryWeights, top_n: int = RERANK_TOP_N
-) -> DataFrame:
-    """Default scorer, native: share of the query's terms, weighted by rarity, found in the candidate. The
-    candidates' terms come from the index, so no text is analysed again."""
-    wanted = weights.table.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("wanted")
+def rerank_overlap(candidates: DataFrame, weights: QueryWeights, top_n: int = RERANK_TOP_N) -> DataFrame:
+    """Default scorer, native: share of the query's terms, weighted by rarity, found in the candidate. Works
+    on the postings the queries matched; no text is analysed and the index is not read again."""
+    slots = candidates.select("query_id", "ord", "collection_id", "chunk_id")
+    found = (
+        salted_join(weights.hits, slots, ["collection_id", "chunk_id"], F.col("term"))
+        .join(weights.table.select("query_id", "term", "idf"), ["query_id", "term"])
+        .groupBy("query_id", "ord")
+        .agg(F.sum("idf").alias("found"))
     )
-    wanted = wanted.select("query_id", F.col("wanted.term").alias("terms"), F.col("wanted.idf").alias("idfs"))
-    indexed = index.forward.select("collection_id", "chunk_id", F.col("terms.term").alias("present"))
-    scored = salted_join(
-        indexed, candidates.select("query_id", "ord", "collection_id", "chunk_id"),
-        ["collection_id", "chunk_id"], F.col("chunk_id"),
-    ).join(wanted, "query_id", "left")
-
-    def total(values):
-        return F.aggregate(values, F.lit(0.0), lambda sum_, value: sum_ + value)
-
-    found = F.transform(
-        F.array_intersect("terms", "present"),
-        lambda term: F.get("idfs", F.array_position("terms", term).cast("int") - 1),
-    )
-    score = F.round(total(found) / total(F.col("idfs")), 6)
+    totals = weights.table.groupBy("query_id").agg(F.sum("idf").alias("total"))
+    scored = slots.join(found, ["query_id", "ord"], "left").join(totals, "query_id", "left")
+    score = F.round(F.coalesce("found", F.lit(0.0)) / F.col("total"), 6)
     ranked = top_k(
         scored.select("query_id", "ord", F.coalesce(score, F.lit(0.0)).alias("relevance_score")),
         top_n, F.col("relevance_score").desc(), "ord", rank="result_ord",

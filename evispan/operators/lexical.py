@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evispan.constants import BM25_B, BM25_K1, CANDIDATES
 from evispan.functions.stopwords import stopwords as default_stopwords
 from evispan.functions.text import normalize_text, remove_stopwords, strip, term_counts, tokenize
-from evispan.session import fits, materialize, salted_join, spread
+from evispan.session import fits, materialize, prune, salted_join, spread
 
 SCORE_DECIMALS = 6
 
@@ -40,11 +40,17 @@ def forward_table(
     )
 
 
-def collection_stats(forward: DataFrame) -> DataFrame:
-    """``(collection_id, n_chunks, avgdl)``."""
+def partial_stats(forward: DataFrame) -> DataFrame:
+    """``(collection_id, n_chunks, total_dl)``; rows of several parts of an index add up."""
     return forward.groupBy("collection_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        (F.sum(F.col("dl").cast("long")) / F.count(F.lit(1))).alias("avgdl"),
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.col("dl").cast("long")).alias("total_dl")
+    )
+
+
+def collection_stats(partial: DataFrame) -> DataFrame:
+    """``(collection_id, n_chunks, avgdl)``."""
+    return partial.groupBy("collection_id").agg(
+        F.sum("n_chunks").alias("n_chunks"), (F.sum("total_dl") / F.sum("n_chunks")).alias("avgdl")
     )
 
 
@@ -66,7 +72,7 @@ def term_df(postings_: DataFrame) -> DataFrame:
 def build_index(chunks: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> LexicalIndex:
     """Analyse every chunk once and keep the result as a written table."""
     forward = materialize(forward_table(chunks, stopwords, exact), "forward")
-    return LexicalIndex(forward, collection_stats(forward))
+    return LexicalIndex(forward, collection_stats(materialize(partial_stats(forward), "stats")))
 
 
 def query_terms(queries: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -92,21 +98,31 @@ def idf(n_chunks: Column, df: Column) -> Column:
 
 @dataclass(frozen=True)
 class QueryWeights:
-    """Analysed queries: ``(query_id, collection_id, term, qtf, idf, avgdl)``, and whether they are few enough
-    to broadcast."""
+    """Analysed queries ``table (query_id, collection_id, term, qtf, idf, avgdl)``, the index postings ``hits``
+    of their terms, and whether the queries are few enough to broadcast."""
 
     table: DataFrame
+    hits: DataFrame
     small: bool
 
 
 def query_weights(
     index: LexicalIndex, queries: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True
 ) -> QueryWeights:
-    """Terms of the queries with their inverse document frequency, computed once and written. Terms found in
-    no chunk of the collection stay, with the idf of df = 0; they match no posting."""
+    """Terms of the queries with their inverse document frequency. Terms found in no chunk of the collection
+    stay, with the idf of df = 0; they match no posting.
+
+    The index is read once per batch of queries: the postings of the used terms are written, and document
+    frequencies, scores and reranking all start from them.
+    """
     terms = materialize(query_terms(queries, stopwords, exact), "terms")
     small = fits(terms)
-    counted = terms.join(term_df(_matching(index, terms, small)), ["collection_id", "term"], "left")
+    used = terms.select("collection_id", "term").distinct()
+    asked_of = prune(index.forward, terms, "collection_id")
+    hits = materialize(
+        salted_join(postings(asked_of), used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", small), "postings"
+    )
+    counted = terms.join(term_df(hits), ["collection_id", "term"], "left")
     weights = counted.join(index.stats, "collection_id").select(
         "query_id",
         "collection_id",
@@ -115,25 +131,17 @@ def query_weights(
         idf(F.col("n_chunks"), F.coalesce("df", F.lit(0))).alias("idf"),
         "avgdl",
     )
-    return QueryWeights(materialize(weights, "weights"), small)
-
-
-def _matching(index: LexicalIndex, terms: DataFrame, small: bool) -> DataFrame:
-    """The postings of the terms some query uses."""
-    used = terms.select("collection_id", "term").distinct()
-    return salted_join(
-        postings(index.forward), used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", small
-    )
+    return QueryWeights(materialize(weights, "weights"), hits, small)
 
 
-def bm25_scores(index: LexicalIndex, weights: QueryWeights, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def bm25_scores(weights: QueryWeights, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """``(query_id, collection_id, chunk_id, score)`` of every chunk that shares a term with the query.
 
-    A term repeated in the query counts each time. Postings are cut to the query terms, then partitioned
-    by chunk, which spreads them evenly whatever the skew of collections and terms and also satisfies the
-    grouping by (query, chunk): the fan-out to queries and the sums need no further shuffle.
+    A term repeated in the query counts each time. The postings are partitioned by chunk, which spreads them
+    evenly whatever the skew of collections and terms and also satisfies the grouping by (query, chunk): the
+    fan-out to queries and the sums need no further shuffle.
     """
-    by_chunk = _matching(index, weights.table, weights.small).repartition("collection_id", "chunk_id")
+    by_chunk = weights.hits.repartition("collection_id", "chunk_id")
     tf_part = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     return (
         salted_join(by_chunk, weights.table, ["collection_id", "term"], F.col("chunk_id"), small_fits=weights.small)
@@ -149,7 +157,7 @@ def top_k(scored: DataFrame, k: int, score: Column, *tie_breaks: str, key: str =
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def keyword_topk(index: LexicalIndex, weights: QueryWeights, k: int = CANDIDATES) -> DataFrame:
+def keyword_topk(weights: QueryWeights, k: int = CANDIDATES) -> DataFrame:
     """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query; none for
     ``k`` below 1."""
-    return top_k(bm25_scores(index, weights), k, F.col("score").desc(), "chunk_id")
+    return top_k(bm25_scores(weights), k, F.col("score").desc(), "chunk_id")

@@ -21,7 +21,7 @@ from evispan.constants import (
 )
 from evispan.operators.lexical import top_k
 from evispan.plugins import Factory, hashed_terms_embedder
-from evispan.session import spread
+from evispan.session import PRUNE_VALUES, spread
 
 DISTANCE_DECIMALS = 6
 BROADCAST_QUERIES = 20_000
@@ -142,6 +142,8 @@ def _near_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFr
         for collection, part in queries.groupby("collection_id")
     }
     shared = spark.sparkContext.broadcast(by_collection)
+    if len(by_collection) <= PRUNE_VALUES:
+        vectors = vectors.where(F.col("collection_id").isin(list(by_collection)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, pd.DataFrame] = {}

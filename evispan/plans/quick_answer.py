@@ -51,7 +51,7 @@ def retrieve(
     corpus: Corpus, queries: DataFrame, weights: QueryWeights, models: Models = Models()
 ) -> DataFrame:
     """Merged candidates of ``(query_id, collection_id, query)``."""
-    hits = materialize(keyword_topk(corpus.index, weights, CANDIDATES), "hits")
+    hits = materialize(keyword_topk(weights, CANDIDATES), "hits")
     if corpus.vectors is None:
         picks = queries.select(
             "query_id", "collection_id", F.lit(0).cast("bigint").alias("chunk_id"), F.lit(0).alias("mmr_rank")
@@ -66,12 +66,10 @@ def retrieve(
     return hybrid.hybrid_candidates(picks, hits, corpus.chunks)
 
 
-def rerank(
-    corpus: Corpus, candidates: DataFrame, queries: DataFrame, weights: QueryWeights, models: Models = Models()
-) -> DataFrame:
+def rerank(candidates: DataFrame, queries: DataFrame, weights: QueryWeights, models: Models = Models()) -> DataFrame:
     """Results of the scorer, called once and written."""
     if models.score is None:
-        results = hybrid.rerank_overlap(candidates, corpus.index, weights)
+        results = hybrid.rerank_overlap(candidates, weights)
     else:
         results = hybrid.rerank_with(candidates, queries, models.score)
     return materialize(results, "scores")
@@ -85,7 +83,7 @@ def answer(corpus: Corpus, queries: DataFrame, models: Models = Models()) -> Dat
     """
     weights = query_weights(corpus.index, queries, models.stopwords, models.exact)
     candidates = materialize(retrieve(corpus, queries, weights, models), "candidates")
-    results = rerank(corpus, candidates, queries, weights, models)
+    results = rerank(candidates, queries, weights, models)
     reranked, failures = hybrid.rerank_validate(candidates, results)
     gathered = reranked.groupBy("query_id").agg(
         F.sort_array(

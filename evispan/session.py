@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
+PRUNE_VALUES = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,14 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def prune(df: DataFrame, keys: DataFrame, column: str, limit: int = PRUNE_VALUES) -> DataFrame:
+    """``df`` cut to the values of ``column`` that occur in ``keys``, as a literal filter that reaches the
+    scan, where files and row groups are skipped by it. With more than ``limit`` values ``df`` is returned as
+    it is; the join that follows does the filtering."""
+    values = [row[0] for row in keys.select(column).distinct().limit(limit + 1).collect()]
+    return df.where(F.col(column).isin(values)) if len(values) <= limit else df
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evispan.constants import CHUNK_TOKENS, PDF_TYPE
-from evispan.operators.lexical import LexicalIndex, collection_stats, forward_table
+from evispan.operators.lexical import LexicalIndex, collection_stats, forward_table, partial_stats
 from evispan.operators.vector import embed
 from evispan.plans.quick_answer import Corpus, Models
 from evispan.schema import CHUNKS, FORWARD, VECTORS
@@ -15,7 +15,7 @@ from evispan.schema import CHUNKS, FORWARD, VECTORS
 
 @dataclass(frozen=True)
 class IndexStore:
-    """Chunk, term and vector tables below ``root``.
+    """Chunk, term, statistics and vector tables below ``root``.
 
     Tables are partitioned by ingestion (``ingest_id``), not by collection: millions of one-file collections
     would mean millions of folders. Inside an ingestion rows are range-partitioned and sorted by
@@ -30,15 +30,13 @@ class IndexStore:
     def _path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
-    def _write(self, df: DataFrame, table: str, ingest_id: str) -> None:
+    def _write(self, df: DataFrame, table: str, ingest_id: str, *keys: str) -> None:
+        order = keys or ("collection_id", "chunk_id")
         (
-            df.repartitionByRange("collection_id", "chunk_id")
-            .sortWithinPartitions("collection_id", "chunk_id")
-            .withColumn("ingest_id", F.lit(ingest_id))
+            df.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ingest_id")
-            .parquet(self._path(table))
+            .parquet(f"{self._path(table)}/ingest_id={ingest_id}")
         )
 
     def _read(self, table: str, ddl: str) -> DataFrame:
@@ -53,6 +51,8 @@ class IndexStore:
             .where(F.col("ingest_id") == ingest_id)
         )
         self._write(forward_table(written, models.stopwords, models.exact), "forward", ingest_id)
+        forward = self.spark.read.schema(f"{FORWARD}, ingest_id STRING").parquet(self._path("forward"))
+        self._write(partial_stats(forward.where(F.col("ingest_id") == ingest_id)), "stats", ingest_id, "collection_id")
         if with_vectors:
             embedded = embed(written.select("collection_id", "chunk_id", "text"), factory=models.embed)
             self._write(embedded.select("collection_id", "chunk_id", "embedding"), "vectors", ingest_id)
@@ -61,12 +61,13 @@ class IndexStore:
         return self._read("chunks", CHUNKS)
 
     def collections(self) -> DataFrame:
-        return self.chunks().select("collection_id").distinct()
+        return self._read("stats", "collection_id STRING").distinct()
 
     def corpus(self, with_vectors: bool = True) -> Corpus:
         forward = self._read("forward", FORWARD)
         vectors = self._read("vectors", VECTORS) if with_vectors else None
-        return Corpus(self.chunks(), LexicalIndex(forward, collection_stats(forward)), vectors)
+        stats = self._read("stats", "collection_id STRING, n_chunks BIGINT, total_dl BIGINT")
+        return Corpus(self.chunks(), LexicalIndex(forward, collection_stats(stats)), vectors)
 
 
 def collection_id(content: Column) -> Column:

@@ -99,7 +99,6 @@ def stream_questions(
 
     def reply(batch: DataFrame, batch_id: int) -> None:
         asked = materialize(batch.select("query_id", "collection_id", "query"), "questions")
-        answered = answer(corpus(), asked, models).withColumn("batch_id", F.lit(batch_id))
-        answered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(output)
+        answer(corpus(), asked, models).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return questions.writeStream.foreachBatch(reply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -45,7 +45,7 @@ def plain_bm25(query, texts, k1=1.5, b=0.75):
 def test_bm25_equals_plain_arithmetic(spark):
     index = lexical.build_index(chunks(spark))
     weights = lexical.query_weights(index, queries(spark))
-    got = {(r.query_id, r.chunk_id): r.score for r in lexical.bm25_scores(index, weights).collect()}
+    got = {(r.query_id, r.chunk_id): r.score for r in lexical.bm25_scores(weights).collect()}
     want = {(q, i): round(s, 6) for q, col, text in ASKED if col in TEXTS for i, s in plain_bm25(text, TEXTS[col]).items()}
     assert got.keys() == want.keys()
     assert all(abs(got[key] - want[key]) < 2e-6 for key in want)
@@ -54,23 +54,23 @@ def test_bm25_equals_plain_arithmetic(spark):
 def test_bm25_without_broadcast_gives_the_same(spark):
     index = lexical.build_index(chunks(spark))
     weights = lexical.query_weights(index, queries(spark))
-    big = lexical.QueryWeights(weights.table, small=False)
-    assert sorted(lexical.bm25_scores(index, big).collect()) == sorted(lexical.bm25_scores(index, weights).collect())
+    big = lexical.QueryWeights(weights.table, weights.hits, small=False)
+    assert sorted(lexical.bm25_scores(big).collect()) == sorted(lexical.bm25_scores(weights).collect())
 
 
 def test_topk_limits_and_plan(spark):
     index = lexical.build_index(chunks(spark))
     weights = lexical.query_weights(index, queries(spark))
-    top = lexical.keyword_topk(index, weights, 1)
+    top = lexical.keyword_topk(weights, 1)
     assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in top.collect()) == [("q1", 0, 1), ("q3", 0, 1)]
-    assert lexical.keyword_topk(index, weights, 0).count() == 0
+    assert lexical.keyword_topk(weights, 0).count() == 0
     plan = top._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_scoring_shuffles_postings_once(spark):
     index = lexical.build_index(chunks(spark))
-    scored = lexical.bm25_scores(index, lexical.query_weights(index, queries(spark)))
+    scored = lexical.bm25_scores(lexical.query_weights(index, queries(spark)))
     executed = scored._jdf.queryExecution().executedPlan().toString()
     above_join = executed.split("BroadcastHashJoin")[0]
     assert "HashAggregate" in above_join and "Exchange" not in above_join
@@ -248,5 +248,5 @@ def test_benchmark_passages_are_found(spark):
     pairs = {(str(item.item_id), d.chunk_id) for item in items.collect() for d in truth if item.text in d.text}
     index = lexical.build_index(documents)
     asked = items.select(F.col("item_id").cast("string").alias("query_id"), F.lit("all").alias("collection_id"), F.col("text").alias("query"))
-    top = {(r.query_id, r.chunk_id) for r in lexical.keyword_topk(index, lexical.query_weights(index, asked)).collect()}
+    top = {(r.query_id, r.chunk_id) for r in lexical.keyword_topk(lexical.query_weights(index, asked)).collect()}
     assert pairs and len(pairs & top) / len(pairs) >= 0.95
