@@ -456,6 +456,21 @@ firsts AS (SELECT question_id, excerpt, min(ord * 100 + rank) AS first FROM cite
         """ended AS (SELECT question_id, CAST(max(round) AS INTEGER) AS rounds_completed, NOT bool_or(n_sources = 0) AS is_sufficient FROM every GROUP BY ALL)""",
         select="SELECT e.question_id, CAST(e.round AS INTEGER) AS round, e.query AS subquestion, e.answer, e.n_sources AS evidence_count, d.rounds_completed, d.is_sufficient FROM every e JOIN ended d USING (question_id)",
     ),
+    "research_report": cte(
+        ROUNDS,
+        f"""ended AS (SELECT question_id, CAST(max(round) AS INTEGER) AS rounds_completed, NOT bool_or(n_sources = 0) AS is_sufficient,
+  list(query ORDER BY round, ord) FILTER (WHERE n_sources = 0) AS lacking,
+  string_agg(concat(query, ': ', answer), chr(10) || chr(10) ORDER BY round, ord) FILTER (WHERE n_sources > 0) AS body FROM every GROUP BY ALL),
+same AS (SELECT question_id, min(round * 1000 + ord) AS first, string_agg(query, '; ' ORDER BY round, ord) AS queries FROM (SELECT *, lower({collapse('answer')}) AS key FROM every)
+  WHERE length(key) > {c.REPEATED_ANSWER_CHARS} GROUP BY question_id, key HAVING count(*) > 1),
+conflict AS (SELECT question_id, string_agg(queries, '|' ORDER BY first) AS conflicts FROM same GROUP BY ALL),
+cited AS (SELECT e.question_id, count(DISTINCT {excerpt('r.text')}) AS n FROM every e JOIN answered a USING (collection_id, query) JOIN reranked r ON r.query_id = a.query_id GROUP BY ALL),
+written AS (SELECT *, CASE WHEN body IS NULL THEN {lit(c.NO_EVIDENCE_REPORT)} WHEN lacking IS NULL THEN body
+  ELSE concat(body, chr(10), chr(10), {lit(c.LIMITATIONS_PREFIX)}, array_to_string(list_slice(lacking, 1, 4), '; ')) END AS answer FROM ended)""",
+        select=f"""SELECT w.question_id, w.answer, substring(string_split(w.answer, chr(10) || chr(10))[1], 1, {c.SUMMARY_CHARS}) AS short_summary, w.rounds_completed, w.is_sufficient,
+  CAST(coalesce(i.n, 0) AS INTEGER) AS n_sources, coalesce(array_to_string(list_transform(w.lacking, lambda q: concat({lit(c.FOLLOW_UP_PREFIX)}, q)), '|'), '') AS follow_ups, coalesce(x.conflicts, '') AS conflicts
+  FROM written w LEFT JOIN cited i USING (question_id) LEFT JOIN conflict x USING (question_id)""",
+    ),
     "report_fallback": cte(
         TALK, judged("talks"),
         f"bodies AS (SELECT question_id, string_agg(concat(subquestion, ': ', answer), chr(10) || chr(10) ORDER BY ord) AS body FROM found WHERE reply IS NOT NULL GROUP BY ALL)",

@@ -633,7 +633,7 @@ def session_stream(spark, sf):
     starts = made.select("session_id", F.lit(0).cast("bigint").alias("seq"), F.lit("start").alias("kind"), F.col("original_query").alias("text"), F.col("clarification_questions").alias("questions"))
     answers = talk_answers(spark, sf).select("session_id", "seq", F.lit("answer").alias("kind"), "text", none.alias("questions"))
     starts.unionByName(answers).write.parquet(path)
-    events = spark.readStream.schema("session_id string, seq bigint, kind string, text string, questions array<string>").parquet(path)
+    events = spark.readStream.schema("session_id string, seq bigint, kind string, text string, questions array<string>").option("maxFilesPerTrigger", 64).parquet(path)
     output, checkpoint = new_path(spark, "states"), new_path(spark, "checkpoint")
     run = jobs.session_stream(events, BLOCKED).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()

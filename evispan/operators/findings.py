@@ -26,6 +26,7 @@ from evispan.constants import (
 )
 from evispan.functions.labels import source_labels
 from evispan.functions.text import answer_key, casefold, split_lines, strip
+from evispan.operators.lexical import top_k
 
 BULLET = (
     r"^[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
@@ -47,9 +48,9 @@ def in_order(*columns: Column | str) -> Column:
     return F.sort_array(F.collect_list(F.struct("round", "ord", *columns)))
 
 
-def parse_subquestions(outputs: DataFrame, limit: int = MAX_SUBQUESTIONS) -> DataFrame:
+def parse_subquestions(outputs: DataFrame, limit: int | None = MAX_SUBQUESTIONS) -> DataFrame:
     """``(question_id, ord, query)`` of plan texts ``(question_id, question, output)``: bullets and headings
-    dropped, repeats dropped, the first ``limit`` kept; a text without any gives the question itself."""
+    dropped, repeats dropped, the first ``limit`` kept (``None``: all); a text without any gives the question itself."""
     lines = outputs.select("question_id", F.posexplode_outer(split_lines(F.col("output"))).alias("pos", "line"))
     item = strip(F.regexp_replace("line", BULLET, ""))
     heading = F.lower("item").startswith("subperguntas") | F.lower("item").startswith("perguntas:")
@@ -60,7 +61,9 @@ def parse_subquestions(outputs: DataFrame, limit: int = MAX_SUBQUESTIONS) -> Dat
         .agg(F.min("pos").alias("pos"))
     )
     order = Window.partitionBy("question_id").orderBy("pos")
-    kept = firsts.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= limit)
+    kept = firsts.withColumn("ord", F.row_number().over(order))
+    if limit is not None:
+        kept = kept.where(F.col("ord") <= limit)
     return outputs.select("question_id", "question").join(kept, "question_id", "left").select(
         "question_id", F.coalesce("ord", F.lit(1)).alias("ord"), F.coalesce("item", "question").alias("query")
     )
@@ -152,17 +155,18 @@ def dedupe_sources(findings: DataFrame) -> DataFrame:
 def sufficiency(questions: DataFrame, findings: DataFrame, limit: int = MAX_SUBQUESTIONS) -> DataFrame:
     """``(question_id, is_sufficient, reason, missing_information)``: sufficient with at least one finding and
     none unsupported; the first ``limit`` unsupported sub-questions are missing."""
-    judged = findings.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sort_array(F.collect_list(F.when(is_unsupported(), F.struct("round", "ord", "subquestion")))).alias("lacking"),
+    counts = findings.groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_unsupported()).alias("n_unsupported")
     )
-    enough = (F.coalesce("n", F.lit(0)) > 0) & (F.size("lacking") == 0)
-    joined = questions.select("question_id").join(judged, "question_id", "left")
+    first = top_k(unsupported(findings), limit, F.col("round"), "ord", key="question_id", rank="nth")
+    lacking = first.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("nth", "subquestion"))).alias("lacking"))
+    enough = (F.coalesce("n", F.lit(0)) > 0) & (F.coalesce("n_unsupported", F.lit(0)) == 0)
+    joined = questions.select("question_id").join(counts, "question_id", "left").join(lacking, "question_id", "left")
     return joined.select(
         "question_id",
-        F.coalesce(enough, F.lit(False)).alias("is_sufficient"),
+        enough.alias("is_sufficient"),
         F.when(enough, F.lit(SUFFICIENT_REASON)).otherwise(F.lit(INSUFFICIENT_REASON)).alias("reason"),
-        F.slice(F.coalesce(F.col("lacking.subquestion"), F.array().cast("array<string>")), 1, limit).alias("missing_information"),
+        F.coalesce(F.col("lacking.subquestion"), F.array().cast("array<string>")).alias("missing_information"),
     )
 
 

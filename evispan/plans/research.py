@@ -108,7 +108,7 @@ def refinement(questions: DataFrame, findings: DataFrame, judged: DataFrame, ref
     )
     outputs = materialize(run_texts(prompts, "prompt", "output", "string", refine), "refinements")
     lines = outputs.where(F.col("output_error").isNull() & (F.trim("output") != "")).withColumn("question", F.lit(""))
-    planned = ops.parse_subquestions(lines, limit=1_000_000).where(F.col("query") != "")
+    planned = ops.parse_subquestions(lines, limit=None).where(F.col("query") != "")
     executed = findings.select("question_id", F.col("subquestion").alias("query"))
     kept = ops.refinement_dedupe(planned, executed)
     return kept.unionByName(fallback.join(kept.select("question_id").distinct(), "question_id", "left_anti"))

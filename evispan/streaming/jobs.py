@@ -28,8 +28,9 @@ def session_stream(events: DataFrame, terms: list[str] | None = None, keep_ms: i
 
     ``start`` opens a session (with the clarification questions triage decided on), ``answer`` answers the
     next one, ``done`` reports that its research ended. Guardrail rules are evaluated as columns before the
-    state function, which only counts. Events of a micro-batch are applied in ``seq`` order. ``keep_ms``
-    forgets sessions without events for that long; by default they stay.
+    state function, which only counts. Events of a micro-batch are applied in ``seq`` order; a session's
+    events of one micro-batch are held together, so bound micro-batches at the source (files or offsets per
+    trigger). ``answer_outcomes`` gives the same results over tables of any skew. ``keep_ms`` forgets sessions without events for that long; by default they stay.
     """
     found = rules.violations(F.col("text"), CLARIFICATION_FIELD, MAX_CLARIFICATION_CHARS, terms or [])
     reason = F.when(F.size(found) > 0, F.array_join(found, "; "))
