@@ -24,9 +24,10 @@ from evispan.plugins import Factory, hashed_terms_embedder
 from evispan.session import PRUNE_VALUES, spread
 
 DISTANCE_DECIMALS = 6
-BROADCAST_QUERIES = 20_000
+BROADCAST_QUERIES = 4_096
 QUERY_BLOCK = 2_048
-VECTOR_BLOCK = 32_768
+VECTOR_BLOCK = 8_192
+DISTANCE_CELLS = 4_000_000
 
 
 def embed(
@@ -88,7 +89,16 @@ def embed(
 
 
 def _nearest(ids, vectors, query_ids, queries, k: int) -> pd.DataFrame:
-    """The ``k`` nearest of ``vectors`` for every query, by (squared distance, id), as a small frame."""
+    """The ``k`` nearest of ``vectors`` for every query, by (squared distance, id), as a small frame. Queries
+    go in slices, so the distances held at a time do not grow with their number."""
+    size = max(1, DISTANCE_CELLS // len(vectors))
+    slices = [slice(start, start + size) for start in range(0, len(queries), size)]
+    return pd.concat(
+        [_nearest_slice(ids, vectors, query_ids[part], queries[part], k) for part in slices], ignore_index=True
+    )
+
+
+def _nearest_slice(ids, vectors, query_ids, queries, k: int) -> pd.DataFrame:
     squared = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2.0 * (queries @ vectors.T)
     distance = np.round(np.maximum(squared, 0.0), DISTANCE_DECIMALS)
     if distance.shape[1] > k:

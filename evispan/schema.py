@@ -14,7 +14,9 @@ LOCATION_COLUMNS = ["page", "row_start", "row_end"]
 FORWARD = (
     "collection_id STRING, chunk_id BIGINT, dl INT, terms ARRAY<STRUCT<term: STRING, tf: INT>>"
 )
-VECTORS = "collection_id STRING, chunk_id BIGINT, embedding ARRAY<FLOAT>"
+VECTORS = (
+    "collection_id STRING, chunk_id BIGINT, embedding ARRAY<FLOAT>, embed_status INT, embed_error STRING"
+)
 QUESTIONS = "question_id STRING, collection_id STRING, question STRING, depth INT"
 REJECTS = "id STRING, status_code INT, detail STRING"
 FINDINGS = (

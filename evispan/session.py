@@ -38,8 +38,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the cores when the input has fewer files than cores; a no-op on large inputs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores, *keys) if 0 < len(files) < cores else df
+    files = len(df._jdf.inputFiles())  # counted in the JVM: a large input has too many names to fetch
+    return df.repartition(cores, *keys) if 0 < files < cores else df
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

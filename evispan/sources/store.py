@@ -43,7 +43,8 @@ class IndexStore:
         return self.spark.read.schema(f"{ddl}, ingest_id STRING").parquet(self._path(table)).drop("ingest_id")
 
     def add(self, chunks: DataFrame, ingest_id: str, models: Models = Models(), with_vectors: bool = True) -> None:
-        """Write one ingestion: chunks first, then what is derived from the written chunks."""
+        """Write one ingestion: chunks first, then what is derived from the written chunks. Chunks whose
+        embedding failed keep the status of the failure in the vector table."""
         self._write(chunks, "chunks", ingest_id)
         written = (
             self.spark.read.schema(f"{CHUNKS}, ingest_id STRING")
@@ -55,7 +56,7 @@ class IndexStore:
         self._write(partial_stats(forward.where(F.col("ingest_id") == ingest_id)), "stats", ingest_id, "collection_id")
         if with_vectors:
             embedded = embed(written.select("collection_id", "chunk_id", "text"), factory=models.embed)
-            self._write(embedded.select("collection_id", "chunk_id", "embedding"), "vectors", ingest_id)
+            self._write(embedded, "vectors", ingest_id)
 
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)

@@ -97,6 +97,7 @@ def plain_nearest(vectors, asked, k):
 def test_vector_topk_is_exact(spark, monkeypatch, broadcast_queries):
     monkeypatch.setattr(vector, "VECTOR_BLOCK", 50)
     monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vector, "DISTANCE_CELLS", 300)
     stored, plain = random_vectors(spark, 300, "chunk", 1)
     asked, wanted = random_vectors(spark, 20, "query", 2)
     got = vector.vector_topk(stored.repartition(5), asked, 7, broadcast_queries)
