@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
 from checks.workload import BLOCKED, LANGUAGES
 from evispan import constants as c
+from evispan.functions.stopwords import PORTUGUESE
 from evispan.functions.text import TERM, TOKEN, WHITESPACE_CLASS as WS
 from evispan.operators.findings import BULLET
 from evispan.sources.blocks import PIECE
@@ -19,13 +14,6 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def portuguese_stopwords() -> list[str]:
-    """The list that ships with Spark, read from its machine-learning jar (no session needed)."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as jar:
-        return jar.read("org/apache/spark/ml/feature/stopwords/portuguese.txt").decode().split()
-
-
 def norm(x):
     return f"replace(strip_accents(lower({x})), 'ß', 'ss')"
 
@@ -54,7 +42,7 @@ def excerpt(x):
     return f"substring({collapse(x)}, 1, {c.EXCERPT_CHARS})"
 
 
-STOP = ", ".join(lit(word) for word in portuguese_stopwords())
+STOP = ", ".join(lit(word) for word in PORTUGUESE.split())
 LANG_LIST = ", ".join(lit(lang) for lang in LANGUAGES)
 
 # Fragments of WITH clauses. Each starts from the tables or from fragments before it.

@@ -1,20 +1,39 @@
-"""Stop-word lists, taken from the ones that ship with Spark."""
+"""Stop words as fixed values: no file, jar or session is needed to read them."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
-
 from evispan.functions.text import fold_accents
 
+# The Portuguese stop words that ship with Apache Spark, in their published order.
+PORTUGUESE = """
+    de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou
+    quando muito nos já eu também só pelo pela até isso ela entre depois sem mesmo aos seus quem nas me esse
+    eles você essa num nem suas meu às minha numa pelos elas qual nós lhe deles essas esses pelas este dele tu
+    te vocês vos lhes meus minhas teu tua teus tuas nosso nossa nossos nossas dela delas esta estes estas aquele
+    aquela aqueles aquelas isto aquilo estou está estamos estão estive esteve estivemos estiveram estava
+    estávamos estavam estivera estivéramos esteja estejamos estejam estivesse estivéssemos estivessem estiver
+    estivermos estiverem hei há havemos hão houve houvemos houveram houvera houvéramos haja hajamos hajam
+    houvesse houvéssemos houvessem houver houvermos houverem houverei houverá houveremos houverão houveria
+    houveríamos houveriam sou somos são era éramos eram fui foi fomos foram fora fôramos seja sejamos sejam
+    fosse fôssemos fossem for formos forem serei será seremos serão seria seríamos seriam tenho tem temos tém
+    tinha tínhamos tinham tive teve tivemos tiveram tivera tivéramos tenha tenhamos tenham tivesse tivéssemos
+    tivessem tiver tivermos tiverem terei terá teremos terão teria teríamos teriam
+"""
+
 
 @lru_cache
 def stopwords(language: str = "portuguese", fold: bool = False) -> tuple[str, ...]:
-    """Stop words of ``language``.
+    """Stop words of ``language``; any but Portuguese is read from Spark's own lists and needs a session.
 
     Text is normalised before stop words are removed, so a list entry with an accent never matches; that is
     the result to reproduce and the default. ``fold=True`` normalises the list too.
     """
-    words = StopWordsRemover.loadDefaultStopWords(language)
+    if language == "portuguese":
+        words = PORTUGUESE.split()
+    else:
+        from pyspark.ml.feature import StopWordsRemover
+
+        words = StopWordsRemover.loadDefaultStopWords(language)
     return tuple(dict.fromkeys(map(fold_accents, words) if fold else words))
