@@ -9,16 +9,55 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evispan.llm.common import table
 from evispan.llm.decontaminate import contamination, decontaminate
 from evispan.llm.exact_dedup import exact_dedup
+from evispan.llm.packing import pack
+from evispan.llm.warc_store import base32_sha1, read_records, write_archive
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Vocabulary file of a public tokenizer, on this machine and at the same place on executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     LLM_QUERIES[function.__name__] = function
     return function
 
 
+@query
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 ids."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to the archive and read back; the facts are those of the records read."""
+    records = read_records(spark, write_archive(table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((CAST('0x' || substr(h, {1 + 5 * (i // 4)}, 5) AS BIGINT) >> {15 - 5 * (i % 4)}) & 31) AS INTEGER), 1)"
+    for i in range(32)
+)
+LLM_ORACLES["op8_warc_archive"] = f"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+named AS (SELECT page_id, strlen(body) AS payload_bytes, {_BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY body) AS keeper FROM page)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM named"""
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal without white space, over all documents."""
@@ -40,14 +79,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-LLM_ORACLES["op10_decontaminate"] = r"""
-WITH split AS (SELECT doc_id, list_filter(string_split_regex(
-    regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') AS w FROM documents),
-doc AS (SELECT row_number() OVER () AS rid, doc_id, w, len(w) AS n FROM split),
-item AS (SELECT item_id, w, least(len(w), 13) AS m FROM (SELECT item_id, list_filter(string_split_regex(
-    regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), x -> x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+_WORDS = r"""string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"""
+LLM_ORACLES["op10_decontaminate"] = rf"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, w, CASE WHEN w = [''] THEN 0 ELSE len(w) END AS n
+  FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+item AS (SELECT item_id, w, least(len(w), 13) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE w <> ['']),
 win AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS body
   FROM (SELECT *, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i FROM item)),
 lengths AS (SELECT DISTINCT m FROM win),
