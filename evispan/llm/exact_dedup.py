@@ -78,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     groups = listed.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     # Only recipes that occur twice need the join; all others are their own group.
-    shared = groups.where("group_size > 1")
+    shared = materialize(groups.where("group_size > 1"), "shared-recipes")
     joined = listed.join(shared, "recipe", "left")
     keep = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id"))
     return joined.select(
