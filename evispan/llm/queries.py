@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evispan.llm.common import table
+from evispan.llm import quality, toxicity
+from evispan.llm.common import fold_of, table
 from evispan.llm.decontaminate import contamination, decontaminate
 from evispan.llm.exact_dedup import exact_dedup
+from evispan.llm.linear import training_rows
 from evispan.llm.packing import pack
 from evispan.llm.warc_store import base32_sha1, read_records, write_archive
 
@@ -28,12 +30,30 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a classifier that learned from labelled rows of two folds of three."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 3) == 1
+    rows = training_rows(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out, most=toxicity.SAMPLE_ROWS)
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), toxicity.train(rows))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 ids."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a classifier that learned from labelled rows of four folds of five."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 5) == 0
+    rows = training_rows(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    scored = quality.quality_scores(docs.select("doc_id", "text"), quality.train(rows))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to the archive and read back; the facts are those of the records read."""
