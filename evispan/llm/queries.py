@@ -11,6 +11,7 @@ from evispan.llm.common import fold_of, table
 from evispan.llm.decontaminate import contamination, decontaminate
 from evispan.llm.exact_dedup import exact_dedup
 from evispan.llm.linear import training_rows
+from evispan.llm.minhash import near_duplicates
 from evispan.llm.packing import pack
 from evispan.llm.warc_store import base32_sha1, read_records, write_archive
 
@@ -45,6 +46,28 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of word-pair similarity 0.8 and more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+LLM_ORACLES["op6_minhash"] = r"""
+WITH RECURSIVE split AS (SELECT row_number() OVER () AS rid, doc_id, string_split(trim(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(w[i : i + least(len(w), 2) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, CAST(greatest(len(w) - 1, 1) + 1 AS BIGINT))) AS i FROM split WHERE w <> [''])),
+size AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+link AS (SELECT a.rid AS a, b.rid AS b FROM sh a JOIN sh b ON a.s = b.s AND a.rid < b.rid JOIN size x ON x.rid = a.rid JOIN size y ON y.rid = b.rid
+  WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.rid, b.rid, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT rid AS a, rid AS b FROM split UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+comp AS (SELECT r.a AS rid, min(s.doc_id) AS component_id FROM reach r JOIN split s ON s.rid = r.b GROUP BY r.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM split JOIN comp USING (rid) LEFT JOIN size USING (rid)"""
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a classifier that learned from labelled rows of four folds of five."""
