@@ -8,23 +8,25 @@ sum of the squared counts of partially filled windows grows least.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evispan.llm.common import arrow_pass, only
+from evispan.llm.common import arrow_pass, only, utf8
 from evispan.session import materialize
 
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-# Words whose ids a worker remembers; then it starts anew.
-CACHE_WORDS = 400_000
-_MARK = "<|startoftext|>"
+# Words whose ids a worker holds in each of two generations (some 200 bytes a word).
+CACHE_WORDS = 700_000
 
 PIECES = (
     "row_id bigint, id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, full boolean"
@@ -36,53 +38,57 @@ class WordIds:
     """Ids of a text as little-endian 32-bit bytes.
 
     White space separates words for this tokenizer and leaves no id, so a text's ids are those of its words in
-    order; a word's ids are computed once per worker. New words of a batch are encoded in one call, separated by a
-    special token that is cut out again.
+    order; a word's ids are computed once while the worker remembers it.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.known = limit, {}
-        self.mark = self.tokenizer.token_to_id(_MARK)
+        self.limit, self.known, self.older = limit, {}, {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
+        """Make the ids of all ``words`` known. Two generations: a full one becomes the older, and what is still in
+        use moves on from there, so frequent words stay and memory is bounded."""
         if len(self.known) + len(words) > self.limit:
-            self.known = {w: ids for w in words if (ids := self.known.get(w)) is not None}
-        fresh = [w for w in words if w not in self.known]
-        plain = [w for w in fresh if "<|" not in w] if self.mark is not None else []
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
-            starts, ends = [0, *(cuts + 1)], [*cuts, len(ids)]
-            raw = ids.astype("<u4").tobytes()
-            if len(starts) != len(part):
-                raise ValueError("the tokenizer merged words over white space")
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts, ends))
-        for w in fresh:
-            if w not in self.known:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, words: list[str]) -> bytes:
+            self.older, self.known = self.known, {}
+        fresh = []
+        for w in words.difference(self.known):
+            ids = self.older.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.known[w] = ids
+        for at in range(0, len(fresh), 2000):
+            part = fresh[at : at + 2000]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update((w, pack_ids(e.ids)) for w, e in zip(part, encoded))
+
+    def encode(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
 
-# The ASCII white space that ends a word.
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, kept from task to task."""
+    return WordIds(path)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sequence: int, end_id: int) -> DataFrame:
     """Pieces of every row: its full windows, then the remainder (if any); one pass without shuffle."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = pack_ids([end_id])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         for batch in batches:
-            rows, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+            rows, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))
             for at in range(0, len(rows), 500):
-                split = [[w for w in (t or "").translate(_BLANKS).split(" ") if w] for t in texts[at : at + 500]]
+                split = [text.split() for text in texts[at : at + 500]]
                 ids_of.learn(set().union(*split))
                 out: list[tuple] = []
                 for row, doc, parts in zip(rows[at : at + 500], ids[at : at + 500], split):
