@@ -11,6 +11,7 @@ from evispan.llm.common import fold_of, table
 from evispan.llm.decontaminate import contamination, decontaminate
 from evispan.llm.exact_dedup import exact_dedup
 from evispan.llm.linear import training_rows
+from evispan.llm.lm_score import lattice_scores
 from evispan.llm.minhash import near_duplicates
 from evispan.llm.packing import pack
 from evispan.llm.warc_store import base32_sha1, read_records, write_archive
@@ -31,6 +32,13 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; four folds of five are learned from."""
+    docs = table(spark, sf_dir, "documents")
+    return lattice_scores(docs, fold_of("doc_id", 5) == 1, tokenizer_path("piece_bpe_32k.model"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a classifier that learned from labelled rows of two folds of three."""
