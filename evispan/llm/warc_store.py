@@ -92,10 +92,10 @@ def write_archive(
         "digest",
         header_block(F.col("page_id"), F.col("url"), kind, F.col("digest"), F.col("keeper"), F.col("length")).alias("header"),
     ).write.parquet(archive.records)
-    stored = rows.withColumn("digest", base32_sha1(F.col("body"))).join(shared, "digest", "left")
-    stored.where(F.col("keeper").isNull() | F.col("page_id").eqNullSafe(F.col("keeper"))).select(
-        "digest", F.col("body").alias("payload")
-    ).dropDuplicates(["digest"]).write.parquet(archive.payloads)
+    stored = rows.withColumn("digest", base32_sha1(F.col("body"))).join(shared.withColumn("several", F.lit(True)), "digest", "left")
+    alone = stored.where("several IS NULL").select("digest", "body")
+    chosen = stored.where("several AND page_id <=> keeper").select("digest", "body").dropDuplicates(["digest"])
+    alone.union(chosen).withColumnRenamed("body", "payload").write.parquet(archive.payloads)
     return archive
 
 
