@@ -10,10 +10,12 @@ from evispan.llm import quality, toxicity
 from evispan.llm.common import fold_of, table
 from evispan.llm.decontaminate import contamination, decontaminate
 from evispan.llm.exact_dedup import exact_dedup
+from evispan.llm.line_dedup import line_dedup
 from evispan.llm.linear import training_rows
 from evispan.llm.lm_score import lattice_scores
 from evispan.llm.minhash import near_duplicates
 from evispan.llm.packing import pack
+from evispan.llm.sharding import shard
 from evispan.llm.warc_store import base32_sha1, read_records, write_archive
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,35 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes."""
+    placed = shard(table(spark, sf_dir, "documents"), 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the boilerplate lines of their source."""
+    cleaned = line_dedup(table(spark, sf_dir, "documents"), F.col("source"))
+    return cleaned.select("doc_id", "source", "text", "n_dropped")
+
+
+LLM_ORACLES["op2_line_dedup"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, * FROM documents),
+line AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM doc),
+keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
+host AS (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
+bad AS (SELECT k.source, k.k FROM (SELECT DISTINCT rid, source, k FROM keyed WHERE k <> '') k JOIN host h ON h.source = k.source
+  GROUP BY k.source, k.k, h.pages HAVING count(*) >= 5 AND count(*) > 0.1 * h.pages),
+marked AS (SELECT l.*, b.k IS NOT NULL AS gone FROM keyed l LEFT JOIN bad b ON b.source = l.source AND b.k = l.k),
+clean AS (SELECT rid, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text FROM marked GROUP BY rid)
+SELECT d.doc_id, d.source, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text,
+  CAST(coalesce(c.n_dropped, 0) AS BIGINT) AS n_dropped FROM doc d LEFT JOIN clean c USING (rid)"""
+
+
 @query
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document; four folds of five are learned from."""
