@@ -79,33 +79,37 @@ def feature_table(rows: DataFrame, bits: int = BITS) -> DataFrame:
 def train(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS, shards: int = SHARDS) -> np.ndarray:
     """Weights (the last one is the bias) from ``id, text, label`` rows; without rows all weights are 0 (score 0.5).
 
-    The rows must be a bounded sample. A shard goes through its rows in order of a hash of the id. What returns to the
-    driver is one state per shard and epoch.
+    The rows must be a bounded sample. A shard goes through the written rows in a new order each epoch. What
+    returns to the driver is one state per shard and epoch.
     """
     spark, size = rows.sparkSession, (1 << bits) + 1
-    table = materialize(feature_table(rows, bits).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "quality-rows")
+    table = materialize(feature_table(rows, bits), "quality-rows")
     state = Ftrl(size)
     for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast((state.z.astype(np.float32), state.n.astype(np.float32)))
-
-        def run(pdf):
-            import pandas as pd
-
-            model = Ftrl(size, *shared.value)
-            pdf = pdf.assign(turn=[hash((i, epoch)) for i in pdf.id]).sort_values(["turn", "id", "label"])
-            for at, value, label in zip(pdf["at"], pdf.value, pdf.label):
-                model.learn(np.append(at, size - 1), np.append(value, np.float32(1)), int(label), 1.0)
+        shared = spark.sparkContext.broadcast((state.z, state.n))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            model, turn = Ftrl(size, *shared.value), np.random.default_rng(epoch)
+            for batch in batches:
+                label, at, value = (batch.column(i) for i in (1, 2, 3))
+                starts, at, value = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+                for i in turn.permutation(len(label)).tolist():
+                    own = slice(starts[i], starts[i + 1])
+                    model.learn(np.append(at[own], size - 1), np.append(value[own], np.float32(1)), label[i].as_py(), 1.0)
             used = np.flatnonzero(model.n)
-            return pd.DataFrame({"at": [used.astype(np.int32)], "z": [model.z[used]], "n": [model.n[used]]})
+            if len(used):
+                yield {"at": [used.astype(np.int32)], "z": [model.z[used]], "n": [model.n[used]]}
 
-        states = table.groupBy("shard").applyInPandas(run, "at array<int>, z array<double>, n array<double>").collect()
-        if not states:
+        # Written rows are read in few tasks without a shuffle.
+        states = arrow_pass(table.coalesce(shards), task, "at array<int>, z array<double>, n array<double>").toArrow()
+        if not states.num_rows:
             break
         z, n = np.zeros(size), np.zeros(size)
-        for at, own_z, own_n in states:
+        for i in range(states.num_rows):
+            at, own_z, own_n = (states.column(c)[i].values.to_numpy() for c in ("at", "z", "n"))
             z[at] += own_z
             n[at] += own_n
-        state = Ftrl(size, z / len(states), n / len(states))
+        state = Ftrl(size, z / states.num_rows, n / states.num_rows)
         shared.unpersist()
     return state.weights().astype(np.float32)
 
