@@ -193,8 +193,9 @@ talks AS (SELECT question_id, arg_min(subquestion, ord) AS question FROM found G
 all_talks AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS question_id FROM conversations UNION ALL SELECT DISTINCT concat('x', conv_id) FROM conversations)"""
 
 TALK_PLANS = f"""
-plans AS (SELECT t.question_id, t.question, concat('Subperguntas', chr(10), '1. ', lower(t.question), chr(10), chr(10), '- ', replace(v.text, chr(10), chr(10) || ' 2) ')) AS output
-  FROM talks t JOIN conversations v ON CAST(v.conv_id AS VARCHAR) = t.question_id WHERE v.role = 'assistant' AND v.turn <= 2),""" + parse_plan("subquestions", "plans")
+plans AS (SELECT t.question_id, t.question, concat('Subperguntas', chr(10), '1. ', lower(t.question), chr(10), chr(10), '- ', replace(v.reply, chr(10), chr(10) || ' 2) ')) AS output
+  FROM talks t JOIN (SELECT CAST(conv_id AS VARCHAR) AS question_id, string_agg(text, chr(10) || chr(10) || '- ' ORDER BY turn, text) AS reply
+    FROM conversations WHERE role = 'assistant' GROUP BY conv_id) v USING (question_id)),""" + parse_plan("subquestions", "plans")
 
 
 def judged(questions):
@@ -302,7 +303,7 @@ ORACLES = {
     "csv_rows_ingest": f"""WITH placed AS (SELECT *, c_custkey // 500 AS part, CAST(1 + row_number() OVER w + coalesce(sum(CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END)
     OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS n FROM customer WINDOW w AS (PARTITION BY c_custkey // 500 ORDER BY c_custkey)),
   written AS (SELECT part, n, concat('Linha ', n, chr(10), 'name: ', c_name, chr(10), 'segment: ', c_mktsegment, chr(10), 'segment_2: ', c_nationkey, chr(10), 'x', chr(10), 'coluna_4: ') AS text FROM placed)
-  SELECT concat('customers-', part, '.csv') AS source, CAST(n AS BIGINT) AS chunk_id, n AS row_start, n AS row_end, text, {n_tokens('text')} AS n_tokens FROM written""",
+  SELECT concat('customers-', part, '.csv') AS source, CAST(n AS BIGINT) AS chunk_id, CAST(n AS BIGINT) AS row_start, CAST(n AS BIGINT) AS row_end, text, {n_tokens('text')} AS n_tokens FROM written""",
     "header_normalize": f"""WITH cells AS (SELECT concat(conv_id, ':', turn) AS file_id, unnest(parts) AS value, CAST(generate_subscripts(parts, 1) AS INTEGER) AS pos
     FROM (SELECT conv_id, turn, string_split(text, ' ') AS parts FROM conversations)),
   based AS (SELECT file_id, pos, coalesce(nullif({strip('value')}, ''), concat('coluna_', pos)) AS base FROM cells),
@@ -310,11 +311,9 @@ ORACLES = {
   SELECT file_id, pos, CASE WHEN nth = 1 THEN base ELSE concat(base, '_', nth) END AS name FROM counted""",
     "row_chunks": f"""WITH placed AS (SELECT *, CAST(1 + row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS INTEGER) AS n FROM orders),
   written AS (SELECT o_orderstatus AS collection_id, n, concat('Linha ', n, chr(10), 'o_orderkey: ', o_orderkey, chr(10), 'o_orderpriority: ', {strip('o_orderpriority')}, chr(10), 'o_custkey: ', o_custkey) AS text FROM placed)
-  SELECT collection_id, CAST(n AS BIGINT) AS chunk_id, text, n AS row_start, n AS row_end, {n_tokens('text')} AS n_tokens FROM written""",
+  SELECT collection_id, CAST(n AS BIGINT) AS chunk_id, text, CAST(n AS BIGINT) AS row_start, CAST(n AS BIGINT) AS row_end, {n_tokens('text')} AS n_tokens FROM written""",
     "chunk_documents": cte(PACKED, select="SELECT collection_id, chunk_id, text, n_tokens FROM made", recursive=True),
-    "chunk_blocks": f"""SELECT CAST(doc_id AS VARCHAR) AS collection_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(max(page) AS INTEGER) AS last_page, CAST(min(page) - 1 AS INTEGER) AS first_page FROM (
-  SELECT doc_id, {n_tokens('line')} AS n, (i - 1) // 3 + 1 AS page FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
-  WHERE {strip('line')} <> '') GROUP BY doc_id""",
+    "chunk_blocks": cte(PACKED, select="SELECT collection_id, chunk_id, text, n_tokens FROM made", recursive=True),
     "chunk_pages": """SELECT doc_id, CAST(greatest(min(page) - 1, 0) AS INTEGER) AS page, string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS INTEGER)) AS pages FROM (
   SELECT doc_id, (i - 1) // 4 + doc_id % 3 AS page FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) GROUP BY doc_id""".replace(
         "string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS INTEGER))", "array_to_string(list_transform(list_sort(list_distinct(list(page))), lambda p: CAST(p AS VARCHAR)), ',')"
@@ -376,7 +375,7 @@ good AS (SELECT k.query_id, CAST(row_number() OVER (PARTITION BY k.query_id ORDE
     ),
     "sources": cte(
         KEYWORD_ONLY,
-        select=f"SELECT query_id, rank, chunk_id, 1 AS page, CAST(NULL AS INTEGER) AS row_start, CAST(NULL AS INTEGER) AS row_end, {excerpt('text')} AS excerpt, rerank_score FROM reranked",
+        select=f"SELECT query_id, rank, chunk_id, 1 AS page, CAST(NULL AS BIGINT) AS row_start, CAST(NULL AS BIGINT) AS row_end, {excerpt('text')} AS excerpt, rerank_score FROM reranked",
     ),
     "answer_context": cte(KEYWORD_ONLY, select="SELECT query_id, string_agg(concat('[Página 1]', chr(10), text), chr(10) || chr(10) ORDER BY rank) AS context FROM reranked GROUP BY query_id"),
     "quick_answer": cte(
@@ -410,7 +409,7 @@ good AS (SELECT k.query_id, CAST(row_number() OVER (PARTITION BY k.query_id ORDE
         FINDINGS,
         f"""cited AS (SELECT f.question_id, f.ord, r.rank, {excerpt('r.text')} AS excerpt FROM found f JOIN reranked r USING (query_id)),
 firsts AS (SELECT question_id, excerpt, min(ord * 100 + rank) AS first FROM cited GROUP BY ALL)""",
-        select="SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY first) AS INTEGER) AS ord, 1 AS page, CAST(NULL AS INTEGER) AS row_start, CAST(NULL AS INTEGER) AS row_end, excerpt FROM firsts",
+        select="SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY first) AS INTEGER) AS ord, 1 AS page, CAST(NULL AS BIGINT) AS row_start, CAST(NULL AS BIGINT) AS row_end, excerpt FROM firsts",
     ),
     "initial_queue": cte(
         TALK, TALK_PLANS,
@@ -418,8 +417,9 @@ firsts AS (SELECT question_id, excerpt, min(ord * 100 + rank) AS first FROM cite
   UNION ALL SELECT s.question_id, s.ord, s.query, {lit(c.PLANNED_REASON)} FROM subquestions s JOIN talks t USING (question_id) WHERE {fold('s.query')} <> {fold('t.question')}""",
     ),
     "unseen_queries": """WITH users AS (SELECT CAST(conv_id AS VARCHAR) AS question_id, turn, text AS query FROM conversations WHERE role = 'user'),
+  talks AS (SELECT question_id, arg_min(query, turn) AS question FROM users GROUP BY question_id),
   searches AS (SELECT * FROM users UNION ALL SELECT question_id, turn, lower(query) FROM users)
-  SELECT * FROM searches s WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.turn < 3 AND u.question_id = s.question_id AND u.query = s.query)""",
+  SELECT * FROM searches s WHERE NOT EXISTS (SELECT 1 FROM talks t WHERE t.question_id = s.question_id AND t.question = s.query)""",
     "findings": cte(FINDINGS, select="SELECT question_id, CAST(ord AS INTEGER) AS ord, subquestion, answer, evidence_count, CAST(NULL AS VARCHAR) AS error FROM found"),
     "format_findings": cte(
         TALK,

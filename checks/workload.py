@@ -44,8 +44,8 @@ def _chunk_row(documents: DataFrame, collection: str) -> DataFrame:
         F.lit("docling_hybrid").alias("chunking"),
         F.lit(0).alias("page"),
         F.array(F.lit(1)).alias("pages"),
-        F.lit(None).cast("int").alias("row_start"),
-        F.lit(None).cast("int").alias("row_end"),
+        F.lit(None).cast("bigint").alias("row_start"),
+        F.lit(None).cast("bigint").alias("row_end"),
         F.lit(None).cast("int").alias("n_tokens"),
     ).select(*CHUNK_COLUMNS)
 
@@ -152,12 +152,12 @@ def talk_findings(spark: SparkSession, sf: str) -> DataFrame:
         F.split("reply", "\n"),
         lambda line, i: F.struct(
             F.when(i % 2 == 0, i + 1).cast("int").alias("page"),
-            F.when(i % 2 == 1, i + 1).cast("int").alias("row_start"),
-            F.when(i % 4 == 1, F.lit(0)).when(i % 4 == 3, i + 3).cast("int").alias("row_end"),
+            F.when(i % 2 == 1, i + 1).cast("bigint").alias("row_start"),
+            F.when(i % 4 == 1, F.lit(0)).when(i % 4 == 3, i + 3).cast("bigint").alias("row_end"),
             tx.excerpt(line).alias("excerpt"),
         ),
     )
-    none = F.slice(F.transform(F.array(F.lit("")), lambda x, i: F.struct(i.alias("page"), i.alias("row_start"), i.alias("row_end"), x.alias("excerpt"))), 1, 0)
+    none = F.slice(F.transform(F.array(F.lit("")), lambda x, i: F.struct(i.alias("page"), i.cast("bigint").alias("row_start"), i.cast("bigint").alias("row_end"), x.alias("excerpt"))), 1, 0)
     missing = F.col("reply").isNull()
     return paired.select(
         F.col("session_id").alias("question_id"),
@@ -180,8 +180,9 @@ def talk_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def talk_plans(spark: SparkSession, sf: str) -> DataFrame:
     """Plan texts: the question in lower case, then the lines of the assistant turns as bullets."""
-    replies = turns(spark, sf).where("role = 'assistant' and turn <= 2").select(
-        F.col("session_id").alias("question_id"), F.col("text").alias("reply")
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "text")))  # a conversation has few turns
+    replies = turns(spark, sf).where("role = 'assistant'").groupBy(F.col("session_id").alias("question_id")).agg(
+        F.array_join(ordered["text"], "\n\n- ").alias("reply")
     )
     bullets = F.concat(F.lit("Subperguntas\n1. "), F.lower("question"), F.lit("\n\n- "), F.replace("reply", F.lit("\n"), F.lit("\n 2) ")))
     return talk_questions(spark, sf).join(replies, "question_id").select("question_id", "question", bullets.alias("output"))
@@ -258,9 +259,7 @@ def chunk_blocks(spark, sf):
         F.col("doc_id").cast("string").alias("collection_id"), "source", F.posexplode_outer(F.split("text", "\n")).alias("block_no", "text")
     )
     paged = lines.withColumn("page_no", F.floor(F.col("block_no") / 3).cast("int") + 1).withColumn("heading", F.lit(None).cast("string"))
-    return blocks.chunk_blocks(paged).groupBy("collection_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.max(F.array_max("pages")).alias("last_page"), F.min("page").alias("first_page")
-    )
+    return blocks.chunk_blocks(paged).select("collection_id", "chunk_id", "text", "n_tokens")
 
 
 def chunk_pages(spark, sf):
@@ -519,7 +518,7 @@ def initial_queue(spark, sf):
 
 def unseen_queries(spark, sf):
     users = turns(spark, sf).where("role = 'user'").select(F.col("session_id").alias("question_id"), "turn", F.col("text").alias("query"))
-    return fo.unseen(users.unionByName(users.withColumn("query", F.lower("query"))), users.where("turn < 3")).select("question_id", "turn", "query")
+    return fo.unseen(users.unionByName(users.withColumn("query", F.lower("query"))), talk_questions(spark, sf).withColumnRenamed("question", "query")).select("question_id", "turn", "query")
 
 
 def findings(spark, sf):
@@ -633,7 +632,7 @@ def session_stream(spark, sf):
     starts = made.select("session_id", F.lit(0).cast("bigint").alias("seq"), F.lit("start").alias("kind"), F.col("original_query").alias("text"), F.col("clarification_questions").alias("questions"))
     answers = talk_answers(spark, sf).select("session_id", "seq", F.lit("answer").alias("kind"), "text", none.alias("questions"))
     starts.unionByName(answers).write.parquet(path)
-    events = spark.readStream.schema("session_id string, seq bigint, kind string, text string, questions array<string>").option("maxFilesPerTrigger", 64).parquet(path)
+    events = spark.readStream.schema("session_id string, seq bigint, kind string, text string, questions array<string>").parquet(path)
     output, checkpoint = new_path(spark, "states"), new_path(spark, "checkpoint")
     run = jobs.session_stream(events, BLOCKED).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()

@@ -11,7 +11,6 @@ MMR_LAMBDA = 0.9
 RERANK_TOP_N = 5
 CHUNK_TOKENS = 512
 EMBED_BATCH = 16
-EMBED_TIMEOUT_SECONDS = 60.0
 EMBED_RETRIES = 2
 EMBED_DIMS = 64
 BM25_K1 = 1.5
@@ -27,6 +26,9 @@ REPEATED_ANSWER_CHARS = 20
 CSV_CHUNKING = "csv_rows"
 BLOCK_CHUNKING = "docling_hybrid"
 CSV_TYPE = "csv"
+CSV_ENCODINGS = ("utf-8-sig", "cp1252")
+CSV_DELIMITERS = ",;\t|"
+CSV_SNIFF_CHARS = 8192
 PDF_TYPE = "pdf"
 DEFAULT_FILENAME = "documento.pdf"
 
@@ -51,7 +53,6 @@ REFINEMENT_REASON = "Preencher lacuna apontada pela avaliação de suficiência.
 UNDETAILED_GAP = "- Cobertura insuficiente não detalhada."
 SUFFICIENT_REASON = "Todos os achados possuem evidências no documento."
 INSUFFICIENT_REASON = "Há achados sem evidências verificáveis no documento."
-NOT_JUDGED_REASON = "A pesquisa ainda não foi avaliada."
 LIMITATIONS_PREFIX = "Limitações da pesquisa: "
 CLARIFICATIONS_HEADER = "Esclarecimentos do usuário:"
 DEFAULT_CLARIFICATIONS = (

@@ -45,25 +45,43 @@ def guardrail_decision(
     )
 
 
+VERDICT = "struct<refused: boolean, reason: string, violations: array<string>>"
+MAX_VIOLATIONS = 5
+
+
 def semantic_check(decided: DataFrame, column: str, classify: Factory | None, terms: list[str] | None) -> DataFrame:
-    """Second opinion by a plug-in that tells which texts to refuse, asked only about texts the exact rules
-    allow and only if terms are configured. A failing plug-in lets the text pass."""
+    """Second opinion by a plug-in, asked only about texts the exact rules allow and only if terms are configured.
+
+    The plug-in says whether to refuse a text, or gives a verdict ``{"refused", "reason", "violations"}`` of which
+    the reason and at most five violations are kept. A failing plug-in lets the text pass."""
     if classify is None or not terms:
         return decided
-    passing = run_texts(decided.where("allowed"), column, "refused", "boolean", classify)
+
+    def verdicts():
+        call = classify()
+
+        def full(texts: list[str]) -> list[dict]:
+            return [v if isinstance(v, dict) else {"refused": bool(v), "reason": None, "violations": None} for v in call(texts)]
+
+        return full
+
+    passing = run_texts(decided.where("allowed"), column, "refused", VERDICT, verdicts)
     checked = materialize(passing, "checked")
-    refused = F.coalesce("refused", F.lit(False))
+    refused = F.coalesce("refused.refused", F.lit(False))
+    named = F.slice(F.coalesce("refused.violations", F.array().cast("array<string>")), 1, MAX_VIOLATIONS)
     judged = (
         checked.withColumn("allowed", ~refused)
         .withColumn(
             "reason",
             F.when(F.col("refused_error").isNotNull(), F.lit(SEMANTIC_UNAVAILABLE_REASON))
-            .when(refused, F.lit(rules.BLOCKED_VIOLATION))
+            .when(refused, F.coalesce("refused.reason", F.lit(rules.BLOCKED_VIOLATION)))
             .otherwise(F.col("reason")),
         )
         .withColumn(
             "violations",
-            F.when(refused, F.array(F.lit(rules.BLOCKED_VIOLATION))).otherwise(F.col("violations")),
+            F.when(refused & (F.size(named) > 0), named)
+            .when(refused, F.array(F.lit(rules.BLOCKED_VIOLATION)))
+            .otherwise(F.col("violations")),
         )
         .drop("refused", "refused_error")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -10,15 +12,15 @@ from evispan.functions.labels import document_location, source_struct
 from evispan.operators.lexical import QueryWeights, top_k
 from evispan.plugins import Factory
 from evispan.schema import METADATA_COLUMNS
-from evispan.session import prune, salted_join
+from evispan.session import materialize, prune, salted_join
 
 
 def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ordered union of the two paths with chunk text and metadata; of equal (text, metadata) the first
     stays, vector path before keyword path. Adds ``ord``, the 0-based position handed to the reranker.
 
-    Only candidates (at most 20 per query) meet the chunk table; the larger side is never shuffled when the
-    candidates can be broadcast.
+    Only candidates (at most 20 per query) meet the chunk table, in a plain join: their written size tells Spark whether
+    to broadcast them, and a chunk that many queries found is split by the adaptive skew join.
     """
     paths = vector_picks.select(
         "query_id", "collection_id", "chunk_id", F.lit(0).alias("origin"), F.col("mmr_rank").alias("origin_rank")
@@ -27,11 +29,10 @@ def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks:
             "query_id", "collection_id", "chunk_id", F.lit(1).alias("origin"), F.col("rank").alias("origin_rank")
         )
     )
-    located = salted_join(
-        prune(chunks, paths, "collection_id").select("collection_id", "chunk_id", "text", *METADATA_COLUMNS),
-        paths,
-        ["collection_id", "chunk_id"],
-        F.col("chunk_id"),
+    located = (
+        prune(chunks, paths, "collection_id")
+        .select("collection_id", "chunk_id", "text", *METADATA_COLUMNS)
+        .join(paths, ["collection_id", "chunk_id"])
     )
     same = Window.partitionBy("query_id", "text", *METADATA_COLUMNS).orderBy("origin", "origin_rank")
     order = Window.partitionBy("query_id").orderBy("origin", "origin_rank")
@@ -69,33 +70,52 @@ def rerank_overlap(candidates: DataFrame, weights: QueryWeights, top_n: int = RE
     )
 
 
+RAW_RESULTS = "query_id string, results array<struct<index: string, relevance_score: double>>, status_code int, detail string"
+
+
 def rerank_with(candidates: DataFrame, queries: DataFrame, factory: Factory, top_n: int = RERANK_TOP_N) -> DataFrame:
-    """Scores from a plug-in, one call per query over its candidates (20 at most). A failed call or an
-    answer that is not a list becomes one row with a status code."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        query_id = frame["query_id"].iloc[0]
-        columns = ["query_id", "result_ord", "index", "relevance_score", "status_code", "detail"]
-
-        def failed(reason):
-            return pd.DataFrame([(query_id, 1, None, None, *reason)], columns=columns)
-
-        try:
-            results = factory()(frame["query"].iloc[0], frame["text"].tolist(), min(top_n, len(frame)))
-        except Exception:
-            return failed(RERANK_FAILED)
-        if not isinstance(results, list):
-            return failed(RERANK_INVALID)
-        rows = []
-        for position, result in enumerate(results, start=1):
-            at = result.get("index") if isinstance(result, dict) else None
-            valid = isinstance(at, int) and -(2**31) <= at < 2**31
-            rows.append((query_id, position, at if valid else None, result.get("relevance_score") if isinstance(result, dict) else None, None, None))
-        return pd.DataFrame(rows, columns=columns) if rows else failed(RERANK_NO_DOCUMENTS)
-
-    asked = candidates.select("query_id", "ord", "text").join(queries.select("query_id", "query"), "query_id")
-    return asked.groupBy("query_id").applyInPandas(run, RESULTS)
+    """Scores from a plug-in that is set up once per task and called once per query with its candidates (20 at
+    most). A failed call or an answer that is not a list becomes one row with a status code."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = factory()
+        for frame in frames:
+            rows = []
+            for query_id, query, texts in zip(frame["query_id"], frame["query"], frame["texts"]):
+                try:
+                    got, reason = score(query, list(texts), min(top_n, len(texts))), None
+                except Exception:
+                    got, reason = None, RERANK_FAILED
+                if reason is None and not isinstance(got, list):
+                    reason = RERANK_INVALID
+                entries = [] if reason else [entry if isinstance(entry, dict) else {} for entry in got]
+                plain = [{"index": (repr if isinstance(e.get("index"), str) else str)(e.get("index")), "relevance_score": e.get("relevance_score")} for e in entries]
+                rows.append((query_id, plain, *(reason or (None, None))))
+            yield pd.DataFrame(rows, columns=["query_id", "results", "status_code", "detail"]).astype({"status_code": "Int32"})
+
+    gathered = candidates.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", "text")))["text"].alias("texts"))
+    asked = gathered.join(queries.select("query_id", "query"), "query_id")
+    raw = materialize(asked.select("query_id", "query", "texts").mapInPandas(run, RAW_RESULTS), "results")
+    named = raw.where("size(results) > 0").select("query_id", F.posexplode("results").alias("at", "entry"))
+    index = F.when(F.col("entry.index").rlike("^-?[0-9]{1,18}$"), F.col("entry.index").cast("bigint"))
+    none = lambda kind: F.lit(None).cast(kind)
+    good = named.select(
+        "query_id",
+        (F.col("at") + 1).alias("result_ord"),
+        F.when(index.between(-(2**31), 2**31 - 1), index).cast("int").alias("index"),
+        F.col("entry.relevance_score").alias("relevance_score"),
+        none("int").alias("status_code"),
+        none("string").alias("detail"),
+    )
+    failed = raw.where("size(results) = 0").select(
+        "query_id",
+        F.lit(1).alias("result_ord"),
+        none("int").alias("index"),
+        none("double").alias("relevance_score"),
+        F.coalesce("status_code", F.lit(RERANK_NO_DOCUMENTS[0])).alias("status_code"),
+        F.coalesce("detail", F.lit(RERANK_NO_DOCUMENTS[1])).alias("detail"),
+    )
+    return good.unionByName(failed)
 
 
 def rerank_validate(candidates: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:

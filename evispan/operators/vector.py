@@ -37,8 +37,9 @@ def embed(
     batch_size: int = EMBED_BATCH,
     retries: int = EMBED_RETRIES,
 ) -> DataFrame:
-    """Add ``embedding``, ``embed_status`` and ``embed_error``. Texts go to the plug-in in batches; a batch
-    that still fails after the retries leaves its rows without a vector and with the status of the failure."""
+    """Add ``embedding``, ``embed_status`` and ``embed_error``. Texts go to the plug-in in batches; the
+    texts of a batch that still fails after the retries are asked for one by one, and those that fail alone are
+    left without a vector and with the status of the failure."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     make = factory or hashed_terms_embedder()
@@ -67,14 +68,21 @@ def embed(
                 return [np.asarray(vector, dtype=np.float32) for vector in got], None, None
             return [None] * len(batch), *failure
 
+        def ask(batch: list[str]) -> tuple[list, list, list]:
+            got, status, error = one(batch)
+            if status is None or len(batch) == 1:
+                return got, [status] * len(got), [error] * len(got)
+            alone = [ask([text]) for text in batch]
+            return tuple([value for part in column for value in part] for column in zip(*alone))
+
         for frame in frames:
             vectors, statuses, errors = [], [], []
             texts = frame[text].tolist()
             for start in range(0, len(texts), batch_size):
-                got, status, error = one(texts[start : start + batch_size])
+                got, status, error = ask(texts[start : start + batch_size])
                 vectors += got
-                statuses += [status] * len(got)
-                errors += [error] * len(got)
+                statuses += status
+                errors += error
             yield frame.drop(columns=drop).assign(
                 embedding=pd.Series(vectors, index=frame.index, dtype=object),
                 embed_status=pd.array(statuses, dtype="Int32"),

@@ -35,7 +35,7 @@ class Models:
     generate: Factory | None = None
     stopwords: Sequence[str] | None = None
     exact: bool = True
-    prompt: str = field(default="Contexto:\n{context}\n\nPergunta: {question}")
+    prompt: str = field(default="evidence:\n{context}\nquestion:\n{question}")
 
 
 def build_corpus(chunks: DataFrame, models: Models = Models(), with_vectors: bool = True) -> Corpus:
@@ -47,19 +47,24 @@ def build_corpus(chunks: DataFrame, models: Models = Models(), with_vectors: boo
     return Corpus(chunks, index, materialize(embedded, "vectors"))
 
 
+def embed_queries(corpus: Corpus, queries: DataFrame, models: Models = Models()) -> DataFrame | None:
+    """Queries with ``query_vector``, or with the status of the failure; written once."""
+    if corpus.vectors is None:
+        return None
+    return materialize(vector.embed(queries, "query", models.embed).withColumnRenamed("embedding", "query_vector"), "asked")
+
+
 def retrieve(
-    corpus: Corpus, queries: DataFrame, weights: QueryWeights, models: Models = Models()
+    corpus: Corpus, queries: DataFrame, weights: QueryWeights, models: Models = Models(), asked: DataFrame | None = None
 ) -> DataFrame:
-    """Merged candidates of ``(query_id, collection_id, query)``."""
+    """Merged candidates of ``(query_id, collection_id, query)``; ``asked`` saves embedding the queries again."""
     hits = materialize(keyword_topk(weights, CANDIDATES), "hits")
     if corpus.vectors is None:
         picks = queries.select(
             "query_id", "collection_id", F.lit(0).cast("bigint").alias("chunk_id"), F.lit(0).alias("mmr_rank")
         ).where(F.lit(False))
     else:
-        asked = materialize(
-            vector.embed(queries, "query", models.embed).withColumnRenamed("embedding", "query_vector"), "asked"
-        )
+        asked = embed_queries(corpus, queries, models) if asked is None else asked
         picks = materialize(
             vector.mmr_select(vector.vector_topk(corpus.vectors, asked, FETCH_K), asked, CANDIDATES), "picks"
         )
@@ -78,11 +83,12 @@ def rerank(candidates: DataFrame, queries: DataFrame, weights: QueryWeights, mod
 def answer(corpus: Corpus, queries: DataFrame, models: Models = Models()) -> DataFrame:
     """``(query_id, collection_id, query, answer, sources, error)``, one row per query.
 
-    Queries whose reranking or generation failed carry an error; queries without candidates are answered
-    from an empty context.
+    Queries whose embedding, reranking or generation failed carry an error; queries without candidates are
+    answered from an empty context.
     """
     weights = query_weights(corpus.index, queries, models.stopwords, models.exact)
-    candidates = materialize(retrieve(corpus, queries, weights, models), "candidates")
+    asked = embed_queries(corpus, queries, models)
+    candidates = materialize(retrieve(corpus, queries, weights, models, asked), "candidates")
     results = rerank(candidates, queries, weights, models)
     reranked, failures = hybrid.rerank_validate(candidates, results)
     gathered = reranked.groupBy("query_id").agg(
@@ -98,6 +104,11 @@ def answer(corpus: Corpus, queries: DataFrame, models: Models = Models()) -> Dat
         ).alias("found")
     )
     none = F.array().cast(f"array<{SOURCE_STRUCT}>")
+    if asked is not None:  # a query that could not be embedded fails, whatever its words found
+        unasked = asked.where(F.col("embed_status").isNotNull()).select(
+            "query_id", F.col("embed_status").alias("status_code"), F.col("embed_error").alias("detail")
+        )
+        failures = failures.join(unasked.select("query_id"), "query_id", "left_anti").unionByName(unasked)
     base = (
         queries.join(gathered, "query_id", "left")
         .join(failures, "query_id", "left")

@@ -17,9 +17,10 @@ from evispan.functions.text import short_summary
 from evispan.operators import findings as ops
 from evispan.plans.quick_answer import Corpus, Models, answer
 from evispan.plugins import Factory, run_texts
-from evispan.schema import FINDING_COLUMNS, SOURCE_STRUCT
+from evispan.schema import FINDING_COLUMNS, FINDINGS, SOURCE_STRUCT
 from evispan.session import materialize
 
+JUDGED = "question_id string, is_sufficient boolean, reason string, missing_information array<string>, rounds_completed int"
 JUDGEMENT = "struct<is_sufficient: boolean, reason: string, missing_information: array<string>>"
 
 
@@ -71,7 +72,7 @@ def judge_sufficiency(questions: DataFrame, findings: DataFrame, judge: Factory
         return fallback
     prompts = ops.format_findings(questions, findings).join(questions.select("question_id", "question"), "question_id").select(
         "question_id",
-        F.concat(F.lit("Consulta principal: "), "question", F.lit("\n\nAchados:\n"), "findings_text").alias("prompt"),
+        F.concat(F.lit("question:\n"), "question", F.lit("\nfindings:\n"), "findings_text").alias("prompt"),
     )
     judged = materialize(run_texts(prompts, "prompt", "verdict", JUDGEMENT, judge), "verdicts")
     return fallback.join(judged.select("question_id", "verdict"), "question_id", "left").select(
@@ -100,9 +101,8 @@ def refinement(questions: DataFrame, findings: DataFrame, judged: DataFrame, ref
         .select(
             "question_id",
             F.concat(
-                F.lit("Consulta principal: "), "question", F.lit("\nMotivo da insuficiência: "), "reason",
-                F.lit("\nInformações ausentes: "), missing,
-                F.lit("\n\nConsultas já executadas:\n"), F.coalesce("executed_text", F.lit("")),
+                F.lit("question:\n"), "question", F.lit("\nreason:\n"), "reason", F.lit("\ngaps:\n"), missing,
+                F.lit("\nsearched:\n"), F.coalesce("executed_text", F.lit("")),
             ).alias("prompt"),
         )
     )
@@ -164,6 +164,10 @@ def research_rounds(
             break
         still = judged.join(open_.select("question_id"), "question_id", "left_semi")
         pending = refinement(open_, of_searched, still, agents.refine)
+    if found is None:  # nothing was asked, or nothing within its depth
+        spark = questions.sparkSession
+        none = spark.createDataFrame([], FINDINGS).select(*FINDING_COLUMNS)
+        return Research(none, spark.createDataFrame([], JUDGED))
     last = Window.partitionBy("question_id").orderBy(F.col("rounds_completed").desc())
     final = judgements.withColumn("_last", F.row_number().over(last)).where(F.col("_last") == 1).drop("_last")
     return Research(found.select(*FINDING_COLUMNS), final)
@@ -174,7 +178,7 @@ def write_report(questions: DataFrame, research: Research, write: Factory | None
     fallback = ops.report_fallback(research.judged, research.findings)
     if write is None:
         return fallback
-    missing = F.coalesce(F.nullif(F.array_join("missing_information", "; "), F.lit("")), F.lit("nenhuma"))
+    missing = F.coalesce(F.array_join("missing_information", "\n"), F.lit(""))
     prompts = (
         ops.report_evidence(research.findings)
         .join(research.judged, "question_id")
@@ -182,9 +186,8 @@ def write_report(questions: DataFrame, research: Research, write: Factory | None
         .select(
             "question_id",
             F.concat(
-                F.lit("Pergunta: "), "question", F.lit("\n\nAchados:\n"), "evidence", F.lit("\n\nSuficiente: "),
-                F.when(F.col("is_sufficient"), F.lit("True")).otherwise(F.lit("False")),
-                F.lit("\nAvaliação: "), "reason", F.lit("\nLacunas: "), missing,
+                F.lit("question:\n"), "question", F.lit("\nevidence:\n"), "evidence", F.lit("\nsufficient: "),
+                F.col("is_sufficient").cast("string"), F.lit("\nreason:\n"), "reason", F.lit("\ngaps:\n"), missing,
             ).alias("prompt"),
         )
     )

@@ -6,7 +6,7 @@ per task, and returns the callable that does the work:
 * embed:     ``list[str] -> list[vector]`` or ``list[(index, vector)]``
 * score:     ``(query, texts, top_n) -> list[{"index": int, "relevance_score": float}]``
 * generate:  ``list[str] -> list[str]``
-* classify:  ``list[str] -> list[bool]``
+* classify:  ``list[str] -> list[bool]``, for guardrails also ``list[{"refused": bool, "reason": str, "violations": list[str]}]``
 """
 
 from __future__ import annotations
@@ -53,26 +53,32 @@ def hashed_terms_embedder(dims: int = EMBED_DIMS) -> Factory:
 
 
 def run_texts(df: DataFrame, text: str, output: str, output_type: str, factory: Factory, batch: int = 16) -> DataFrame:
-    """Add ``output`` (what the plug-in returns for ``text``) and ``<output>_error``. A failing call marks
-    the rows of its batch and nothing else."""
+    """Add ``output`` (what the plug-in returns for ``text``) and ``<output>_error``. The rows of a batch that fails
+    are asked again one by one, so a text fails only for itself, whatever it shares a batch with."""
     error = f"{output}_error"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
+
+        def ask(part: list[str]) -> tuple[list, list]:
+            try:
+                got = list(call(part))
+                if len(got) != len(part):
+                    raise ValueError(f"{len(got)} results for {len(part)} texts")
+                return got, [None] * len(part)
+            except Exception as problem:
+                if len(part) == 1:
+                    return [None], [f"{type(problem).__name__}: {problem}"]
+            alone = [ask([one]) for one in part]
+            return [v for values, _ in alone for v in values], [e for _, errors in alone for e in errors]
+
         for frame in frames:
             values, errors = [], []
             texts = frame[text].tolist()
             for start in range(0, len(texts), batch):
-                part = texts[start : start + batch]
-                try:
-                    got = list(call(part))
-                    if len(got) != len(part):
-                        raise ValueError(f"{len(got)} results for {len(part)} texts")
-                    values += got
-                    errors += [None] * len(part)
-                except Exception as problem:
-                    values += [None] * len(part)
-                    errors += [f"{type(problem).__name__}: {problem}"] * len(part)
+                got, failed = ask(texts[start : start + batch])
+                values += got
+                errors += failed
             yield frame.assign(**{output: pd.Series(values, index=frame.index, dtype=object), error: pd.Series(errors, index=frame.index, dtype=object)})
 
     columns = [f"`{field.name}` {field.dataType.simpleString()}" for field in df.schema]

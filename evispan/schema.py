@@ -1,11 +1,11 @@
 """Fixed schemas of the canonical tables, as DDL text."""
 
-SOURCE = "page INT, row_start INT, row_end INT, excerpt STRING"
-SOURCE_STRUCT = "STRUCT<page: INT, row_start: INT, row_end: INT, excerpt: STRING>"
+SOURCE = "page INT, row_start BIGINT, row_end BIGINT, excerpt STRING"
+SOURCE_STRUCT = "STRUCT<page: INT, row_start: BIGINT, row_end: BIGINT, excerpt: STRING>"
 
 CHUNKS = (
     "collection_id STRING, chunk_id BIGINT, text STRING, source STRING, file_type STRING, "
-    "chunking STRING, page INT, pages ARRAY<INT>, row_start INT, row_end INT, n_tokens INT"
+    "chunking STRING, page INT, pages ARRAY<INT>, row_start BIGINT, row_end BIGINT, n_tokens INT"
 )
 CHUNK_COLUMNS = [part.split()[0] for part in CHUNKS.split(", ")]
 METADATA_COLUMNS = ["source", "file_type", "chunking", "page", "pages", "row_start", "row_end"]

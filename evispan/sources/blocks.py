@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,7 +15,6 @@ from evispan.session import spread
 
 # A token and the separators after it, so that joining pieces gives back the text.
 PIECE = rf"(?:{TOKEN})[\p{{M}}\p{{Z}}\p{{C}}]*"
-SECTION_PAGES = 64
 
 
 def cut_block(text: Column, budget: Column) -> Column:
@@ -95,69 +94,94 @@ def chunk_documents(documents: DataFrame, budget: int = CHUNK_TOKENS) -> DataFra
         F.lit(BLOCK_CHUNKING).alias("chunking"),
         F.lit(0).alias("page"),
         F.array(F.lit(1)).alias("pages"),
-        F.lit(None).cast("int").alias("row_start"),
-        F.lit(None).cast("int").alias("row_end"),
+        F.lit(None).cast("bigint").alias("row_start"),
+        F.lit(None).cast("bigint").alias("row_end"),
         "n_tokens",
     ).select(*CHUNK_COLUMNS)
 
 
-def _chunk_id(page: Column, block_no: Column, slice_no: Column) -> Column:
-    """Id in reading order: page, block (20 bits), slice of the block (16 bits)."""
-    return (
-        F.shiftleft(page.cast("bigint"), 36)
-        .bitwiseOR(F.shiftleft(block_no.cast("bigint"), 16))
-        .bitwiseOR(slice_no.cast("bigint"))
-    )
+PACKED_BLOCKS = (
+    "collection_id string, chunk_id bigint, text string, source string, pages array<int>, n_tokens int"
+)
+
+
+def _pack_runs(budget: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Packs slices that come in reading order. Holds one chunk, whatever the length of a document or of a run of
+    equal headings; a run goes on over frames."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        collection = source = head = None
+        number, used, started = 0, 0, False
+        texts: list[str] = []
+        pages: set[int] = set()
 
+        def chunk() -> tuple:
+            body = "\n".join(texts)
+            text = f"{head}\n{body}" if head else body
+            return collection, number, text, source, sorted(pages), used
 
-def chunk_blocks(blocks: DataFrame, budget: int = CHUNK_TOKENS, section_pages: int = SECTION_PAGES) -> DataFrame:
+        for frame in frames:
+            made = []
+            for c, s, h, page, text, n, head_n in zip(
+                *(frame[name] for name in ("collection_id", "source", "head", "page_no", "text", "n", "head_n"))
+            ):
+                new_collection = not started or c != collection
+                new_run = new_collection or s != source or h != head
+                if new_run or used + n > budget:
+                    if texts:
+                        made.append(chunk())
+                        number += 1
+                    texts, pages, used = [], set(), int(head_n)
+                    if new_collection:
+                        number = 0
+                    collection, source, head, started = c, s, h, True
+                texts.append(text)
+                used += int(n)
+                if not pd.isna(page):
+                    pages.add(int(page))
+            if made:
+                yield pd.DataFrame(made, columns=PACKED_COLUMNS)
+        if texts:
+            yield pd.DataFrame([chunk()], columns=PACKED_COLUMNS)
+
+    return run
+
+
+PACKED_COLUMNS = [part.split()[0] for part in PACKED_BLOCKS.split(", ")]
+
+
+def chunk_blocks(blocks: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
     """Chunks of a block table ``(collection_id, source, page_no, block_no, heading, text)``.
 
-    Blocks are packed in order inside a section: the blocks of one heading within a run of
-    ``section_pages`` pages. Undersized neighbours merge, the heading comes first in the text of each of its
-    chunks and counts towards the budget. Sections keep the gathered groups small whatever the size of a
-    collection.
+    Blocks are packed in reading order; neighbours of equal heading merge while they fit, over any number of pages. The
+    heading comes first in the text of each of its chunks and counts towards the budget. Chunk ids count from 0
+    in each collection. Blocks are cut natively; a document is then one sorted run of rows through a task that holds one
+    chunk at a time.
     """
-    filled = blocks.where(strip(F.col("text")) != "")
-    page = F.coalesce(F.col("page_no"), F.lit(1))
     head = strip(F.coalesce(F.col("heading"), F.lit("")))
-    sections = filled.groupBy(
-        "collection_id", "source", F.floor((page - 1) / section_pages).cast("int").alias("section"), head.alias("head")
-    ).agg(
-        F.sort_array(F.collect_list(F.struct(page.alias("order_page"), "block_no", "page_no", "text"))).alias("blocks")
+    filled = blocks.where(strip(F.col("text")) != "").withColumn("head", head).withColumn("head_n", token_count(F.col("head")))
+    room = F.greatest(F.lit(budget) - F.col("head_n"), F.lit(1))
+    cut = filled.select(
+        "collection_id", "source", "head", "head_n", "page_no", "block_no", F.posexplode(cut_block(F.col("text"), room)).alias("slice", "piece")
     )
-
-    def cut_all(room: Column) -> Column:
-        def cut(block: Column) -> Column:
-            return F.transform(
-                cut_block(block["text"], room),
-                lambda piece, i: F.struct(
-                    piece["text"].alias("text"),
-                    piece["n"].alias("n"),
-                    block["page_no"].alias("page"),
-                    _chunk_id(block["order_page"], block["block_no"], i).alias("id"),
-                ),
-            )
-
-        return F.flatten(F.transform("blocks", cut))
-
-    room = F.greatest(F.lit(budget) - token_count(F.col("head")), F.lit(1))
-    located = sections.select("collection_id", "source", "head", bind(room, cut_all).alias("pieces"))
-    packed = _packed(located, room)
-    page_, pages = page_provenance(F.col("part.page"))
-    contextual = F.when(F.col("head") == "", F.col("text")).otherwise(F.concat("head", F.lit("\n"), "text"))
+    order = [F.col("collection_id"), F.col("source"), F.coalesce("page_no", F.lit(1)), F.col("block_no"), F.col("slice"), F.col("piece.text")]
+    located = cut.repartition("collection_id").sortWithinPartitions(*order).select(
+        "collection_id", "source", "head", "page_no", F.col("piece.text").alias("text"), F.col("piece.n").alias("n"), "head_n"
+    )
+    packed = located.mapInPandas(_pack_runs(budget), PACKED_BLOCKS)
+    page_, pages = page_provenance(F.col("pages"))
     return packed.select(
         "collection_id",
-        F.get("part", F.lit(0))["id"].alias("chunk_id"),
-        contextual.alias("text"),
+        "chunk_id",
+        "text",
         "source",
         F.lit(PDF_TYPE).alias("file_type"),
         F.lit(BLOCK_CHUNKING).alias("chunking"),
         page_.alias("page"),
         pages.alias("pages"),
-        F.lit(None).cast("int").alias("row_start"),
-        F.lit(None).cast("int").alias("row_end"),
-        (F.col("n_tokens") + token_count(F.col("head"))).alias("n_tokens"),
+        F.lit(None).cast("bigint").alias("row_start"),
+        F.lit(None).cast("bigint").alias("row_end"),
+        "n_tokens",
     ).select(*CHUNK_COLUMNS)
 
 

@@ -30,7 +30,7 @@ def ordinals(df: DataFrame, group: str, key: str, name: str, start: int = 1) ->
     return (
         placed.withColumn("_inside", inside)
         .join(shifts, [group, "_part"])
-        .withColumn(name, (F.col("_shift") + F.col("_inside") + F.lit(start - 1)).cast("int"))
+        .withColumn(name, (F.col("_shift") + F.col("_inside") + F.lit(start - 1)).cast("bigint"))
         .drop("_part", "_inside", "_shift")
     )
 

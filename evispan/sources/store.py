@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evispan.constants import CHUNK_TOKENS, PDF_TYPE
@@ -13,6 +15,9 @@ from evispan.plans.quick_answer import Corpus, Models
 from evispan.schema import CHUNKS, FORWARD, VECTORS
 
 
+COMMITS = "ingest_id STRING, committed BIGINT"
+
+
 @dataclass(frozen=True)
 class IndexStore:
     """Chunk, term, statistics and vector tables below ``root``.
@@ -21,7 +26,7 @@ class IndexStore:
     would mean millions of folders. Inside an ingestion rows are range-partitioned and sorted by
     (collection_id, chunk_id), so the scan of a few collections skips row groups by their statistics and a
     collection of any size is cut into many files. Writing the same ingestion again replaces it and
-    touches nothing else.
+    touches nothing else. Of several ingestions of a collection the newest finished one is read.
     """
 
     spark: SparkSession
@@ -39,30 +44,66 @@ class IndexStore:
             .parquet(f"{self._path(table)}/ingest_id={ingest_id}")
         )
 
+    def _raw(self, table: str, ddl: str) -> DataFrame:
+        return self.spark.read.schema(f"{ddl}, ingest_id STRING").parquet(self._path(table))
+
+    def current(self) -> DataFrame:
+        """``collection_id, ingest_id``: of the finished ingestions that hold a collection the newest one. A file uploaded
+        again lands on the same collection, and then counts once."""
+        if not self._exists("commits"):
+            return self.spark.createDataFrame([], "collection_id STRING, ingest_id STRING")
+        commits = self.spark.read.schema(COMMITS).parquet(self._path("commits"))
+        finished = commits.groupBy("ingest_id").agg(F.max("committed").alias("committed"))
+        held = self._raw("stats", "collection_id STRING").join(finished, "ingest_id")
+        newest = F.max(F.struct("committed", "ingest_id")).alias("newest")
+        return held.groupBy("collection_id").agg(newest).select("collection_id", "newest.ingest_id")
+
+    def _exists(self, table: str) -> bool:
+        try:
+            self.spark.read.schema(COMMITS).parquet(self._path(table))
+        except AnalysisException:
+            return False
+        return True
+
     def _read(self, table: str, ddl: str) -> DataFrame:
-        return self.spark.read.schema(f"{ddl}, ingest_id STRING").parquet(self._path(table)).drop("ingest_id")
+        if not self._exists("commits"):
+            return self.spark.createDataFrame([], ddl)
+        return self._raw(table, ddl).join(self.current(), ["collection_id", "ingest_id"], "left_semi").drop("ingest_id")
 
     def add(self, chunks: DataFrame, ingest_id: str, models: Models = Models(), with_vectors: bool = True) -> None:
-        """Write one ingestion: chunks first, then what is derived from the written chunks. Chunks whose
-        embedding failed keep the status of the failure in the vector table."""
+        """Write one ingestion: chunks first, then what is derived from the written chunks, then the mark that makes
+        it visible, so readers never see half of it. Chunks whose embedding failed keep the status of the failure in
+        the vector table."""
         self._write(chunks, "chunks", ingest_id)
-        written = (
-            self.spark.read.schema(f"{CHUNKS}, ingest_id STRING")
-            .parquet(self._path("chunks"))
-            .where(F.col("ingest_id") == ingest_id)
-        )
+        written = self._raw("chunks", CHUNKS).where(F.col("ingest_id") == ingest_id)
         self._write(forward_table(written, models.stopwords, models.exact), "forward", ingest_id)
-        forward = self.spark.read.schema(f"{FORWARD}, ingest_id STRING").parquet(self._path("forward"))
+        forward = self._raw("forward", FORWARD)
         self._write(partial_stats(forward.where(F.col("ingest_id") == ingest_id)), "stats", ingest_id, "collection_id")
         if with_vectors:
             embedded = embed(written.select("collection_id", "chunk_id", "text"), factory=models.embed)
             self._write(embedded, "vectors", ingest_id)
+        self._commit(ingest_id)
+
+    def _commit(self, ingest_id: str) -> None:
+        mark = self.spark.range(1).select(
+            F.lit(ingest_id).alias("ingest_id"), F.lit(time.time_ns()).cast("bigint").alias("committed")
+        )
+        mark.coalesce(1).write.mode("append").parquet(self._path("commits"))
+
+    def compact(self, ingest_id: str, with_vectors: bool = True) -> None:
+        """Write what is current as one new ingestion; the older ones are then no longer read and can be deleted."""
+        tables = [("chunks", CHUNKS), ("forward", FORWARD)] + ([("vectors", VECTORS)] if with_vectors else [])
+        for table, ddl in tables:
+            self._write(self._read(table, ddl), table, ingest_id)
+        stats = partial_stats(self._raw("forward", FORWARD).where(F.col("ingest_id") == ingest_id))
+        self._write(stats, "stats", ingest_id, "collection_id")
+        self._commit(ingest_id)
 
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
 
     def collections(self) -> DataFrame:
-        return self._read("stats", "collection_id STRING").distinct()
+        return self.current().select("collection_id")
 
     def corpus(self, with_vectors: bool = True) -> Corpus:
         forward = self._read("forward", FORWARD)
@@ -76,9 +117,13 @@ def collection_id(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def document_profile(chunks: DataFrame, max_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """One summary row per collection. Means are rounded half to even."""
+def document_profile(chunks: DataFrame, max_tokens: int = CHUNK_TOKENS, page_counts: DataFrame | None = None) -> DataFrame:
+    """One summary row per collection. Means are rounded half to even. ``page_counts (collection_id, page_count)`` tells
+    the pages of each document; without it the last page with a chunk stands for them."""
     pages = F.max(F.array_max("pages"))
+    if page_counts is not None:
+        chunks = chunks.join(page_counts.select("collection_id", "page_count"), "collection_id", "left")
+        pages = F.coalesce(F.max("page_count").cast("int"), pages)
     return chunks.groupBy("collection_id", "source", "file_type", "chunking").agg(
         F.when(F.first("file_type") == PDF_TYPE, pages).alias("pages"),
         F.when(F.first("file_type") != PDF_TYPE, F.count(F.lit(1))).cast("int").alias("rows"),

@@ -20,17 +20,27 @@ SESSION_OUTPUT = (
     "session_id string, seq bigint, status string, status_code int, detail string, original_query string, "
     "clarification_questions array<string>, clarification_responses array<string>"
 )
-SESSION_STATE = "status string, original string, questions array<string>, answers array<string>"
+SESSION_STATE = (
+    "status string, original string, questions array<string>, answers array<string>, "
+    "held_seq array<bigint>, held_kind array<string>, held_text array<string>, held_refused array<string>"
+)
 
 
-def session_stream(events: DataFrame, terms: list[str] | None = None, keep_ms: int | None = None) -> DataFrame:
+def session_stream(
+    events: DataFrame, terms: list[str] | None = None, keep_ms: int | None = None, patience_ms: int | None = None
+) -> DataFrame:
     """State changes of sessions from a stream ``(session_id, seq, kind, text, questions)``.
 
     ``start`` opens a session (with the clarification questions triage decided on), ``answer`` answers the
     next one, ``done`` reports that its research ended. Guardrail rules are evaluated as columns before the
-    state function, which only counts. Events of a micro-batch are applied in ``seq`` order; a session's
-    events of one micro-batch are held together, so bound micro-batches at the source (files or offsets per
-    trigger). ``answer_outcomes`` gives the same results over tables of any skew. ``keep_ms`` forgets sessions without events for that long; by default they stay.
+    state function, which only counts. Events are applied in ``seq`` order inside a micro-batch.
+
+    With ``patience_ms`` events that come before their session's start are kept in the state: they are applied once it
+    comes, and are answered as of an unknown session when it stays away that long. The result is then the same however the
+    input falls into micro-batches, as long as a session's later events don't overtake each other. Without it
+    they are answered at once. ``answer_outcomes`` gives the same results over tables of any skew. ``keep_ms``
+    forgets sessions without events for that long; by default they stay. Both are processing-time limits, for which Spark
+    goes on with empty micro-batches, so such a stream is stopped and doesn't end under ``availableNow``.
     """
     found = rules.violations(F.col("text"), CLARIFICATION_FIELD, MAX_CLARIFICATION_CHARS, terms or [])
     reason = F.when(F.size(found) > 0, F.array_join(found, "; "))
@@ -40,38 +50,61 @@ def session_stream(events: DataFrame, terms: list[str] | None = None, keep_ms: i
     columns = [part.split()[0] for part in SESSION_OUTPUT.split(", ")]
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, original, questions, answers = state.get if state.exists else (None, None, [], [])
+        fresh = (None, None, [], [], [], [], [], [])
+        status, original, questions, answers, *held = state.get if state.exists else fresh
         questions, answers = list(questions), list(answers)
-        out = []
-        for event in pd.concat(list(frames)).sort_values("seq").itertuples():
+        waiting = list(zip(*held))
+        out: list[tuple] = []
+
+        def apply(seq: int, kind: str, text: str, asked, refused: str | None) -> None:
+            nonlocal status, original, questions
             code, detail = None, None
-            if event.kind == "start":
+            if kind == "start":
                 if status is None:
-                    original, questions = event.text, list(event.questions if event.questions is not None else [])
+                    original, questions = text, list(asked if asked is not None else [])
                     status = "awaiting_clarification" if questions else "researching"
             elif status is None:
                 code, detail = UNKNOWN_SESSION
-            elif event.kind == "done":
+            elif kind == "done":
                 status = "completed" if status == "researching" else status
             elif status != "awaiting_clarification":
                 code, detail = SESSION_NOT_WAITING
-            elif event.refused is not None:
-                code, detail = 422, f"Entrada rejeitada: {event.refused}."
+            elif refused is not None:
+                code, detail = 422, f"Entrada rejeitada: {refused}."
             else:
-                answers.append(event.text)
+                answers.append(text)
                 if len(answers) >= len(questions):
                     status = "researching"
-            out.append((key[0], event.seq, status, code, detail, original, list(questions), list(answers)))
-        if status is not None:
-            state.update((status, original, questions, answers))
-            if keep_ms is not None:
+            out.append((key[0], seq, status, code, detail, original, list(questions), list(answers)))
+
+        if state.hasTimedOut:
+            for seq, kind, text, refused in waiting:
+                apply(seq, kind, text, None, refused)
+            state.remove()
+            if out:
+                yield pd.DataFrame(out, columns=columns).astype({"status_code": "Int32"})
+            return
+        batch = [(e.seq, e.kind, e.text, e.questions, e.refused) for frame in frames for e in frame.itertuples()]
+        known = status is not None or any(kind == "start" for _, kind, *_ in batch)
+        if known or patience_ms is None:
+            batch += [(seq, kind, text, None, refused) for seq, kind, text, refused in waiting]
+            waiting = []
+            for event in sorted(batch, key=lambda e: e[0]):
+                apply(*event)
+        else:
+            waiting += [(seq, kind, text, refused) for seq, kind, text, _, refused in batch]
+        if status is not None or waiting:
+            held = [list(part) for part in zip(*waiting)] if waiting else [[], [], [], []]
+            state.update((status, original, questions, answers, *held))
+            if status is None:
+                state.setTimeoutDuration(patience_ms)
+            elif keep_ms is not None:
                 state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame(out, columns=columns).astype({"status_code": "Int32"})
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({"status_code": "Int32"})
 
-    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    timed = keep_ms is not None or patience_ms is not None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return prepared.groupBy("session_id").applyInPandasWithState(advance, SESSION_OUTPUT, SESSION_STATE, "append", timeout)
 
 

@@ -94,7 +94,7 @@ def corpus(spark):
     rows = [("c", i, t) for i, t in enumerate(["red fox", "blue whale", "green tree"])]
     chunks = spark.createDataFrame(rows, "collection_id string, chunk_id bigint, text string").selectExpr(
         "*", "'s' source", "'csv' file_type", "'csv_rows' chunking", "cast(null as int) page", "cast(null as array<int>) pages",
-        "cast(chunk_id + 2 as int) row_start", "cast(chunk_id + 2 as int) row_end",
+        "cast(chunk_id + 2 as bigint) row_start", "cast(chunk_id + 2 as bigint) row_end",
     )
     return qa.build_corpus(chunks, with_vectors=False)
 
@@ -120,7 +120,7 @@ def test_rounds_with_plugins(spark):
     plan = lambda: lambda prompts: ["- red\n- tree" for _ in prompts]
     refine = lambda: lambda prompts: ["- RED\n- blue" if "red whale" in p else "" for p in prompts]
     judge = lambda: lambda prompts: [
-        {"is_sufficient": "blue" in p.split("Achados")[1], "reason": "r", "missing_information": list("abcde")} for p in prompts
+        {"is_sufficient": "blue" in p.split("findings")[1], "reason": "r", "missing_information": list("abcde")} for p in prompts
     ]
 
     def write():
@@ -156,3 +156,10 @@ def test_failed_search_is_a_finding(spark):
     got = research.search(corpus(spark), searches, qa.Models(score=score)).orderBy("ord").collect()
     assert [(r.evidence_count, r.error) for r in got] == [(0, c.SEARCH_FAILED_ERROR), (1, None), (1, None)]
     assert got[0].answer == c.SEARCH_FAILED_ANSWER and got[1].answer == "[Linha 4] green tree"
+
+
+def test_no_question_gives_empty_tables(spark):
+    none = spark.createDataFrame([], "question_id string, collection_id string, question string, depth int")
+    result = research.research_rounds(corpus(spark), none)
+    assert result.findings.count() == 0 and result.judged.count() == 0
+    assert research.research_report(none, result).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evispan.operators import hybrid, lexical, vector
 from evispan.plans import quick_answer as qa
-from evispan.plugins import hashed_terms_embedder
+from evispan.plugins import hashed_terms_embedder, run_texts
 
 TEXTS = {
     "a": ["red fox red", "blue fox", "green tree", "", "--"],
@@ -20,7 +20,7 @@ def chunks(spark):
     rows = [(col, i, t) for col, texts in TEXTS.items() for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "collection_id string, chunk_id bigint, text string").selectExpr(
         "*", "'s' source", "'pdf' file_type", "'docling_hybrid' chunking", "cast(chunk_id as int) page", "array(1) pages",
-        "cast(null as int) row_start", "cast(null as int) row_end",
+        "cast(null as bigint) row_start", "cast(null as bigint) row_end",
     )
 
 
@@ -220,6 +220,33 @@ def test_rerank_protocol(spark):
     assert sorted((r.query_id, r.status_code) for r in failed.collect()) == [("q2", 502), ("q3", 502)]
 
 
+def test_one_bad_text_fails_alone(spark):
+    def factory():
+        def call(texts):
+            if "bad" in texts:
+                raise RuntimeError("no")
+            return [t.upper() for t in texts]
+
+        return call
+
+    texts = spark.createDataFrame([(i, "bad" if i == 5 else f"t{i}") for i in range(16)], "i int, t string").coalesce(1)
+    got = {r.i: (r.o, r.o_error) for r in run_texts(texts, "t", "o", "string", factory).collect()}
+    assert got[5] == (None, "RuntimeError: no") and all(got[i] == (f"T{i}", None) for i in got if i != 5)
+
+
+def test_failed_query_embedding_is_an_error(spark):
+    corpus = qa.build_corpus(chunks(spark))
+
+    def embed():
+        def call(texts):
+            raise TimeoutError
+
+        return call
+
+    got = qa.answer(corpus, queries(spark), qa.Models(embed=embed)).collect()
+    assert len(got) == len(ASKED) and all(r.error and r.sources == [] for r in got)
+
+
 def test_answers_with_plugins(spark):
     def generate():
         def call(prompts):
@@ -232,8 +259,8 @@ def test_answers_with_plugins(spark):
     corpus = qa.build_corpus(chunks(spark), with_vectors=False)
     asked = queries(spark).where("query_id in ('q1', 'q2', 'q3')").repartition(3, "query_id")
     got = {r.query_id: r for r in qa.answer(corpus, asked, qa.Models(generate=generate)).collect()}
-    assert got["q1"].answer.startswith("CONTEXTO:\n[PÁGINA 1]\nRED FOX RED") and got["q1"].error is None
-    assert "PERGUNTA: RED FOX FOX" in got["q1"].answer
+    assert got["q1"].answer.startswith("EVIDENCE:\n[PÁGINA 1]\nRED FOX RED") and got["q1"].error is None
+    assert "QUESTION:\nRED FOX FOX" in got["q1"].answer
     plain = {r.query_id: r for r in qa.answer(corpus, queries(spark)).collect()}
     assert plain["q2"].sources == [] and plain["q2"].answer.startswith("Não encontrei evidências suficientes")
     assert len(plain) == len(ASKED)

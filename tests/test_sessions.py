@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from evispan import constants as c
@@ -88,6 +90,29 @@ def test_stream_gives_the_same_outcomes_over_batches(spark, tmp_path):
     assert last["open"] == ("awaiting_clarification", ["one"])
 
 
+def test_early_events_wait_for_their_start(spark, tmp_path):
+    source = str(tmp_path / "events")
+    early = [("s", 1, "answer", "one", None), ("s", 2, "answer", "two", None)]
+    start = [("s", 0, "start", "what", ["q1", "q2"])]
+    for rows in (early, start):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    outcomes = []
+    for files in (1, 64):
+        events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(source)
+        out = str(tmp_path / f"out{files}")
+        stream = jobs.session_stream(events, [], patience_ms=3_600_000).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / f"cp{files}")
+        ).start()
+        found, deadline = [], time.time() + 90
+        while len(found) < 3 and time.time() < deadline:
+            time.sleep(1)
+            if (tmp_path / f"out{files}" / "_spark_metadata").exists():
+                found = spark.read.schema(jobs.SESSION_OUTPUT).parquet(out).collect()
+        stream.stop()
+        outcomes.append(sorted((r.seq, r.status, r.status_code, len(r.clarification_responses)) for r in found))
+    assert outcomes[0] == outcomes[1] == [(0, "awaiting_clarification", None, 0), (1, "awaiting_clarification", None, 1), (2, "researching", None, 2)]
+
+
 def test_ingest_and_question_streams(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
     source = str(tmp_path / "in")
@@ -95,8 +120,8 @@ def test_ingest_and_question_streams(spark, tmp_path):
 
     def to_chunks(batch):
         return batch.selectExpr(
-            "*", "'s' source", "'pdf' file_type", "'c' chunking", "0 page", "array(1) pages", "cast(null as int) row_start",
-            "cast(null as int) row_end", "1 n_tokens",
+            "*", "'s' source", "'pdf' file_type", "'c' chunking", "0 page", "array(1) pages", "cast(null as bigint) row_start",
+            "cast(null as bigint) row_end", "1 n_tokens",
         )
 
     for rows in ([("a", 0, "red fox")], [("b", 0, "blue whale"), ("b", 1, "red sun")]):

@@ -98,6 +98,20 @@ def test_blocks_heading_leads_and_counts(spark):
     assert max(r.n_tokens for r in made) == 3
 
 
+def test_blocks_do_not_depend_on_page_numbers_or_size(spark):
+    def texts(shift):
+        return [
+            (r.chunk_id, r.text) for r in blocks.chunk_blocks(
+                blocks_frame(spark, (63 + shift, None, "a"), (64 + shift, None, "b"), (65 + shift, "M", "x"), (65 + shift, None, "c"))
+            ).orderBy("chunk_id").collect()
+        ]
+
+    assert texts(0) == [(0, "a\nb"), (1, "M\nx"), (2, "c")] == texts(1) == texts(1000)
+    wide = spark.createDataFrame([("d", "s", 1, 1_048_576, None, "late"), ("d", "s", 1, 0, None, "first " * 600)], "collection_id string, source string, page_no int, block_no int, heading string, text string")
+    made = blocks.chunk_blocks(wide).orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in made] == [0, 1] and made[-1].text.endswith("late")
+
+
 def test_documents_pack_like_a_plain_loop(spark):
     def plain(text, budget):
         import regex
@@ -155,7 +169,7 @@ def test_store_replaces_an_ingestion_and_keeps_the_others(spark, tmp_path):
         df = spark.createDataFrame([(collection, i, t) for i, t in enumerate(texts)], "collection_id string, chunk_id bigint, text string")
         return df.selectExpr(
             "collection_id", "chunk_id", "text", "'s' source", "'pdf' file_type", "'docling_hybrid' chunking", "0 page", "array(1) pages",
-            "cast(null as int) row_start", "cast(null as int) row_end", "1 n_tokens",
+            "cast(null as bigint) row_start", "cast(null as bigint) row_end", "1 n_tokens",
         )
 
     kept.add(chunk("one", ["alpha beta", "gamma"]), "first")
@@ -168,3 +182,19 @@ def test_store_replaces_an_ingestion_and_keeps_the_others(spark, tmp_path):
     got = {r.query_id: r for r in answer(corpus, asked).collect()}
     assert got["q1"].answer == "[Página 1] alpha only" and got["q1"].sources[0].page == 1
     assert len(got["q2"].sources) == 1  # the vector path always finds the nearest chunk
+
+
+def test_store_counts_a_repeated_upload_once(spark, tmp_path):
+    kept = store.IndexStore(spark, str(tmp_path / "index"))
+    assert kept.chunks().count() == 0 and kept.collections().count() == 0
+    rows = spark.createDataFrame([("one", 0, "alpha beta"), ("one", 1, "alpha")], "collection_id string, chunk_id bigint, text string").selectExpr(
+        "*", "'s' source", "'pdf' file_type", "'docling_hybrid' chunking", "0 page", "array(1) pages",
+        "cast(null as bigint) row_start", "cast(null as bigint) row_end", "1 n_tokens",
+    )
+    kept.add(rows, "a")
+    kept.add(rows, "b")
+    for _ in range(2):
+        corpus = kept.corpus()
+        assert [(r.collection_id, r.n_chunks) for r in corpus.index.stats.collect()] == [("one", 2)]
+        assert (corpus.chunks.count(), corpus.vectors.count(), kept.collections().count()) == (2, 2, 1)
+        kept.compact("c")
