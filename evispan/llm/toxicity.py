@@ -80,12 +80,13 @@ def feature_table(rows: DataFrame, bits: int = BITS) -> DataFrame:
     return arrow_pass(rows.select("text", "label"), task, "label int, at array<int>")
 
 
-def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, row number and feature of each entry of a batch of feature rows."""
-    lists = batch.column(batch.schema.get_field_index("at"))
-    labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-    lengths = np.diff(lists.offsets.to_numpy())
-    return labels, np.repeat(np.arange(len(labels)), lengths), lists.flatten().to_numpy()
+def _entries(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, row number and feature of each entry, for some feature rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            labels, lists = (c.slice(start, rows) for c in batch.columns)
+            lengths = np.diff(lists.offsets.to_numpy())
+            yield labels.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy()
 
 
 def train(rows: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
@@ -97,8 +98,7 @@ def train(rows: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held, n = np.zeros((2, size)), np.zeros(2)
-        for batch in batches:
-            labels, row, at = _entries(batch)
+        for labels, row, at in _entries(batches):
             for label in (0, 1):
                 held[label] += np.bincount(at[labels[row] == label], minlength=size)
                 n[label] += (labels == label).sum()
@@ -106,7 +106,9 @@ def train(rows: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
         yield {"n": [n.tolist()], "at": [used.astype(np.int32)], "none": [held[0][used]], "some": [held[1][used]]}
 
     held, n = np.zeros((2, size)), np.zeros(2)
-    for own, at, none, some in arrow_pass(table, count, "n array<double>, at array<int>, none array<double>, some array<double>").collect():
+    sums = arrow_pass(table, count, "n array<double>, at array<int>, none array<double>, some array<double>").toArrow()
+    for i in range(sums.num_rows):
+        own, at, none, some = (sums.column(c)[i].values.to_numpy() for c in ("n", "at", "none", "some"))
         n += own
         held[0][at] += none
         held[1][at] += some
@@ -126,8 +128,7 @@ def train(rows: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
         def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             (number, ratio), w = fixed.value, shared.value
             wide, out = w[:-1] * ratio, np.zeros(len(w))
-            for batch in batches:
-                labels, row, at = _entries(batch)
+            for labels, row, at in _entries(batches):
                 at = number[at]
                 row, at = row[at >= 0], at[at >= 0]
                 scale = SCALE / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(labels))))
@@ -138,8 +139,8 @@ def train(rows: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
             yield {"g": [out.astype(np.float32)]}
 
         g = np.zeros_like(w)
-        for row in arrow_pass(table, gradient, "g array<float>").collect():
-            g += row[0]
+        for part in arrow_pass(table, gradient, "g array<float>").toArrow().column("g"):
+            g += part.values.to_numpy()
         g /= total
         g[:-1] = g[:-1] * ratio + PENALTY * w[:-1]
         move = MOMENTUM * move - RATE * g
