@@ -65,7 +65,7 @@ def words(text: bytes) -> list[bytes]:
 class HashCache(dict):
     """64-bit hashes of byte strings; forgets everything when ``limit`` entries are held."""
 
-    def __init__(self, limit: int = 1_000_000, seed: int = 0):
+    def __init__(self, limit: int = 300_000, seed: int = 0):
         super().__init__()
         self.limit, self.seed = limit, seed
 
