@@ -52,6 +52,13 @@ def _split_schema(schema: str) -> list[str]:
     return [*parts, schema[start:]]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows, so that what is worked out for a part stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null becomes empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evispan.llm.common import arrow_pass
+from evispan.llm.common import arrow_pass, parts
 from evispan.llm.lattice import expected_counts, load_pieces, word_scores
 from evispan.session import materialize
 
@@ -22,13 +22,6 @@ DISCOUNT = 0.75
 PRIOR = 100.0
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut to ``rows`` rows, so that what is worked out for a part stays small."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def _split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts (A-Z folded, cut at ASCII white space) and the row of each."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
@@ -41,7 +34,7 @@ def word_table(docs: DataFrame, held_out: Column, text_col: str = "text") -> Dat
     """``word, c``: every word of every text with its count in the texts that aren't held out."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in _parts(batches, 4_000):
+        for batch in parts(batches, 4_000):
             flat, row = _split(batch.column(1))
             learn = ~batch.column(0).to_numpy(zero_copy_only=False)[row]
             coded = flat.dictionary_encode()
@@ -145,7 +138,7 @@ def lattice_scores(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         frequent, base, score = shared.value
-        for batch in _parts(batches, 2_000):
+        for batch in parts(batches, 2_000):
             size = batch.num_rows
             flat, row = _split(batch.column(3))
             coded = flat.dictionary_encode()

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evispan.llm.common import arrow_pass, only, utf8
+from evispan.llm.common import arrow_pass, only, parts, utf8
 from evispan.session import materialize
 
 SEQUENCE = 4096
@@ -85,14 +85,14 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         ids_of = word_ids(tokenizer_path)
-        for batch in batches:
+        for batch in parts(batches, 2_000):
             rows, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))
             for at in range(0, len(rows), 500):
                 split = [text.split() for text in texts[at : at + 500]]
                 ids_of.learn(set().union(*split))
                 out: list[tuple] = []
-                for row, doc, parts in zip(rows[at : at + 500], ids[at : at + 500], split):
-                    raw = ids_of.encode(parts) + end
+                for row, doc, own in zip(rows[at : at + 500], ids[at : at + 500], split):
+                    raw = ids_of.encode(own) + end
                     n = len(raw) // 4
                     for start in range(0, n, sequence):
                         piece = raw[4 * start : 4 * (start + sequence)]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evispan.llm.common import HashCache, arrow_pass, mix64, only
+from evispan.llm.common import HashCache, arrow_pass, mix64, parts
 from evispan.session import materialize
 
 BITS = 18
@@ -68,7 +68,7 @@ def sigmoid(x):
 def feature_table(rows: DataFrame, bits: int = BITS) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         features = Features(bits)
-        for batch in batches:
+        for batch in parts(batches, 1_000):
             ids, texts, labels = (batch.column(i).to_pylist() for i in range(3))
             found = [features.of(text) for text in texts]
             yield {"id": ids, "label": labels, "at": [a for a, _ in found], "value": [v for _, v in found]}
@@ -125,7 +125,7 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(bits), shared.value
-        for batch in batches:
+        for batch in parts(batches, 1_000):
             scores = []
             for text in batch.column(at_text).to_pylist():
                 at, value = features.of(text)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evispan.llm.common import FOLD, arrow_pass, mix64
+from evispan.llm.common import FOLD, arrow_pass, mix64, parts
 from evispan.session import materialize
 
 BITS, SHORTEST, LONGEST = 20, 3, 5
@@ -160,7 +160,7 @@ def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", name:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, fitted = Grams(bits), shared.value
-        for batch in batches:
+        for batch in parts(batches, 1_000):
             scores = [fitted.score(grams.of(text)) for text in batch.column(at_text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema=batch.schema)
 
