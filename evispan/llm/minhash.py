@@ -15,13 +15,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from evispan.llm.common import HashCache, arrow_pass, mix64, only, utf8, words
-from evispan.session import materialize
+from evispan.llm.common import arrow_pass, HashCache, mix64, only, parts, utf8, words
+from evispan.session import fits, materialize
 
 # 32 bands of 4: two texts at similarity 0.8 share no band with probability 5e-8.
 BANDS, ROWS = 32, 4
+# Candidates up to which their ids travel to the texts, and not the texts to them.
+HELD_CANDIDATES = 200_000
 # Members of a bucket that are compared inside one task at a time.
 BLOCK = 1024
 
@@ -65,7 +67,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         cache, number = HashCache(), np.arange(bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in parts(batches, 1_000):
             row, ids = batch.column(0), batch.column(1)
             digests, counts, buckets = [], [], []
             for text in utf8(batch.column(2)):
@@ -109,7 +111,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         cache = HashCache()
-        for batch in batches:
+        for batch in parts(batches, 1_000):
             nodes, sets = [], []
             for node, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
                 seq = words(text)
@@ -119,6 +121,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size
             yield {"node": nodes, "set": sets}
 
     texts = only(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
+    if fits(wanted, HELD_CANDIDATES):  # counted: some 100 bytes each; more of them meet the texts in a shuffle
+        wanted = F.broadcast(wanted)
     found = materialize(arrow_pass(texts.join(wanted, "id").select("node", "digest", "text"), task, "node bigint, set binary"), "sets")
     repeated = found.groupBy("node").count().where("count > 1").limit(1).count()
     return found.dropDuplicates(["node"]) if repeated else found
@@ -128,7 +132,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in parts(batches, 500):
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             good = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)]
             yield {"a": [i for i, g in zip(a, good) if g], "b": [i for i, g in zip(b, good) if g]}
@@ -176,28 +180,49 @@ def block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], p
     return out
 
 
-def mixed_bucket_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links inside buckets that hold several components. A bucket over ``block`` members is cut into blocks by a hash of
-    the node, and every two of its blocks meet in a task of their own."""
-    labelled = materialize(
-        members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-buckets"
+def size_class(size: Column, percent: int) -> Column:
+    """Classes such that sets of similar texts are in one class or in two neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / float(np.log(100 / percent)) - 1e-9).cast("int")
+
+
+def mixed_groups(members: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
+    """``key, at, i, j, node, label``: members of buckets that can still join different components.
+
+    A bucket is cut by set size (two neighbouring size classes to a group, for other sizes can't be similar), and only
+    groups with several labels stay. A group over ``block`` members is cut into blocks by a hash of the node, and
+    every two of its blocks meet in a task of their own. Written once.
+    """
+    labelled = (
+        members.where("n > 2")
+        .select("key", "node")
+        .join(sizes, "node")
+        .join(labels, "node", "left")
+        .select("key", "node", F.coalesce("label", "node").alias("label"), size_class(F.col("size"), percent).alias("class"))
+    )
+    placed = materialize(
+        labelled.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") - 1))).drop("class"), "labelled-buckets"
     )
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = (
-        labelled.join(mixed, "key")
-        .withColumns({"parts": parts, "own": own})
+    mixed = placed.groupBy("key", "at").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")
+    )
+    parts = F.ceil(F.col("members") / block).cast("int")
+    return materialize(
+        placed.join(mixed.where("lo < hi").select("key", "at", parts.alias("parts")), ["key", "at"])
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
-        .join(sets, "node")
+        .select("key", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label"),
+        "mixed-groups",
     )
 
+
+def mixed_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside the groups, on full sets; the pairs are compared inside a task."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = block_links(pdf.node.to_numpy(), pdf.label.to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf.set], percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return groups.join(sets, "node").groupBy("key", "at", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,15 +279,24 @@ def near_duplicates(
         .select("node", F.explode("buckets").alias("key"))
     )
     leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = materialize(leaders, "leaders")  # written, so that the join deals a hot bucket's members anew
     members = materialize(members.join(leaders, "key"), "buckets")
-    pairs = materialize(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    wanted = materialize(known.join(nodes, "node").select("id", "digest", "node"), "candidates")
-    sets = sets_of(docs, wanted, id_col, text_col, size)
+    sizes = full.select(F.col("row_id").alias("node"), F.col("n").alias("size"))
+    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    small, large = F.least("x", "y"), F.greatest("x", "y")
+    pairs = star.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b").where(100 * small >= percent * large)
+    pairs = materialize(pairs.select("a", "b"), "pairs")  # other sizes can't be similar enough
+
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        wanted = materialize(known.join(nodes.distinct(), "node").select("id", "digest", "node"), "candidates")
+        return sets_of(docs, wanted, id_col, text_col, size)
+
+    sets = sets_for(pairs.select("a").union(pairs.select("b")).toDF("node"))
     links = materialize(verified(pairs, sets, percent), "links")
     labels = components(links)
-    more = materialize(mixed_bucket_links(members, labels, sets, percent, block), "links")
-    if more.limit(1).count():
+    groups = mixed_groups(members, labels, sizes, percent, block)
+    if groups.limit(1).count():
+        more = materialize(mixed_links(groups, sets_for(groups.select("node")), percent), "links")
         labels = components(labels.toDF("a", "b").union(more))
     # Only classes with copies or links need a label; all other rows are alone.
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
