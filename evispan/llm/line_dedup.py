@@ -32,12 +32,22 @@ def line_digests(text: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(keys, lambda k: k != "")), lambda k: F.unhex(F.md5(k)))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``host, lines`` once per distinct text of a host (by a strong digest, so texts don't move); null is no text."""
+    page = F.unhex(F.md5(F.col("text").cast("binary"))).alias("page")
+    known = pages.where("host IS NOT NULL AND text IS NOT NULL").select("host", page, line_digests(F.col("text")).alias("lines"))
+    return known.groupBy("host", "page").agg(F.first("lines").alias("lines")).select("host", "lines")
+
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """``host, lines array<binary>`` of ``host, text`` rows: digests of the lines to drop. Written once."""
-    known = pages.where("host IS NOT NULL")
+    if copies_once:
+        known = materialize(distinct_pages(pages), "distinct-pages")
+    else:
+        known = pages.where("host IS NOT NULL").select("host", line_digests(F.col("text")).alias("lines"))
     totals = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
-        known.select("host", F.explode(line_digests(F.col("text"))).alias("line"))
+        known.select("host", F.explode("lines").alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= least_pages)
@@ -53,18 +63,20 @@ def line_dedup(
     ratio: float = RATIO,
     least_pages: int = LEAST_PAGES,
     dropped: str = "n_dropped",
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of their host cut out of the text, and a count ``dropped``.
 
     A line goes if more than ``ratio`` of its host's pages hold it, and at least ``least_pages`` do; every occurrence in
     the host's pages goes. Lines are compared without the white space around them, exactly otherwise; blank lines stay.
-    Each row is a page, repeated rows too. Rows with null host or null text stay as they are (their count is 0). Text
+    Each row is a page, repeated rows too; with ``copies_once`` each distinct text of a host is one page, so that a large group
+    of copies doesn't make its own text boilerplate (near copies are different texts, and null texts no pages). Rows with null host or null text stay as they are (their count is 0). Text
     without dropped lines is unchanged to the byte. A column named as ``dropped`` is replaced.
     """
     host_name, found_name = "_host_of_page", "_lines_of_host"
     plain = docs.drop(dropped).withColumn(host_name, host)
     pages = plain.select(F.col(host_name).alias("host"), F.col(f"`{text_col}`").alias("text"))
-    found = boilerplate(pages, ratio, least_pages).toDF(host_name, found_name)
+    found = boilerplate(pages, ratio, least_pages, copies_once).toDF(host_name, found_name)
     joined = plain.join(found, host_name, "left")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
     kept = F.filter(
