@@ -20,6 +20,8 @@ from evispan.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ACCEPT = 0.3
+# Share of a source's distinct texts over which a line is boilerplate; the README has the counts behind it.
+LINE_RATIO = 0.02
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source. Copies count as one page: they are still there, and the
     next stage must find the text of the one it keeps."""
-    cleaned = line_dedup(docs.select(*COLUMNS), F.col("source"), dropped="_dropped", copies_once=True)
+    cleaned = line_dedup(docs.select(*COLUMNS), F.col("source"), ratio=LINE_RATIO, dropped="_dropped", copies_once=True)
     changed = F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed).select(*COLUMNS)
 

@@ -33,3 +33,11 @@ def test_copies_over_the_ratio_keep_one_whole_text(spark, documents):
     assert sorted(kept) == [0, *range(100, 140)]
     assert kept[0].text == copy and kept[0].n_chars == len(copy)
     assert all(kept[100 + i].text == prose(f"p{i}") for i in range(40))
+
+
+def test_line_on_few_hundredths_of_a_source_goes(spark, documents):
+    rows = [(i, prose(f"p{i}", 2) + ("\nThe footer" if i < 8 else "\nBy chance" if i < 11 else ""), "a") for i in range(200)]
+    got = {r.doc_id: r for r in pipeline.line_stage(spark, documents(rows), "").collect()}
+    assert len(got) == 200
+    for i, text, _ in rows:
+        assert got[i].text == text.removesuffix("\nThe footer") and got[i].n_chars == len(got[i].text)
