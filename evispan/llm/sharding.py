@@ -1,8 +1,8 @@
 """Sharding by sampled splitters; DataFrame functions only.
 
 A size-weighted sample of keys gives splitters at equal shares of bytes, and records are range-partitioned by them.
-Ranges that hold too much are subdivided: a key that alone is heavy leaves its range, and cells of a range are cut by a
-hash until none holds more than a bounded number of rows. Cells are then laid out over the shards by their exact bytes.
+Ranges that hold too much are subdivided: a key that alone is heavy, by bytes or by rows, leaves its range, and
+cells of a range are cut by a hash until none holds more than a bounded number of rows. Cells are then laid out over the shards by their exact bytes.
 """
 
 from __future__ import annotations
@@ -121,17 +121,16 @@ def shard(
     records = materialize(keyed(docs, id_col, text_col), "records")
     total, count = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     found = splitters(records, total, FAN * FAN, sample)
-    # Keys over the bound are few: no more than shards * HEAVY.
-    heavy = (
-        records.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / (shards * HEAVY)).select("key")
-    )
+    most = max(1, min(max_cell_rows, 4 * count // (FAN * FAN)))
+    # Heavy by bytes are shards * HEAVY keys at most, by rows as many as cells of the bound fit into the table.
+    sums = records.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    heavy = sums.where((F.col("bytes") > total / (shards * HEAVY)) | (F.col("rows") > most)).select("key")
     heavy = [row.key for row in heavy.orderBy("key").collect()]
     number = F.array_position(F.array(*map(F.lit, heavy)), F.col("key")) if heavy else F.lit(0)
     ranged = records.withColumn("heavy", number.cast("int")).withColumn(
         "range", F.when(F.col("heavy") > 0, F.lit(FAN * FAN - 1) + F.col("heavy")).otherwise(range_of(F.col("key"), found))
     )
     # Overfull ranges are cut by a hash: of the key in ordinary ones (equal texts stay together), of the id in a heavy one.
-    most = max(1, min(max_cell_rows, 4 * count // (FAN * FAN)))
     sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most)
     cuts = {r.range: -(-r.rows // most) for r in sizes.collect()}
     cut = spark.createDataFrame([(r, n) for r, n in cuts.items()], "range int, parts int")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evispan.llm import lattice, quality, toxicity
+from evispan.llm import lattice, quality, sharding, toxicity
 from evispan.llm.decontaminate import WuManber, contamination, decontaminate, item_words, windows_of
 from evispan.llm.exact_dedup import chunk_pattern, exact_dedup
 from evispan.llm.line_dedup import host_of, line_dedup
@@ -360,3 +360,16 @@ def test_archive_round_trip(spark):
     small = read_records(spark, write_archive(pages, least=5)).collect()
     assert sum(r.record_type == "revisit" for r in small) == 0
     assert read_records(spark, write_archive(pages.limit(0))).collect() == []
+
+
+def test_shard_cuts_a_key_of_many_short_rows(make, monkeypatch):
+    rows = [(i, None) for i in range(400)] + [(1000 + i, f"{i} " * 200) for i in range(800)]
+    cells = []
+    layout = sharding.layout
+    monkeypatch.setattr(sharding, "layout", lambda found, shards: cells.extend(found) or layout(found, shards))
+    got = sharding.shard(make(rows), 4).collect()
+    assert sum(c.rows for c in cells) == len(got) == len(rows) and max(c.rows for c in cells) < 40
+    assert len({r.shard for r in got if r.doc_id < 1000}) == 1
+    for s in range(4):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
