@@ -16,6 +16,7 @@ from evispan.llm.lm_score import lattice_scores
 from evispan.llm.minhash import near_duplicates
 from evispan.llm.packing import pack
 from evispan.llm.sharding import shard
+from evispan.llm.suffix_dedup import suffix_dedup
 from evispan.llm.warc_store import base32_sha1, read_records, write_archive
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +181,10 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT)
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= n AS contaminated
 FROM doc LEFT JOIN hit USING (rid) LEFT JOIN own USING (rid)"""
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that occur again."""
+    cut = suffix_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

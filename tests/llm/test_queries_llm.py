@@ -31,7 +31,7 @@ def fold(doc_id, folds):
 
 def test_all_are_registered():
     numbers = {name.split("_")[0] for name in LLM_QUERIES if name != "pipeline"}
-    assert numbers == {f"op{n}" for n in range(1, 11)}
+    assert numbers == {f"op{n}" for n in range(1, 14)}
     assert contract.queries()["pipeline"] is corpus_pipeline.run
     assert set(LLM_ORACLES) <= set(contract.oracle_sql())
 
