@@ -13,6 +13,7 @@ from evispan.llm.exact_dedup import exact_dedup
 from evispan.llm.line_dedup import line_dedup
 from evispan.llm.linear import training_rows
 from evispan.llm.lm_score import lattice_scores
+from evispan.llm.merkle import digest_of, fold, merkle_proofs, siblings_digest
 from evispan.llm.minhash import near_duplicates
 from evispan.llm.packing import pack
 from evispan.llm.sharding import shard
@@ -188,3 +189,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 200-byte strings that occur again."""
     cut = suffix_dedup(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and whether what became of its text still folds to the root."""
+    docs = table(spark, sf_dir, "documents")
+    altered = F.when(fold_of("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    nodes = docs.select("doc_id", "source", digest_of(*fields, F.col("text")).alias("leaf"), digest_of(*fields, altered).alias("now"))
+    proven = merkle_proofs(nodes, "source", ["doc_id"], "leaf").withColumn("folded_root", fold(F.col("now"), F.col("path")))
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
