@@ -209,10 +209,6 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over all documents."""
-    found = cross_tokenizer_alignment(
+    return cross_tokenizer_alignment(
         table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
     )
-    return found.select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
-        F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"),
-    )
