@@ -9,6 +9,7 @@ sum of the squared counts of partially filled windows grows least.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,56 +18,53 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from evispan.llm.common import arrow_pass, only, parts, utf8
+from evispan.llm.common import arrow_pass, only, parts
 from evispan.session import materialize
 
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-# Words whose ids a worker holds in each of two generations (some 200 bytes a word).
-CACHE_WORDS = 400_000
+# Parts of words whose ids a task remembers (some 150 bytes each).
+CACHE_WORDS = 300_000
 
 PIECES = (
-    "row_id bigint, id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, full boolean"
+    "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, digest bigint, full boolean"
 )
 PACKED = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds:
-    """Ids of a text as little-endian 32-bit bytes.
+    """Ids of words of a lower-case BPE with word ends, each word computed once while it is remembered.
 
-    White space separates words for this tokenizer and leaves no id, so a text's ids are those of its words in
-    order; a word's ids are computed once while the worker remembers it.
+    White space separates words for this tokenizer and leaves no id, so a text's ids are those of its words in order. Inside
+    an ASCII word the tokenizer cuts at fixed places, and the ids of what lies between depend on nothing else; such
+    *units* are few, so only they are encoded. Words with other characters, or with a special token's text, are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.known, self.older = limit, {}, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make the ids of all ``words`` known. Two generations: a full one becomes the older, and what is still in
-        use moves on from there, so frequent words stay and memory is bounded."""
-        if len(self.known) + len(words) > self.limit:
-            self.older, self.known = self.known, {}
-        fresh = []
-        for w in words.difference(self.known):
-            ids = self.older.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                self.known[w] = ids
+    # The tokenizer's own pattern, for lower-case ASCII without white space.
+    UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+    def __init__(self, tokenizer, limit: int = CACHE_WORDS):
+        self.tokenizer, self.limit, self.units = tokenizer, limit, {}
+        special = [re.escape(t.content.encode()) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile(b"|".join([rb"[^\x00-\x7f]", *special]))
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, as little-endian 32-bit bytes."""
+        cut = [[w] if self.whole.search(w) else self.UNIT.findall(w.lower()) for w in words]
+        if len(self.units) > self.limit:
+            self.units.clear()
+        fresh = list({u for own in cut for u in own}.difference(self.units))
         for at in range(0, len(fresh), 2000):
             part = fresh[at : at + 2000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, pack_ids(e.ids)) for w, e in zip(part, encoded))
-
-    def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+            encoded = self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)
+            self.units.update((u, pack_ids(e.ids)) for u, e in zip(part, encoded))
+        known = self.units.__getitem__
+        return [known(own[0]) if len(own) == 1 else b"".join(map(known, own)) for own in cut]
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -74,35 +72,51 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One per worker process, kept from task to task."""
-    return WordIds(path)
+def tokenizer_of(path: str):
+    """One per worker process; what a task learns about words ends with it."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Tokenizer.from_file(path)
+
+
+def ids_of_texts(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, each text with its end id, and the texts' offsets there.
+
+    Words are coded by an Arrow dictionary, the ids of the distinct ones lie in one flat array, and the texts' ids are
+    gathered from it by code.
+    """
+    split = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = split.flatten().cast(pa.binary()).dictionary_encode()
+    ids = [*known.encode(coded.dictionary.to_pylist()), pack_ids([end_id])]
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    sizes = np.array([len(i) // 4 for i in ids])
+    starts = np.cumsum(sizes) - sizes
+    ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+    codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(ids) - 1)  # an end after each text
+    length = sizes[codes]
+    upto = np.cumsum(length)
+    ends = ends + np.arange(len(ends))  # where the end ids stand now
+    return flat[np.repeat(starts[codes] - upto + length, length) + np.arange(upto[-1])], np.r_[0, upto[ends]]
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sequence: int, end_id: int) -> DataFrame:
-    """Pieces of every row: its full windows, then the remainder (if any); one pass without shuffle."""
-    end = pack_ids([end_id])
+    """Pieces of every row: its full windows, then the remainder (if any); one pass without shuffle. ``digest`` names the
+    whole text's ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids_of = word_ids(tokenizer_path)
-        for batch in parts(batches, 2_000):
-            rows, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))
-            for at in range(0, len(rows), 500):
-                split = [text.split() for text in texts[at : at + 500]]
-                ids_of.learn(set().union(*split))
-                out: list[tuple] = []
-                for row, doc, own in zip(rows[at : at + 500], ids[at : at + 500], split):
-                    raw = ids_of.encode(own) + end
-                    n = len(raw) // 4
-                    for start in range(0, n, sequence):
-                        piece = raw[4 * start : 4 * (start + sequence)]
-                        out.append((row, doc, start, len(piece) // 4, zlib.crc32(piece), n, len(piece) == 4 * sequence))
-                yield dict(zip(("row_id", "id", "start", "length", "ids_crc32", "doc_tokens", "full"), zip(*out)))
-
-    rows = only(docs, id_col, text_col).select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long"), F.col(text_col)
-    )
-    return arrow_pass(rows, task, PIECES)
+        known = WordIds(tokenizer_of(tokenizer_path))
+        for batch in parts(batches, 500):
+            ids, offsets = ids_of_texts(batch.column(1), known, end_id)
+            out: list[tuple] = []
+            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                name = xxhash.xxh3_64_intdigest(ids[a:b]) - (1 << 63)
+                for start in range(a, b, sequence):
+                    piece = ids[start : min(start + sequence, b)]
+                    out.append((doc, start - a, len(piece), zlib.crc32(piece), b - a, name, len(piece) == sequence))
+            yield dict(zip(("id", "start", "length", "ids_crc32", "doc_tokens", "digest", "full"), zip(*out)))
+
+    return arrow_pass(only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), task, PIECES)
 
 
 def pack_sizes(sizes: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -143,16 +157,18 @@ def pack(
 
     A null or empty text is a document of its end id alone. Repeated rows are packed once each. Null ids stay null.
     An empty table gives no piece. Sequence ids are unique, not dense: packing group, then window in it. The
-    result depends on the rows alone, not on how a stage's tasks are retried: pieces are written before they are
-    numbered, and groups are packed in order of (id, start, crc, row).
+    result depends on the rows alone, not on how they lie in files or how tasks are retried: pieces are dealt by id, digest
+    of the document's ids, start and number among equal pieces, and a group is packed in that order.
     """
     pieces = materialize(tokenised(docs, tokenizer_path, id_col, text_col, sequence, end_id), "pieces")
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
-    dealt = pieces.withColumn("dealt", F.pmod(F.xxhash64("id", "row_id", "start"), F.lit(groups)).cast("int"))
+    alike = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("copies"))
+    each = alike.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    dealt = each.withColumn("dealt", F.pmod(F.xxhash64("id", "digest", "start", "copy"), F.lit(groups)).cast("int"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "start", "ids_crc32", "row_id"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["id", "digest", "start", "copy"], kind="stable", ignore_index=True)
         full = rows.full.to_numpy()
         window, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         window[~full], offset[~full] = pack_sizes(rows.length.to_numpy()[~full], sequence)

@@ -373,3 +373,28 @@ def test_shard_cuts_a_key_of_many_short_rows(make, monkeypatch):
     for s in range(4):
         own = sorted(r.slot for r in got if r.shard == s)
         assert own == list(range(len(own)))
+
+
+def test_word_ids_equal_the_tokenizer_on_every_kind_of_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from evispan.llm.packing import WordIds, ids_of_texts, tokenizer_of
+
+    rng = random.Random(5)
+    signs = "abcXYZ019'`-_.,!?()<>|/\\\"#@\x00\x1c\x1f\x7f\t\n\x0b\x0c\r    éÉßİ日本😀  \u0085é'"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3_000)]
+    texts += [None, "", " ", "don't'sx 'sx -'s 12,345 it's we'LL <|endoftext|> a<|startoftext|>b", "x" * 5_000, "'" * 50]
+    plain = Tokenizer.from_file(tokenizer_path())
+    ids, offsets = ids_of_texts(pa.array(texts, pa.string()), WordIds(tokenizer_of(tokenizer_path()), limit=100), 2)
+    assert len(offsets) == len(texts) + 1
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
+def test_packing_does_not_depend_on_the_partitions(spark, make, odd_rows):
+    from evispan.llm.packing import pack
+
+    rows = odd_rows + [(None, "alpha beta gamma")] * 50
+    runs = [sorted(map(repr, pack(make(rows, n), tokenizer_path(), group_pieces=10).collect())) for n in (2, 8)]
+    assert runs[0] == runs[1] and len(runs[0]) >= len(rows)
