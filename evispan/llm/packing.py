@@ -28,8 +28,8 @@ from evispan.session import materialize
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-# Parts of words whose ids a task remembers (some 150 bytes each).
-CACHE_WORDS = 300_000
+# Parts of words whose ids a worker remembers (some 200 bytes each).
+CACHE_UNITS = 500_000
 
 PIECES = (
     "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, digest bigint, full boolean"
@@ -37,47 +37,71 @@ PIECES = (
 PACKED = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+# Letters and signs, after A-Z and their like became lower case, on which Arrow's classes and those of the
+# tokenizer's pattern agree and which no normal form changes; digits are single. The pattern is the tokenizer's own.
+LETTERS = "a-zß-öø-ÿĀ-įı-ſа-яё"
+SAFE = f"^[\\x00-\\x7f{LETTERS}À-ÖØ-ÞА-ЯЁ×÷–—‘’“”„…«»¡¿§©®°€]*$"
+UNITS = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+)"
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists named by ``codes``, one after the other, and their sizes; lists of ``sizes`` lie in ``flat`` in order."""
+    starts, length = np.cumsum(sizes) - sizes, sizes[codes]
+    upto = np.cumsum(length)
+    at = np.repeat(starts[codes] - upto + length, length)
+    return flat[at + np.arange(len(at))], length
+
+
 class WordIds:
-    """Ids of words of a lower-case BPE with word ends, each word computed once while it is remembered.
+    """Ids of words of a lower-case BPE with word ends.
 
     White space separates words for this tokenizer and leaves no id, so a text's ids are those of its words in order. Inside
-    an ASCII word the tokenizer cuts at fixed places, and the ids of what lies between depend on nothing else; such
-    *units* are few, so only they are encoded. Words with other characters, or with a special token's text, are encoded whole.
+    a word the tokenizer cuts at fixed places, and the ids of what lies between depend on nothing else; such *units* are
+    few, so only they are encoded, once while they are remembered. Words with other characters than ``SAFE`` ones, or with a
+    special token's text, are units as they are.
     """
 
-    # The tokenizer's own pattern, for lower-case ASCII without white space.
-    UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    def __init__(self, path: str, limit: int = CACHE_UNITS):
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer, limit: int = CACHE_WORDS):
-        self.tokenizer, self.limit, self.units = tokenizer, limit, {}
-        special = [re.escape(t.content.encode()) for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile(b"|".join([rb"[^\x00-\x7f]", *special]))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words, as little-endian 32-bit bytes."""
-        cut = [[w] if self.whole.search(w) else self.UNIT.findall(w.lower()) for w in words]
-        if len(self.units) > self.limit:
-            self.units.clear()
-        fresh = list({u for own in cut for u in own}.difference(self.units))
+    def ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, one after the other, and their numbers."""
+        if len(self.known) + len(units) > self.limit:
+            self.known.clear()
+        fresh = [u for u in units if u not in self.known]
         for at in range(0, len(fresh), 2000):
             part = fresh[at : at + 2000]
-            encoded = self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)
-            self.units.update((u, pack_ids(e.ids)) for u, e in zip(part, encoded))
-        known = self.units.__getitem__
-        return [known(own[0]) if len(own) == 1 else b"".join(map(known, own)) for own in cut]
-
-
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((u, pack_ids(e.ids)) for u, e in zip(part, encoded))
+        ids = [self.known[u] for u in units]
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and their numbers."""
+        cut = pc.match_substring_regex(words, SAFE)
+        if self.special:
+            cut = pc.and_not(cut, pc.match_substring_regex(words, self.special))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), UNITS, r"\1 ")
+        split = pc.ascii_split_whitespace(pc.if_else(cut, spaced, words))
+        units = split.flatten().dictionary_encode()
+        flat, sizes = self.ids_of(units.dictionary.to_pylist())
+        flat, length = gathered(flat, sizes, units.indices.to_numpy())
+        offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
+        return flat, np.diff(np.r_[0, np.cumsum(length)][offsets])
 
 
 @lru_cache(maxsize=1)
-def tokenizer_of(path: str):
-    """One per worker process; what a task learns about words ends with it."""
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return Tokenizer.from_file(path)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, kept from task to task."""
+    return WordIds(path)
 
 
 def ids_of_texts(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,17 +111,12 @@ def ids_of_texts(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarr
     gathered from it by code.
     """
     split = pc.ascii_split_whitespace(texts.fill_null(""))
-    coded = split.flatten().cast(pa.binary()).dictionary_encode()
-    ids = [*known.encode(coded.dictionary.to_pylist()), pack_ids([end_id])]
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    sizes = np.array([len(i) // 4 for i in ids])
-    starts = np.cumsum(sizes) - sizes
+    coded = split.flatten().dictionary_encode()
+    flat, sizes = known.encode(coded.dictionary)
     ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
-    codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(ids) - 1)  # an end after each text
-    length = sizes[codes]
-    upto = np.cumsum(length)
-    ends = ends + np.arange(len(ends))  # where the end ids stand now
-    return flat[np.repeat(starts[codes] - upto + length, length) + np.arange(upto[-1])], np.r_[0, upto[ends]]
+    codes = np.insert(coded.indices.to_numpy(), ends, len(sizes))  # an end after each text
+    ids, length = gathered(np.r_[flat, np.uint32(end_id)], np.r_[sizes, 1], codes)
+    return ids, np.r_[0, np.cumsum(length)[ends + np.arange(len(ends))]]
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sequence: int, end_id: int) -> DataFrame:
@@ -105,8 +124,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     whole text's ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = WordIds(tokenizer_of(tokenizer_path))
-        for batch in parts(batches, 500):
+        known = word_ids(tokenizer_path)
+        for batch in parts(batches, 1_000):
             ids, offsets = ids_of_texts(batch.column(1), known, end_id)
             out: list[tuple] = []
             for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -379,14 +379,15 @@ def test_word_ids_equal_the_tokenizer_on_every_kind_of_text():
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    from evispan.llm.packing import WordIds, ids_of_texts, tokenizer_of
+    from evispan.llm.packing import WordIds, ids_of_texts
 
     rng = random.Random(5)
     signs = "abcXYZ019'`-_.,!?()<>|/\\\"#@\x00\x1c\x1f\x7f\t\n\x0b\x0c\r    éÉßİ日本😀  \u0085é'"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3_000)]
+    texts += [f"a{c}B{c}'s 1{c}2 .{c}. {c} {c}{c} {c}\u0301" for c in map(chr, [*range(0x3000), *range(0x3000, 0x20000, 7)]) if not "\ud800" <= c <= "\udfff"]
     texts += [None, "", " ", "don't'sx 'sx -'s 12,345 it's we'LL <|endoftext|> a<|startoftext|>b", "x" * 5_000, "'" * 50]
     plain = Tokenizer.from_file(tokenizer_path())
-    ids, offsets = ids_of_texts(pa.array(texts, pa.string()), WordIds(tokenizer_of(tokenizer_path()), limit=100), 2)
+    ids, offsets = ids_of_texts(pa.array(texts, pa.string()), WordIds(tokenizer_path(), limit=100), 2)
     assert len(offsets) == len(texts) + 1
     for text, a, b in zip(texts, offsets, offsets[1:]):
         assert ids[a:b].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2], text
