@@ -103,3 +103,12 @@ def only(df: DataFrame, *wanted: str) -> DataFrame:
 def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A unique number per row; stable only in a table that is written right after."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read any more."""
+    for df in tables:
+        hadoop = df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)

@@ -3,8 +3,8 @@
 Two permutations make all coordinates of a signature: the first scatters the shingles over a ring, the second orders
 the ring, and coordinate k uses the second one shifted by k places. Bands of coordinates name buckets. Texts with the same
 words are one class from the start; only class representatives are compared. In each bucket all members are compared
-with its leader; where a bucket still holds several components after that, its members are compared block by block,
-inside a task, so no list of pairs is ever made and no link between different texts is lost in a bucket.
+with its leader; where a bucket still holds several components after that, its members outside the largest one are compared
+with all others inside a task, so no list of pairs is ever made and no link between different texts is lost in a bucket.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from evispan.llm.common import arrow_pass, HashCache, mix64, only, parts, utf8, words
+from evispan.llm.common import arrow_pass, forget, HashCache, mix64, only, parts, utf8, words
 from evispan.session import fits, materialize
 
 # 32 bands of 4: two texts at similarity 0.8 share no band with probability 5e-8.
 BANDS, ROWS = 32, 4
 # Candidates up to which their ids travel to the texts, and not the texts to them.
 HELD_CANDIDATES = 200_000
-# Members of a bucket that are compared inside one task at a time.
-BLOCK = 1024
+# Bytes of sets that meet as many others inside one task at a time.
+BLOCK_BYTES = 1 << 24
 
 _FIRST, _SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
@@ -159,17 +159,19 @@ class Forest:
         return i != j
 
 
-def block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join different labels among the members of a block; all pairs of different labels are compared on
-    their full sets, and those that would join what is joined already are left out."""
+def block_links(
+    nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int, probes: np.ndarray
+) -> list[tuple[int, int]]:
+    """Links that join different labels among the members of a block: the ``probes`` (flags) are compared with all of another
+    label on their full sets, and links that would join what is joined already are left out."""
     sizes = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
     number = np.unique(every, return_inverse=True)[1]
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    names, group, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    names, group = np.unique(labels, return_inverse=True)
     forest, out = Forest(len(names)), []
     mark = np.zeros(number.max() + 1, bool)
-    for i in np.flatnonzero(group != counts.argmax()).tolist():
+    for i in np.flatnonzero(probes).tolist():
         own = number[starts[i] : starts[i] + sizes[i]]
         mark[own] = True
         both = np.add.reduceat(mark[number], starts)
@@ -180,49 +182,50 @@ def block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], p
     return out
 
 
-def size_class(size: Column, percent: int) -> Column:
-    """Classes such that sets of similar texts are in one class or in two neighbouring ones."""
-    return F.floor(F.log(size.cast("double")) / float(np.log(100 / percent)) - 1e-9).cast("int")
+def mixed_groups(members: DataFrame, labels: DataFrame, sizes: DataFrame, block_bytes: int) -> DataFrame:
+    """``key, i, j, node, label, probe``: members of buckets that can still join different components. Written once.
 
-
-def mixed_groups(members: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
-    """``key, at, i, j, node, label``: members of buckets that can still join different components.
-
-    A bucket is cut by set size (two neighbouring size classes to a group, for other sizes can't be similar), and only
-    groups with several labels stay. A group over ``block`` members is cut into blocks by a hash of the node, and
-    every two of its blocks meet in a task of their own. Written once.
+    The members outside a bucket's largest component (probes) meet all others of the bucket in a task. A bucket with more
+    than ``block_bytes`` of sets is cut by a hash of the node, its probes into parts ``i``, all members into parts ``j``: a
+    member goes to its own ``j`` with every ``i``, a probe besides to every ``j`` with its own ``i``. So rows stay in proportion
+    to members while the probes of a bucket fit a block; alike but unlinked texts beyond that meet block by block.
     """
-    labelled = (
-        members.where("n > 2")
-        .select("key", "node")
-        .join(sizes, "node")
-        .join(labels, "node", "left")
-        .select("key", "node", F.coalesce("label", "node").alias("label"), size_class(F.col("size"), percent).alias("class"))
+    labelled = materialize(
+        members.where("n > 2").select("key", "node").join(sizes, "node").join(labels, "node", "left")
+        .select("key", "node", "size", F.coalesce("label", "node").alias("label")),
+        "labelled-buckets",
     )
-    placed = materialize(
-        labelled.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") - 1))).drop("class"), "labelled-buckets"
+    by_label = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    held = by_label.groupBy("key").agg(
+        F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label", "bytes")).alias("most"), F.sum("bytes").alias("bytes")
     )
-    mixed = placed.groupBy("key", "at").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")
+    parts = lambda items: F.greatest(F.lit(1), F.ceil(8 * items / block_bytes)).cast("int")
+    mixed = held.where("labels > 1").select(
+        "key", F.col("most.label").alias("main"), parts(F.col("bytes")).alias("parts"),
+        parts(F.col("bytes") - F.col("most.bytes")).alias("probe_parts"),
     )
-    parts = F.ceil(F.col("members") / block).cast("int")
-    return materialize(
-        placed.join(mixed.where("lo < hi").select("key", "at", parts.alias("parts")), ["key", "at"])
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label"),
-        "mixed-groups",
+    dealt = labelled.join(mixed, "key").select(
+        "key", "node", "label", (F.col("label") != F.col("main")).alias("minor"), "parts", "probe_parts",
+        F.pmod(F.xxhash64("node"), F.col("probe_parts")).cast("int").alias("own_i"),
+        F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int").alias("own_j"),
     )
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    seat = lambda i, j, probe: F.struct(i.alias("i"), j.alias("j"), probe.alias("probe"))
+    as_member = F.transform(upto("probe_parts"), lambda i: seat(i, F.col("own_j"), F.col("minor") & (i == F.col("own_i"))))
+    elsewhere = F.filter(upto("parts"), lambda j: F.col("minor") & (j != F.col("own_j")))
+    as_probe = F.transform(elsewhere, lambda j: seat(F.col("own_i"), j, F.lit(True)))
+    return materialize(dealt.select("key", "node", "label", F.inline(F.concat(as_member, as_probe))), "mixed-groups")
 
 
 def mixed_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components inside the groups, on full sets; the pairs are compared inside a task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(pdf.node.to_numpy(), pdf.label.to_numpy(), [np.frombuffer(s, np.uint64) for s in pdf.set], percent)
+        own = [np.frombuffer(s, np.uint64) for s in pdf.set]
+        found = block_links(pdf.node.to_numpy(), pdf.label.to_numpy(), own, percent, pdf.probe.to_numpy())
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return groups.join(sets, "node").groupBy("key", "at", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    return groups.join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ def near_duplicates(
     percent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
-    block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``.
 
@@ -294,8 +297,9 @@ def near_duplicates(
     sets = sets_for(pairs.select("a").union(pairs.select("b")).toDF("node"))
     links = materialize(verified(pairs, sets, percent), "links")
     labels = components(links)
-    groups = mixed_groups(members, labels, sizes, percent, block)
+    groups = mixed_groups(members, labels, sizes, block_bytes)
     if groups.limit(1).count():
+        forget(sets, pairs)
         more = materialize(mixed_links(groups, sets_for(groups.select("node")), percent), "links")
         labels = components(labels.toDF("a", "b").union(more))
     # Only classes with copies or links need a label; all other rows are alone.

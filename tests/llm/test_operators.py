@@ -194,8 +194,8 @@ def test_near_duplicates_against_brute_force(make, size):
                 copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
             rows.append((100 * g + k, " ".join(copy)))
     rng.shuffle(rows)
-    for block in (5, 1024):
-        got = near_duplicates(make(rows), size=size, block=block).collect()
+    for block_bytes in (5_000, 1 << 24):
+        got = near_duplicates(make(rows), size=size, block_bytes=block_bytes).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_near(rows, size)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -218,7 +218,7 @@ def test_block_links_compare_all_pairs_of_different_labels():
     sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 5, 10, 15, 500)]
     nodes = np.arange(5)
     assert linked(sets[0], sets[1], 80) and not linked(sets[0], sets[3], 80)
-    found = block_links(nodes, nodes, sets, 80)
+    found = block_links(nodes, nodes, sets, 80, np.array([0, 1, 1, 1, 1], bool))
     reached = {0}
     for _ in range(5):
         reached |= {y for a, b in found for x, y in ((a, b), (b, a)) if x in reached}
