@@ -33,6 +33,7 @@ def arrow_pass(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterabl
                 [v if isinstance(v, pa.Array) else pa.array(v, types[n]) for n, v in ((n, columns[n]) for n in names)],
                 names=names,
             )
+        pa.default_memory_pool().release_unused()  # the worker lives on into other stages
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -28,7 +28,7 @@ from evispan.session import materialize
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-# Parts of words whose ids a worker remembers (some 200 bytes each).
+# Parts of words whose ids a task remembers (some 200 bytes each).
 CACHE_UNITS = 500_000
 
 PIECES = (
@@ -56,6 +56,15 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np
     return flat[at + np.arange(len(at))], length
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str):
+    """One per worker process; what a task learns about words ends with it."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Tokenizer.from_file(path)
+
+
 class WordIds:
     """Ids of words of a lower-case BPE with word ends.
 
@@ -66,10 +75,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, limit: int = CACHE_UNITS):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.known = tokenizer_of(path), limit, {}
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +104,6 @@ class WordIds:
         return flat, np.diff(np.r_[0, np.cumsum(length)][offsets])
 
 
-@lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One per worker process, kept from task to task."""
-    return WordIds(path)
-
-
 def ids_of_texts(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, each text with its end id, and the texts' offsets there.
 
@@ -124,7 +124,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
     whole text's ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = word_ids(tokenizer_path)
+        known = WordIds(tokenizer_path)
         for batch in parts(batches, 1_000):
             ids, offsets = ids_of_texts(batch.column(1), known, end_id)
             out: list[tuple] = []
