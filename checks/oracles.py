@@ -331,6 +331,11 @@ ORACLES = {
         select="SELECT d.lang AS collection_id, v.doc_id AS chunk_id, CAST(v.dim AS INTEGER) AS dim, round(CAST(v.weight AS DOUBLE), 6) AS weight FROM docvec_dim v JOIN documents d USING (doc_id)",
     ),
     "index_build": STORE_SUMMARY,
+    "repeated_upload": f"""WITH held AS (SELECT lang AS collection_id, doc_id AS chunk_id, CASE WHEN lang = 'es' THEN concat('3 ', text) ELSE text END AS text
+    FROM documents WHERE lang NOT IN ('de', 'fr') OR doc_id % 2 = 0),
+  words AS (SELECT collection_id, chunk_id, unnest({tokens('text')}) AS term FROM held WHERE length(text) > 0),
+  counts AS (SELECT collection_id, chunk_id, count(*) AS n_terms FROM words WHERE term NOT IN ({STOP}) GROUP BY ALL)
+  SELECT h.*, c.n_terms FROM held h LEFT JOIN counts c USING (collection_id, chunk_id)""",
     "stream_ingest": STORE_SUMMARY,
     "known_collections": """SELECT concat(conv_id, ':', turn) AS question_id, concat('src', conv_id % 25) AS collection_id FROM conversations
   WHERE role = 'user' AND concat('src', conv_id % 25) IN (SELECT source FROM documents)""",

@@ -292,6 +292,21 @@ def index_build(spark, sf):
     return built.index.stats.join(terms, "collection_id").join(stored, "collection_id").select("collection_id", "n_chunks", "n_postings", "n_vectors")
 
 
+def repeated_upload(spark, sf):
+    """Chunks of a store after a first upload of everything, a second one of two collections with fewer chunks, a
+    compaction, and a third upload of one collection."""
+    kept = store.IndexStore(spark, new_path(spark, "store"))
+    rows = chunks(spark, sf)
+    kept.add(rows, "first", with_vectors=False)
+    kept.add(rows.where("collection_id IN ('de', 'fr') AND chunk_id % 2 = 0"), "second", with_vectors=False)
+    kept.compact("together", with_vectors=False)
+    kept.add(rows.where("collection_id = 'es'").withColumn("text", F.concat(F.lit("3 "), "text")), "third", with_vectors=False)
+    kept.vacuum()
+    built = kept.corpus(with_vectors=False)
+    lengths = built.index.postings.groupBy("collection_id", "chunk_id").agg(F.sum("tf").alias("n_terms"))
+    return kept.chunks().select("collection_id", "chunk_id", "text").join(lengths, ["collection_id", "chunk_id"], "left")
+
+
 def _collection_questions(spark, sf):
     asked = table(spark, sf, "conversations").where("role = 'user'").select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
@@ -355,7 +370,7 @@ def short_summary(spark, sf):
 
 
 def postings(spark, sf):
-    return lexical.postings(index(spark, sf).forward)
+    return index(spark, sf).postings
 
 
 def collection_stats(spark, sf):
@@ -363,7 +378,7 @@ def collection_stats(spark, sf):
 
 
 def term_df(spark, sf):
-    return lexical.term_df(lexical.postings(index(spark, sf).forward))
+    return lexical.term_df(index(spark, sf).blocks).select("collection_id", "term", "df")
 
 
 def bm25_scores(spark, sf):
@@ -662,7 +677,7 @@ def stream_questions(spark, sf):
 
 REGISTERED = [
     admission_filter, csv_rows_ingest, header_normalize, row_chunks, chunk_documents, chunk_blocks, chunk_pages, token_counts,
-    document_profile, embed_chunks, index_build, known_collections, unknown_collections,
+    document_profile, embed_chunks, index_build, repeated_upload, known_collections, unknown_collections,
     normalize_text, tokenize, stopword_filter, excerpt, location_label, parse_subquestions, short_summary,
     postings, collection_stats, term_df, bm25_scores, keyword_topk, vector_topk, vector_topk_blocks, label_neighbours, mmr_select,
     hybrid_candidates, rerank_topn, rerank_validate, sources, answer_context, quick_answer,

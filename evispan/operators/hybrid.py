@@ -12,7 +12,7 @@ from evispan.functions.labels import document_location, source_struct
 from evispan.operators.lexical import QueryWeights, top_k
 from evispan.plugins import Factory
 from evispan.schema import METADATA_COLUMNS
-from evispan.session import materialize, prune, salted_join
+from evispan.session import fits, materialize, prune
 
 
 def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -49,11 +49,14 @@ RESULTS = "query_id string, result_ord int, index int, relevance_score double, s
 
 def rerank_overlap(candidates: DataFrame, weights: QueryWeights, top_n: int = RERANK_TOP_N) -> DataFrame:
     """Default scorer, native: share of the query's terms, weighted by rarity, found in the candidate. Works
-    on the postings the queries matched; no text is analysed and the index is not read again."""
+    on the stored terms of the candidates' chunks; no text is analysed."""
     slots = candidates.select("query_id", "ord", "collection_id", "chunk_id")
+    stored = prune(weights.index.forward, slots, "collection_id").select("collection_id", "chunk_id", "terms.term")
+    wanted = weights.table.select("query_id", "term", "idf")
     found = (
-        salted_join(weights.hits, slots, ["collection_id", "chunk_id"], F.col("term"))
-        .join(weights.table.select("query_id", "term", "idf"), ["query_id", "term"])
+        stored.join(F.broadcast(slots) if fits(slots) else slots, ["collection_id", "chunk_id"])
+        .select("query_id", "ord", F.explode("term").alias("term"))
+        .join(F.broadcast(wanted) if weights.small else wanted, ["query_id", "term"])
         .groupBy("query_id", "ord")
         .agg(F.sum("idf").alias("found"))
     )

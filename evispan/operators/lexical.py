@@ -1,4 +1,9 @@
-"""Lexical index and BM25 retrieval, set-at-a-time."""
+"""Lexical index and BM25 retrieval, set-at-a-time.
+
+The index holds a forward table (terms of every chunk), postings sorted by (collection, term, chunk), and one row per block of a
+postings list with what bounds the scores inside. Top-k retrieval is exact without scoring everything: rare terms find pilots,
+the pilots' scores give a threshold, and only postings whose terms and blocks can still pass it are read.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +18,24 @@ from evispan.functions.text import normalize_text, remove_stopwords, strip, term
 from evispan.session import fits, materialize, prune, salted_join, spread
 
 SCORE_DECIMALS = 6
+# Chunk numbers per block of a postings list.
+BLOCK_CHUNKS = 256
+# Pilots per asked row, and the postings of a query's rarest terms among which they are found.
+PILOTS, PILOT_POSTINGS = 2, 20
+# Scores are rounded; a bound must miss the threshold by more than this.
+SLACK = 1e-5
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Forward table ``(collection_id, chunk_id, dl, terms)`` and per-collection statistics."""
+    """Forward table ``(collection_id, chunk_id, dl, terms)``, per-collection statistics, stored postings ``(collection_id, term,
+    chunk_id, tf, dl)`` and their blocks ``(collection_id, term, block, n, max_tf, min_dl)``; rows of several parts of an index
+    add up."""
 
     forward: DataFrame
     stats: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
 
 
 def forward_table(
@@ -64,15 +79,35 @@ def postings(forward: DataFrame) -> DataFrame:
     )
 
 
-def term_df(postings_: DataFrame) -> DataFrame:
-    """``(collection_id, term, df)``; partial counts are taken before the shuffle, so hot terms are cheap."""
-    return postings_.groupBy("collection_id", "term").agg(F.count(F.lit(1)).alias("df"))
+def block_of(chunk_id: Column) -> Column:
+    return F.floor(chunk_id / BLOCK_CHUNKS).cast("bigint")
+
+
+def posting_blocks(postings_: DataFrame) -> DataFrame:
+    """``(collection_id, term, block, n, max_tf, min_dl)``; partial results are taken before the shuffle, so hot terms are cheap."""
+    return postings_.groupBy("collection_id", "term", block_of(F.col("chunk_id")).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
+    )
+
+
+def term_df(blocks: DataFrame) -> DataFrame:
+    """``(collection_id, term, df, max_tf, min_dl)`` from the blocks of the postings lists."""
+    return blocks.groupBy("collection_id", "term").agg(
+        F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")
+    )
+
+
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Range-partitioned and sorted, so that a written table's row groups can be skipped by their statistics."""
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def build_index(chunks: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> LexicalIndex:
     """Analyse every chunk once and keep the result as a written table."""
     forward = materialize(forward_table(chunks, stopwords, exact), "forward")
-    return LexicalIndex(forward, collection_stats(materialize(partial_stats(forward), "stats")))
+    stored = materialize(in_order(postings(forward), "collection_id", "term", "chunk_id"), "postings")
+    blocks = materialize(in_order(posting_blocks(stored), "collection_id", "term", "block"), "blocks")
+    return LexicalIndex(forward, collection_stats(materialize(partial_stats(forward), "stats")), stored, blocks)
 
 
 def query_terms(queries: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -96,42 +131,46 @@ def idf(n_chunks: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n_chunks - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
+def tf_part(tf: Column, dl: Column, avgdl: Column, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+    """Grows with ``tf`` and falls with ``dl``."""
+    return tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / avgdl))
+
+
 @dataclass(frozen=True)
 class QueryWeights:
-    """Analysed queries ``table (query_id, collection_id, term, qtf, idf, avgdl)``, the index postings ``hits``
-    of their terms, and whether the queries are few enough to broadcast."""
+    """Analysed queries ``table (query_id, collection_id, term, qtf, idf, avgdl, df, bound)``, the ``blocks`` of their terms, the
+    index, and whether the queries are few enough to broadcast. ``bound`` is the most a term can add to a score."""
 
     table: DataFrame
-    hits: DataFrame
+    blocks: DataFrame
+    index: LexicalIndex
     small: bool
 
+    @property
+    def hits(self) -> DataFrame:
+        """All stored postings of the queries' terms."""
+        used = self.table.select("collection_id", "term").distinct()
+        asked_of = prune(self.index.postings, self.table, "collection_id")
+        return salted_join(asked_of, used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", self.small)
+
 
 def query_weights(
     index: LexicalIndex, queries: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True
 ) -> QueryWeights:
-    """Terms of the queries with their inverse document frequency. Terms found in no chunk of the collection
-    stay, with the idf of df = 0; they match no posting.
-
-    The index is read once per batch of queries: the postings of the used terms are written, and document
-    frequencies, scores and reranking all start from them.
-    """
+    """Terms of the queries with their inverse document frequency, from the stored blocks of their postings lists; no
+    posting is read. Terms found in no chunk of the collection stay, with the idf of df = 0; they match no posting."""
     terms = materialize(query_terms(queries, stopwords, exact), "terms")
     small = fits(terms)
     used = terms.select("collection_id", "term").distinct()
-    asked_of = prune(index.forward, terms, "collection_id")
-    hits = materialize(
-        salted_join(postings(asked_of), used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", small), "postings"
+    asked_of = prune(index.blocks, terms, "collection_id")
+    blocks = materialize(salted_join(asked_of, used, ["collection_id", "term"], F.col("block"), "left_semi", small), "blocks")
+    counted = terms.join(term_df(blocks), ["collection_id", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    weights = counted.join(index.stats, "collection_id").withColumn("idf", idf(F.col("n_chunks"), F.col("df")))
+    most = F.coalesce(tf_part(F.col("max_tf"), F.col("min_dl"), F.col("avgdl")), F.lit(0.0))
+    weights = weights.select(
+        "query_id", "collection_id", "term", "qtf", "idf", "avgdl", "df", (F.col("qtf") * F.col("idf") * most).alias("bound")
     )
-    counted = terms.join(term_df(hits), ["collection_id", "term"], "left")
-    weights = counted.join(index.stats, "collection_id").select(
-        "query_id",
-        "collection_id",
-        "term",
-        "qtf",
-        idf(F.col("n_chunks"), F.coalesce("df", F.lit(0))).alias("idf"),
-        "avgdl",
-    )
-    return QueryWeights(materialize(weights, "weights"), hits, small)
+    return QueryWeights(materialize(weights, "weights"), blocks, index, small)
 
 
 def bm25_scores(weights: QueryWeights, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
@@ -142,15 +181,80 @@ def bm25_scores(weights: QueryWeights, k1: float = BM25_K1, b: float = BM25_B) -
     fan-out to queries and the sums need no further shuffle.
     """
     by_chunk = weights.hits.repartition("collection_id", "chunk_id")
-    tf_part = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     return (
         salted_join(by_chunk, weights.table, ["collection_id", "term"], F.col("chunk_id"), small_fits=weights.small)
         .groupBy("query_id", "collection_id", "chunk_id")
-        .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part).alias("score"))
+        .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
+        .withColumn("score", F.round("score", SCORE_DECIMALS))
+    )
+
+
+def scores_of(weights: QueryWeights, slots: DataFrame) -> DataFrame:
+    """``(query_id, collection_id, chunk_id, score)`` of given pairs ``(query_id, collection_id, chunk_id)``, from the forward
+    rows of their chunks. Pairs that share no term give no row."""
+    keys = ["collection_id", "chunk_id"]
+    asked = prune(weights.index.forward, slots, "collection_id")
+    terms = asked.join(F.broadcast(slots) if fits(slots) else slots, keys).select("query_id", *keys, "dl", F.inline("terms"))
+    table = weights.table.select("query_id", "term", "qtf", "idf", "avgdl")
+    return (
+        terms.join(F.broadcast(table) if weights.small else table, ["query_id", "term"])
+        .groupBy("query_id", *keys)
+        .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
         .withColumn("score", F.round("score", SCORE_DECIMALS))
     )
 
 
+def partial_scores(weights: QueryWeights, terms: DataFrame, *block: str) -> DataFrame:
+    """``(query_id, collection_id, chunk_id, part)``: sums over some of the queries' ``terms``, or blocks of them."""
+    stored = prune(weights.index.postings, terms, "term")  # postings are sorted by term: row groups without one are skipped
+    stored = prune(stored, terms, "collection_id").withColumn("block", block_of(F.col("chunk_id")))
+    wanted = terms.select("query_id", "collection_id", "term", "qtf", "idf", "avgdl", *block)
+    return (
+        salted_join(stored, wanted, ["collection_id", "term", *block], F.col("chunk_id"))
+        .groupBy("query_id", "collection_id", "chunk_id")
+        .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"))
+    )
+
+
+def thresholds(weights: QueryWeights, k: int) -> DataFrame:
+    """``(query_id, least)``: a score that ``k`` chunks of the query reach; no row for queries with fewer pilots.
+
+    The postings of a query's rarest terms name its pilots, which are then scored in full.
+    """
+    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    rare = weights.table.where("df > 0").withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0)))
+    found = partial_scores(weights, materialize(rare.where(F.col("before") < PILOT_POSTINGS * k), "rare"))
+    pilots = top_k(found, PILOTS * k, F.col("part").desc(), "chunk_id").select("query_id", "collection_id", "chunk_id")
+    best = top_k(scores_of(weights, materialize(pilots, "pilots")), k, F.col("score").desc(), "chunk_id")
+    return best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+
+
+def candidates(weights: QueryWeights, k: int) -> DataFrame:
+    """``(query_id, collection_id, chunk_id)``: every chunk that can be among the best ``k`` of its query. Written.
+
+    The terms of a query that can't reach its threshold together (those with the smallest bounds) are never looked up:
+    a chunk without another term stays below. Of the other terms those blocks are read where a chunk could
+    still pass, and of the chunks found there those stay whose part of the score leaves it possible.
+    """
+    least = F.coalesce(F.col("least"), F.lit(0.0)) - F.lit(SLACK)
+    smallest = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = weights.table.where("df > 0").join(thresholds(weights, k), "query_id", "left").select(
+        "*", F.sum("bound").over(smallest).alias("upto"), F.sum("bound").over(Window.partitionBy("query_id")).alias("most")
+    )
+    ranked = materialize(ranked, "bounds")
+    rest = ranked.groupBy("query_id").agg(
+        F.max("least").alias("least"), F.coalesce(F.max(F.when(F.col("upto") < least, F.col("upto"))), F.lit(0.0)).alias("rest")
+    )
+    looked_up = ranked.where(F.col("upto") >= least)
+    inside = F.col("qtf") * F.col("idf") * tf_part(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"))
+    live = salted_join(weights.blocks, looked_up, ["collection_id", "term"], F.col("block"), small_fits=weights.small)
+    live = materialize(live.where(F.col("most") - F.col("bound") + inside >= least), "live-blocks")
+    found = partial_scores(weights, live, "block").join(rest, "query_id")
+    return materialize(
+        found.where(F.col("part") + F.col("rest") >= least).select("query_id", "collection_id", "chunk_id"), "candidates"
+    )
+
+
 def top_k(scored: DataFrame, k: int, score: Column, *tie_breaks: str, key: str = "query_id", rank: str = "rank") -> DataFrame:
     """Best ``k`` rows per key in a total order; Spark cuts each partition to ``k`` before the shuffle."""
     order = Window.partitionBy(key).orderBy(score, *tie_breaks)
@@ -158,6 +262,7 @@ def top_k(scored: DataFrame, k: int, score: Column, *tie_breaks: str, key: str =
 
 
 def keyword_topk(weights: QueryWeights, k: int = CANDIDATES) -> DataFrame:
-    """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query; none for
-    ``k`` below 1."""
-    return top_k(bm25_scores(weights), k, F.col("score").desc(), "chunk_id")
+    """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query by full score; none for
+    ``k`` below 1. Only chunks that can be among them are scored."""
+    scored = scores_of(weights, candidates(weights, k)) if k > 0 else bm25_scores(weights)
+    return top_k(scored, k, F.col("score").desc(), "chunk_id")

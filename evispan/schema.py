@@ -14,6 +14,8 @@ LOCATION_COLUMNS = ["page", "row_start", "row_end"]
 FORWARD = (
     "collection_id STRING, chunk_id BIGINT, dl INT, terms ARRAY<STRUCT<term: STRING, tf: INT>>"
 )
+POSTINGS = "collection_id STRING, term STRING, chunk_id BIGINT, tf INT, dl INT"
+BLOCKS = "collection_id STRING, term STRING, block BIGINT, n BIGINT, max_tf INT, min_dl INT"
 VECTORS = (
     "collection_id STRING, chunk_id BIGINT, embedding ARRAY<FLOAT>, embed_status INT, embed_error STRING"
 )

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-import time
+import json
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evispan.constants import CHUNK_TOKENS, PDF_TYPE
-from evispan.operators.lexical import LexicalIndex, collection_stats, forward_table, partial_stats
+from evispan.operators.lexical import LexicalIndex, collection_stats, forward_table, partial_stats, posting_blocks, postings
 from evispan.operators.vector import embed
 from evispan.plans.quick_answer import Corpus, Models
-from evispan.schema import CHUNKS, FORWARD, VECTORS
+from evispan.schema import BLOCKS, CHUNKS, FORWARD, POSTINGS, VECTORS
 
-
-COMMITS = "ingest_id STRING, committed BIGINT"
+COMMITS = "ingest_id STRING, sequence BIGINT, as_of BIGINT, replaces ARRAY<STRING>"
+STATS = "collection_id STRING, n_chunks BIGINT, total_dl BIGINT"
 
 
 @dataclass(frozen=True)
 class IndexStore:
-    """Chunk, term, statistics and vector tables below ``root``.
+    """Chunk, term, posting, block, statistics and vector tables below ``root``.
 
     Tables are partitioned by ingestion (``ingest_id``), not by collection: millions of one-file collections
     would mean millions of folders. Inside an ingestion rows are range-partitioned and sorted by
     (collection_id, chunk_id), so the scan of a few collections skips row groups by their statistics and a
     collection of any size is cut into many files. Writing the same ingestion again replaces it and
     touches nothing else. Of several ingestions of a collection the newest finished one is read.
+
+    Every finished ingestion is one small file in ``commits``, named by its number in the order of commits. The file must
+    not exist when it is made, so two writers never get one number, whatever their clocks say. A compaction also names the
+    ingestions it replaces and the last commit it has read (``as_of``), and counts as that old: an upload that
+    commits while a compaction runs stays newer than it.
     """
 
     spark: SparkSession
@@ -47,28 +53,39 @@ class IndexStore:
     def _raw(self, table: str, ddl: str) -> DataFrame:
         return self.spark.read.schema(f"{ddl}, ingest_id STRING").parquet(self._path(table))
 
-    def current(self) -> DataFrame:
+    def commits(self, as_of: int | None = None) -> DataFrame:
+        """``ingest_id, sequence, as_of``: the newest commit of every ingestion that is not replaced, at the commit
+        ``as_of`` or now."""
+        if not self._exists("commits"):
+            return self.spark.createDataFrame([], "ingest_id STRING, sequence BIGINT, as_of BIGINT")
+        made = self.spark.read.schema(COMMITS).json(self._path("commits"))
+        if as_of is not None:
+            made = made.where(F.col("sequence") <= as_of)
+        newest = made.groupBy("ingest_id").agg(F.max(F.struct("sequence", "as_of")).alias("newest")).select("ingest_id", "newest.*")
+        replaced = made.select(F.explode("replaces").alias("ingest_id"), "as_of").groupBy("ingest_id").agg(F.max("as_of").alias("upto"))
+        kept = newest.join(replaced, "ingest_id", "left").where("upto IS NULL OR sequence > upto")
+        return kept.select("ingest_id", "sequence", "as_of")
+
+    def current(self, as_of: int | None = None) -> DataFrame:
         """``collection_id, ingest_id``: of the finished ingestions that hold a collection the newest one. A file uploaded
         again lands on the same collection, and then counts once."""
         if not self._exists("commits"):
             return self.spark.createDataFrame([], "collection_id STRING, ingest_id STRING")
-        commits = self.spark.read.schema(COMMITS).parquet(self._path("commits"))
-        finished = commits.groupBy("ingest_id").agg(F.max("committed").alias("committed"))
-        held = self._raw("stats", "collection_id STRING").join(finished, "ingest_id")
-        newest = F.max(F.struct("committed", "ingest_id")).alias("newest")
+        held = self._raw("stats", "collection_id STRING").join(self.commits(as_of), "ingest_id")
+        newest = F.max(F.struct("as_of", "sequence", "ingest_id")).alias("newest")
         return held.groupBy("collection_id").agg(newest).select("collection_id", "newest.ingest_id")
 
     def _exists(self, table: str) -> bool:
         try:
-            self.spark.read.schema(COMMITS).parquet(self._path(table))
+            self.spark.read.schema(COMMITS).json(self._path(table))
         except AnalysisException:
             return False
         return True
 
-    def _read(self, table: str, ddl: str) -> DataFrame:
+    def _read(self, table: str, ddl: str, as_of: int | None = None) -> DataFrame:
         if not self._exists("commits"):
             return self.spark.createDataFrame([], ddl)
-        return self._raw(table, ddl).join(self.current(), ["collection_id", "ingest_id"], "left_semi").drop("ingest_id")
+        return self._raw(table, ddl).join(self.current(as_of), ["collection_id", "ingest_id"], "left_semi").drop("ingest_id")
 
     def add(self, chunks: DataFrame, ingest_id: str, models: Models = Models(), with_vectors: bool = True) -> None:
         """Write one ingestion: chunks first, then what is derived from the written chunks, then the mark that makes
@@ -77,27 +94,72 @@ class IndexStore:
         self._write(chunks, "chunks", ingest_id)
         written = self._raw("chunks", CHUNKS).where(F.col("ingest_id") == ingest_id)
         self._write(forward_table(written, models.stopwords, models.exact), "forward", ingest_id)
-        forward = self._raw("forward", FORWARD)
-        self._write(partial_stats(forward.where(F.col("ingest_id") == ingest_id)), "stats", ingest_id, "collection_id")
+        self._derive(ingest_id)
         if with_vectors:
             embedded = embed(written.select("collection_id", "chunk_id", "text"), factory=models.embed)
             self._write(embedded, "vectors", ingest_id)
         self._commit(ingest_id)
 
-    def _commit(self, ingest_id: str) -> None:
-        mark = self.spark.range(1).select(
-            F.lit(ingest_id).alias("ingest_id"), F.lit(time.time_ns()).cast("bigint").alias("committed")
-        )
-        mark.coalesce(1).write.mode("append").parquet(self._path("commits"))
+    def _derive(self, ingest_id: str) -> None:
+        """Tables that follow from the written forward rows of an ingestion."""
+        forward = self._raw("forward", FORWARD).where(F.col("ingest_id") == ingest_id).drop("ingest_id")
+        self._write(partial_stats(forward), "stats", ingest_id, "collection_id")
+        self._write(postings(forward), "postings", ingest_id, "collection_id", "term", "chunk_id")
+        stored = self._raw("postings", POSTINGS).where(F.col("ingest_id") == ingest_id)
+        self._write(posting_blocks(stored), "blocks", ingest_id, "collection_id", "term", "block")
+
+    def _files(self, table: str):
+        """Hadoop file system and path of a table."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def last_commit(self) -> int:
+        files, path = self._files("commits")
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return max((int(n.split(".")[0]) for n in names if n.endswith(".json")), default=0)
+
+    def _commit(self, ingest_id: str, as_of: int | None = None, replaces: list[str] | None = None) -> None:
+        """Make an ingestion visible under the next free number; another writer's commit in between moves it on."""
+        files, folder = self._files("commits")
+        while True:
+            number = self.last_commit() + 1
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}.json")
+            row = {"ingest_id": ingest_id, "sequence": number, "as_of": number if as_of is None else as_of, "replaces": replaces or []}
+            try:
+                out = files.create(path, False)
+            except Py4JJavaError:
+                if files.exists(path):
+                    continue
+                raise
+            out.write(bytearray(json.dumps(row).encode()))
+            out.close()
+            return
 
     def compact(self, ingest_id: str, with_vectors: bool = True) -> None:
-        """Write what is current as one new ingestion; the older ones are then no longer read and can be deleted."""
+        """Write what is current at the last commit as one new ingestion that replaces those it was read from. An upload
+        that commits meanwhile is not in it and stays visible. A name that is in use gets the commit's number."""
+        as_of = self.last_commit()
+        replaces = [row.ingest_id for row in self.commits(as_of).select("ingest_id").collect()]  # one name per ingestion
+        if ingest_id in replaces:
+            ingest_id = f"{ingest_id}.{as_of}"
         tables = [("chunks", CHUNKS), ("forward", FORWARD)] + ([("vectors", VECTORS)] if with_vectors else [])
         for table, ddl in tables:
-            self._write(self._read(table, ddl), table, ingest_id)
-        stats = partial_stats(self._raw("forward", FORWARD).where(F.col("ingest_id") == ingest_id))
-        self._write(stats, "stats", ingest_id, "collection_id")
-        self._commit(ingest_id)
+            self._write(self._read(table, ddl, as_of), table, ingest_id)
+        self._derive(ingest_id)
+        self._commit(ingest_id, as_of, replaces)
+
+    def vacuum(self) -> list[str]:
+        """Delete the tables of replaced ingestions; their names. Readers that began before a compaction need them."""
+        if not self._exists("commits"):
+            return []
+        made = self.spark.read.schema(COMMITS).json(self._path("commits"))
+        gone = made.join(self.commits(), "ingest_id", "left_anti").select("ingest_id").distinct()
+        names = sorted(row.ingest_id for row in gone.collect())
+        for table in ("chunks", "forward", "stats", "postings", "blocks", "vectors"):
+            files, folder = self._files(table)
+            for name in names:
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"ingest_id={name}"), True)
+        return names
 
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
@@ -108,8 +170,9 @@ class IndexStore:
     def corpus(self, with_vectors: bool = True) -> Corpus:
         forward = self._read("forward", FORWARD)
         vectors = self._read("vectors", VECTORS) if with_vectors else None
-        stats = self._read("stats", "collection_id STRING, n_chunks BIGINT, total_dl BIGINT")
-        return Corpus(self.chunks(), LexicalIndex(forward, collection_stats(stats)), vectors)
+        stats = collection_stats(self._read("stats", STATS))
+        index = LexicalIndex(forward, stats, self._read("postings", POSTINGS), self._read("blocks", BLOCKS))
+        return Corpus(self.chunks(), index, vectors)
 
 
 def collection_id(content: Column) -> Column:

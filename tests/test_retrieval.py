@@ -1,4 +1,6 @@
+import dataclasses
 import math
+import random
 import re
 
 import numpy as np
@@ -54,7 +56,7 @@ def test_bm25_equals_plain_arithmetic(spark):
 def test_bm25_without_broadcast_gives_the_same(spark):
     index = lexical.build_index(chunks(spark))
     weights = lexical.query_weights(index, queries(spark))
-    big = lexical.QueryWeights(weights.table, weights.hits, small=False)
+    big = dataclasses.replace(weights, small=False)
     assert sorted(lexical.bm25_scores(big).collect()) == sorted(lexical.bm25_scores(weights).collect())
 
 
@@ -76,6 +78,37 @@ def test_scoring_shuffles_postings_once(spark):
     assert "HashAggregate" in above_join and "Exchange" not in above_join
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pruned_topk_equals_full_scoring(spark, monkeypatch, seed):
+    """Skewed term frequencies, repeated and unknown terms, ties, collections of one chunk; small blocks."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 8)
+    word = lambda: f"w{int(rng.paretovariate(0.7))}"
+    rows = [(col, i, " ".join(word() for _ in range(rng.randrange(1, 40)))) for col, n in (("a", 400), ("b", 60), ("c", 1)) for i in range(n)]
+    stored = spark.createDataFrame(rows, "collection_id string, chunk_id bigint, text string")
+    asked = [(f"q{i}", rng.choice("aab c").strip() or "z", " ".join(word() for _ in range(rng.randrange(0, 12)))) for i in range(40)]
+    index = lexical.build_index(stored)
+    for k in (1, 5, 50):
+        weights = lexical.query_weights(index, spark.createDataFrame(asked, "query_id string, collection_id string, query string"))
+        full = lexical.bm25_scores(weights)
+        want = lexical.top_k(full, k, F.col("score").desc(), "chunk_id").collect()
+        got = lexical.keyword_topk(weights, k).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+        if k == 1:
+            assert lexical.candidates(weights, k).count() < full.count() / 2
+
+
+def test_postings_are_stored_in_order_and_read_by_term(spark):
+    index = lexical.build_index(chunks(spark))
+    stored = [(r.collection_id, r.term, r.chunk_id, r.tf, r.dl) for r in index.postings.collect()]
+    assert sorted(stored) == sorted(map(tuple, lexical.postings(index.forward).collect()))
+    weights = lexical.query_weights(index, queries(spark))
+    part = lexical.partial_scores(weights, weights.table.where("query_id = 'q3'"))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "tf#" in line)
+    assert "PushedFilters" in scan and "In(term, [red,tree])" in scan and "EqualTo(collection_id,b)" in scan.replace("In(collection_id, [b])", "EqualTo(collection_id,b)")
+
+
 def random_vectors(spark, n, name, seed, collections=("x", "y")):
     rng = np.random.default_rng(seed)
     data = rng.integers(-3, 4, size=(n, 8)).astype(np.float32)

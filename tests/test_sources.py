@@ -198,3 +198,44 @@ def test_store_counts_a_repeated_upload_once(spark, tmp_path):
         assert [(r.collection_id, r.n_chunks) for r in corpus.index.stats.collect()] == [("one", 2)]
         assert (corpus.chunks.count(), corpus.vectors.count(), kept.collections().count()) == (2, 2, 1)
         kept.compact("c")
+
+
+def uploaded(spark, collection, texts):
+    df = spark.createDataFrame([(collection, i, t) for i, t in enumerate(texts)], "collection_id string, chunk_id bigint, text string")
+    return df.selectExpr(
+        "*", "'s' source", "'pdf' file_type", "'docling_hybrid' chunking", "0 page", "array(1) pages",
+        "cast(null as bigint) row_start", "cast(null as bigint) row_end", "1 n_tokens",
+    )
+
+
+def test_upload_during_a_compaction_stays_visible(spark, tmp_path):
+    root = str(tmp_path / "index")
+    other = store.IndexStore(spark, root)
+
+    class Slow(store.IndexStore):
+        def _derive(self, ingest_id):
+            super()._derive(ingest_id)
+            other.add(uploaded(spark, "one", ["new text"]), "late", with_vectors=False)
+
+    other.add(uploaded(spark, "one", ["old text", "old tail"]), "early", with_vectors=False)
+    other.add(uploaded(spark, "two", ["two text"]), "more", with_vectors=False)
+    Slow(spark, root).compact("together", with_vectors=False)
+    seen = lambda: sorted((r.collection_id, r.text) for r in other.chunks().collect())
+    assert seen() == [("one", "new text"), ("two", "two text")]
+    assert sorted(r.ingest_id for r in other.commits().collect()) == ["late", "together"]
+    assert other.vacuum() == ["early", "more"]
+    assert sorted(p.name for p in (tmp_path / "index" / "chunks").iterdir() if p.name.startswith("ingest")) == ["ingest_id=late", "ingest_id=together"]
+    assert seen() == [("one", "new text"), ("two", "two text")]
+    other.add(uploaded(spark, "two", ["two again"]), "more", with_vectors=False)  # the name of a replaced ingestion
+    other.compact("together", with_vectors=False)
+    assert seen() == [("one", "new text"), ("two", "two again")]
+    assert {(r.collection_id, r.term) for r in other.corpus(with_vectors=False).index.postings.collect()} == {("one", "new"), ("one", "text"), ("two", "two"), ("two", "again")}
+
+
+def test_two_writers_never_share_a_commit_number(spark, tmp_path, monkeypatch):
+    kept = store.IndexStore(spark, str(tmp_path / "index"))
+    kept._commit("a")
+    seen = iter([0, 1])  # the first look misses the commit of another writer
+    monkeypatch.setattr(store.IndexStore, "last_commit", lambda self: next(seen))
+    kept._commit("b")
+    assert sorted((r.ingest_id, r.sequence) for r in kept.commits().collect()) == [("a", 1), ("b", 2)]
