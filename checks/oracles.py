@@ -358,8 +358,10 @@ ORACLES = {
     "term_df": cte(INDEX, select="SELECT * FROM dfs"),
     "bm25_scores": cte(QUERIES, INDEX, WEIGHTS, select="SELECT * FROM scores"),
     "keyword_topk": cte(QUERIES, INDEX, WEIGHTS, select="SELECT * FROM hits"),
+    "keyword_topk_pruned": cte(QUERIES, INDEX, WEIGHTS, select="SELECT * FROM hits"),
     "vector_topk": cte(QUERIES, VECTORS, select="SELECT query_id, collection_id, chunk_id, distance, rank FROM near"),
     "vector_topk_blocks": cte(QUERIES, VECTORS, select="SELECT query_id, collection_id, chunk_id, distance, rank FROM near"),
+    "vector_cells": cte(QUERIES, VECTORS, select="SELECT query_id, collection_id, chunk_id, distance, rank FROM near"),
     "label_neighbours": cte(
         """dims AS (SELECT label, unnest(embedding) AS value, generate_subscripts(embedding, 1) AS dim FROM embeddings),
 means AS (SELECT label, dim, round(CAST(sum(CAST(value AS DECIMAL(20, 12))) AS DOUBLE) / count(*), 6) AS mean FROM dims GROUP BY ALL),

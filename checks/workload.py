@@ -15,7 +15,7 @@ from evispan.functions import labels
 from evispan.functions import text as tx
 from evispan.functions.stopwords import stopwords
 from evispan.operators import findings as fo
-from evispan.operators import guardrail, hybrid, lexical, sessions, vector
+from evispan.operators import cells, guardrail, hybrid, lexical, sessions, vector
 from evispan.plans import quick_answer as qa
 from evispan.plans import research
 from evispan.schema import CHUNK_COLUMNS
@@ -389,6 +389,11 @@ def keyword_topk(spark, sf):
     return lexical.keyword_topk(_weights(spark, sf))
 
 
+def keyword_topk_pruned(spark, sf):
+    """The same through thresholds, term and block bounds, whatever the size."""
+    return lexical.keyword_topk(_weights(spark, sf), full_up_to=0)
+
+
 def vector_topk(spark, sf):
     return vector.vector_topk(vectors(spark, sf), _asked(spark, sf)).drop("embedding")
 
@@ -397,6 +402,10 @@ def vector_topk_blocks(spark, sf):
     return vector.vector_topk(vectors(spark, sf), _asked(spark, sf), broadcast_queries=0).drop("embedding")
 
 
+def vector_cells(spark, sf):
+    return cells.vector_topk_cells(cells.build_cells(vectors(spark, sf), cell_rows=64), _asked(spark, sf)).drop("embedding")
+
+
 def label_neighbours(spark, sf):
     """Nearest stored vectors of every label's mean vector, over the embeddings table as one collection."""
     stored = table(spark, sf, "embeddings").select(F.lit("all").alias("collection_id"), F.col("vec_id").alias("chunk_id"), "embedding", "label")
@@ -679,7 +688,7 @@ REGISTERED = [
     admission_filter, csv_rows_ingest, header_normalize, row_chunks, chunk_documents, chunk_blocks, chunk_pages, token_counts,
     document_profile, embed_chunks, index_build, repeated_upload, known_collections, unknown_collections,
     normalize_text, tokenize, stopword_filter, excerpt, location_label, parse_subquestions, short_summary,
-    postings, collection_stats, term_df, bm25_scores, keyword_topk, vector_topk, vector_topk_blocks, label_neighbours, mmr_select,
+    postings, collection_stats, term_df, bm25_scores, keyword_topk, keyword_topk_pruned, vector_topk, vector_topk_blocks, vector_cells, label_neighbours, mmr_select,
     hybrid_candidates, rerank_topn, rerank_validate, sources, answer_context, quick_answer,
     request_validation, guardrail_length, blocked_terms, guardrail_decision, guardrail_enforce, blocked_term_list,
     unsupported, repeated_answers, follow_ups, dedupe_sources, initial_queue, unseen_queries, findings, format_findings,

@@ -22,6 +22,8 @@ SCORE_DECIMALS = 6
 BLOCK_CHUNKS = 256
 # Pilots per asked row, and the postings of a query's rarest terms among which they are found.
 PILOTS, PILOT_POSTINGS = 2, 20
+# Matches of query terms and postings up to which scoring all of them is cheaper than finding out which matter.
+FULL_SCORING = 50_000_000
 # Scores are rounded; a bound must miss the threshold by more than this.
 SLACK = 1e-5
 
@@ -261,8 +263,10 @@ def top_k(scored: DataFrame, k: int, score: Column, *tie_breaks: str, key: str =
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def keyword_topk(weights: QueryWeights, k: int = CANDIDATES) -> DataFrame:
+def keyword_topk(weights: QueryWeights, k: int = CANDIDATES, full_up_to: int = FULL_SCORING) -> DataFrame:
     """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query by full score; none for
-    ``k`` below 1. Only chunks that can be among them are scored."""
-    scored = scores_of(weights, candidates(weights, k)) if k > 0 else bm25_scores(weights)
+    ``k`` below 1. With more than ``full_up_to`` matches of terms and postings only chunks that can be among the best are
+    scored; the result is the same."""
+    few = k < 1 or (weights.table.agg(F.sum("df")).first()[0] or 0) <= full_up_to
+    scored = bm25_scores(weights) if few else scores_of(weights, candidates(weights, k))
     return top_k(scored, k, F.col("score").desc(), "chunk_id")
