@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -23,6 +24,14 @@ def fold_of(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on into other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def arrow_pass(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a task that takes batches and yields ``{column: values}``."""
     names = [part.strip().split()[0] for part in _split_schema(schema)]
@@ -33,7 +42,7 @@ def arrow_pass(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterabl
                 [v if isinstance(v, pa.Array) else pa.array(v, types[n]) for n, v in ((n, columns[n]) for n in names)],
                 names=names,
             )
-        pa.default_memory_pool().release_unused()  # the worker lives on into other stages
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

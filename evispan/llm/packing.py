@@ -29,7 +29,7 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
 # Parts of words whose ids a task remembers (some 200 bytes each).
-CACHE_UNITS = 500_000
+CACHE_UNITS = 200_000
 
 PIECES = (
     "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, digest bigint, full boolean"
@@ -125,7 +125,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known = WordIds(tokenizer_path)
-        for batch in parts(batches, 1_000):
+        for batch in parts(batches, 500):
             ids, offsets = ids_of_texts(batch.column(1), known, end_id)
             out: list[tuple] = []
             for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
