@@ -29,7 +29,7 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
 # Parts of words whose ids a task remembers (some 200 bytes each).
-CACHE_UNITS = 200_000
+CACHE_UNITS = 500_000
 
 PIECES = (
     "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, digest bigint, full boolean"
@@ -119,12 +119,14 @@ def ids_of_texts(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarr
     return ids, np.r_[0, np.cumsum(length)[ends + np.arange(len(ends))]]
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sequence: int, end_id: int) -> DataFrame:
+def tokenised(
+    docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sequence: int, end_id: int, cache_units: int
+) -> DataFrame:
     """Pieces of every row: its full windows, then the remainder (if any); one pass without shuffle. ``digest`` names the
     whole text's ids."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known = WordIds(tokenizer_path)
+        known = WordIds(tokenizer_path, cache_units)
         for batch in parts(batches, 500):
             ids, offsets = ids_of_texts(batch.column(1), known, end_id)
             out: list[tuple] = []
@@ -171,15 +173,16 @@ def pack(
     sequence: int = SEQUENCE,
     end_id: int = END_ID,
     group_pieces: int = GROUP_PIECES,
+    cache_units: int = CACHE_UNITS,
 ) -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A null or empty text is a document of its end id alone. Repeated rows are packed once each. Null ids stay null.
-    An empty table gives no piece. Sequence ids are unique, not dense: packing group, then window in it. The
+    An empty table gives no piece. ``cache_units`` trades a task's memory for time and changes no result. Sequence ids are unique, not dense: packing group, then window in it. The
     result depends on the rows alone, not on how they lie in files or how tasks are retried: pieces are dealt by id, digest
     of the document's ids, start and number among equal pieces, and a group is packed in that order.
     """
-    pieces = materialize(tokenised(docs, tokenizer_path, id_col, text_col, sequence, end_id), "pieces")
+    pieces = materialize(tokenised(docs, tokenizer_path, id_col, text_col, sequence, end_id, cache_units), "pieces")
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
     alike = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("copies"))
