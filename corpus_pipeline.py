@@ -22,6 +22,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ACCEPT = 0.3
 # Share of a source's distinct texts over which a line is boilerplate; the README has the counts behind it.
 LINE_RATIO = 0.02
+# Units a packing task remembers: fewer than on its own, as workers have served four stages before.
+PACK_UNITS = 200_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 ids."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), cache_units=PACK_UNITS)
 
 
 STAGES = [
