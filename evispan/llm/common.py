@@ -110,6 +110,17 @@ def only(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in wanted))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each lengthened until no column of ``df`` has it (case doesn't count)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A unique number per row; stable only in a table that is written right after."""
     return df.withColumn(name, F.monotonically_increasing_id())

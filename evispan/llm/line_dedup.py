@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evispan.llm.common import free_names
 from evispan.session import materialize
 
 RATIO, LEAST_PAGES = 0.1, 5
@@ -71,10 +72,11 @@ def line_dedup(
     the host's pages goes. Lines are compared without the white space around them, exactly otherwise; blank lines stay.
     Each row is a page, repeated rows too; with ``copies_once`` each distinct text of a host is one page, so that a large group
     of copies doesn't make its own text boilerplate (near copies are different texts, and null texts no pages). Rows with null host or null text stay as they are (their count is 0). Text
-    without dropped lines is unchanged to the byte. A column named as ``dropped`` is replaced.
+    without dropped lines is unchanged to the byte. A column named as ``dropped`` is replaced; all others keep name and values.
     """
-    host_name, found_name = "_host_of_page", "_lines_of_host"
-    plain = docs.drop(dropped).withColumn(host_name, host)
+    plain = docs.drop(dropped)
+    host_name, found_name, kept_name = free_names(plain, "host_of_page", "lines_of_host", "kept_lines")
+    plain = plain.withColumn(host_name, host)
     pages = plain.select(F.col(host_name).alias("host"), F.col(f"`{text_col}`").alias("text"))
     found = boilerplate(pages, ratio, least_pages, copies_once).toDF(host_name, found_name)
     joined = plain.join(found, host_name, "left")
@@ -83,8 +85,8 @@ def line_dedup(
         lines, lambda l: (line_key(l) == "") | ~F.array_contains(F.col(found_name), F.unhex(F.md5(line_key(l))))
     )
     touched = F.col(found_name).isNotNull() & F.col(f"`{text_col}`").isNotNull()
-    joined = joined.withColumn("_kept_lines", F.when(touched, kept))
-    n = F.when(touched, F.size(lines) - F.size("_kept_lines")).otherwise(0).cast("long")
-    text = F.when(touched, F.array_join("_kept_lines", "\n")).otherwise(F.col(f"`{text_col}`"))
+    joined = joined.withColumn(kept_name, F.when(touched, kept))
+    n = F.when(touched, F.size(lines) - F.size(kept_name)).otherwise(0).cast("long")
+    text = F.when(touched, F.array_join(kept_name, "\n")).otherwise(F.col(f"`{text_col}`"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.drop(dropped).columns]
     return joined.select(*columns, n.alias(dropped))
