@@ -1,13 +1,14 @@
 """Content-addressed WARC archive.
 
-Payload bytes are kept once per digest in one table, the exact header block of every record in another; joining the
-two gives the records back. The digest is SHA-1 as WARC states it; a second, stronger digest and the length are
-compared for all rows of a digest before its payload is stored once.
+Payload bytes are kept once per key in one table, the exact header block of every record in another; joining the
+two gives the records back. The key is SHA-256. SHA-1, which the format states, is a field of the header only:
+files that share one are public and occur in crawls.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,6 +20,10 @@ BASE32, NUMBER32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMN
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def strong_key(payload: Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
 def base32_sha1(payload: Column) -> Column:
     """Bare upper-case base32 SHA-1: eight groups of 20 bits, four digits each."""
     hexed = F.sha1(payload)
@@ -28,13 +33,13 @@ def base32_sha1(payload: Column) -> Column:
 
 @dataclass
 class Archive:
-    """Folders of the two tables: ``records`` (page_id, url, digest, header) and ``payloads`` (digest, payload)."""
+    """Folders of the two tables: ``records`` (page_id, key, header) and ``payloads`` (key, payload)."""
 
     records: str
     payloads: str
 
 
-def header_block(page: Column, url: Column, kind: Column, digest: Column, refers_to: Column, length: Column) -> Column:
+def header_block(page: Column, url: Column, kind: Column, digest: Column, refers_to: Column, length: Column, date: str) -> Column:
     """Exact bytes before a record's payload: named fields, each ended by CRLF, then an empty line."""
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record_id = lambda of: F.concat(F.lit("<urn:page:"), of.cast("string"), F.lit(">"))
@@ -43,6 +48,7 @@ def header_block(page: Column, url: Column, kind: Column, digest: Column, refers
         F.lit("WARC/1.1\r\n"),
         field("WARC-Type", kind),
         field("WARC-Record-ID", record_id(F.coalesce(page.cast("string"), F.lit("none")))),
+        field("WARC-Date", F.lit(date)),
         # A line break inside a url would end the field.
         F.when(url.isNotNull(), field("WARC-Target-URI", F.regexp_replace(url, "[\r\n]", " "))).otherwise(""),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
@@ -55,46 +61,37 @@ def header_block(page: Column, url: Column, kind: Column, digest: Column, refers
 
 
 def write_archive(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str | None = None
 ) -> Archive:
-    """Write one record per row of ``pages``.
+    """Write one record per row of ``pages``, dated ``date`` (UTC, as 2026-01-31T23:59:59Z; the time of writing if None).
 
     Payload: the column in UTF-8, null as empty. Of records with equal payloads of at least ``least`` bytes the one
     with the largest id is the response and the others revisit it; smaller ones are all responses. Rows that repeat
     the largest id with the same payload are responses alike (the payload is still stored once). A row without id is never
     the response while the group has an id; a group without any id has only responses. A null url leaves its field out.
+    Different payloads with one SHA-1 are stored apart, as their SHA-256 differ.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     spark = pages.sparkSession
     rows = only(pages, id_col, url_col, payload_col).toDF("page_id", "url", "body")
     rows = rows.withColumn("body", F.coalesce(F.col("body").cast("binary"), F.lit("").cast("binary")))
-    facts = rows.select("page_id", "url", base32_sha1(F.col("body")).alias("digest"), F.octet_length("body").cast("long").alias("length"), F.sha2("body", 256).alias("strong"))
+    facts = rows.select("page_id", "url", base32_sha1(F.col("body")).alias("digest"), F.octet_length("body").cast("long").alias("length"), strong_key(F.col("body")).alias("key"))
     facts = materialize(facts, "warc-facts")
-    groups = facts.groupBy("digest").agg(
-        F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"),
-        F.min("strong").alias("s0"), F.max("strong").alias("s1"), F.min("length").alias("l0"), F.max("length").alias("l1"),
-    )
-    checked = groups.select(
-        "digest",
-        "keeper",
-        "n",
-        F.when((F.col("s0") == F.col("s1")) & (F.col("l0") == F.col("l1")), F.lit(True))
-        .otherwise(F.raise_error(F.concat(F.lit("two payloads share the digest "), F.col("digest"))).cast("boolean"))
-        .alias("verified"),
-    )
+    groups = facts.groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     # Payloads that occur once are their own keepers, so only repeated ones need the join, and few rows travel.
-    shared = materialize(checked.where("verified AND n > 1").select("digest", "keeper"), "warc-shared")
-    joined = facts.join(shared, "digest", "left")
+    shared = materialize(groups.where("n > 1").select("key", "keeper"), "warc-shared")
+    joined = facts.join(shared, "key", "left")
     revisit = (F.col("length") >= least) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     archive = Archive(new_path(spark, "warc-records"), new_path(spark, "warc-payloads"))
     joined.select(
         "page_id",
-        "digest",
-        header_block(F.col("page_id"), F.col("url"), kind, F.col("digest"), F.col("keeper"), F.col("length")).alias("header"),
+        "key",
+        header_block(F.col("page_id"), F.col("url"), kind, F.col("digest"), F.col("keeper"), F.col("length"), date).alias("header"),
     ).write.parquet(archive.records)
-    stored = rows.withColumn("digest", base32_sha1(F.col("body"))).join(shared.withColumn("several", F.lit(True)), "digest", "left")
-    alone = stored.where("several IS NULL").select("digest", "body")
-    chosen = stored.where("several AND page_id <=> keeper").select("digest", "body").dropDuplicates(["digest"])
+    stored = rows.withColumn("key", strong_key(F.col("body"))).join(shared.withColumn("several", F.lit(True)), "key", "left")
+    alone = stored.where("several IS NULL").select("key", "body")
+    chosen = stored.where("several AND page_id <=> keeper").select("key", "body").dropDuplicates(["key"])
     alone.union(chosen).withColumnRenamed("body", "payload").write.parquet(archive.payloads)
     return archive
 
@@ -102,12 +99,12 @@ def write_archive(
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     """Records as written: ``page_id, header, payload`` and the fields ``record_type, refers_to, stated_digest,
     stated_length`` parsed from the header block. The payload of a revisit is that of the record it refers to. A stored
-    payload whose bytes don't have its digest stops the read."""
+    payload whose bytes don't have its key stops the read."""
     payloads = spark.read.parquet(archive.payloads)
     payloads = payloads.withColumn(
         "payload",
-        F.when(base32_sha1(F.col("payload")) == F.col("digest"), F.col("payload")).otherwise(
-            F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("binary")
+        F.when(strong_key(F.col("payload")) == F.col("key"), F.col("payload")).otherwise(
+            F.raise_error(F.concat(F.lit("damaged payload "), F.hex("key"))).cast("binary")
         ),
     )
     text = F.decode("header", "UTF-8")
@@ -115,7 +112,7 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     refers = field("WARC-Refers-To", "<urn:page:([^>]*)>")
     return (
         spark.read.parquet(archive.records)
-        .join(payloads, "digest")
+        .join(payloads, "key")
         .select(
             "page_id",
             "header",
