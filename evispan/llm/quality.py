@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,11 +80,16 @@ def feature_table(rows: DataFrame, bits: int = BITS) -> DataFrame:
 def train(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS, shards: int = SHARDS) -> np.ndarray:
     """Weights (the last one is the bias) from ``id, text, label`` rows; without rows all weights are 0 (score 0.5).
 
-    The rows must be a bounded sample. A shard goes through the written rows in a new order each epoch. What
-    returns to the driver is one state per shard and epoch.
+    The rows must be a bounded sample. A hash of the id deals them to the shards, each written in the order of another, so the
+    weights depend on the rows alone, not on how they lie in partitions. A shard goes through its rows in a new order
+    each epoch. What returns to the driver is one state per shard and epoch.
     """
     spark, size = rows.sparkSession, (1 << bits) + 1
-    table = materialize(feature_table(rows, bits), "quality-rows")
+    found = materialize(feature_table(rows, bits), "quality-rows")
+    dealt = [found.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == s) for s in range(shards)]
+    order = (F.xxhash64("id", F.lit(1)), "id", "label", F.xxhash64("at", "value"))
+    tables = [materialize(d.coalesce(1).sortWithinPartitions(*order), "quality-shard").coalesce(1) for d in dealt]
+    table = reduce(DataFrame.union, tables)  # a task per shard, without a shuffle
     state = Ftrl(size)
     for epoch in range(epochs):
         shared = spark.sparkContext.broadcast((state.z, state.n))
@@ -100,8 +106,7 @@ def train(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS, shards: int =
             if len(used):
                 yield {"at": [used.astype(np.int32)], "z": [model.z[used]], "n": [model.n[used]]}
 
-        # Written rows are read in few tasks without a shuffle.
-        states = arrow_pass(table.coalesce(shards), task, "at array<int>, z array<double>, n array<double>").toArrow()
+        states = arrow_pass(table, task, "at array<int>, z array<double>, n array<double>").toArrow()
         if not states.num_rows:
             break
         z, n = np.zeros(size), np.zeros(size)
