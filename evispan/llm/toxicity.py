@@ -1,6 +1,6 @@
 """Toxicity: linear classifier on character n-grams scaled by naive Bayes log-count ratios (Wang and Manning 2012).
 
-A text's features are the hashed character 3- to 5-grams it holds (presence, white space collapsed). The ratio of how
+A text's features are the hashed 3- to 5-grams of code points it holds (presence, white space collapsed, A-Z folded). The ratio of how
 often a feature occurs in either class scales it; logistic regression on the scaled features is fitted by full-batch
 steps, with gradients summed over the partitions of a bounded sample.
 """
@@ -19,10 +19,12 @@ from evispan.session import materialize
 
 BITS, SHORTEST, LONGEST = 20, 3, 5
 # Smoothing of the counts, least training texts per feature, and the settings of the fit.
-# Features whose ratio is nearer to 0 than LEAST_RATIO tell nothing and are left out.
-SMOOTH, LEAST_TEXTS, LEAST_RATIO = 1.0, 3, 1.0
+SMOOTH, LEAST_TEXTS = 1.0, 3
 STEPS, RATE, MOMENTUM, PENALTY, SCALE = 30, 1.0, 0.9, 1e-5, 10.0
 SAMPLE_ROWS = 8_000
+# Tasks whose sums return to the driver; the sample is bounded, so their number is too.
+TASKS = 6
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grams:
@@ -34,12 +36,12 @@ class Grams:
 
     def of(self, text: str) -> np.ndarray:
         plain = b" " + b" ".join((text or "").encode().translate(FOLD).split()) + b" "
-        code = np.frombuffer(plain, np.uint8).astype(np.uint64)
+        code = np.frombuffer(plain.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
         mask, found, key = np.uint64((1 << self.bits) - 1), [], code
         for n in range(2, self.sizes[1] + 1):
             if len(code) < n:
                 break
-            key = (key[:-1] << np.uint64(8)) | code[n - 1 :]
+            key = key[:-1] * _STEP + code[n - 1 :]
             if n >= self.sizes[0]:
                 found.append((mix64(key + np.uint64(n << 56)) & mask).astype(np.int64))
         if not found:
@@ -94,7 +96,7 @@ def train(rows: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
     nothing: its ratios are 0 and the score is that of the bias. Sums over features return to the driver, never rows.
     """
     spark, size = rows.sparkSession, 1 << bits
-    table = materialize(feature_table(rows, bits).repartition(spark.sparkContext.defaultParallelism), "toxic-rows")
+    table = materialize(feature_table(rows, bits).repartition(TASKS), "toxic-rows").coalesce(TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held, n = np.zeros((2, size)), np.zeros(2)
@@ -113,7 +115,7 @@ def train(rows: DataFrame, bits: int = BITS, steps: int = STEPS) -> Model:
         held[0][at] += none
         held[1][at] += some
     ratio = np.log((held[1] + SMOOTH) / (n[1] + 2 * SMOOTH)) - np.log((held[0] + SMOOTH) / (n[0] + 2 * SMOOTH))
-    used = (held.sum(0) >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
+    used = held.sum(0) >= LEAST_TEXTS
     if not n.all():
         return Model(np.zeros(size, np.float32), used, float(np.log((n[1] + SMOOTH) / (n[0] + SMOOTH))))
     number = np.full(size, -1, np.int32)
