@@ -12,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 
-LONGEST_PIECE = 16
 # Cells (words x positions) worked on at a time.
 CELLS = 1 << 16
 _BASE = 0x100000001B3
@@ -28,7 +27,8 @@ class Pieces:
         by_length: dict[int, list[tuple[int, int]]] = {}
         for number, piece in enumerate(pieces):
             by_length.setdefault(len(piece), []).append((hash_bytes(piece), number))
-        for n in range(1, LONGEST_PIECE + 1):
+        self.longest = max(by_length)
+        for n in range(1, self.longest + 1):
             found = sorted(by_length.get(n, []))
             self.tables.append((np.array([h for h, _ in found], np.uint64), np.array([i for _, i in found], np.int32)))
 
@@ -58,7 +58,7 @@ def load_pieces(path: str) -> Pieces:
         if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= LONGEST_PIECE and b" " not in piece[1:]:
+        if piece and b" " not in piece[1:]:
             scores[piece] = model.get_score(i)
     worst = min(scores.values(), default=0.0) - 1
     for c in range(256):
@@ -84,7 +84,7 @@ def lattices(words: list[bytes], pieces: Pieces) -> Iterator[tuple[np.ndarray, l
             # Columns are positions, so that a step over positions works on contiguous words.
             code = raw.T.astype(np.uint64) + np.uint64(1)
             key, arcs = np.zeros_like(code), []
-            for k in range(1, min(LONGEST_PIECE, length) + 1):
+            for k in range(1, min(pieces.longest, length) + 1):
                 key = (code if k == 1 else key[:-1] * np.uint64(_BASE) + code[k - 1 :])
                 hashes, numbers = pieces.tables[k - 1]
                 if len(hashes):
