@@ -104,18 +104,19 @@ def decontaminate(
     block_words: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """``docs`` with ``n_words long, spans array<array<int>>`` (maximal runs of hit words, start and end) and
-    ``items array<bigint>`` (sorted, distinct).
+    ``items`` (sorted, distinct ids, of the type they have in ``benchmark``).
 
     Every row is searched whole and kept. Null or wordless text has 0 words and no span; items that are null, without
     words or without id match nothing; repeated items count once per id, and repeated documents each get their row. An
     empty test set leaves all spans empty. The three added columns replace columns of the same name.
     """
     spark = docs.sparkSession
+    ids = f"array<{benchmark.schema[item_col].dataType.simpleString()}>"
     found = docs.drop("n_words", "spans", "items").withColumns(
         {
             "n_words": F.lit(0).cast("long"),
             "spans": F.array().cast("array<array<int>>"),
-            "items": F.array().cast("array<bigint>"),
+            "items": F.array().cast(ids),
         }
     )
     blocks = 0
@@ -165,7 +166,8 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def contamination(found: DataFrame, share: int = 20) -> DataFrame:
-    """Columns ``n_hit, n_items, items_sha256, contaminated`` (hit words are 1/``share`` of all words or more)."""
+    """Columns ``n_hit, n_items, items_sha256, contaminated`` (hit words are 1/``share`` of all words or more); they replace
+    columns of the same name."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.withColumn("n_hit", n_hit).withColumns(

@@ -35,9 +35,9 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``row_id, id, points, text_sha256, chunks array<struct<id, digest>>`` of every row; one pass, no shuffle."""
     plain = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
-        F.col(id_col).alias("id"),
-        F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("points"),
-        squeezed(F.col(text_col)).alias("plain"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("points"),
+        squeezed(F.col(f"`{text_col}`")).alias("plain"),
     )
     return plain.select(
         "row_id",
