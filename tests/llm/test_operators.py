@@ -50,6 +50,12 @@ def test_exact_dedup(make, odd_rows):
     assert exact_dedup(make(odd_rows).limit(0)).collect() == []
 
 
+def test_exact_dedup_of_columns_with_dots(make):
+    docs = make([(1, "a b"), (2, "ab")]).withColumnsRenamed({"text": "page.text", "doc_id": "page.id"})
+    rows = exact_dedup(docs, "page.id", "page.text").collect()
+    assert sorted((r["page.id"], r.keep_id, r.kept) for r in rows) == [(1, 1, True), (2, 1, False)]
+
+
 def test_chunks_cover_text_and_resume_after_an_insertion():
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))
@@ -98,6 +104,15 @@ def test_decontamination_edges(spark, make, odd_rows):
     assert decontaminate(make(odd_rows).limit(0), none).count() == 0
 
 
+def test_items_may_have_ids_of_any_type(spark, make):
+    passage = random_text(random.Random(2), 20)
+    items = spark.createDataFrame([("b-2", passage), ("a-1", passage), (None, passage)], "item_id string, text string")
+    docs = make([(1, f"before {passage} after"), (2, "clean")]).withColumns({"items": F.lit("mine"), "n_hit": F.lit("mine")})
+    got = {r.doc_id: r for r in contamination(decontaminate(docs, items)).collect()}
+    assert got[1]["items"] == ["a-1", "b-2"] and (got[1].n_hit, got[1].n_items, got[1].contaminated) == (20, 2, True)
+    assert got[1].items_sha256 == hashlib.sha256(b"a-1,b-2").hexdigest() and got[2]["items"] == []
+
+
 def test_search_skips_no_occurrence():
     rng = random.Random(2)
     for _ in range(200):
@@ -263,6 +278,17 @@ def test_line_dedup(make):
     assert line_dedup(make(rows).limit(0), F.col("source")).collect() == []
 
 
+def test_line_dedup_repeated_rows_long_text_and_clashing_names(make):
+    long_text = "Footer here\n" + "\n".join(f"line {i}" for i in range(50_000))
+    docs = make([(1, "x\nFooter here", "a")] * 6 + [(2, long_text, "a")])
+    helpers = ("host_of_page", "lines_of_host", "Kept_Lines", "_kept_lines", "_host_of_page", "host", "lines", "line", "pages", "n")
+    got = line_dedup(docs.withColumns({c: F.lit(f"own {c}") for c in helpers}), F.col("source"), ratio=0.5)
+    assert got.columns == [*docs.columns, *helpers, "n_dropped"]
+    rows = got.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in helpers)
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, "")] * 6 + [(2, long_text[len("Footer here\n") :])]
+
+
 def test_host(spark):
     df = spark.createDataFrame([("https://U@Ex.org:8080/a?b",), ("nonsense",), (None,), ("http:///x",)], "u string")
     assert [r[0] for r in df.select(host_of(F.col("u"))).collect()] == ["ex.org", None, None, None]
@@ -288,6 +314,19 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(covered, sum(n * (len(w) + 1) for n, w in zip([2, 1, 1, 3, 1], words)))
 
 
+def test_every_piece_of_the_vocabulary_is_in_the_lattice():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    named = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    wanted = {n.replace("\u2581", " ").encode() for n in named}
+    pieces = lattice.load_pieces(PIECES)
+    assert {w for w in wanted if b" " not in w[1:]} <= set(pieces.pieces) and pieces.longest == max(map(len, pieces.pieces))
+    long = max(pieces.pieces, key=len)
+    logp = np.where(np.array([p == long for p in pieces.pieces]), np.log(0.5), -np.inf)
+    assert np.isclose(lattice.word_scores([long[1:]], pieces, logp)[0], np.log(0.5)) == (long[:1] == b" ")
+
+
 def test_lattice_scores_do_not_depend_on_what_tasks_hold(make, odd_rows):
     docs = make(odd_rows).withColumn("word", F.lit("clash"))
     held = F.col("doc_id").isin(4, 9)
@@ -329,6 +368,70 @@ def test_classifiers_learn_and_score(spark, make, odd_rows, train, score):
     assert {r.score for r in score(make(odd_rows), nothing).collect()} == {0.5}
 
 
+def test_quality_weights_do_not_depend_on_the_partitions(spark, make):
+    docs, _ = labelled(spark, make)
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("text").contains("vile").cast("int").alias("label"))
+    rows = rows.union(rows.where("id < 9"))
+    one, other = (quality.train(rows.repartition(n, *by), bits=12, epochs=3) for n, by in ((2, ()), (8, ("text",))))
+    assert one.any() and np.array_equal(one, other)
+
+
+def test_one_shard_equals_updates_by_the_book(spark, make):
+    """One epoch over one shard, against the update rule written out per coordinate."""
+    docs, _ = labelled(spark, make)
+    rows = docs.where("doc_id < 40").select(F.col("doc_id").alias("id"), "text", F.col("text").contains("vile").cast("int").alias("label"))
+    got = quality.train(rows, bits=10, epochs=1, shards=1)
+    listed = rows.orderBy(F.xxhash64("id", F.lit(1))).collect()
+    features, z, n = quality.Features(10), [0.0] * 1025, [0.0] * 1025
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for k in np.random.default_rng(0).permutation(len(listed)):
+        at, value = features.of(listed[k].text)
+        pairs = [*zip(at.tolist(), value.tolist()), (1024, 1.0)]
+        error = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in pairs))) - listed[k].label
+        for i, v in pairs:
+            g, w = error * v, weight(i)
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * w
+            n[i] += g * g
+    assert np.allclose(got, [weight(i) for i in range(1025)], atol=1e-4)
+
+
+def test_toxicity_features_are_code_point_grams():
+    text = " ÄÄ Жук\t日本語\n\U0001f600A "
+    plain = " ÄÄ Жук 日本語 \U0001f600a "
+    grams = {plain[i : i + n] for n in (3, 4, 5) for i in range(len(plain) - n + 1)}
+    found = toxicity.Grams(bits=24).of(text)
+    assert len(found) == len(grams)
+    whole = set(found.tolist())
+    assert all(set(toxicity.Grams(bits=24).of(w).tolist()) <= whole for w in ("Жук", "жук"[:0], "日本語"))
+
+
+def test_toxicity_ratios_and_fit_by_brute_force(spark, make):
+    """Ratios and the fit's steps against dense arrays of all features of at least the least number of texts."""
+    docs, _ = labelled(spark, make)
+    rows = docs.where("doc_id < 60").select("text", F.col("text").contains("vile").cast("int").alias("label"))
+    got, listed = toxicity.train(rows, bits=14, steps=5), rows.collect()
+    x, y = np.zeros((len(listed), 1 << 14)), np.array([r.label for r in listed])
+    for i, r in enumerate(listed):
+        x[i, toxicity.Grams(14).of(r.text)] = 1
+    used = x.sum(0) >= toxicity.LEAST_TEXTS
+    x = x[:, used]
+    ratio = np.log((x[y == 1].sum(0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(0) + 1) / ((1 - y).sum() + 2))
+    x = x * ratio * toxicity.SCALE / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
+    w, bias, move, move_bias = np.zeros(x.shape[1]), 0.0, 0.0, 0.0
+    for _ in range(5):
+        error = 1 / (1 + np.exp(-(x @ w + bias))) - y
+        move = toxicity.MOMENTUM * move - toxicity.RATE * (x.T @ error / len(y) + toxicity.PENALTY * w)
+        move_bias = toxicity.MOMENTUM * move_bias - toxicity.RATE * error.mean()
+        w, bias = w + move, bias + move_bias
+    assert np.array_equal(got.used, used)
+    assert np.allclose(got.weights[used], w * ratio, atol=1e-3) and np.isclose(got.bias, bias, atol=1e-3)
+
+
 def test_training_rows_are_bounded_and_layout_free(spark, make):
     docs, marks = labelled(spark, make)
     some = {r.id for r in training_rows(docs, marks, "mark", F.lit(True), most=50).collect()}
@@ -362,6 +465,17 @@ def test_archive_round_trip(spark):
     assert read_records(spark, write_archive(pages.limit(0))).collect() == []
 
 
+def test_payloads_with_one_stated_digest_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr("evispan.llm.warc_store.base32_sha1", lambda payload: F.lit("A" * 32))
+    rows = [(1, "u", "one"), (2, "u", "one"), (3, "u", "two"), (4, "u", "x" * 1_000_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = read_records(spark, write_archive(pages, date="2026-01-31T23:59:59Z")).orderBy("page_id").collect()
+    assert [(bytes(r.payload).decode(), r.record_type, r.refers_to) for r in got] == [
+        ("one", "revisit", "2"), ("one", "response", None), ("two", "response", None), ("x" * 1_000_000, "response", None)
+    ]
+    assert all(b"\r\nWARC-Date: 2026-01-31T23:59:59Z\r\n" in bytes(r.header) for r in got)
+
+
 def test_shard_cuts_a_key_of_many_short_rows(make, monkeypatch):
     rows = [(i, None) for i in range(400)] + [(1000 + i, f"{i} " * 200) for i in range(800)]
     cells = []
