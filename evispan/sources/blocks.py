@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evispan.constants import BLOCK_CHUNKING, CHUNK_TOKENS, PDF_NO_CONTENT, PDF_TYPE, PDF_UNREADABLE
 from evispan.functions.text import TOKEN, bind, strip, token_count
+from evispan.functions.tokenizers import counted, cut_at_ends, token_ends
 from evispan.plugins import Factory
 from evispan.schema import CHUNK_COLUMNS
-from evispan.session import spread
+from evispan.session import materialize, salted_join, spread
+from evispan.sources.packing import GROUP_BITS, pack_large
 
 # A token and the separators after it, so that joining pieces gives back the text.
 PIECE = rf"(?:{TOKEN})[\p{{M}}\p{{Z}}\p{{C}}]*"
@@ -147,28 +149,52 @@ def _pack_runs(budget: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return run
 
 
+def _pack_each(located: DataFrame, order: list[Column], budget: int) -> DataFrame:
+    """One task per collection."""
+    lined = located.repartition("collection_id").sortWithinPartitions(*order)
+    return lined.select("collection_id", "source", "head", "page_no", "text", "n", "head_n").mapInPandas(_pack_runs(budget), PACKED_BLOCKS)
+
+
 PACKED_COLUMNS = [part.split()[0] for part in PACKED_BLOCKS.split(", ")]
 
 
-def chunk_blocks(blocks: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
+# Size of a collection (its blocks, and one more per 2,000 characters) from which many tasks pack it.
+LARGE = 1_000_000
+
+
+def _large_collections(blocks: DataFrame, least: int) -> DataFrame:
+    size = F.sum(1 + F.floor(F.length("text") / 2_000))
+    large = blocks.where("collection_id IS NOT NULL").groupBy("collection_id").agg(size.alias("size")).where(F.col("size") > least)
+    return materialize(large.select("collection_id"), "large-collections")
+
+
+def chunk_blocks(
+    blocks: DataFrame, budget: int = CHUNK_TOKENS, tokenizer: Factory | None = None, large: int = LARGE, group_bits: int = GROUP_BITS
+) -> DataFrame:
     """Chunks of a block table ``(collection_id, source, page_no, block_no, heading, text)``.
 
     Blocks are packed in reading order; neighbours of equal heading merge while they fit, over any number of pages. The
     heading comes first in the text of each of its chunks and counts towards the budget. Chunk ids count from 0
-    in each collection. Blocks are cut natively; a document is then one sorted run of rows through a task that holds one
-    chunk at a time.
+    in each collection. Blocks are cut natively, or with a ``tokenizer`` plug-in; a document is then one sorted run of rows
+    through a task that holds one chunk at a time. Collections larger than ``large`` are packed by many tasks, with the same result.
     """
     head = strip(F.coalesce(F.col("heading"), F.lit("")))
-    filled = blocks.where(strip(F.col("text")) != "").withColumn("head", head).withColumn("head_n", token_count(F.col("head")))
+    filled = blocks.where(strip(F.col("text")) != "").withColumn("head", head).withColumn("head_n", counted(F.col("head"), tokenizer))
     room = F.greatest(F.lit(budget) - F.col("head_n"), F.lit(1))
-    cut = filled.select(
-        "collection_id", "source", "head", "head_n", "page_no", "block_no", F.posexplode(cut_block(F.col("text"), room)).alias("slice", "piece")
-    )
-    order = [F.col("collection_id"), F.col("source"), F.coalesce("page_no", F.lit(1)), F.col("block_no"), F.col("slice"), F.col("piece.text")]
-    located = cut.repartition("collection_id").sortWithinPartitions(*order).select(
-        "collection_id", "source", "head", "page_no", F.col("piece.text").alias("text"), F.col("piece.n").alias("n"), "head_n"
-    )
-    packed = located.mapInPandas(_pack_runs(budget), PACKED_BLOCKS)
+    if tokenizer is None:
+        pieces = cut_block(F.col("text"), room)
+    else:
+        filled = filled.withColumn("ends", token_ends(F.col("text"), tokenizer))
+        pieces = cut_at_ends(F.col("text"), F.col("ends"), room)
+    cut = filled.select("collection_id", "source", "head", "head_n", "page_no", "block_no", F.posexplode(pieces).alias("slice", "piece"))
+    located = cut.select("collection_id", "source", "head", "head_n", "page_no", "block_no", "slice", "piece.text", "piece.n")
+    order = [F.col("collection_id"), F.col("source"), F.coalesce("page_no", F.lit(1)), F.col("block_no"), F.col("slice"), F.col("text")]
+    hot = _large_collections(blocks, large)
+    if hot.isEmpty():
+        packed = _pack_each(located, order, budget)
+    else:
+        of = lambda how: salted_join(located, hot, ["collection_id"], F.col("block_no"), how)
+        packed = _pack_each(of("left_anti"), order, budget).unionByName(pack_large(of("left_semi"), order, budget, group_bits))
     page_, pages = page_provenance(F.col("pages"))
     return packed.select(
         "collection_id",
@@ -213,7 +239,8 @@ def parse_files(files: DataFrame, parser: Factory) -> tuple[DataFrame, DataFrame
                         columns=columns,
                     )
 
-    parsed = files.select("collection_id", "source", "content").mapInPandas(run, BLOCKS)
+    # Written, so that the plug-in is called once for blocks and rejects.
+    parsed = materialize(files.select("collection_id", "source", "content").mapInPandas(run, BLOCKS), "parsed")
     good = F.col("status_code").isNull()
     return parsed.where(good).drop("status_code", "detail"), parsed.where(~good).select(
         F.col("collection_id").alias("id"), "status_code", "detail"

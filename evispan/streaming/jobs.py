@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,8 +13,10 @@ from evispan.constants import CLARIFICATION_FIELD, MAX_CLARIFICATION_CHARS, SESS
 from evispan.functions import guardrails as rules
 from evispan.functions.text import strip
 from evispan.plans.quick_answer import Corpus, Models, answer
+from evispan.plugins import Factory
 from evispan.session import materialize
 from evispan.sources.store import IndexStore
+from evispan.sources.uploads import FILES, ingest_uploads
 
 SESSION_OUTPUT = (
     "session_id string, seq bigint, status string, status_code int, detail string, original_query string, "
@@ -125,6 +127,37 @@ def stream_ingest(
     return arrivals.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_uploads(
+    spark: SparkSession,
+    folder: str,
+    store: IndexStore,
+    output: str,
+    parser: Factory,
+    checkpoint: str,
+    models: Models = Models(),
+    tokenizer: Factory | None = None,
+    files_per_batch: int | None = None,
+    with_vectors: bool = True,
+) -> StreamingQuery:
+    """Index the files that arrive below ``folder``: admission, dispatch by suffix, decoding or parsing, chunking, index. The
+    store, ``output/profiles`` and ``output/rejects`` are written by batch id, so a replayed batch replaces what it wrote.
+    Spark's file sources give no row for a file without bytes, so such a file is not among the rejects here, unlike in
+    ``ingest_uploads`` over a table of files."""
+    source = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        made = ingest_uploads(batch, parser, tokenizer)
+        if not made.chunks.isEmpty():
+            store.add(made.chunks, f"upload-{batch_id:09d}", models, with_vectors)
+        made.profiles.write.mode("overwrite").parquet(f"{output}/profiles/batch_id={batch_id}")
+        made.rejects.write.mode("overwrite").parquet(f"{output}/rejects/batch_id={batch_id}")
+
+    arrivals = source.load(folder)
+    return arrivals.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_questions(
     questions: DataFrame, corpus: Callable[[], Corpus], output: str, checkpoint: str, models: Models = Models()
 ) -> StreamingQuery:
