@@ -15,8 +15,11 @@ from evispan.constants import (
     MAX_ROUNDS,
     MIN_QUESTION_CHARS,
 )
+from evispan.functions.terms import found_terms
 from evispan.functions.text import compat_casefold, strip
 
+# Longest list that is written into the plan as patterns; longer ones go to the tasks as one automaton.
+PATTERN_TERMS = 64
 WORD = r"[\p{L}\p{N}_]"
 
 
@@ -52,10 +55,13 @@ def _term_pattern(terms: list[str]) -> str:
 
 def blocked_terms(normalized: Column, terms: list[str]) -> Column:
     """The terms found as whole words in text already put through ``compat_casefold``. One combined pattern
-    clears most rows; only rows it matches are checked term by term. The list is configuration, in order."""
+    clears most rows; only rows it matches are checked term by term. The list is configuration, in order; a list of more than
+    ``PATTERN_TERMS`` is searched by an automaton, with the same result."""
     none = F.array().cast("array<string>")
     if not terms:
         return none
+    if len(terms) > PATTERN_TERMS:
+        return found_terms(normalized, terms)
     each = F.array_compact(F.array(*[F.when(normalized.rlike(_term_pattern([term])), F.lit(term)) for term in terms]))
     return F.when(normalized.rlike(_term_pattern(terms)), each).otherwise(none)
 
@@ -67,7 +73,9 @@ def violations(text: Column, field: str, max_characters: int, terms: list[str])
         F.when(is_too_long(text, max_characters), F.lit(f"{field} excede o limite de {max_characters} caracteres")),
     ]
     if terms:
-        rules.append(F.when(compat_casefold(text).rlike(_term_pattern(terms)), F.lit(BLOCKED_VIOLATION)))
+        folded = compat_casefold(text)
+        blocked = F.size(found_terms(folded, terms)) > 0 if len(terms) > PATTERN_TERMS else folded.rlike(_term_pattern(terms))
+        rules.append(F.when(blocked, F.lit(BLOCKED_VIOLATION)))
     return F.array_compact(F.array(*rules))
 
 
