@@ -304,6 +304,28 @@ ORACLES = {
     OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS n FROM customer WINDOW w AS (PARTITION BY c_custkey // 500 ORDER BY c_custkey)),
   written AS (SELECT part, n, concat('Linha ', n, chr(10), 'name: ', c_name, chr(10), 'segment: ', c_mktsegment, chr(10), 'segment_2: ', c_nationkey, chr(10), 'x', chr(10), 'coluna_4: ') AS text FROM placed)
   SELECT concat('customers-', part, '.csv') AS source, CAST(n AS BIGINT) AS chunk_id, CAST(n AS BIGINT) AS row_start, CAST(n AS BIGINT) AS row_end, text, {n_tokens('text')} AS n_tokens FROM written""",
+    "uploads_profile": cte(
+        PACKED,
+        f"""placed AS (SELECT *, c_custkey // 500 AS part, CAST(1 + row_number() OVER w + coalesce(sum(CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END)
+    OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS n FROM customer WINDOW w AS (PARTITION BY c_custkey // 500 ORDER BY c_custkey)),
+  firsts AS (SELECT coalesce(text, '') AS text, min(concat(doc_id, '.pdf')) AS id FROM documents GROUP BY ALL),
+  pieces_of AS (SELECT f.id, 'pdf' AS file_type, m.text, m.n_tokens FROM made m JOIN firsts f ON f.id = concat(m.collection_id, '.pdf') WHERE length(f.text) % 50 <> 0
+    UNION ALL SELECT concat('customers-', part, '.csv'), 'csv', body, {n_tokens('body')} FROM (SELECT part, concat('Linha ', n, chr(10), 'name: ', c_name, chr(10),
+      'segment: ', c_mktsegment, chr(10), 'segment_2: ', c_nationkey, chr(10), 'x', chr(10), 'coluna_4: ') AS body FROM placed)),
+  refused AS (SELECT concat('/in/', doc_id, '.pdf') AS id, CASE WHEN length(coalesce(text, '')) % 50 = 0 THEN {c.PDF_UNREADABLE[0]} ELSE {c.PDF_NO_CONTENT[0]} END AS status_code,
+      CASE WHEN length(coalesce(text, '')) % 50 = 0 THEN {lit(c.PDF_UNREADABLE[1])} ELSE {lit(c.PDF_NO_CONTENT[1])} END AS detail
+      FROM documents WHERE length(coalesce(text, '')) % 50 = 0 OR CAST(doc_id AS VARCHAR) NOT IN (SELECT collection_id FROM made)
+    UNION ALL SELECT concat('/in/', n_name, '.csv'), {c.CSV_NO_ROWS[0]}, {lit(c.CSV_NO_ROWS[1])} FROM nation
+    UNION ALL SELECT concat('/in/', r_name, '.txt'), {c.UNSUPPORTED_FILE[0]}, {lit(c.UNSUPPORTED_FILE[1])} FROM region
+    UNION ALL SELECT concat('/in/', s_suppkey, '.large.pdf'), {c.FILE_TOO_LARGE[0]}, {lit(c.FILE_TOO_LARGE[1])} FROM supplier)""",
+        select="""SELECT id, file_type, CASE WHEN file_type = 'pdf' THEN 1 END AS pages, CASE WHEN file_type = 'csv' THEN CAST(count(*) AS INTEGER) END AS rows, count(*) AS chunks,
+  min(n_tokens) AS minimum_chunk_tokens, CAST(round_even(avg(n_tokens), 0) AS BIGINT) AS average_chunk_tokens, max(n_tokens) AS maximum_chunk_tokens,
+  CAST(round_even(avg(length(text)), 0) AS BIGINT) AS average_chunk_characters, CAST(NULL AS INTEGER) AS status_code, CAST(NULL AS VARCHAR) AS detail FROM pieces_of GROUP BY id, file_type
+  UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, status_code, detail FROM refused""",
+        recursive=True,
+    ),
+    "token_counts_pieces": """SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\p{M}\\p{Z}\\p{C}]'),
+  lambda t: (length(t) + 3) // 4)), 0) AS INTEGER) AS n_tokens FROM documents""",
     "header_normalize": f"""WITH cells AS (SELECT concat(conv_id, ':', turn) AS file_id, unnest(parts) AS value, CAST(generate_subscripts(parts, 1) AS INTEGER) AS pos
     FROM (SELECT conv_id, turn, string_split(text, ' ') AS parts FROM conversations)),
   based AS (SELECT file_id, pos, coalesce(nullif({strip('value')}, ''), concat('coluna_', pos)) AS base FROM cells),
@@ -396,6 +418,9 @@ good AS (SELECT k.query_id, CAST(row_number() OVER (PARTITION BY k.query_id ORDE
     CASE WHEN length(question) < 3 THEN 'question' WHEN depth NOT BETWEEN 1 AND 3 THEN 'depth' END AS detail FROM sent""",
     "guardrail_length": f"SELECT doc_id, {strip('t')} = '' AS is_empty, length(t) > 2000 AS is_too_long FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN concat(' ', chr(9), chr(10)) ELSE text END AS t FROM documents)",
     "blocked_terms": " UNION ALL ".join(f"SELECT doc_id, {lit(term)} AS term FROM documents WHERE regexp_matches({fold('text')}, {lit(blocked_regex(term))})" for term in BLOCKED),
+    "blocked_terms_long": f"""WITH term AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS term FROM benchmark),
+  word AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({fold('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents)
+  SELECT doc_id, CAST(count(*) AS INTEGER) AS n_terms, string_agg(term, ',' ORDER BY term) AS terms FROM word JOIN term USING (term) GROUP BY doc_id""",
     "guardrail_decision": cte(DECIDED, select=f"SELECT id, len(found) = 0 AS allowed, CASE WHEN len(found) = 0 THEN {lit(c.ALLOWED_REASON)} ELSE array_to_string(found, '; ') END AS reason, CAST(len(found) AS INTEGER) AS n_violations FROM decided"),
     "guardrail_enforce": cte(
         DECIDED,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evispan.constants import CLARIFICATION_FIELD, MAX_CLARIFICATION_CHARS, SEARCH_FAILED_ANSWER, SEARCH_FAILED_ERROR
 from evispan.functions import guardrails as rules
-from evispan.functions import labels
+from evispan.functions import labels, tokenizers
 from evispan.functions import text as tx
 from evispan.functions.stopwords import stopwords
 from evispan.operators import findings as fo
@@ -20,7 +20,7 @@ from evispan.plans import quick_answer as qa
 from evispan.plans import research
 from evispan.schema import CHUNK_COLUMNS
 from evispan.session import materialize, new_path, spread
-from evispan.sources import blocks, files, rows, store
+from evispan.sources import blocks, files, rows, store, uploads
 from evispan.streaming import jobs
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -215,11 +215,29 @@ def admission_filter(spark, sf):
 
 
 def csv_rows_ingest(spark, sf):
+    made, _ = files.csv_chunks(files.csv_records(_customer_files(spark, sf)))
+    return made.select("source", "chunk_id", "row_start", "row_end", "text", "n_tokens")
+
+
+def header_normalize(spark, sf):
+    headers = turns(spark, sf).select(
+        F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("file_id"), F.posexplode_outer(F.split("text", " ")).alias("pos", "value")
+    )
+    return files.header_normalize(headers.withColumn("pos", F.col("pos") + 1))
+
+
+def row_chunks(spark, sf):
+    orders = table(spark, sf, "orders")
+    made = rows.row_chunks(orders, "o_orderstatus", "o_orderkey", ["o_orderkey", "o_orderpriority", "o_custkey"], F.lit("orders"))
+    return made.select("collection_id", "chunk_id", "text", "row_start", "row_end", "n_tokens")
+
+
+def _customer_files(spark, sf):
     line = F.concat(
         F.col("c_name"), F.lit("; "), F.col("c_mktsegment"), F.lit(" ;\""), F.col("c_nationkey").cast("string"), F.lit("\nx\";"),
         F.when(F.col("c_custkey") % 10 == 0, F.lit("\n;;;")).otherwise(F.lit("")),
     )
-    uploads = (
+    return (
         table(spark, sf, "customer")
         .groupBy(F.floor(F.col("c_custkey") / 500).alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("lines"))
@@ -228,21 +246,34 @@ def csv_rows_ingest(spark, sf):
             F.encode(F.concat(F.lit("name;segment;segment;\n"), F.array_join(F.col("lines.line"), "\n"), F.lit("\n")), "utf-8").alias("content"),
         )
     )
-    made, _ = files.csv_chunks(files.csv_records(uploads))
-    return made.select("source", "chunk_id", "row_start", "row_end", "text", "n_tokens")
 
 
-def header_normalize(spark, sf):
-    headers = turns(spark, sf).select(
-        F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("file_id"), F.posexplode_outer(F.split("text", " ")).alias("pos", "value")
-    )
-    return files.header_normalize(headers.withColumn("pos", F.col("pos") + 1))
+def _line_parser():
+    """Stands for a PDF parser: a text's lines are blocks of page 1; it fails on texts of some lengths."""
 
+    def parse(content):
+        text = content.decode()
+        if len(text) % 50 == 0:
+            raise ValueError("unreadable")
+        return [(1, None, line) for line in text.split("\n")]
+
+    return parse
 
-def row_chunks(spark, sf):
-    orders = table(spark, sf, "orders")
-    made = rows.row_chunks(orders, "o_orderstatus", "o_orderkey", ["o_orderkey", "o_orderpriority", "o_custkey"], F.lit("orders"))
-    return made.select("collection_id", "chunk_id", "text", "row_start", "row_end", "n_tokens")
+
+def uploads_profile(spark, sf):
+    """Profiles and rejects of uploads of all kinds: documents as PDF files, customers as CSV files, CSV files of a
+    header alone for nations, text files for regions, and files that are too large for suppliers."""
+    named = lambda df, key, ending: df.withColumn("path", F.concat(F.lit("/in/"), F.col(key).cast("string"), F.lit(ending)))
+    made = named(table(spark, sf, "documents"), "doc_id", ".pdf").select("path", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    made = made.unionByName(_customer_files(spark, sf))
+    headers = named(table(spark, sf, "nation"), "n_name", ".csv").select("path", F.encode(F.concat("n_name", F.lit(";x\n")), "utf-8").alias("content"))
+    plain = named(table(spark, sf, "region"), "r_name", ".txt").select("path", F.encode("r_name", "utf-8").alias("content"))
+    uploads_ = made.unionByName(headers).unionByName(plain).withColumn("length", F.octet_length("content").cast("bigint"))
+    large = named(table(spark, sf, "supplier"), "s_suppkey", ".large.pdf").select("path", F.lit(None).cast("binary").alias("content"))
+    done = uploads.ingest_uploads(uploads_.unionByName(large.withColumn("length", F.lit(files.MAX_FILE_BYTES + 1).cast("bigint"))), _line_parser)
+    columns = ["source", "file_type", "pages", "rows", "chunks", "minimum_chunk_tokens", "average_chunk_tokens", "maximum_chunk_tokens", "average_chunk_characters"]
+    profiles = done.profiles.select(F.col("source").alias("id"), *columns[1:], F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("detail"))
+    return profiles.unionByName(done.rejects, allowMissingColumns=True)
 
 
 def _document_chunks(spark, sf):
@@ -273,6 +304,11 @@ def token_counts(spark, sf):
     return spread(table(spark, sf, "documents")).select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
 
 
+def token_counts_pieces(spark, sf):
+    """Token counts by a plug-in: pieces of at most four characters."""
+    return spread(table(spark, sf, "documents")).select("doc_id", tokenizers.counted(F.col("text"), tokenizers.fixed_pieces(4)).alias("n_tokens"))
+
+
 def document_profile(spark, sf):
     return store.document_profile(_document_chunks(spark, sf)).drop("rows")
 
@@ -495,6 +531,15 @@ def blocked_terms(spark, sf):
     return found.select("doc_id", F.posexplode_outer("found").alias("pos", "term")).where("term is not null").select("doc_id", "term")
 
 
+def blocked_terms_long(spark, sf):
+    """A long list, all words of four letters and more of the test items, in every document."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("term")).distinct()
+    terms = sorted(row.term for row in words.collect())  # the list is configuration; its bytes are checked
+    normalized = spread(table(spark, sf, "documents")).select("doc_id", tx.compat_casefold(F.col("text")).alias("normalized"))
+    found = normalized.select("doc_id", rules.blocked_terms(F.col("normalized"), terms).alias("found")).where(F.size("found") > 0)
+    return found.select("doc_id", F.size("found").alias("n_terms"), F.array_join("found", ",").alias("terms"))
+
+
 def _decided(spark, sf):
     texts = turns(spark, sf).select(F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("id"), F.concat(F.lit("  "), "text", F.lit("\n")).alias("text"))
     return guardrail.guardrail_decision(texts, "text", CLARIFICATION_FIELD, MAX_CLARIFICATION_CHARS, BLOCKED)
@@ -685,12 +730,12 @@ def stream_questions(spark, sf):
 
 
 REGISTERED = [
-    admission_filter, csv_rows_ingest, header_normalize, row_chunks, chunk_documents, chunk_blocks, chunk_pages, token_counts,
+    admission_filter, csv_rows_ingest, header_normalize, row_chunks, chunk_documents, chunk_blocks, chunk_pages, token_counts, token_counts_pieces, uploads_profile,
     document_profile, embed_chunks, index_build, repeated_upload, known_collections, unknown_collections,
     normalize_text, tokenize, stopword_filter, excerpt, location_label, parse_subquestions, short_summary,
     postings, collection_stats, term_df, bm25_scores, keyword_topk, keyword_topk_pruned, vector_topk, vector_topk_blocks, vector_cells, label_neighbours, mmr_select,
     hybrid_candidates, rerank_topn, rerank_validate, sources, answer_context, quick_answer,
-    request_validation, guardrail_length, blocked_terms, guardrail_decision, guardrail_enforce, blocked_term_list,
+    request_validation, guardrail_length, blocked_terms, blocked_terms_long, guardrail_decision, guardrail_enforce, blocked_term_list,
     unsupported, repeated_answers, follow_ups, dedupe_sources, initial_queue, unseen_queries, findings, format_findings,
     sufficiency, refinement_dedupe, refinement_fallback, research_rounds, report_fallback, research_report,
     clarification_questions, answer_outcomes, session_states, enriched_query, session_lookup, session_stream,
