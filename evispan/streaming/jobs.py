@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,88 +27,163 @@ SESSION_STATE = (
     "status string, original string, questions array<string>, answers array<string>, "
     "held_seq array<bigint>, held_kind array<string>, held_text array<string>, held_refused array<string>"
 )
+TIMED_STATE = SESSION_STATE + ", held_at array<bigint>, held_questions array<array<string>>, last_at bigint"
+SESSION_COLUMNS = [part.split()[0] for part in SESSION_OUTPUT.split(", ")]
+TICK = "tick"
+
+
+@dataclass
+class Session:
+    """A session inside the state functions; without status it has not been opened."""
+
+    status: str | None = None
+    original: str | None = None
+    questions: list[str] = field(default_factory=list)
+    answers: list[str] = field(default_factory=list)
+
+    def apply(self, key: str, seq: int, kind: str, text: str, asked: list[str] | None, refused: str | None) -> tuple:
+        """Take one event; the row that tells what became of it."""
+        code, detail = None, None
+        if kind == "start":
+            if self.status is None:
+                self.original, self.questions = text, list(asked if asked is not None else [])
+                self.status = "awaiting_clarification" if self.questions else "researching"
+        elif self.status is None:
+            code, detail = UNKNOWN_SESSION
+        elif kind == "done":
+            self.status = "completed" if self.status == "researching" else self.status
+        elif self.status != "awaiting_clarification":
+            code, detail = SESSION_NOT_WAITING
+        elif refused is not None:
+            code, detail = 422, f"Entrada rejeitada: {refused}."
+        else:
+            self.answers.append(text)
+            if len(self.answers) >= len(self.questions):
+                self.status = "researching"
+        return key, seq, self.status, code, detail, self.original, list(self.questions), list(self.answers)
+
+
+def _output(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=SESSION_COLUMNS).astype({"status_code": "Int32"})
+
+
+def _prepared(events: DataFrame, terms: list[str] | None, *more: str) -> DataFrame:
+    """Events with their text stripped and the reason why a guardrail refuses it, if one does."""
+    found = rules.violations(F.col("text"), CLARIFICATION_FIELD, MAX_CLARIFICATION_CHARS, terms or [])
+    reason = F.when(F.size(found) > 0, F.array_join(found, "; "))
+    return events.select("session_id", "seq", "kind", strip(F.col("text")).alias("text"), "questions", reason.alias("refused"), *more)
 
 
 def session_stream(
-    events: DataFrame, terms: list[str] | None = None, keep_ms: int | None = None, patience_ms: int | None = None
+    events: DataFrame,
+    terms: list[str] | None = None,
+    keep_ms: int | None = None,
+    patience_ms: int | None = None,
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """State changes of sessions from a stream ``(session_id, seq, kind, text, questions)``.
+    """State changes of sessions from a stream ``(session_id, seq, kind, text, questions[, at])``.
 
     ``start`` opens a session (with the clarification questions triage decided on), ``answer`` answers the
     next one, ``done`` reports that its research ended. Guardrail rules are evaluated as columns before the
-    state function, which only counts. Events are applied in ``seq`` order inside a micro-batch.
-
-    With ``patience_ms`` events that come before their session's start are kept in the state: they are applied once it
-    comes, and are answered as of an unknown session when it stays away that long. The result is then the same however the
-    input falls into micro-batches, as long as a session's later events don't overtake each other. Without it
-    they are answered at once. ``answer_outcomes`` gives the same results over tables of any skew. ``keep_ms``
-    forgets sessions without events for that long; by default they stay. Both are processing-time limits, for which Spark
-    goes on with empty micro-batches, so such a stream is stopped and doesn't end under ``availableNow``.
+    state function, which only counts. ``answer_outcomes`` gives the same results over tables of any skew.
+
+    **With an event time** ``at`` (timestamp) the result doesn't depend on how the input falls into micro-batches: an event
+    waits in the state until the watermark (largest ``at`` seen, less ``delay``) has passed it, and a session's events are
+    applied in the order ``(at, seq)``. What comes later than ``delay`` is late and left out, as is an event without a time.
+    The state holds a session's events of one ``delay``. The stream ends under ``availableNow``; the events of the last
+    ``delay`` then wait for the next run, or for an event of kind ``tick``, which only moves the time on. ``keep_ms`` forgets a session
+    to which nothing came for that long in event time.
+
+    **Without one** events are applied in ``seq`` order inside a micro-batch. With ``patience_ms`` those that
+    come before their session's start are kept, and answered as of an unknown session when it stays away that long; without it they
+    are answered at once. ``keep_ms`` forgets sessions without events for that long; by default they stay. Both are
+    processing-time limits, for which Spark goes on with empty micro-batches, so such a stream is stopped and doesn't end
+    under ``availableNow``.
     """
-    found = rules.violations(F.col("text"), CLARIFICATION_FIELD, MAX_CLARIFICATION_CHARS, terms or [])
-    reason = F.when(F.size(found) > 0, F.array_join(found, "; "))
-    prepared = events.select(
-        "session_id", "seq", "kind", strip(F.col("text")).alias("text"), "questions", reason.alias("refused")
-    )
-    columns = [part.split()[0] for part in SESSION_OUTPUT.split(", ")]
+    if "at" in events.columns:
+        if patience_ms is not None:
+            raise ValueError("patience_ms is for events without a time; use delay")
+        return _timed_sessions(events, terms, keep_ms, delay)
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fresh = (None, None, [], [], [], [], [], [])
         status, original, questions, answers, *held = state.get if state.exists else fresh
-        questions, answers = list(questions), list(answers)
+        session = Session(status, original, list(questions), list(answers))
         waiting = list(zip(*held))
-        out: list[tuple] = []
-
-        def apply(seq: int, kind: str, text: str, asked, refused: str | None) -> None:
-            nonlocal status, original, questions
-            code, detail = None, None
-            if kind == "start":
-                if status is None:
-                    original, questions = text, list(asked if asked is not None else [])
-                    status = "awaiting_clarification" if questions else "researching"
-            elif status is None:
-                code, detail = UNKNOWN_SESSION
-            elif kind == "done":
-                status = "completed" if status == "researching" else status
-            elif status != "awaiting_clarification":
-                code, detail = SESSION_NOT_WAITING
-            elif refused is not None:
-                code, detail = 422, f"Entrada rejeitada: {refused}."
-            else:
-                answers.append(text)
-                if len(answers) >= len(questions):
-                    status = "researching"
-            out.append((key[0], seq, status, code, detail, original, list(questions), list(answers)))
-
         if state.hasTimedOut:
-            for seq, kind, text, refused in waiting:
-                apply(seq, kind, text, None, refused)
+            out = [session.apply(key[0], seq, kind, text, None, refused) for seq, kind, text, refused in waiting]
             state.remove()
             if out:
-                yield pd.DataFrame(out, columns=columns).astype({"status_code": "Int32"})
+                yield _output(out)
             return
         batch = [(e.seq, e.kind, e.text, e.questions, e.refused) for frame in frames for e in frame.itertuples()]
         known = status is not None or any(kind == "start" for _, kind, *_ in batch)
+        out = []
         if known or patience_ms is None:
             batch += [(seq, kind, text, None, refused) for seq, kind, text, refused in waiting]
             waiting = []
-            for event in sorted(batch, key=lambda e: e[0]):
-                apply(*event)
+            out = [session.apply(key[0], *event) for event in sorted(batch, key=lambda e: e[0])]
         else:
             waiting += [(seq, kind, text, refused) for seq, kind, text, _, refused in batch]
-        if status is not None or waiting:
+        if session.status is not None or waiting:
             held = [list(part) for part in zip(*waiting)] if waiting else [[], [], [], []]
-            state.update((status, original, questions, answers, *held))
-            if status is None:
+            state.update((session.status, session.original, session.questions, session.answers, *held))
+            if session.status is None:
                 state.setTimeoutDuration(patience_ms)
             elif keep_ms is not None:
                 state.setTimeoutDuration(keep_ms)
         if out:
-            yield pd.DataFrame(out, columns=columns).astype({"status_code": "Int32"})
+            yield _output(out)
 
     timed = keep_ms is not None or patience_ms is not None
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    return prepared.groupBy("session_id").applyInPandasWithState(advance, SESSION_OUTPUT, SESSION_STATE, "append", timeout)
+    grouped = _prepared(events, terms).groupBy("session_id")
+    return grouped.applyInPandasWithState(advance, SESSION_OUTPUT, SESSION_STATE, "append", timeout)
+
+
+def _timed_sessions(events: DataFrame, terms: list[str] | None, keep_ms: int | None, delay: str) -> DataFrame:
+    """Sessions on event time: every event is held until the watermark has passed it."""
+    dated = events.where("at IS NOT NULL").withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fresh = (None, None, [], [], [], [], [], [], [], [], None)
+        status, original, questions, answers, *kept, last = state.get if state.exists else fresh
+        session = Session(status, original, list(questions), list(answers))
+        seqs, kinds, texts, refusals, times, asked = kept
+        held = list(zip(times, seqs, kinds, texts, asked, refusals))
+        if not state.hasTimedOut:
+            held += [
+                (int(e.at_us), int(e.seq), e.kind, e.text, None if e.questions is None else list(e.questions), e.refused)
+                for frame in frames
+                for e in frame.itertuples()
+                if e.kind != TICK
+            ]
+        passed_ms = state.getCurrentWatermarkMs()
+        held.sort(key=lambda e: e[:2])
+        out = []
+        while held and held[0][0] < passed_ms * 1000:
+            at, *event = held.pop(0)
+            if keep_ms is not None and last is not None and at > last + keep_ms * 1000:
+                session = Session()
+            out.append(session.apply(key[0], *event))
+            last = at
+        gone = keep_ms is not None and last is not None and last + keep_ms * 1000 < passed_ms * 1000
+        if held or (session.status is not None and not gone):
+            times, seqs, kinds, texts, asked, refusals = [list(part) for part in zip(*held)] if held else [[] for _ in range(6)]
+            state.update(
+                (session.status, session.original, session.questions, session.answers, seqs, kinds, texts, refusals, times, asked, last)
+            )
+            if held:
+                state.setTimeoutTimestamp(max(held[0][0] // 1000, passed_ms, 1))
+            elif keep_ms is not None:
+                state.setTimeoutTimestamp(max(last // 1000 + keep_ms, passed_ms, 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield _output(out)
+
+    grouped = _prepared(dated, terms, "at", "at_us").groupBy("session_id")
+    return grouped.applyInPandasWithState(advance, SESSION_OUTPUT, TIMED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_ingest(

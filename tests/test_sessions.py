@@ -1,3 +1,4 @@
+import datetime
 import time
 
 from pyspark.sql import functions as F
@@ -113,6 +114,67 @@ def test_early_events_wait_for_their_start(spark, tmp_path):
     assert outcomes[0] == outcomes[1] == [(0, "awaiting_clarification", None, 0), (1, "awaiting_clarification", None, 1), (2, "researching", None, 2)]
 
 
+TIMED = SCHEMA + ", at timestamp"
+
+
+def at(seconds):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
+
+
+def timed_run(spark, tmp_path, name, source, files, delay="10 minutes", **options):
+    """All rows of the stream over the files below ``source``; it ends by itself."""
+    events = spark.readStream.schema(TIMED).option("maxFilesPerTrigger", files).parquet(source)
+    out = str(tmp_path / f"out-{name}")
+    stream = jobs.session_stream(events, ["bomba"], delay=delay, **options)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.session_id, r.seq, r.status, r.status_code, len(r.clarification_responses)) for r in spark.read.schema(jobs.SESSION_OUTPUT).parquet(out).collect())
+
+
+def write_files(spark, source, files):
+    for rows in files:
+        spark.createDataFrame(rows, TIMED).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.02)
+
+
+def test_event_time_gives_one_result_for_every_number_of_files(spark, tmp_path):
+    """Answers in files before their session's start, an unknown session, equal times, an answer that precedes its start in time."""
+    source = str(tmp_path / "events")
+    write_files(spark, source, [
+        [("s", 2, "answer", "two", None, at(20)), ("ghost", 1, "answer", "boo", None, at(5))],
+        [("s", 1, "answer", "one", None, at(10)), ("t", 0, "start", "clear", [], at(1))],
+        [("early", 1, "answer", "too soon", None, at(3)), ("t", 1, "done", "", None, at(2))],
+        [("s", 0, "start", "what", ["q1", "q2"], at(0)), ("early", 2, "start", "later", ["q"], at(4)), ("early", 3, "answer", "bomba", None, at(4))],
+        [("u", 0, "start", "u", ["q"], at(30)), ("u", 1, "answer", "a", None, at(30))],
+        [("any", 0, "tick", None, None, at(7200))],
+        [("u", 2, "answer", "not due yet", None, at(7000))],
+    ])
+    got = {files: timed_run(spark, tmp_path, str(files), source, files) for files in (1, 3, 64)}
+    assert got[1] == got[3] == got[64] == sorted([
+        ("ghost", 1, None, 404, 0), ("early", 1, None, 404, 0), ("early", 2, "awaiting_clarification", None, 0), ("early", 3, "awaiting_clarification", 422, 0),
+        ("s", 0, "awaiting_clarification", None, 0), ("s", 1, "awaiting_clarification", None, 1), ("s", 2, "researching", None, 2),
+        ("t", 0, "researching", None, 0), ("t", 1, "completed", None, 0),
+        ("u", 0, "awaiting_clarification", None, 0), ("u", 1, "researching", None, 1),
+    ], key=lambda r: (r[0], r[1]))
+    # What was not due waits in the state for the next run over the same checkpoint.
+    write_files(spark, source, [[("any", 1, "tick", None, None, at(90_000))]])
+    assert ("u", 2, "researching", 409, 1) in timed_run(spark, tmp_path, "64", source, 64)
+
+
+def test_event_time_forgets_sessions(spark, tmp_path):
+    source = str(tmp_path / "events")
+    write_files(spark, source, [
+        [("s", 0, "start", "what", ["q1"], at(0)), ("kept", 0, "start", "what", ["q1"], at(0))],
+        [("s", 1, "answer", "one", None, at(100)), ("kept", 1, "answer", "one", None, at(50))],
+        [("any", 0, "tick", None, None, at(7200))],
+    ])
+    for files in (1, 64):
+        got = timed_run(spark, tmp_path, f"keep{files}", source, files, keep_ms=60_000)
+        assert got == [
+            ("kept", 0, "awaiting_clarification", None, 0), ("kept", 1, "researching", None, 1),
+            ("s", 0, "awaiting_clarification", None, 0), ("s", 1, None, 404, 0),
+        ]
+
+
 def test_ingest_and_question_streams(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
     source = str(tmp_path / "in")
