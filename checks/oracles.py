@@ -274,7 +274,9 @@ STORE_SUMMARY = cte(
 )
 NULLS = "CAST(NULL AS INTEGER) AS status_code, CAST(NULL AS VARCHAR) AS detail"
 
-ROUNDS = QUEUE + f""",
+def rounds(queue):
+    """All rounds of the searches in ``queue``, as ``every``."""
+    return queue + f""",
 level1 AS (SELECT collection_id, concat({lit(c.REFINEMENT_PREFIX)}, query) AS query FROM queue),
 level2 AS (SELECT collection_id, concat({lit(c.REFINEMENT_PREFIX)}, query) AS query FROM level1),
 universe AS (SELECT collection_id, query FROM queue UNION SELECT * FROM level1 UNION SELECT * FROM level2), """ + searched("universe") + f""",
@@ -292,6 +294,31 @@ round3 AS (SELECT n.question_id, n.collection_id, n.depth, 3 AS round, n.ord, n.
   WHERE NOT EXISTS (SELECT 1 FROM first_two r WHERE r.question_id = n.question_id AND r.query = n.query)),
 every AS (SELECT * FROM first_two UNION ALL SELECT * FROM round3)"""
 
+
+ROUNDS = rounds(QUEUE)
+
+QUEUE_OF_SESSIONS = f"""
+asked_for AS (SELECT session_id AS question_id, [{LANG_LIST}][CAST(session_id AS INTEGER) % {len(LANGUAGES)} + 1] AS collection_id, CAST(CAST(session_id AS INTEGER) % 3 + 1 AS INTEGER) AS depth,
+  original, CASE WHEN len(questions) = 0 THEN original ELSE concat(original, chr(10), chr(10), {lit(c.CLARIFICATIONS_HEADER)}, chr(10),
+  array_to_string(list_transform(range(1, len(responses) + 1), lambda i: concat('- ', questions[i], ': ', responses[i])), chr(10))) END AS question
+  FROM states WHERE len(responses) = len(questions)),
+planned_texts AS (SELECT question_id, question, replace(question, '. ', chr(10)) AS output FROM asked_for),""" + parse_plan("planned", "planned_texts") + f""",
+queue AS (SELECT question_id, collection_id, 0 AS ord, original AS query, depth FROM asked_for
+  UNION ALL SELECT p.question_id, r.collection_id, p.ord, p.query, r.depth FROM planned p JOIN asked_for r USING (question_id)
+  WHERE {fold('p.query')} <> {fold('r.original')})"""
+SESSION_ROUNDS = rounds(SESSIONS + "," + QUEUE_OF_SESSIONS)
+
+# The report of every question, from the rows of all its rounds.
+REPORTED = f"""ended AS (SELECT question_id, CAST(max(round) AS INTEGER) AS rounds_completed, NOT bool_or(n_sources = 0) AS is_sufficient,
+  list(query ORDER BY round, ord) FILTER (WHERE n_sources = 0) AS lacking,
+  string_agg(concat(query, ': ', answer), chr(10) || chr(10) ORDER BY round, ord) FILTER (WHERE n_sources > 0) AS body FROM every GROUP BY ALL),
+same AS (SELECT question_id, min(round * 1000 + ord) AS first, string_agg(query, '; ' ORDER BY round, ord) AS queries FROM (SELECT *, lower({collapse('answer')}) AS key FROM every)
+  WHERE length(key) > {c.REPEATED_ANSWER_CHARS} GROUP BY question_id, key HAVING count(*) > 1),
+conflict AS (SELECT question_id, string_agg(queries, '|' ORDER BY first) AS conflicts FROM same GROUP BY ALL),
+cited AS (SELECT e.question_id, count(DISTINCT {excerpt('r.text')}) AS n FROM every e JOIN answered a USING (collection_id, query) JOIN reranked r ON r.query_id = a.query_id GROUP BY ALL),
+written AS (SELECT *, CASE WHEN body IS NULL THEN {lit(c.NO_EVIDENCE_REPORT)} WHEN lacking IS NULL THEN body
+  ELSE concat(body, chr(10), chr(10), {lit(c.LIMITATIONS_PREFIX)}, array_to_string(list_slice(lacking, 1, 4), '; ')) END AS answer FROM ended)"""
+
 TALK_LABELS = """array_to_string(list_transform(range(1, len(string_split(reply, chr(10))) + 1), lambda j:
   CASE WHEN j % 2 = 1 THEN concat('página ', j) WHEN j % 4 = 2 THEN concat('linha ', j) ELSE concat('linhas ', j, '-', j + 2) END), ', ')"""
 
@@ -478,15 +505,7 @@ firsts AS (SELECT question_id, excerpt, min(ord * 100 + rank) AS first FROM cite
     ),
     "research_report": cte(
         ROUNDS,
-        f"""ended AS (SELECT question_id, CAST(max(round) AS INTEGER) AS rounds_completed, NOT bool_or(n_sources = 0) AS is_sufficient,
-  list(query ORDER BY round, ord) FILTER (WHERE n_sources = 0) AS lacking,
-  string_agg(concat(query, ': ', answer), chr(10) || chr(10) ORDER BY round, ord) FILTER (WHERE n_sources > 0) AS body FROM every GROUP BY ALL),
-same AS (SELECT question_id, min(round * 1000 + ord) AS first, string_agg(query, '; ' ORDER BY round, ord) AS queries FROM (SELECT *, lower({collapse('answer')}) AS key FROM every)
-  WHERE length(key) > {c.REPEATED_ANSWER_CHARS} GROUP BY question_id, key HAVING count(*) > 1),
-conflict AS (SELECT question_id, string_agg(queries, '|' ORDER BY first) AS conflicts FROM same GROUP BY ALL),
-cited AS (SELECT e.question_id, count(DISTINCT {excerpt('r.text')}) AS n FROM every e JOIN answered a USING (collection_id, query) JOIN reranked r ON r.query_id = a.query_id GROUP BY ALL),
-written AS (SELECT *, CASE WHEN body IS NULL THEN {lit(c.NO_EVIDENCE_REPORT)} WHEN lacking IS NULL THEN body
-  ELSE concat(body, chr(10), chr(10), {lit(c.LIMITATIONS_PREFIX)}, array_to_string(list_slice(lacking, 1, 4), '; ')) END AS answer FROM ended)""",
+        REPORTED,
         select=f"""SELECT w.question_id, w.answer, substring(string_split(w.answer, chr(10) || chr(10))[1], 1, {c.SUMMARY_CHARS}) AS short_summary, w.rounds_completed, w.is_sufficient,
   CAST(coalesce(i.n, 0) AS INTEGER) AS n_sources, coalesce(array_to_string(list_transform(w.lacking, lambda q: concat({lit(c.FOLLOW_UP_PREFIX)}, q)), '|'), '') AS follow_ups, coalesce(x.conflicts, '') AS conflicts
   FROM written w LEFT JOIN cited i USING (question_id) LEFT JOIN conflict x USING (question_id)""",
@@ -511,6 +530,14 @@ written AS (SELECT *, CASE WHEN body IS NULL THEN {lit(c.NO_EVIDENCE_REPORT)} WH
     ),
     "session_lookup": f"""WITH latest AS (SELECT CAST(conv_id AS VARCHAR) AS id, max(turn) AS seq, arg_max(role, turn) AS status FROM conversations GROUP BY conv_id)
   SELECT CAST(d.doc_id AS VARCHAR) AS id, l.seq, l.status, CASE WHEN l.id IS NULL THEN {c.UNKNOWN_SESSION[0]} END AS status_code FROM documents d LEFT JOIN latest l ON l.id = CAST(d.doc_id AS VARCHAR)""",
+    "session_research": cte(
+        SESSION_ROUNDS,
+        REPORTED,
+        select=f"""SELECT s.session_id, CASE WHEN len(s.responses) < len(s.questions) THEN 'awaiting_clarification' ELSE 'completed' END AS status, CAST(len(s.responses) AS INTEGER) AS n_responses,
+  w.answer, substring(string_split(w.answer, chr(10) || chr(10))[1], 1, {c.SUMMARY_CHARS}) AS short_summary, w.rounds_completed, w.is_sufficient,
+  CASE WHEN w.question_id IS NOT NULL THEN CAST(coalesce(i.n, 0) AS INTEGER) END AS n_sources
+  FROM states s LEFT JOIN written w ON w.question_id = s.session_id LEFT JOIN cited i ON i.question_id = s.session_id""",
+    ),
     "session_stream": cte(
         SESSIONS,
         select="""SELECT session_id, CAST(0 AS BIGINT) AS seq, CAST(NULL AS INTEGER) AS status_code, 0 AS n_responses FROM opened

@@ -18,6 +18,7 @@ from evispan.operators import findings as fo
 from evispan.operators import cells, guardrail, hybrid, lexical, sessions, vector
 from evispan.plans import quick_answer as qa
 from evispan.plans import research
+from evispan.plans import sessions as plan_sessions
 from evispan.schema import CHUNK_COLUMNS
 from evispan.session import materialize, new_path, spread
 from evispan.sources import blocks, files, rows, store, uploads
@@ -693,22 +694,74 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def session_stream(spark, sf):
-    """The clarification events of all conversations as a stream, and the last state of every session."""
+EVENT_COLUMNS = "session_id string, seq bigint, kind string, text string, questions array<string>, at timestamp"
+FIRST_SECOND = 1_700_000_000
+
+
+def _clock(seq):
+    """A conversation's turns are a second apart."""
+    return F.timestamp_seconds(F.lit(FIRST_SECOND) + seq)
+
+
+def _tick(spark, path, second):
+    """An event that only moves the time on, so that everything before it is due."""
+    none = F.lit(None).cast("string")
+    row = spark.range(1).select(F.lit("clock").alias("session_id"), F.col("id").alias("seq"), F.lit(jobs.TICK).alias("kind"), none.alias("text"), F.array().cast("array<string>").alias("questions"), F.timestamp_seconds(F.lit(second)).alias("at"))
+    row.write.mode("append").parquet(path)
+
+
+def _session_events(spark, sf):
+    """A folder of the clarification events of all conversations, and the sessions."""
     path = new_path(spark, "events")
     made = talk_sessions(spark, sf)
     none = F.array().cast("array<string>")
     starts = made.select("session_id", F.lit(0).cast("bigint").alias("seq"), F.lit("start").alias("kind"), F.col("original_query").alias("text"), F.col("clarification_questions").alias("questions"))
-    answers = talk_answers(spark, sf).select("session_id", "seq", F.lit("answer").alias("kind"), "text", none.alias("questions"))
-    starts.unionByName(answers).write.parquet(path)
-    events = spark.readStream.schema("session_id string, seq bigint, kind string, text string, questions array<string>").parquet(path)
-    output, checkpoint = new_path(spark, "states"), new_path(spark, "checkpoint")
-    run = jobs.session_stream(events, BLOCKED).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    answers = talk_answers(spark, sf).select("session_id", F.col("seq").cast("bigint").alias("seq"), F.lit("answer").alias("kind"), "text", none.alias("questions"))
+    starts.unionByName(answers).withColumn("at", _clock(F.col("seq"))).write.parquet(path)
+    _tick(spark, path, FIRST_SECOND + 2 * 86_400)
+    return path, made
+
+
+def _session_changes(spark, path, output, checkpoint, files=64):
+    """Run the session stream over what is new in the folder; all changes so far."""
+    events = spark.readStream.schema(EVENT_COLUMNS).option("maxFilesPerTrigger", files).parquet(path)
+    run = jobs.session_stream(events, BLOCKED, delay="1 day").writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    states = spark.read.parquet(output)
+    return spark.read.schema(jobs.SESSION_OUTPUT).parquet(output)
+
+
+def session_stream(spark, sf, files=64):
+    """The clarification events of all conversations as a stream on event time, and what became of every event."""
+    path, _ = _session_events(spark, sf)
+    states = _session_changes(spark, path, new_path(spark, "states"), new_path(spark, "checkpoint"), files)
     return states.select("session_id", "seq", "status_code", F.when(F.col("status").isNotNull(), F.size("clarification_responses")).alias("n_responses"))
 
 
+def _sentence_planner():
+    """Plan texts: the sentences of a question, one per line."""
+    return lambda texts: [text.replace(". ", "\n") for text in texts]
+
+
+def session_research(spark, sf):
+    """Sessions through the stream, research of those that are ready, their end back into the stream: all sessions, and the
+    reports of the completed ones."""
+    path, made = _session_events(spark, sf)
+    output, checkpoint = new_path(spark, "states"), new_path(spark, "checkpoint")
+    changes = _session_changes(spark, path, output, checkpoint)
+    number = F.col("session_id").cast("int")
+    languages = F.array(*[F.lit(lang) for lang in LANGUAGES])
+    requests = made.select("session_id", F.get(languages, number % len(LANGUAGES)).alias("collection_id"), (number % 3 + 1).cast("int").alias("depth"))
+    done_at = FIRST_SECOND + 3 * 86_400
+    ended = plan_sessions.research_sessions(
+        corpus(spark, sf, with_vectors=False), changes, requests, research.Agents(plan=_sentence_planner), F.timestamp_seconds(F.lit(done_at))
+    )
+    ended.done.write.mode("append").parquet(path)
+    _tick(spark, path, done_at + 2 * 86_400)
+    states = plan_sessions.latest_states(_session_changes(spark, path, output, checkpoint))
+    reports = ended.reports.select("session_id", "answer", "short_summary", "rounds_completed", "is_sufficient", F.size("sources").alias("n_sources"))
+    return states.select("session_id", "status", F.size("clarification_responses").alias("n_responses")).join(reports, "session_id", "left")
+
+
 def stream_ingest(spark, sf):
     kept = store.IndexStore(spark, new_path(spark, "store"))
     arrivals = _stream(spark, sf, "documents")
@@ -738,7 +791,7 @@ REGISTERED = [
     request_validation, guardrail_length, blocked_terms, blocked_terms_long, guardrail_decision, guardrail_enforce, blocked_term_list,
     unsupported, repeated_answers, follow_ups, dedupe_sources, initial_queue, unseen_queries, findings, format_findings,
     sufficiency, refinement_dedupe, refinement_fallback, research_rounds, report_fallback, research_report,
-    clarification_questions, answer_outcomes, session_states, enriched_query, session_lookup, session_stream,
+    clarification_questions, answer_outcomes, session_states, enriched_query, session_lookup, session_stream, session_research,
     stream_ingest, stream_questions,
 ]
 QUERIES = {function.__name__: function for function in REGISTERED}
