@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.workload import BLOCKED, LANGUAGES
+from checks.workload import BLOCKED, LANGUAGES, REFUSED
 from evispan import constants as c
 from evispan.functions.stopwords import PORTUGUESE
 from evispan.functions.text import TERM, TOKEN, WHITESPACE_CLASS as WS
@@ -212,14 +212,14 @@ def blocked_regex(term):
     return rf"(^|[^\p{{L}}\p{{N}}_]){folded}($|[^\p{{L}}\p{{N}}_])"
 
 
-def is_blocked(x):
-    return "(" + " OR ".join(f"regexp_matches({fold(x)}, {lit(blocked_regex(term))})" for term in BLOCKED) + ")"
+def is_blocked(x, terms=BLOCKED):
+    return "(" + " OR ".join(f"regexp_matches({fold(x)}, {lit(blocked_regex(term))})" for term in terms) + ")"
 
 
-def violations(x):
-    return f"""list_filter([CASE WHEN {strip(x)} = '' THEN {lit(c.CLARIFICATION_FIELD + c.EMPTY_VIOLATION)} END,
-  CASE WHEN length({x}) > {c.MAX_CLARIFICATION_CHARS} THEN '{c.CLARIFICATION_FIELD} excede o limite de {c.MAX_CLARIFICATION_CHARS} caracteres' END,
-  CASE WHEN {is_blocked(x)} THEN {lit(c.BLOCKED_VIOLATION)} END], lambda v: v IS NOT NULL)"""
+def violations(x, name=c.CLARIFICATION_FIELD, most=c.MAX_CLARIFICATION_CHARS, terms=BLOCKED):
+    return f"""list_filter([CASE WHEN {strip(x)} = '' THEN {lit(name + c.EMPTY_VIOLATION)} END,
+  CASE WHEN length({x}) > {most} THEN '{name} excede o limite de {most} caracteres' END,
+  CASE WHEN {is_blocked(x, terms)} THEN {lit(c.BLOCKED_VIOLATION)} END], lambda v: v IS NOT NULL)"""
 
 
 DECIDED = f"""
@@ -443,6 +443,16 @@ good AS (SELECT k.query_id, CAST(row_number() OVER (PARTITION BY k.query_id ORDE
     coalesce(CASE WHEN turn <> 2 THEN CAST(turn AS INTEGER) END, {c.DEFAULT_DEPTH}) AS depth FROM conversations WHERE role = 'user')
   SELECT id, CASE WHEN length(question) >= 3 AND depth BETWEEN 1 AND 3 THEN depth END AS depth, CASE WHEN NOT (length(question) >= 3 AND depth BETWEEN 1 AND 3) THEN 422 END AS status_code,
     CASE WHEN length(question) < 3 THEN 'question' WHEN depth NOT BETWEEN 1 AND 3 THEN 'depth' END AS detail FROM sent""",
+    "request_outcomes": cte(
+        f"""requests AS (SELECT concat(conv_id, ':', turn) AS id, [{LANG_LIST}, 'xx'][conv_id % 5 + 1] AS collection_id, CASE WHEN conv_id % 7 = 0 THEN substring(text, 1, 2) ELSE text END AS question
+  FROM conversations WHERE role = 'user'),
+checked AS (SELECT *, {violations('question', c.QUESTION_FIELD, c.MAX_QUESTION_CHARS, REFUSED)} AS broken FROM requests),
+decided AS (SELECT *, CASE WHEN length(question) < 3 OR len(broken) > 0 THEN 422 WHEN collection_id NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL AND length(text) > 0) THEN {c.UNKNOWN_COLLECTION[0]} ELSE 200 END AS status_code FROM checked),
+passed AS (SELECT collection_id, {strip('question')} AS query FROM decided WHERE status_code = 200), """ + searched("passed"),
+        select=f"""SELECT d.id, CAST(d.status_code AS INTEGER) AS status_code, CASE WHEN length(d.question) < 3 THEN 'question' WHEN len(d.broken) > 0 THEN concat('Entrada rejeitada: ', array_to_string(d.broken, '; '), '.')
+    WHEN d.status_code = 404 THEN {lit(c.UNKNOWN_COLLECTION[1])} END AS detail, a.answer, coalesce(a.n_sources, 0) AS n_sources
+  FROM decided d LEFT JOIN answered a ON d.status_code = 200 AND a.collection_id = d.collection_id AND a.query = {strip('d.question')}""",
+    ),
     "guardrail_length": f"SELECT doc_id, {strip('t')} = '' AS is_empty, length(t) > 2000 AS is_too_long FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN concat(' ', chr(9), chr(10)) ELSE text END AS t FROM documents)",
     "blocked_terms": " UNION ALL ".join(f"SELECT doc_id, {lit(term)} AS term FROM documents WHERE regexp_matches({fold('text')}, {lit(blocked_regex(term))})" for term in BLOCKED),
     "blocked_terms_long": f"""WITH term AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{4,}}')) AS term FROM benchmark),

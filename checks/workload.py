@@ -17,6 +17,7 @@ from evispan.functions.stopwords import stopwords
 from evispan.operators import findings as fo
 from evispan.operators import cells, guardrail, hybrid, lexical, sessions, vector
 from evispan.plans import quick_answer as qa
+from evispan.plans import requests as plan_requests
 from evispan.plans import research
 from evispan.plans import sessions as plan_sessions
 from evispan.schema import CHUNK_COLUMNS
@@ -25,6 +26,7 @@ from evispan.sources import blocks, files, rows, store, uploads
 from evispan.streaming import jobs
 
 LANGUAGES = ("de", "en", "es", "fr")
+REFUSED = ["straße", "ñar", "pour"]
 BLOCKED = ["The", "straße", "und", "pour", "ñar"]
 
 
@@ -521,6 +523,19 @@ def request_validation(spark, sf):
     return good.unionByName(rejects.select("id", F.lit(None).cast("int").alias("depth"), "status_code", "detail"))
 
 
+def request_outcomes(spark, sf):
+    """Every user turn as a request: some malformed, some refused, a fifth for a collection that doesn't exist."""
+    languages = F.array(*[F.lit(lang) for lang in (*LANGUAGES, "xx")])
+    requests = turns(spark, sf).where("role = 'user'").select(
+        F.concat_ws(":", "session_id", F.col("turn").cast("string")).alias("question_id"),
+        F.get(languages, (F.col("conv_id") % 5).cast("int")).alias("collection_id"),
+        F.when(F.col("conv_id") % 7 == 0, F.substring("text", 1, 2)).otherwise(F.col("text")).alias("question"),
+    )
+    built = corpus(spark, sf, with_vectors=False)
+    made = plan_requests.request_outcomes(built, requests, built.index.stats, REFUSED)
+    return made.select("id", "status_code", "detail", "answer", F.size("sources").alias("n_sources"))
+
+
 def guardrail_length(spark, sf):
     text = F.when(F.col("doc_id") % 50 == 0, F.lit(" \t\n")).otherwise(F.col("text"))
     return spread(table(spark, sf, "documents")).select("doc_id", rules.is_empty(text).alias("is_empty"), rules.is_too_long(text, 2000).alias("is_too_long"))
@@ -788,7 +803,7 @@ REGISTERED = [
     normalize_text, tokenize, stopword_filter, excerpt, location_label, parse_subquestions, short_summary,
     postings, collection_stats, term_df, bm25_scores, keyword_topk, keyword_topk_pruned, vector_topk, vector_topk_blocks, vector_cells, label_neighbours, mmr_select,
     hybrid_candidates, rerank_topn, rerank_validate, sources, answer_context, quick_answer,
-    request_validation, guardrail_length, blocked_terms, blocked_terms_long, guardrail_decision, guardrail_enforce, blocked_term_list,
+    request_validation, request_outcomes, guardrail_length, blocked_terms, blocked_terms_long, guardrail_decision, guardrail_enforce, blocked_term_list,
     unsupported, repeated_answers, follow_ups, dedupe_sources, initial_queue, unseen_queries, findings, format_findings,
     sufficiency, refinement_dedupe, refinement_fallback, research_rounds, report_fallback, research_report,
     clarification_questions, answer_outcomes, session_states, enriched_query, session_lookup, session_stream, session_research,
