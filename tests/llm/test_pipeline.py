@@ -1,10 +1,17 @@
 """Stages of the training-data pipeline on small tables."""
 
+import random
+import re
+import zlib
+
+import numpy as np
 import pytest
 
 from pyspark.sql.types import LongType, StringType, StructField, StructType
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from evispan.llm.queries import tokenizer_path
 
 FULL = StructType([StructField(c, LongType() if c in ("doc_id", "n_chars") else StringType()) for c in pipeline.COLUMNS])
 
@@ -41,3 +48,123 @@ def test_line_on_few_hundredths_of_a_source_goes(spark, documents):
     assert len(got) == 200
     for i, text, _ in rows:
         assert got[i].text == text.removesuffix("\nThe footer") and got[i].n_chars == len(got[i].text)
+
+
+# ---------------------------------------------------------------- run() against brute force
+
+
+def random_words(rng, n, mark):
+    """Words of which six mark the text as good or bad, so that a classifier can tell on few rows."""
+    return [*(rng.choice(VOCABULARY) for _ in range(n - 6)), *[mark] * 6]
+
+
+VOCABULARY = [f"v{i}" for i in range(400)]
+PASSAGE = " ".join(f"exam{i}" for i in range(30))
+ITEMS = [(1, PASSAGE), (2, "a short item"), (3, None), (4, "")]
+FOOTER = "All rights of this page"
+
+
+@pytest.fixture(scope="module")
+def corpus_rows():
+    """(doc_id, text, source): good and bad texts, a footer on many pages, copies, near copies, benchmark passages, odd rows."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        words = random_words(rng, 60, "vile" if i % 4 == 3 else "mild")
+        rng.shuffle(words)
+        text = " ".join(words[:30]) + "\n" + " ".join(words[30:])
+        rows.append((i, text + (f"\n  {FOOTER} " if i % 3 == 0 else ""), "a" if i < 80 else "b"))
+    good = [r for r in rows if r[0] % 4 != 3]
+    base = rng.choice(good[10:])[1].removesuffix(f"\n  {FOOTER} ")
+    near = base.split(" ")
+    near[12] = "changed"
+    rows += [(200, base, "b"), (201, " ".join(near), "c"), (202, base.upper(), None)]
+    rows += [(300, f"{good[0][1]} {PASSAGE} mild", "c"), (301, " ".join(random_words(rng, 900, "mild")) + " a short item mild", "c"), (302, f"mild {PASSAGE.upper()}", "c")]
+    long_text = " ".join(f"w{i}" for i in range(9_000)) + " mild"
+    rows += [(400, None, "a"), (401, "", "a"), (402, " \n ", None), (403, long_text, "c"), (404, "mild", "c"), (None, "mild no id here at all", "c"), (405, "mild twice", "b"), (405, "mild twice", "b")]
+    return rows
+
+
+def brute_run(rows):
+    """The texts that reach packing, by plain Python: (doc_id, text) with repeated rows once."""
+    rows = [r for r in rows if "vile" not in (r[1] or "").split()]
+    pages = {}
+    for _, text, source in rows:
+        if source is not None and text is not None:
+            pages.setdefault(source, set()).add(text)
+    key = lambda line: line.strip(" \t\r\n\x0b\x0c")
+    gone = {}
+    for source, texts in pages.items():
+        held = {}
+        for text in texts:
+            for line in {key(line) for line in text.split("\n")} - {""}:
+                held[line] = held.get(line, 0) + 1
+        gone[source] = {line for line, n in held.items() if n >= 5 and n > 0.02 * len(texts)}
+    cut = {(d, t if t is None or s is None else "\n".join(x for x in t.split("\n") if key(x) not in gone[s])) for d, t, s in rows}
+    cut = sorted(cut, key=repr)
+    sets = []
+    for _, text in cut:
+        seq = (text or "").lower().split()
+        n = min(5, len(seq))
+        sets.append({tuple(seq[i : i + n]) for i in range(len(seq) - n + 1)} if n else set())
+    label = list(range(len(cut)))
+    for i in range(len(cut)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and None not in (cut[i][0], cut[j][0]) and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                label = [label[j] if x == label[i] else x for x in label]
+    kept = [(d, t) for (d, t), x in zip(cut, label) if d is None or d == min(e for (e, _), y in zip(cut, label) if y == x and e is not None)]
+    clean = []
+    for d, text in kept:
+        seq, hit = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()), set()
+        for _, item in ITEMS:
+            words = (item or "").split()
+            size = min(13, len(words))
+            for w in [words[i : i + size] for i in range(len(words) - size + 1)] if size else []:
+                for at in range(len(seq) - size + 1):
+                    if seq[at : at + size] == w:
+                        hit.update(range(at, at + size))
+        if not (hit and 20 * len(hit) >= len(seq)):
+            clean.append((d, text))
+    return clean
+
+
+@pytest.fixture(scope="module")
+def folder(spark, documents, corpus_rows, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("pipeline"))
+    extra = documents(corpus_rows).selectExpr("*", "1 AS _quality", "'x' AS _dropped", "'x' AS contaminated", "7L AS shard", "'x' AS lines_of_host")
+    extra.write.parquet(f"{path}/documents.parquet")
+    marks = [(d, int("vile" not in (t or "").split()), 0) for d, t, _ in corpus_rows if d is not None and d < 120]
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_run_equals_brute_force(spark, folder, corpus_rows):
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = {d: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for d, t in brute_run(corpus_rows)}
+    assert {300, 302, 200, 201, 202} & set(want) == set() and {301, 400, 401, 403, 405, None} <= set(want)  # the fixture tells something
+    rows = pipeline.run(spark, folder).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(want)
+    for d, pieces in got.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(want[d])
+            assert p.ids_crc32 == zlib.crc32(want[d][at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(want[d])
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 4096
+
+
+def test_run_of_an_empty_table(spark, documents, tmp_path):
+    documents([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
