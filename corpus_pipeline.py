@@ -69,8 +69,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# Neither the classifier nor the tokenizer can be written in SQL. Tests run the line and near-duplicate stages on small tables;
-# nothing checks the rows of run().
+# Neither the classifier nor the tokenizer can be written in SQL; tests compare the rows of run() with a brute-force version.
 ORACLE_SQL = None
 
 
