@@ -12,15 +12,15 @@ from evispan.functions.labels import document_location, source_struct
 from evispan.operators.lexical import QueryWeights, top_k
 from evispan.plugins import Factory
 from evispan.schema import METADATA_COLUMNS
-from evispan.session import fits, materialize, prune
+from evispan.session import counted_join, materialize, prune
 
 
 def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ordered union of the two paths with chunk text and metadata; of equal (text, metadata) the first
     stays, vector path before keyword path. Adds ``ord``, the 0-based position handed to the reranker.
 
-    Only candidates (at most 20 per query) meet the chunk table, in a plain join: their written size tells Spark whether
-    to broadcast them, and a chunk that many queries found is split by the adaptive skew join.
+    Only candidates (at most 20 per query) meet the chunk table: broadcast when counted few; otherwise both sides are shuffled, and a
+    chunk that many queries found is split by the adaptive skew join. The texts are never broadcast.
     """
     paths = vector_picks.select(
         "query_id", "collection_id", "chunk_id", F.lit(0).alias("origin"), F.col("mmr_rank").alias("origin_rank")
@@ -29,11 +29,8 @@ def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks:
             "query_id", "collection_id", "chunk_id", F.lit(1).alias("origin"), F.col("rank").alias("origin_rank")
         )
     )
-    located = (
-        prune(chunks, paths, "collection_id")
-        .select("collection_id", "chunk_id", "text", *METADATA_COLUMNS)
-        .join(paths, ["collection_id", "chunk_id"])
-    )
+    texts = prune(chunks, paths, "collection_id").select("collection_id", "chunk_id", "text", *METADATA_COLUMNS)
+    located = counted_join(texts, paths, ["collection_id", "chunk_id"])
     same = Window.partitionBy("query_id", "text", *METADATA_COLUMNS).orderBy("origin", "origin_rank")
     order = Window.partitionBy("query_id").orderBy("origin", "origin_rank")
     return (
@@ -54,9 +51,10 @@ def rerank_overlap(candidates: DataFrame, weights: QueryWeights, top_n: int = RE
     stored = prune(weights.index.forward, slots, "collection_id").select("collection_id", "chunk_id", "terms.term")
     wanted = weights.table.select("query_id", "term", "idf")
     found = (
-        stored.join(F.broadcast(slots) if fits(slots) else slots, ["collection_id", "chunk_id"])
-        .select("query_id", "ord", F.explode("term").alias("term"))
-        .join(F.broadcast(wanted) if weights.small else wanted, ["query_id", "term"])
+        counted_join(
+            counted_join(stored, slots, ["collection_id", "chunk_id"]).select("query_id", "ord", F.explode("term").alias("term")),
+            wanted, ["query_id", "term"], small_fits=weights.small,
+        )
         .groupBy("query_id", "ord")
         .agg(F.sum("idf").alias("found"))
     )

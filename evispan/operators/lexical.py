@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evispan.constants import BM25_B, BM25_K1, CANDIDATES
 from evispan.functions.stopwords import stopwords as default_stopwords
 from evispan.functions.text import normalize_text, remove_stopwords, strip, term_counts, tokenize
-from evispan.session import fits, materialize, prune, salted_join, spread
+from evispan.session import counted_join, fits, materialize, prune, salted_join, spread
 
 SCORE_DECIMALS = 6
 # Chunk numbers per block of a postings list.
@@ -196,10 +196,10 @@ def scores_of(weights: QueryWeights, slots: DataFrame) -> DataFrame:
     rows of their chunks. Pairs that share no term give no row."""
     keys = ["collection_id", "chunk_id"]
     asked = prune(weights.index.forward, slots, "collection_id")
-    terms = asked.join(F.broadcast(slots) if fits(slots) else slots, keys).select("query_id", *keys, "dl", F.inline("terms"))
+    terms = counted_join(asked, slots, keys).select("query_id", *keys, "dl", F.inline("terms"))
     table = weights.table.select("query_id", "term", "qtf", "idf", "avgdl")
     return (
-        terms.join(F.broadcast(table) if weights.small else table, ["query_id", "term"])
+        counted_join(terms, table, ["query_id", "term"], small_fits=weights.small)
         .groupBy("query_id", *keys)
         .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
         .withColumn("score", F.round("score", SCORE_DECIMALS))
@@ -207,12 +207,14 @@ def scores_of(weights: QueryWeights, slots: DataFrame) -> DataFrame:
 
 
 def partial_scores(weights: QueryWeights, terms: DataFrame, *block: str) -> DataFrame:
-    """``(query_id, collection_id, chunk_id, part)``: sums over some of the queries' ``terms``, or blocks of them."""
+    """``(query_id, collection_id, chunk_id, part)``: sums over some of the queries' ``terms``, or blocks of them. A block of a
+    postings list holds ``BLOCK_CHUNKS`` postings at most, so its key can't be hot and needs no salt."""
     stored = prune(weights.index.postings, terms, "term")  # postings are sorted by term: row groups without one are skipped
     stored = prune(stored, terms, "collection_id").withColumn("block", block_of(F.col("chunk_id")))
     wanted = terms.select("query_id", "collection_id", "term", "qtf", "idf", "avgdl", *block)
+    keys = ["collection_id", "term", *block]
     return (
-        salted_join(stored, wanted, ["collection_id", "term", *block], F.col("chunk_id"))
+        (counted_join(stored, wanted, keys) if block else salted_join(stored, wanted, keys, F.col("chunk_id")))
         .groupBy("query_id", "collection_id", "chunk_id")
         .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"))
     )

@@ -55,6 +55,19 @@ def prune(df: DataFrame, keys: DataFrame, column: str, limit: int = PRUNE_VALUES
     return df.where(F.col(column).isin(values)) if len(values) <= limit else df
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which Spark must not broadcast it. Of a written table Spark knows the compressed size alone: ten MB of
+    Parquet can be some million rows of ids, a relation that the driver would have to hold."""
+    return df.hint("merge")
+
+
+def counted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", small_fits: bool | None = None) -> DataFrame:
+    """Join that broadcasts ``small`` when its counted size allows (``small_fits`` saves the count) and shuffles both sides
+    otherwise, whatever the size of its files."""
+    few = fits(small) if small_fits is None else small_fits
+    return big.join(F.broadcast(small) if few else never_broadcast(small), keys, how)
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -69,10 +82,10 @@ def salted_join(
     ``small`` is broadcast when its counted size allows (``small_fits`` saves the count when the caller
     knows). Otherwise the rows of every key of ``big`` are dealt over ``salts`` sub-keys (by ``salt_by``)
     and ``small`` is repeated once per sub-key, so a key holding a large share of ``big`` still spreads
-    over ``salts`` tasks.
+    over ``salts`` tasks. The repeated side is never broadcast.
     """
     if fits(small) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), keys, how)
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(never_broadcast(repeated), [*keys, "_salt"], how).drop("_salt")

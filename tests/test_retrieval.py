@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evispan import session
 from evispan.operators import cells, hybrid, lexical, vector
 from evispan.plans import quick_answer as qa
 from evispan.plugins import hashed_terms_embedder, run_texts
@@ -60,6 +61,19 @@ def test_bm25_without_broadcast_gives_the_same(spark):
     assert sorted(lexical.bm25_scores(big).collect()) == sorted(lexical.bm25_scores(weights).collect())
 
 
+def test_many_rows_in_small_files_are_not_broadcast(spark):
+    index = lexical.build_index(chunks(spark))
+    weights = lexical.query_weights(index, queries(spark))
+    pairs = F.lit("q1").alias("query_id"), F.lit("a").alias("collection_id"), F.col("id").alias("chunk_id")
+    slots = session.materialize(spark.range(session.BROADCAST_ROWS + 1).select(*pairs), "slots")
+    scored = lexical.scores_of(weights, slots)
+    assert {r.chunk_id for r in scored.collect()} == {0, 1}
+    joins = dataclasses.replace(weights, small=False)
+    assert "BroadcastExchange" not in lexical.scores_of(joins, slots)._jdf.queryExecution().executedPlan().toString()
+    salted = session.salted_join(index.postings, slots.withColumn("term", F.lit("red")), ["collection_id", "term"], F.col("chunk_id"), small_fits=False)
+    assert "Broadcast" not in salted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_limits_and_plan(spark):
     index = lexical.build_index(chunks(spark))
     weights = lexical.query_weights(index, queries(spark))
