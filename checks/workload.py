@@ -705,8 +705,9 @@ def session_lookup(spark, sf):
 
 
 def _stream(spark, sf, name):
+    """A table as a stream, be it one file or a folder of files. Spark takes no single file as the path of a stream, but a pattern."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
 
 
 EVENT_COLUMNS = "session_id string, seq bigint, kind string, text string, questions array<string>, at timestamp"

@@ -28,6 +28,11 @@ def test_query_without_sql_runs(spark, name):
     assert contract.queries()[name](spark, SF).count() > 0
 
 
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(QUERIES["stream_ingest"](spark, str(tmp_path)).collect()) == sorted(QUERIES["stream_ingest"](spark, SF).collect())
+
+
 def test_all_are_registered():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
