@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, functions as F
@@ -18,23 +19,49 @@ from evispan.plugins import Factory
 
 # Words whose pieces a task remembers at most.
 HELD_WORDS = 100_000
+# Characters of texts whose tokens are held at a time; a longer text goes alone.
+HELD_CHARS = 1_000_000
+
+
+def _held(texts: Iterable[str]) -> Iterator[list[str]]:
+    """``texts`` in lists of a bounded length in characters, in order."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > HELD_CHARS:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
 
 
 def token_ends(text: Column, tokenizer: Factory) -> Column:
-    """``array<int>``: where the tokens of ``text`` end; null text has none."""
+    """``array<int>``: where the tokens of ``text`` end; null text has none. A task keeps four bytes per token."""
 
     def ends(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         call = tokenizer()
         for part in parts:
-            yield pd.Series(call(part.fillna("").tolist()), index=part.index, dtype=object)
+            found = [np.asarray(one, dtype=np.int32) for some in _held(part.fillna("")) for one in call(some)]
+            yield pd.Series(found, index=part.index, dtype=object)
 
     ends.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(ends, "array<int>")(text)
 
 
 def counted(text: Column, tokenizer: Factory | None = None) -> Column:
-    """Number of tokens of ``text``."""
-    return token_count(text) if tokenizer is None else F.size(token_ends(text, tokenizer))
+    """Number of tokens of ``text``; null text has none. Of a tokenizer's ends only their numbers leave its task."""
+    if tokenizer is None:
+        return token_count(text)
+
+    def sizes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = tokenizer()
+        for part in parts:
+            found = [len(one) for some in _held(part.fillna("")) for one in call(some)]
+            yield pd.Series(found, index=part.index, dtype="int32")
+
+    sizes.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(sizes, "int")(text)
 
 
 def cut_at_ends(text: Column, ends: Column, budget: Column) -> Column:

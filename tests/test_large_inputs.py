@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evispan.functions import guardrails as rules
 from evispan.functions.terms import TermSearch
 from evispan.functions.text import compat_casefold
-from evispan.functions.tokenizers import counted, fixed_pieces, longest_pieces
+from evispan.functions.tokenizers import _held, counted, fixed_pieces, longest_pieces
 from evispan.sources import blocks
 from evispan.sources.packing import pack_large
 from evispan.sources.store import IndexStore
@@ -92,6 +92,15 @@ def test_tokenizers(spark):
     assert fixed_pieces(2)()(["abcde f"]) == [[2, 4, 5, 7]]
 
 
+def test_tokens_are_held_for_some_texts_at_a_time(spark):
+    texts = ["a" * 600_000] * 3 + ["b", "", "c"]
+    assert [len(some) for some in _held(texts)] == [1, 1, 4] and [t for some in _held(texts) for t in some] == texts
+    df = spark.createDataFrame([("abcdefgh ij",), ("",), (None,)], "text string")
+    made = df.select(counted(F.col("text"), fixed_pieces(4)))
+    assert [row[0] for row in made.collect()] == [3, 0, 0]
+    assert "size(" not in made._jdf.queryExecution().analyzed().toString()  # numbers leave the task, no arrays of ends
+
+
 def test_counts_and_chunks_share_a_tokenizer(spark):
     rows = [("c", "f", 1, i, "head" if i % 7 else None, " ".join(f"wórd{j * i}" for j in range(1 + i * 5 % 60))) for i in range(40)]
     made = blocks.chunk_blocks(spark.createDataFrame(rows, BLOCK), budget=20, tokenizer=fixed_pieces(2))
