@@ -27,7 +27,11 @@ DISTANCE_DECIMALS = 6
 BROADCAST_QUERIES = 4_096
 QUERY_BLOCK = 2_048
 VECTOR_BLOCK = 8_192
-DISTANCE_CELLS = 4_000_000
+# Distances held at a time (a few arrays of so many doubles), and vectors that meet the queries at a time.
+DISTANCE_CELLS = 500_000
+NEAR_ROWS = 2_048
+# Rows whose vectors a task holds before they are handed on.
+EMBED_ROWS = 1_024
 
 
 def embed(
@@ -36,9 +40,11 @@ def embed(
     factory: Factory | None = None,
     batch_size: int = EMBED_BATCH,
     retries: int = EMBED_RETRIES,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add ``embedding``, ``embed_status`` and ``embed_error``. Texts go to the plug-in in batches; a batch
-    that still fails after the retries leaves its rows without a vector and with the status of the failure."""
+    that still fails after the retries leaves its rows without a vector and with the status of the failure. Rows that are
+    ``dealt`` out stay where they are. Vectors leave a task some batches at a time, so it doesn't hold those of a whole frame."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     make = factory or hashed_terms_embedder()
@@ -67,25 +73,28 @@ def embed(
                 return [np.asarray(vector, dtype=np.float32) for vector in got], None, None
             return [None] * len(batch), *failure
 
+        rows = batch_size * max(1, EMBED_ROWS // batch_size)
         for frame in frames:
-            vectors, statuses, errors = [], [], []
-            texts = frame[text].tolist()
-            for start in range(0, len(texts), batch_size):
-                got, status, error = one(texts[start : start + batch_size])
-                vectors += got
-                statuses += [status] * len(got)
-                errors += [error] * len(got)
-            yield frame.drop(columns=drop).assign(
-                embedding=pd.Series(vectors, index=frame.index, dtype=object),
-                embed_status=pd.array(statuses, dtype="Int32"),
-                embed_error=pd.Series(errors, index=frame.index, dtype=object),
-            )
+            for at in range(0, len(frame), rows):
+                part = frame.iloc[at : at + rows]
+                vectors, statuses, errors = [], [], []
+                texts = part[text].tolist()
+                for start in range(0, len(texts), batch_size):
+                    got, status, error = one(texts[start : start + batch_size])
+                    vectors += got
+                    statuses += [status] * len(got)
+                    errors += [error] * len(got)
+                yield part.drop(columns=drop).assign(
+                    embedding=pd.Series(vectors, index=part.index, dtype=object),
+                    embed_status=pd.array(statuses, dtype="Int32"),
+                    embed_error=pd.Series(errors, index=part.index, dtype=object),
+                )
 
     keep = [field for field in df.schema if field.name != text]
     drop = [text]
     columns = [f"`{field.name}` {field.dataType.simpleString()}" for field in keep]
     out = ", ".join([*columns, "embedding array<float>", "embed_status int", "embed_error string"])
-    return spread(df).mapInPandas(run, out)
+    return (df if dealt else spread(df)).mapInPandas(run, out)
 
 
 def _nearest(ids, vectors, query_ids, queries, k: int) -> pd.DataFrame:
@@ -157,7 +166,7 @@ def _near_broadcast(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFr
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, pd.DataFrame] = {}
-        for frame in frames:
+        for frame in (whole.iloc[at : at + NEAR_ROWS] for whole in frames for at in range(0, len(whole), NEAR_ROWS)):
             for collection, part in frame.groupby("collection_id"):
                 if collection not in shared.value:
                     continue

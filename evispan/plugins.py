@@ -24,6 +24,8 @@ from evispan.constants import EMBED_DIMS
 from evispan.functions.text import fold_accents
 
 Factory = Callable[[], Callable[..., Any]]
+# Terms whose buckets a task remembers at most.
+HELD_TERMS = 100_000
 
 
 def hashed_terms_embedder(dims: int = EMBED_DIMS) -> Factory:
@@ -35,6 +37,8 @@ def hashed_terms_embedder(dims: int = EMBED_DIMS) -> Factory:
 
         def bucket(term: str) -> int:
             if term not in buckets:
+                if len(buckets) >= HELD_TERMS:
+                    buckets.clear()
                 buckets[term] = int(hashlib.md5(term.encode()).hexdigest()[:4], 16) % dims
             return buckets[term]
 
