@@ -342,7 +342,8 @@ def repeated_upload(spark, sf):
     kept.add(rows.where("collection_id = 'es'").withColumn("text", F.concat(F.lit("3 "), "text")), "third", with_vectors=False)
     kept.vacuum()
     built = kept.corpus(with_vectors=False)
-    lengths = built.index.postings.groupBy("collection_id", "chunk_id").agg(F.sum("tf").alias("n_terms"))
+    matched = lexical.by_chunk(built.index.postings, lexical.posting_bound(kept.stats()))
+    lengths = matched.groupBy("collection_id", "chunk_id").agg(F.sum("tf").alias("n_terms"))
     return kept.chunks().select("collection_id", "chunk_id", "text").join(lengths, ["collection_id", "chunk_id"], "left")
 
 

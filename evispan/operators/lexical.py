@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evispan.constants import BM25_B, BM25_K1, CANDIDATES
 from evispan.functions.stopwords import stopwords as default_stopwords
 from evispan.functions.text import normalize_text, remove_stopwords, strip, term_counts, tokenize
-from evispan.session import counted_join, fits, materialize, prune, salted_join, spread
+from evispan.session import counted_join, fits, materialize, parts_of, prune, salted_join, spread
 
 SCORE_DECIMALS = 6
 # Chunk numbers per block of a postings list.
@@ -41,12 +41,13 @@ class LexicalIndex:
 
 
 def forward_table(
-    chunks: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True, key: str = "text"
+    chunks: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True, key: str = "text", dealt: bool = False
 ) -> DataFrame:
     """One row per chunk with its counted terms. Chunks with empty text are dropped; chunks whose text has
-    no terms stay and count in N with length 0. Narrow: no shuffle."""
+    no terms stay and count in N with length 0. Narrow: no shuffle; rows that are ``dealt`` out stay where they are."""
     words = default_stopwords() if stopwords is None else stopwords
-    filled = spread(chunks.where(F.length(key) > 0), "collection_id", "chunk_id")
+    filled = chunks.where(F.length(key) > 0)
+    filled = filled if dealt else spread(filled, "collection_id", "chunk_id")
     kept = filled.select(
         "collection_id",
         "chunk_id",
@@ -85,11 +86,13 @@ def block_of(chunk_id: Column) -> Column:
     return F.floor(chunk_id / BLOCK_CHUNKS).cast("bigint")
 
 
-def posting_blocks(postings_: DataFrame) -> DataFrame:
-    """``(collection_id, term, block, n, max_tf, min_dl)``; partial results are taken before the shuffle, so hot terms are cheap."""
-    return postings_.groupBy("collection_id", "term", block_of(F.col("chunk_id")).alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
-    )
+def posting_blocks(postings_: DataFrame, rows: int = 0) -> DataFrame:
+    """``(collection_id, term, block, n, max_tf, min_dl)`` of at most ``rows`` postings, in order: ranges of blocks are dealt out and grouped
+    where they are, in one shuffle. A block has ``BLOCK_CHUNKS`` postings at most, so hot terms are spread."""
+    keys = ["collection_id", "term", "block"]
+    placed = postings_.withColumn("block", block_of(F.col("chunk_id"))).repartitionByRange(*parts_of(postings_.sparkSession, rows), *keys)
+    blocks = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    return blocks.sortWithinPartitions(*keys)
 
 
 def term_df(blocks: DataFrame) -> DataFrame:
@@ -99,17 +102,30 @@ def term_df(blocks: DataFrame) -> DataFrame:
     )
 
 
-def in_order(df: DataFrame, *keys: str) -> DataFrame:
-    """Range-partitioned and sorted, so that a written table's row groups can be skipped by their statistics."""
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def in_order(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Range-partitioned and sorted, so that a written table's row groups can be skipped by their statistics. With ``rows`` (a bound on
+    their number) a task sorts a bounded share."""
+    return df.repartitionByRange(*parts_of(df.sparkSession, rows), *keys).sortWithinPartitions(*keys)
+
+
+def by_chunk(postings_: DataFrame, rows: int) -> DataFrame:
+    """Postings dealt out by chunk, before any grouping: they lie by term, so sums taken where they are would hardly add anything up."""
+    return postings_.repartition(*parts_of(postings_.sparkSession, rows), "collection_id", "chunk_id")
+
+
+def posting_bound(stats: DataFrame) -> int:
+    """At least the number of postings: the length of all chunks, from partial statistics."""
+    return stats.agg(F.sum("total_dl")).first()[0] or 0
 
 
 def build_index(chunks: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> LexicalIndex:
     """Analyse every chunk once and keep the result as a written table."""
     forward = materialize(forward_table(chunks, stopwords, exact), "forward")
-    stored = materialize(in_order(postings(forward), "collection_id", "term", "chunk_id"), "postings")
-    blocks = materialize(in_order(posting_blocks(stored), "collection_id", "term", "block"), "blocks")
-    return LexicalIndex(forward, collection_stats(materialize(partial_stats(forward), "stats")), stored, blocks)
+    stats = materialize(partial_stats(forward), "stats")
+    rows = posting_bound(stats)
+    stored = materialize(in_order(postings(forward), "collection_id", "term", "chunk_id", rows=rows), "postings")
+    blocks = materialize(posting_blocks(stored, rows), "blocks")
+    return LexicalIndex(forward, collection_stats(stats), stored, blocks)
 
 
 def query_terms(queries: DataFrame, stopwords: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -148,6 +164,11 @@ class QueryWeights:
     index: LexicalIndex
     small: bool
 
+    @property
+    def matches(self) -> int:
+        """Matches of the queries' terms and postings."""
+        return self.table.agg(F.sum("df")).first()[0] or 0
+
     @property
     def hits(self) -> DataFrame:
         """All stored postings of the queries' terms."""
@@ -180,11 +201,10 @@ def bm25_scores(weights: QueryWeights, k1: float = BM25_K1, b: float = BM25_B) -
 
     A term repeated in the query counts each time. The postings are partitioned by chunk, which spreads them
     evenly whatever the skew of collections and terms and also satisfies the grouping by (query, chunk): the
-    fan-out to queries and the sums need no further shuffle.
+    fan-out to queries and the sums need no further shuffle. The partitions are as many as the counted matches ask for.
     """
-    by_chunk = weights.hits.repartition("collection_id", "chunk_id")
     return (
-        salted_join(by_chunk, weights.table, ["collection_id", "term"], F.col("chunk_id"), small_fits=weights.small)
+        salted_join(by_chunk(weights.hits, weights.matches), weights.table, ["collection_id", "term"], F.col("chunk_id"), small_fits=weights.small)
         .groupBy("query_id", "collection_id", "chunk_id")
         .agg(F.sum(F.col("qtf") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
         .withColumn("score", F.round("score", SCORE_DECIMALS))
@@ -269,6 +289,6 @@ def keyword_topk(weights: QueryWeights, k: int = CANDIDATES, full_up_to: int = F
     """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query by full score; none for
     ``k`` below 1. With more than ``full_up_to`` matches of terms and postings only chunks that can be among the best are
     scored; the result is the same."""
-    few = k < 1 or (weights.table.agg(F.sum("df")).first()[0] or 0) <= full_up_to
+    few = k < 1 or weights.matches <= full_up_to
     scored = bm25_scores(weights) if few else scores_of(weights, candidates(weights, k))
     return top_k(scored, k, F.col("score").desc(), "chunk_id")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
 PRUNE_VALUES = 1_000
+# Rows that a task sorts or groups, where their number is known beforehand.
+TASK_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,14 @@ def prune(df: DataFrame, keys: DataFrame, column: str, limit: int = PRUNE_VALUES
     return df.where(F.col(column).isin(values)) if len(values) <= limit else df
 
 
+def parts_of(spark: SparkSession, rows: int) -> tuple[int, ...]:
+    """First argument of ``repartition`` and ``repartitionByRange`` for ``rows`` rows: so many partitions that a task's share stays
+    the same however many they are. None for few rows, whose partitions Spark may merge; it would also merge many rows that
+    compress well."""
+    parts = -(-rows // TASK_ROWS)
+    return (parts,) if parts > spark.sparkContext.defaultParallelism else ()
+
+
 def never_broadcast(df: DataFrame) -> DataFrame:
     """``df`` for a join in which Spark must not broadcast it. Of a written table Spark knows the compressed size alone: ten MB of
     Parquet can be some million rows of ids, a relation that the driver would have to hold."""

@@ -10,13 +10,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evispan.constants import CHUNK_TOKENS, PDF_TYPE
-from evispan.operators.lexical import LexicalIndex, collection_stats, forward_table, partial_stats, posting_blocks, postings
+from evispan.operators.lexical import (
+    LexicalIndex,
+    collection_stats,
+    forward_table,
+    in_order,
+    partial_stats,
+    posting_blocks,
+    posting_bound,
+    postings,
+)
 from evispan.operators.vector import embed
 from evispan.plans.quick_answer import Corpus, Models
 from evispan.schema import BLOCKS, CHUNKS, FORWARD, POSTINGS, VECTORS
 
 COMMITS = "ingest_id STRING, sequence BIGINT, as_of BIGINT, replaces ARRAY<STRING>"
 STATS = "collection_id STRING, n_chunks BIGINT, total_dl BIGINT"
+CHUNK_ORDER = ("collection_id", "chunk_id")
 
 
 @dataclass(frozen=True)
@@ -41,14 +51,9 @@ class IndexStore:
     def _path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
-    def _write(self, df: DataFrame, table: str, ingest_id: str, *keys: str) -> None:
-        order = keys or ("collection_id", "chunk_id")
-        (
-            df.repartitionByRange(*order)
-            .sortWithinPartitions(*order)
-            .write.mode("overwrite")
-            .parquet(f"{self._path(table)}/ingest_id={ingest_id}")
-        )
+    def _write(self, df: DataFrame, table: str, ingest_id: str) -> None:
+        """``df`` is in the order of its table."""
+        df.write.mode("overwrite").parquet(f"{self._path(table)}/ingest_id={ingest_id}")
 
     def _raw(self, table: str, ddl: str) -> DataFrame:
         return self.spark.read.schema(f"{ddl}, ingest_id STRING").parquet(self._path(table))
@@ -90,23 +95,24 @@ class IndexStore:
     def add(self, chunks: DataFrame, ingest_id: str, models: Models = Models(), with_vectors: bool = True) -> None:
         """Write one ingestion: chunks first, then what is derived from the written chunks, then the mark that makes
         it visible, so readers never see half of it. Chunks whose embedding failed keep the status of the failure in
-        the vector table."""
-        self._write(chunks, "chunks", ingest_id)
-        written = self._raw("chunks", CHUNKS).where(F.col("ingest_id") == ingest_id)
-        self._write(forward_table(written, models.stopwords, models.exact), "forward", ingest_id)
+        the vector table. Texts are put in order before they are analysed and embedded: ranges are found by running what they
+        deal out a second time."""
+        self._write(in_order(chunks, *CHUNK_ORDER), "chunks", ingest_id)
+        written = self._raw("chunks", CHUNKS).where(F.col("ingest_id") == ingest_id).select("collection_id", "chunk_id", "text")
+        self._write(forward_table(in_order(written, *CHUNK_ORDER), models.stopwords, models.exact, dealt=True), "forward", ingest_id)
         self._derive(ingest_id)
         if with_vectors:
-            embedded = embed(written.select("collection_id", "chunk_id", "text"), factory=models.embed)
-            self._write(embedded, "vectors", ingest_id)
+            self._write(embed(in_order(written, *CHUNK_ORDER), factory=models.embed, dealt=True), "vectors", ingest_id)
         self._commit(ingest_id)
 
     def _derive(self, ingest_id: str) -> None:
         """Tables that follow from the written forward rows of an ingestion."""
         forward = self._raw("forward", FORWARD).where(F.col("ingest_id") == ingest_id).drop("ingest_id")
-        self._write(partial_stats(forward), "stats", ingest_id, "collection_id")
-        self._write(postings(forward), "postings", ingest_id, "collection_id", "term", "chunk_id")
+        self._write(in_order(partial_stats(forward), "collection_id"), "stats", ingest_id)
+        rows = posting_bound(self._raw("stats", STATS).where(F.col("ingest_id") == ingest_id))
+        self._write(in_order(postings(forward), "collection_id", "term", "chunk_id", rows=rows), "postings", ingest_id)
         stored = self._raw("postings", POSTINGS).where(F.col("ingest_id") == ingest_id)
-        self._write(posting_blocks(stored), "blocks", ingest_id, "collection_id", "term", "block")
+        self._write(posting_blocks(stored, rows), "blocks", ingest_id)
 
     def _files(self, table: str):
         """Hadoop file system and path of a table."""
@@ -144,7 +150,7 @@ class IndexStore:
             ingest_id = f"{ingest_id}.{as_of}"
         tables = [("chunks", CHUNKS), ("forward", FORWARD)] + ([("vectors", VECTORS)] if with_vectors else [])
         for table, ddl in tables:
-            self._write(self._read(table, ddl, as_of), table, ingest_id)
+            self._write(in_order(self._read(table, ddl, as_of), *CHUNK_ORDER), table, ingest_id)
         self._derive(ingest_id)
         self._commit(ingest_id, as_of, replaces)
 
@@ -164,13 +170,16 @@ class IndexStore:
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
 
+    def stats(self) -> DataFrame:
+        return self._read("stats", STATS)
+
     def collections(self) -> DataFrame:
         return self.current().select("collection_id")
 
     def corpus(self, with_vectors: bool = True) -> Corpus:
         forward = self._read("forward", FORWARD)
         vectors = self._read("vectors", VECTORS) if with_vectors else None
-        stats = collection_stats(self._read("stats", STATS))
+        stats = collection_stats(self.stats())
         index = LexicalIndex(forward, stats, self._read("postings", POSTINGS), self._read("blocks", BLOCKS))
         return Corpus(self.chunks(), index, vectors)
 

@@ -74,6 +74,20 @@ def test_many_rows_in_small_files_are_not_broadcast(spark):
     assert "Broadcast" not in salted._jdf.queryExecution().executedPlan().toString()
 
 
+def test_index_of_many_rows_is_cut_by_their_number(spark, monkeypatch):
+    index = lexical.build_index(chunks(spark))
+    monkeypatch.setattr(session, "TASK_ROWS", 1)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 2)
+    placed = lexical.in_order(lexical.postings(index.forward), "collection_id", "term", "chunk_id", rows=8)
+    blocks = lexical.posting_blocks(index.postings, 8)
+    weights = lexical.query_weights(index, queries(spark))
+    assert placed.rdd.getNumPartitions() >= 6 and sorted(placed.collect()) == sorted(index.postings.collect())
+    assert blocks.rdd.getNumPartitions() >= 6 and sorted(blocks.collect()) == sorted(index.blocks.collect())
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(lexical.bm25_scores(weights).collect()) == sorted(lexical.bm25_scores(dataclasses.replace(weights, small=False)).collect())
+
+
 def test_topk_limits_and_plan(spark):
     index = lexical.build_index(chunks(spark))
     weights = lexical.query_weights(index, queries(spark))

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evispan import constants as c
-from evispan.plans.quick_answer import answer
+from evispan.operators import lexical
+from evispan.plans.quick_answer import Models, answer
+from evispan.schema import CHUNKS
 from evispan.sources import blocks, files, rows, store
 
 
@@ -232,6 +234,31 @@ def test_upload_during_a_compaction_stays_visible(spark, tmp_path):
     assert {(r.collection_id, r.term) for r in other.corpus(with_vectors=False).index.postings.collect()} == {("one", "new"), ("one", "text"), ("two", "two"), ("two", "again")}
 
 
+def test_store_embeds_every_text_once(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def factory():
+        import os
+        import uuid
+
+        os.makedirs(asked, exist_ok=True)
+
+        def call(texts):
+            for _ in texts:
+                open(f"{asked}/{uuid.uuid4().hex}", "w").close()
+            return [[1.0, 0.0] for _ in texts]
+
+        return call
+
+    rows = [("c", i, f"text {i}", "s", "pdf", "docling_hybrid", 0, [1], None, None, None) for i in range(40)]
+    made = spark.createDataFrame(rows, CHUNKS.replace(", ingest_id STRING", ""))
+    kept = store.IndexStore(spark, str(tmp_path / "index"))
+    kept.add(made, "one", Models(embed=factory))
+    assert kept.corpus().vectors.count() == 40 and len(list((tmp_path / "asked").iterdir())) == 40
+    stored = kept.corpus().index
+    assert sorted(stored.blocks.collect()) == sorted(lexical.posting_blocks(stored.postings).collect())
+
+
 def test_two_writers_never_share_a_commit_number(spark, tmp_path, monkeypatch):
     kept = store.IndexStore(spark, str(tmp_path / "index"))
     kept._commit("a")
