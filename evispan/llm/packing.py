@@ -42,12 +42,19 @@ PACKED = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens b
 LETTERS = "a-zß-öø-ÿĀ-įı-ſа-яё"
 SAFE = f"^[\\x00-\\x7f{LETTERS}À-ÖØ-ÞА-ЯЁ×÷–—‘’“”„…«»¡¿§©®°€]*$"
 UNITS = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+)"
+# Units that the tokenizer leaves whole: the last of their ids, and no other, ends a word.
+WHOLE = f"^('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[!-/:-@\\[-`{{-~×÷–—‘’“”„…«»¡¿§©®°€]+)$"
 
 
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def strings(array: pa.Array) -> list[str]:
+    """Through NumPy: Arrow's own way makes a scalar of each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists named by ``codes``, one after the other, and their sizes; lists of ``sizes`` lie in ``flat`` in order."""
     starts, length = np.cumsum(sizes) - sizes, sizes[codes]
@@ -65,17 +72,29 @@ def tokenizer_of(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def word_ends(path: str) -> np.ndarray | None:
+    """For each id whether it ends a word; None for a vocabulary without word ends."""
+    tokenizer = tokenizer_of(path)
+    suffix, vocabulary = getattr(tokenizer.model, "end_of_word_suffix", None), tokenizer.get_vocab(with_added_tokens=True)
+    if not suffix:
+        return None
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
+
+
 class WordIds:
     """Ids of words of a lower-case BPE with word ends.
 
     White space separates words for this tokenizer and leaves no id, so a text's ids are those of its words in order. Inside
     a word the tokenizer cuts at fixed places, and the ids of what lies between depend on nothing else; such *units* are
-    few, so only they are encoded, once while they are remembered. Words with other characters than ``SAFE`` ones, or with a
-    special token's text, are units as they are.
+    few, so only they are encoded, once while they are remembered: ``WHOLE`` ones many at a time as one text, whose ids are
+    cut at word ends. Words with other characters than ``SAFE`` ones, or with a special token's text, are units as they are.
     """
 
     def __init__(self, path: str, limit: int = CACHE_UNITS):
-        self.tokenizer, self.limit, self.known = tokenizer_of(path), limit, {}
+        self.tokenizer, self.ends, self.limit, self.known = tokenizer_of(path), word_ends(path), limit, {}
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +103,29 @@ class WordIds:
             self.known.clear()
         fresh = [u for u in units if u not in self.known]
         for at in range(0, len(fresh), 2000):
-            part = fresh[at : at + 2000]
+            part = self.joined(fresh[at : at + 2000])
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.known.update((u, pack_ids(e.ids)) for u, e in zip(part, encoded))
         ids = [self.known[u] for u in units]
         return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
+    def joined(self, units: list[str]) -> list[str]:
+        """Learn the whole ones of ``units`` from one text; the others are returned."""
+        if self.ends is None or not units:
+            return units
+        array = pa.array(units, pa.string())
+        fit = pc.match_substring_regex(array, WHOLE)
+        if self.special:
+            fit = pc.and_not(fit, pc.match_substring_regex(array, self.special))
+        whole = strings(array.filter(fit))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(whole)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(whole) or cuts[-1:].sum() != ids.nbytes:
+            return units
+        flat, upto = ids.tobytes(), cuts.tolist()
+        self.known.update((u, flat[a:b]) for u, a, b in zip(whole, [0, *upto], upto))
+        return strings(array.filter(pc.invert(fit)))
+
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and their numbers."""
         cut = pc.match_substring_regex(words, SAFE)
@@ -98,7 +134,7 @@ class WordIds:
         spaced = pc.replace_substring_regex(pc.utf8_lower(words), UNITS, r"\1 ")
         split = pc.ascii_split_whitespace(pc.if_else(cut, spaced, words))
         units = split.flatten().dictionary_encode()
-        flat, sizes = self.ids_of(units.dictionary.to_pylist())
+        flat, sizes = self.ids_of(strings(units.dictionary))
         flat, length = gathered(flat, sizes, units.indices.to_numpy())
         offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
         return flat, np.diff(np.r_[0, np.cumsum(length)][offsets])

@@ -513,3 +513,31 @@ def test_packing_does_not_depend_on_the_partitions(spark, make, odd_rows):
     rows = odd_rows + [(None, "alpha beta gamma")] * 50
     runs = [sorted(map(repr, pack(make(rows, n), tokenizer_path(), group_pieces=10).collect())) for n in (2, 8)]
     assert runs[0] == runs[1] and len(runs[0]) >= len(rows)
+
+
+def test_packing_encodes_whole_units_together():
+    """Few calls for many words, with the ids of each word alone; odd ones among them are encoded as they are."""
+    import pyarrow as pa
+
+    from evispan.llm.packing import WordIds, pack_ids
+
+    plain = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyzäñя" for b in ("", "x", "quo", "zzyq")] + ["'s", "''", "7", "…", "</"]
+    odd = ["a_b", "<|endoftext|>", "é", "汉字", "\x1c", "İx", "12"]
+    known = WordIds(tokenizer_path())
+    inner, calls = known.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return inner.encode_batch_fast(texts, **options)
+
+    known.tokenizer = Counted()
+    flat, sizes = known.ids_of(plain + odd)
+    assert sum(calls) <= 1 + len(odd)
+    at = 0
+    for word, n in zip(plain + odd, sizes.tolist()):
+        assert flat[at : at + n].tobytes() == pack_ids(inner.encode(word, add_special_tokens=False).ids), word
+        at += n
+    known = WordIds(tokenizer_path())
+    known.ends = None  # a vocabulary without word ends
+    assert known.encode(pa.array(plain))[0].tolist() == flat[: sizes[: len(plain)].sum()].tolist()
