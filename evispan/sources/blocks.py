@@ -217,13 +217,19 @@ BLOCKS = (
 )
 
 
+# Blocks, or characters of them, from which a parsing task gives back what it holds.
+FRAME_BLOCKS, FRAME_CHARS = 5_000, 4_000_000
+
+
 def parse_files(files: DataFrame, parser: Factory) -> tuple[DataFrame, DataFrame]:
     """``(blocks, rejects)`` of PDF files ``(collection_id, source, content)`` through a pluggable parser
-    ``bytes -> list[(page_no, heading, text)]``. A parser that fails, or finds nothing, rejects its file."""
+    ``bytes -> list[(page_no, heading, text)]``. A parser that fails, or finds nothing, rejects its file. Small files share
+    a frame."""
     columns = [part.split()[0] for part in BLOCKS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = parser()
+        held, chars = [], 0
         for frame in frames:
             for collection, source, content in zip(frame["collection_id"], frame["source"], frame["content"]):
                 try:
@@ -232,12 +238,15 @@ def parse_files(files: DataFrame, parser: Factory) -> tuple[DataFrame, DataFrame
                 except Exception:
                     reason = PDF_UNREADABLE
                 if reason:
-                    yield pd.DataFrame([(collection, source, None, None, None, None, *reason)], columns=columns)
+                    held.append((collection, source, None, None, None, None, *reason))
                 else:
-                    yield pd.DataFrame(
-                        [(collection, source, page, at, heading, text, None, None) for at, (page, heading, text) in enumerate(found)],
-                        columns=columns,
-                    )
+                    held += [(collection, source, page, at, heading, text, None, None) for at, (page, heading, text) in enumerate(found)]
+                    chars += sum(len(text) for _, _, text in found)
+                if len(held) >= FRAME_BLOCKS or chars >= FRAME_CHARS:
+                    yield pd.DataFrame(held, columns=columns, dtype=object)
+                    held, chars = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns, dtype=object)
 
     # Written, so that the plug-in is called once for blocks and rejects.
     parsed = materialize(files.select("collection_id", "source", "content").mapInPandas(run, BLOCKS), "parsed")

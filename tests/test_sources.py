@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,27 @@ def test_two_writers_never_share_a_commit_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store.IndexStore, "last_commit", lambda self: next(seen))
     kept._commit("b")
     assert sorted((r.ingest_id, r.sequence) for r in kept.commits().collect()) == [("a", 1), ("b", 2)]
+
+
+def test_small_files_share_a_frame():
+    """As many frames as the blocks ask for, not one per file."""
+
+    class Made(Exception):
+        pass
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            contents = [b"a\nb" if i % 10 else b"" for i in range(3_000)]
+            frame = pd.DataFrame({"collection_id": [str(i) for i in range(3_000)], "source": "s", "content": contents})
+            raise Made(list(run(iter([frame[:1_000], frame[1_000:]]))))
+
+    with pytest.raises(Made) as made:
+        blocks.parse_files(Files(), lambda: lambda content: [(None, None, line) for line in content.decode().split("\n")])
+    frames = made.value.args[0]
+    assert len(frames) == 2
+    rows = pd.concat(frames)
+    assert len(rows) == 2_700 * 2 + 300 and rows["collection_id"].nunique() == 3_000
+    assert rows["status_code"].notna().sum() == 300 and rows["page_no"].isna().all()
