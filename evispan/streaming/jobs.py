@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -64,7 +65,7 @@ class Session:
 
 
 def _output(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=SESSION_COLUMNS).astype({"status_code": "Int32"})
+    return pd.DataFrame(rows, columns=SESSION_COLUMNS, dtype=object)  # a frame per session: no types are looked for
 
 
 def _prepared(events: DataFrame, terms: list[str] | None, *more: str) -> DataFrame:
@@ -142,7 +143,8 @@ def session_stream(
 
 
 def _timed_sessions(events: DataFrame, terms: list[str] | None, keep_ms: int | None, delay: str) -> DataFrame:
-    """Sessions on event time: every event is held until the watermark has passed it."""
+    """Sessions on event time: every event is held until the watermark has passed it. Spark converts every column of every
+    session to pandas by itself, so an event's fields travel as one text."""
     dated = events.where("at IS NOT NULL").withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -152,11 +154,11 @@ def _timed_sessions(events: DataFrame, terms: list[str] | None, keep_ms: int | N
         seqs, kinds, texts, refusals, times, asked = kept
         held = list(zip(times, seqs, kinds, texts, asked, refusals))
         if not state.hasTimedOut:
+            arrived = (json.loads(event) for frame in frames for event in frame["event"])
             held += [
-                (int(e.at_us), int(e.seq), e.kind, e.text, None if e.questions is None else list(e.questions), e.refused)
-                for frame in frames
-                for e in frame.itertuples()
-                if e.kind != TICK
+                (e["at_us"], e["seq"], e.get("kind"), e.get("text"), e.get("questions"), e.get("refused"))
+                for e in arrived
+                if e.get("kind") != TICK
             ]
         passed_ms = state.getCurrentWatermarkMs()
         held.sort(key=lambda e: e[:2])
@@ -182,7 +184,8 @@ def _timed_sessions(events: DataFrame, terms: list[str] | None, keep_ms: int | N
         if out:
             yield _output(out)
 
-    grouped = _prepared(dated, terms, "at", "at_us").groupBy("session_id")
+    event = F.to_json(F.struct("seq", "kind", "text", "questions", "refused", "at_us")).alias("event")
+    grouped = _prepared(dated, terms, "at", "at_us").select("session_id", "at", event).groupBy("session_id")
     return grouped.applyInPandasWithState(advance, SESSION_OUTPUT, TIMED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

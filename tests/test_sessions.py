@@ -1,4 +1,5 @@
 import datetime
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -198,3 +199,21 @@ def test_ingest_and_question_streams(spark, tmp_path):
     assert got == {"1": "[Página 1] red fox", "2": "[Página 1] red sun"}
     batch = qa.answer(store.corpus(), spark.read.parquet(asked))
     assert {r.query_id: r.answer for r in batch.collect()} == got
+
+
+def test_timed_sessions_move_events_as_one_column(spark, tmp_path):
+    """Of a session's events Spark converts three columns to pandas; odd texts come through."""
+    path = str(tmp_path / "events")
+    schema = "session_id string, seq bigint, kind string, text string, questions array<string>, at timestamp"
+    odd = 'quote " back \\ line \n é 😀  '
+    at = lambda second: datetime.datetime(2024, 1, 1, 0, 0, second)
+    rows = [("s", 0, "start", odd, ["q", None], at(0)), ("s", 1, "answer", odd, None, at(1)), ("s", 2, "answer", None, [], at(2)), ("t", 0, "start", None, None, at(0)), ("c", 0, "tick", None, None, datetime.datetime(2024, 1, 3))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    stream = jobs.session_stream(spark.readStream.schema(schema).parquet(path), [], delay="1 minute")
+    assert re.search(r"Project \[session_id#\d+, at#\d+[^,]*, to_json\(", stream._jdf.queryExecution().analyzed().toString())
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {(r.session_id, r.seq): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sorted(got) == [("s", 0), ("s", 1), ("s", 2), ("t", 0)]
+    assert got["s", 1].original_query == odd.strip() and got["s", 0].clarification_questions == ["q", None]
+    assert got["s", 1].clarification_responses == [odd.strip()] and got["t", 0].status == "researching"
