@@ -7,15 +7,17 @@ the pilots' scores give a threshold, and only postings whose terms and blocks ca
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evispan.constants import BM25_B, BM25_K1, CANDIDATES
 from evispan.functions.stopwords import stopwords as default_stopwords
 from evispan.functions.text import normalize_text, remove_stopwords, strip, term_counts, tokenize
-from evispan.session import counted_join, fits, materialize, parts_of, prune, salted_join, spread
+from evispan.session import counted_join, fits, materialize, never_broadcast, parts_of, prune, salted_join, spread
 
 SCORE_DECIMALS = 6
 # Chunk numbers per block of a postings list.
@@ -24,6 +26,10 @@ BLOCK_CHUNKS = 256
 PILOTS, PILOT_POSTINGS = 2, 20
 # Matches of query terms and postings up to which scoring all of them is cheaper than finding out which matter.
 FULL_SCORING = 5_000_000_000
+# Matches up to which each is a row; more are added up in arrays, block by block.
+ROW_SCORING = 20_000_000
+# Postings of a block of chunks, and terms of a block of queries: what meets in one group.
+BLOCK_POSTINGS, BLOCK_TERMS = 1_000_000, 500_000
 # Scores are rounded; a bound must miss the threshold by more than this.
 SLACK = 1e-5
 
@@ -211,6 +217,85 @@ def bm25_scores(weights: QueryWeights, k1: float = BM25_K1, b: float = BM25_B) -
     )
 
 
+def _best_of_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def best(postings_: pa.Table, asked: pa.Table) -> pa.Table:
+        column = lambda table, name: table.column(name).to_numpy()
+        by_term = np.argsort(column(postings_, "term_no"), kind="stable")
+        terms, starts = np.unique(column(postings_, "term_no")[by_term], return_index=True)
+        ends = np.append(starts[1:], len(by_term))
+        chunks, slots = np.unique(column(postings_, "chunk_id")[by_term], return_inverse=True)
+        parts = column(postings_, "part")[by_term]
+        named = asked.column("query_id").combine_chunks().dictionary_encode()
+        by_query = np.argsort(named.indices.to_numpy(), kind="stable")
+        queries, firsts = np.unique(named.indices.to_numpy()[by_query], return_index=True)
+        wanted, factors = column(asked, "asked_no")[by_query], column(asked, "factor")[by_query]
+        places = np.searchsorted(terms, wanted)
+        here = places < len(terms)
+        here[here] = terms[places[here]] == wanted[here]
+        kept = []
+        for query, first, last in zip(queries, firsts, np.append(firsts[1:], len(wanted))):
+            lists = [(slice(starts[p], ends[p]), f) for p, f, h in zip(places[first:last], factors[first:last], here[first:last]) if h]
+            if not lists:
+                continue
+            added = np.concatenate([factor * parts[rows] for rows, factor in lists])
+            scores = np.bincount(np.concatenate([slots[rows] for rows, _ in lists]), added, len(chunks))
+            found = np.flatnonzero(scores)
+            scores = np.round(scores[found], SCORE_DECIMALS)
+            if len(found) > k:
+                able = scores >= np.partition(scores, -k)[-k]
+                found, scores = found[able], scores[able]
+            first_k = np.lexsort((found, -scores))[:k]  # chunk numbers ascend with their slots
+            kept.append((np.full(len(first_k), query), chunks[found[first_k]], scores[first_k]))
+        query, chunk, score = (np.concatenate(parts) for parts in zip(*kept)) if kept else (np.empty(0, "int32"), np.empty(0, "int64"), np.empty(0))
+        names = named.dictionary.take(pa.array(query, pa.int32()))
+        collection = pa.repeat(asked.column("collection_id")[0], len(names))
+        return pa.table({"query_id": names, "collection_id": collection, "chunk_id": chunk, "score": score})
+
+    def run(postings_: pa.Table, asked: pa.Table) -> pa.Table:
+        return best(postings_, asked) if postings_.num_rows and asked.num_rows else BLOCK_SCHEMA.empty_table()
+
+    return run
+
+
+BLOCK_SCHEMA = pa.schema([("query_id", pa.string()), ("collection_id", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+
+def block_scores(weights: QueryWeights, k: int) -> DataFrame:
+    """``(query_id, collection_id, chunk_id, score)`` of at least the best ``k`` chunks of each query: all matches are scored, and each pair of
+    a block of chunks and a block of queries hands on its best ``k`` a query.
+
+    The matches are never rows, so neither a shuffle nor a task holds them. Blocks follow the counted postings and terms; chunks and queries are
+    dealt over them by hash, whatever the skew of collections and terms.
+    """
+    keys = ["collection_id", "term"]
+    found = weights.table.where("df > 0")
+    counted = found.groupBy(*keys).agg(F.max("df").alias("df"), F.max("avgdl").alias("avgdl"), F.count(F.lit(1)).alias("n_asked"))
+    many = lambda column, size: F.ceil(F.sum(column) / F.lit(size)).cast("int")
+    blocks = counted.groupBy("collection_id").agg(many("df", BLOCK_POSTINGS).alias("chunk_blocks"), many("n_asked", BLOCK_TERMS).alias("query_blocks"))
+    terms = counted.join(never_broadcast(blocks), "collection_id").withColumn("term_no", F.monotonically_increasing_id())
+    terms = materialize(terms, "block-terms")
+    small = fits(terms)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    of = lambda column, count: F.pmod(F.xxhash64(column), F.col(count)).cast("int")
+    stored = prune(weights.index.postings, weights.table, "collection_id")
+    left = salted_join(stored, terms.drop("df", "n_asked"), keys, F.col("chunk_id"), small_fits=small).select(
+        "collection_id", "term_no", "chunk_id", tf_part(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part"),
+        of("chunk_id", "chunk_blocks").alias("chunk_block"), every("query_blocks").alias("query_block"),
+    )
+    right = salted_join(found, terms.drop("df", "avgdl", "n_asked"), keys, F.col("query_id"), small_fits=small).select(
+        "query_id", "collection_id", F.col("term_no").alias("asked_no"), (F.col("qtf") * F.col("idf")).alias("factor"),
+        of("query_id", "query_blocks").alias("query_block"), every("chunk_blocks").alias("chunk_block"),
+    )
+    met = ["collection_id", "chunk_block", "query_block"]
+    rows = terms.agg(F.sum(F.col("df") * F.col("query_blocks")) + F.sum(F.col("n_asked") * F.col("chunk_blocks"))).first()[0] or 0
+    parts = parts_of(terms.sparkSession, rows)
+    if parts:
+        left, right = left.repartition(*parts, *met), right.repartition(*parts, *met)
+    return left.groupBy(*met).cogroup(right.groupBy(*met)).applyInArrow(
+        _best_of_block(k), "query_id string, collection_id string, chunk_id bigint, score double"
+    )
+
+
 def scores_of(weights: QueryWeights, slots: DataFrame) -> DataFrame:
     """``(query_id, collection_id, chunk_id, score)`` of given pairs ``(query_id, collection_id, chunk_id)``, from the forward
     rows of their chunks. Pairs that share no term give no row."""
@@ -285,10 +370,15 @@ def top_k(scored: DataFrame, k: int, score: Column, *tie_breaks: str, key: str =
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def keyword_topk(weights: QueryWeights, k: int = CANDIDATES, full_up_to: int = FULL_SCORING) -> DataFrame:
+def keyword_topk(
+    weights: QueryWeights, k: int = CANDIDATES, full_up_to: int = FULL_SCORING, rows_up_to: int = ROW_SCORING
+) -> DataFrame:
     """``(query_id, collection_id, chunk_id, score, rank)``, the best ``k`` chunks of each query by full score; none for
-    ``k`` below 1. With more than ``full_up_to`` matches of terms and postings only chunks that can be among the best are
-    scored; the result is the same."""
-    few = k < 1 or weights.matches <= full_up_to
-    scored = bm25_scores(weights) if few else scores_of(weights, candidates(weights, k))
+    ``k`` below 1. With more than ``rows_up_to`` matches of terms and postings they are added up block by block, and with more than
+    ``full_up_to`` only chunks that can be among the best are scored; the result is the same."""
+    matches = weights.matches
+    if k < 1 or matches <= min(rows_up_to, full_up_to):
+        scored = bm25_scores(weights)
+    else:
+        scored = block_scores(weights, k) if matches <= full_up_to else scores_of(weights, candidates(weights, k))
     return top_k(scored, k, F.col("score").desc(), "chunk_id")

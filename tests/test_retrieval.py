@@ -106,6 +106,32 @@ def test_scoring_shuffles_postings_once(spark):
     assert "HashAggregate" in above_join and "Exchange" not in above_join
 
 
+@pytest.mark.parametrize("seed,small", [(1, True), (2, False)])
+def test_scores_by_blocks_equal_scores_by_rows(spark, monkeypatch, seed, small):
+    """Skewed terms, copies of one text, repeated and unknown terms, empty questions, a collection of one chunk; many small blocks."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 150)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 20)
+    word = lambda: f"w{int(rng.paretovariate(0.7))}"
+    rows = [(col, i * 7 % n, " ".join(word() for _ in range(rng.randrange(0, 40)))) for col, n in (("a", 200), ("b", 30), ("c", 1)) for i in range(n)]
+    rows += [("a", 1000 + i, "w1 w2 w3 w1") for i in range(50)]
+    stored = spark.createDataFrame(rows, "collection_id string, chunk_id bigint, text string")
+    asked = [(f"q{i}", rng.choice("aab c").strip() or "z", " ".join(word() for _ in range(rng.randrange(0, 12)))) for i in range(40)]
+    asked += [("same", "a", "w3 w1 w1"), ("none", "a", "unheard"), ("blank", "b", " ")]
+    index = lexical.build_index(stored)
+    weights = lexical.query_weights(index, spark.createDataFrame(asked, "query_id string, collection_id string, query string"))
+    weights = dataclasses.replace(weights, small=small)
+    if not small:
+        monkeypatch.setattr(lexical, "fits", lambda df: False)
+        monkeypatch.setattr(session, "TASK_ROWS", 100)
+    for k in (1, 7):
+        want = lexical.top_k(lexical.bm25_scores(weights), k, F.col("score").desc(), "chunk_id").collect()
+        got = lexical.keyword_topk(weights, k, rows_up_to=0)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and plan.count("HashAggregate") == 0  # the matches are never rows
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 10 * k
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_pruned_topk_equals_full_scoring(spark, monkeypatch, seed):
     """Skewed term frequencies, repeated and unknown terms, ties, collections of one chunk; small blocks."""
