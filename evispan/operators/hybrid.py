@@ -59,7 +59,7 @@ def rerank_overlap(candidates: DataFrame, weights: QueryWeights, top_n: int = RE
         .agg(F.sum("idf").alias("found"))
     )
     totals = weights.table.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    scored = slots.join(found, ["query_id", "ord"], "left").join(totals, "query_id", "left")
+    scored = counted_join(slots.join(found, ["query_id", "ord"], "left"), totals, ["query_id"], "left", weights.small)
     score = F.round(F.coalesce("found", F.lit(0.0)) / F.col("total"), 6)
     ranked = top_k(
         scored.select("query_id", "ord", F.coalesce(score, F.lit(0.0)).alias("relevance_score")),
@@ -122,7 +122,8 @@ def rerank_with(candidates: DataFrame, queries: DataFrame, factory: Factory, top
 def rerank_validate(candidates: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(reranked, failures)``: results whose index names a candidate, in the scorer's order; queries left
     with none fail. An index named twice stays twice."""
-    kept = candidates.join(
+    kept = counted_join(
+        candidates,
         results.select("query_id", "result_ord", F.col("index").alias("ord"), F.col("relevance_score").alias("rerank_score")),
         ["query_id", "ord"],
     )

@@ -74,6 +74,20 @@ def test_many_rows_in_small_files_are_not_broadcast(spark):
     assert "Broadcast" not in salted._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_results_in_small_files_are_not_broadcast(spark):
+    rows = spark.range(session.BROADCAST_ROWS + 1).select(F.lit("q1").alias("query_id"), F.col("id").cast("int").alias("ord"))
+    columns = F.col("ord").alias("result_ord"), F.col("ord").alias("index"), (F.col("ord") * 0.5).alias("relevance_score")
+    none = F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("detail")
+    candidates = session.materialize(rows, "candidates")
+    results = session.materialize(rows.select("query_id", *columns, *none), "scores")
+    kept, _ = hybrid.rerank_validate(candidates, results)
+    assert "BroadcastExchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    few = results.where("index IN (7, 3)")
+    kept, failed = hybrid.rerank_validate(candidates, few)
+    assert [(r.ord, r["rank"], r.rerank_score) for r in kept.orderBy("rank").collect()] == [(3, 1, 1.5), (7, 2, 3.5)]
+    assert failed.count() == 0
+
+
 def test_index_of_many_rows_is_cut_by_their_number(spark, monkeypatch):
     index = lexical.build_index(chunks(spark))
     monkeypatch.setattr(session, "TASK_ROWS", 1)
