@@ -180,7 +180,7 @@ class QueryWeights:
         """All stored postings of the queries' terms."""
         used = self.table.select("collection_id", "term").distinct()
         asked_of = prune(self.index.postings, self.table, "collection_id")
-        return salted_join(asked_of, used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", self.small)
+        return salted_join(asked_of, used, ["collection_id", "term"], F.col("chunk_id"), "left_semi", self.small or None)
 
 
 def query_weights(
@@ -192,7 +192,7 @@ def query_weights(
     small = fits(terms)
     used = terms.select("collection_id", "term").distinct()
     asked_of = prune(index.blocks, terms, "collection_id")
-    blocks = materialize(salted_join(asked_of, used, ["collection_id", "term"], F.col("block"), "left_semi", small), "blocks")
+    blocks = materialize(salted_join(asked_of, used, ["collection_id", "term"], F.col("block"), "left_semi", small or None), "blocks")
     counted = terms.join(term_df(blocks), ["collection_id", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     weights = counted.join(index.stats, "collection_id").withColumn("idf", idf(F.col("n_chunks"), F.col("df")))
     most = F.coalesce(tf_part(F.col("max_tf"), F.col("min_dl"), F.col("avgdl")), F.lit(0.0))

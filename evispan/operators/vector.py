@@ -21,7 +21,7 @@ from evispan.constants import (
 )
 from evispan.operators.lexical import top_k
 from evispan.plugins import Factory, hashed_terms_embedder
-from evispan.session import PRUNE_VALUES, spread
+from evispan.session import PRUNE_VALUES, never_broadcast, spread
 
 DISTANCE_DECIMALS = 6
 BROADCAST_QUERIES = 4_096
@@ -252,7 +252,7 @@ def mmr_select(
         return frame.loc[taken, ["query_id", "collection_id", "chunk_id"]].assign(mmr_rank=range(1, len(taken) + 1))
 
     joined = near.select("query_id", "collection_id", "chunk_id", "embedding").join(
-        queries.select("query_id", "query_vector"), "query_id"
+        never_broadcast(queries.select("query_id", "query_vector")), "query_id"
     )
     return joined.groupBy("query_id").applyInPandas(
         pick, "query_id string, collection_id string, chunk_id bigint, mmr_rank int"

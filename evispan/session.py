@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
+# Of a relation in the driver's memory, which holds its collected rows and its blocks as well while it is made.
+BROADCAST_BYTES = 16_000_000
 PRUNE_VALUES = 1_000
 # Rows that a task sorts or groups, where their number is known beforehand.
 TASK_ROWS = 2_000_000
@@ -44,9 +46,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if 0 < files < cores else df
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def relation_bytes(df: DataFrame) -> Column:
+    """About what a row takes in a broadcast relation: itself, its keys (all columns at most) and their place in the map."""
+    long = [name for name, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    values = [F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)) for name in long]
+    return sum(values, F.lit(8 + 8 * len(df.columns))).cast("bigint") * 2 + 64
+
+
+def fits(df: DataFrame, max_rows: int | None = None) -> bool:
+    """True when ``df`` is small enough to broadcast: at most ``BROADCAST_ROWS`` rows that take ``BROADCAST_BYTES`` at most, since rows alone
+    don't tell how long their ids and terms are. A caller that knows its rows gives ``max_rows`` instead. Reads no more than needed to tell."""
+    if max_rows is not None:
+        return df.limit(max_rows + 1).count() <= max_rows
+    sizes = df.select(relation_bytes(df).alias("size")).limit(BROADCAST_ROWS + 1)
+    rows, size = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def prune(df: DataFrame, keys: DataFrame, column: str, limit: int = PRUNE_VALUES) -> DataFrame:

@@ -88,6 +88,26 @@ def test_many_results_in_small_files_are_not_broadcast(spark):
     assert failed.count() == 0
 
 
+def test_rows_of_long_ids_are_not_broadcast_however_few(spark):
+    rows = spark.range(session.BROADCAST_ROWS // 2).select("id", F.sha2(F.col("id").cast("string"), 256).alias("query_id"), F.lit("red").alias("term"))
+    rows = session.materialize(rows, "terms")
+    assert session.fits(rows.select("id")) and not session.fits(rows) and session.fits(rows, session.BROADCAST_ROWS)
+    assert session.fits(rows.limit(0)) and session.fits(rows.select(F.lit(None).cast("string").alias("query_id")))
+    assert not session.fits(rows.select(F.array("query_id", "query_id").alias("ids")))
+    few = rows.where("id < 3").select("query_id")
+    joined = session.counted_join(few, rows, ["query_id"])
+    assert "BroadcastExchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in joined.collect()) == [0, 1, 2]
+
+
+def test_vectors_of_queries_are_not_broadcast_by_the_size_of_files(spark):
+    queries_ = session.materialize(spark.range(3_000).select(F.col("id").cast("string").alias("query_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("query_vector")), "asked")
+    near = queries_.where("query_id IN ('7', '8')").select("query_id", F.lit("a").alias("collection_id"), F.lit(5).cast("bigint").alias("chunk_id"), F.col("query_vector").alias("embedding"))
+    picked = vector.mmr_select(near, queries_)
+    assert "BroadcastExchange" not in picked._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.chunk_id, r.mmr_rank) for r in picked.collect()) == [("7", 5, 1), ("8", 5, 1)]
+
+
 def test_index_of_many_rows_is_cut_by_their_number(spark, monkeypatch):
     index = lexical.build_index(chunks(spark))
     monkeypatch.setattr(session, "TASK_ROWS", 1)
