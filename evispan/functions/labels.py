@@ -32,9 +32,12 @@ def source_location(page: Column, row_start: Column, row_end: Column) -> Column:
 
 def source_struct(page: Column, row_start: Column, row_end: Column, text: Column) -> Column:
     """Source record of a chunk."""
-    return F.struct(
-        (page + 1).alias("page"), row_start.alias("row_start"), row_end.alias("row_end"), excerpt(text).alias("excerpt")
-    )
+    return excerpt_struct(page, row_start, row_end, excerpt(text))
+
+
+def excerpt_struct(page: Column, row_start: Column, row_end: Column, cut: Column) -> Column:
+    """Source record of a chunk whose excerpt is taken already."""
+    return F.struct((page + 1).alias("page"), row_start.alias("row_start"), row_end.alias("row_end"), cut.alias("excerpt"))
 
 
 def source_labels(sources: Column) -> Column:

@@ -145,7 +145,10 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def excerpt(text: Column, length: int = EXCERPT_CHARS) -> Column:
-    return F.substring(collapse_whitespace(text), 1, length)
+    """The first characters of a text with its white space collapsed. Mostly its beginning tells them; only texts with very much white
+    space there are collapsed as a whole."""
+    start = collapse_whitespace(F.substring(text, 1, 4 * length))
+    return F.when(F.length(start) >= length, F.substring(start, 1, length)).otherwise(F.substring(collapse_whitespace(text), 1, length))
 
 
 def answer_key(answer: Column) -> Column:

@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evispan.constants import RERANK_FAILED, RERANK_INVALID, RERANK_NO_DOCUMENTS, RERANK_TOP_N
 from evispan.functions.labels import document_location, source_struct
+from evispan.functions.text import bind, excerpt
 from evispan.operators.lexical import QueryWeights, top_k
 from evispan.plugins import Factory
 from evispan.schema import METADATA_COLUMNS
-from evispan.session import counted_join, materialize, prune
+from evispan.session import counted_join, fits, materialize, prune
 
 
-def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks: DataFrame, excerpts: bool = False) -> DataFrame:
     """Ordered union of the two paths with chunk text and metadata; of equal (text, metadata) the first
     stays, vector path before keyword path. Adds ``ord``, the 0-based position handed to the reranker.
 
     Only candidates (at most 20 per query) meet the chunk table: broadcast when counted few; otherwise both sides are shuffled, and a
-    chunk that many queries found is split by the adaptive skew join. The texts are never broadcast.
+    chunk that many queries found is split by the adaptive skew join. The texts are never broadcast. With ``excerpts`` a row has the column
+    ``excerpt`` in place of ``text``, and texts are compared by digest: a chunk's text is as long as it is, and each of its queries' rows
+    would carry it through every shuffle and table that follows.
     """
     paths = vector_picks.select(
         "query_id", "collection_id", "chunk_id", F.lit(0).alias("origin"), F.col("mmr_rank").alias("origin_rank")
@@ -30,13 +33,22 @@ def hybrid_candidates(vector_picks: DataFrame, keyword_hits: DataFrame, chunks:
         )
     )
     texts = prune(chunks, paths, "collection_id").select("collection_id", "chunk_id", "text", *METADATA_COLUMNS)
-    located = counted_join(texts, paths, ["collection_id", "chunk_id"])
-    same = Window.partitionBy("query_id", "text", *METADATA_COLUMNS).orderBy("origin", "origin_rank")
+    keys = ["collection_id", "chunk_id"]
+    few = fits(paths)
+
+    def shortened(df: DataFrame) -> DataFrame:
+        cut = {"excerpt": excerpt(F.col("text")), "digest": F.unhex(F.sha2("text", 256))}
+        return df.withColumns(cut).drop("text") if excerpts else df
+
+    # The fewer rows are cut: the candidates' when they are few, the chunks' before these are shuffled.
+    located = shortened(counted_join(texts, paths, keys, small_fits=True)) if few else counted_join(shortened(texts), paths, keys, small_fits=False)
+    same = Window.partitionBy("query_id", "digest" if excerpts else "text", *METADATA_COLUMNS).orderBy("origin", "origin_rank")
     order = Window.partitionBy("query_id").orderBy("origin", "origin_rank")
     return (
-        located.withColumn("copy", F.row_number().over(same))
+        located.repartition("query_id")  # serves both windows
+        .withColumn("copy", F.row_number().over(same))
         .where(F.col("copy") == 1)
-        .drop("copy")
+        .drop("copy", "digest")
         .withColumn("ord", F.row_number().over(order) - 1)
     )
 
@@ -48,18 +60,21 @@ def rerank_overlap(candidates: DataFrame, weights: QueryWeights, top_n: int = RE
     """Default scorer, native: share of the query's terms, weighted by rarity, found in the candidate. Works
     on the stored terms of the candidates' chunks; no text is analysed."""
     slots = candidates.select("query_id", "ord", "collection_id", "chunk_id")
-    stored = prune(weights.index.forward, slots, "collection_id").select("collection_id", "chunk_id", "terms.term")
-    wanted = weights.table.select("query_id", "term", "idf")
+    stored = prune(weights.index.forward, slots, "collection_id").select("collection_id", "chunk_id", F.col("terms.term").alias("held"))
+    # A query's terms travel to its candidates as one value, so neither side is taken apart into a row per term.
+    wanted = weights.table.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("wanted"), F.sum("idf").alias("total"))
+    asked = counted_join(slots, wanted, ["query_id"], "left", weights.small)
+    shared = bind(
+        F.array_intersect("wanted.term", "held"),
+        lambda both: F.aggregate(F.filter("wanted", lambda w: F.array_contains(both, w["term"])), F.lit(0.0), lambda sum_, w: sum_ + w["idf"]),
+    )
     found = (
-        counted_join(
-            counted_join(stored, slots, ["collection_id", "chunk_id"]).select("query_id", "ord", F.explode("term").alias("term")),
-            wanted, ["query_id", "term"], small_fits=weights.small,
-        )
+        counted_join(stored, asked.select("query_id", "ord", "collection_id", "chunk_id", "wanted"), ["collection_id", "chunk_id"])
+        .select("query_id", "ord", shared.alias("found"))
         .groupBy("query_id", "ord")
-        .agg(F.sum("idf").alias("found"))
+        .agg(F.sum("found").alias("found"))
     )
-    totals = weights.table.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    scored = counted_join(slots.join(found, ["query_id", "ord"], "left"), totals, ["query_id"], "left", weights.small)
+    scored = asked.drop("wanted").join(found, ["query_id", "ord"], "left")
     score = F.round(F.coalesce("found", F.lit(0.0)) / F.col("total"), 6)
     ranked = top_k(
         scored.select("query_id", "ord", F.coalesce(score, F.lit(0.0)).alias("relevance_score")),

@@ -24,8 +24,9 @@ SCORE_DECIMALS = 6
 BLOCK_CHUNKS = 256
 # Pilots per asked row, and the postings of a query's rarest terms among which they are found.
 PILOTS, PILOT_POSTINGS = 2, 20
-# Matches of query terms and postings up to which scoring all of them is cheaper than finding out which matter.
-FULL_SCORING = 5_000_000_000
+# Matches of query terms and postings up to which all of them are scored. Finding out which matter takes a row of a shuffle for every block of a
+# postings list that a query can't leave out, and for every chunk found there; matches scored block by block take none.
+FULL_SCORING = 1_000_000_000_000
 # Matches up to which each is a row; more are added up in arrays, block by block.
 ROW_SCORING = 20_000_000
 # Postings of a block of chunks, and terms of a block of queries: what meets in one group.

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from evispan.constants import CANDIDATES, FETCH_K, NO_EVIDENCE_ANSWER, SEARCH_FAILED_ANSWER
-from evispan.functions.labels import document_location
+from evispan.functions.labels import document_location, excerpt_struct
 from evispan.functions.text import excerpt
 from evispan.operators import hybrid, vector
 from evispan.operators.lexical import LexicalIndex, QueryWeights, build_index, keyword_topk, query_weights
@@ -55,9 +55,10 @@ def embed_queries(corpus: Corpus, queries: DataFrame, models: Models = Models())
 
 
 def retrieve(
-    corpus: Corpus, queries: DataFrame, weights: QueryWeights, models: Models = Models(), asked: DataFrame | None = None
+    corpus: Corpus, queries: DataFrame, weights: QueryWeights, models: Models = Models(), asked: DataFrame | None = None, excerpts: bool = False
 ) -> DataFrame:
-    """Merged candidates of ``(query_id, collection_id, query)``; ``asked`` saves embedding the queries again."""
+    """Merged candidates of ``(query_id, collection_id, query)``; ``asked`` saves embedding the queries again. With ``excerpts`` they have
+    no texts (see ``hybrid_candidates``)."""
     hits = materialize(keyword_topk(weights, CANDIDATES), "hits")
     if corpus.vectors is None:
         picks = queries.select(
@@ -68,7 +69,7 @@ def retrieve(
         picks = materialize(
             vector.mmr_select(vector.vector_topk(corpus.vectors, asked, FETCH_K), asked, CANDIDATES), "picks"
         )
-    return hybrid.hybrid_candidates(picks, hits, corpus.chunks)
+    return hybrid.hybrid_candidates(picks, hits, corpus.chunks, excerpts)
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, weights: QueryWeights, models: Models = Models()) -> DataFrame:
@@ -88,7 +89,8 @@ def answer(corpus: Corpus, queries: DataFrame, models: Models = Models()) -> Dat
     """
     weights = query_weights(corpus.index, queries, models.stopwords, models.exact)
     asked = embed_queries(corpus, queries, models)
-    candidates = materialize(retrieve(corpus, queries, weights, models, asked), "candidates")
+    whole = bool(models.score or models.generate)  # only a plug-in reads more of a text than its excerpt
+    candidates = materialize(retrieve(corpus, queries, weights, models, asked, not whole), "candidates")
     results = rerank(candidates, queries, weights, models)
     reranked, failures = hybrid.rerank_validate(candidates, results)
     gathered = reranked.groupBy("query_id").agg(
@@ -96,7 +98,7 @@ def answer(corpus: Corpus, queries: DataFrame, models: Models = Models()) -> Dat
             F.collect_list(
                 F.struct(
                     "rank",
-                    hybrid.source_struct(F.col("page"), F.col("row_start"), F.col("row_end"), F.col("text")).alias("source"),
+                    excerpt_struct(F.col("page"), F.col("row_start"), F.col("row_end"), excerpt(F.col("text")) if whole else F.col("excerpt")).alias("source"),
                     document_location(F.col("page"), F.col("row_start"), F.col("row_end")).alias("location"),
                     *([F.col("text")] if models.generate else []),
                 )

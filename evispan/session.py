@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,6 +15,7 @@ BROADCAST_BYTES = 16_000_000
 PRUNE_VALUES = 1_000
 # Rows that a task sorts or groups, where their number is known beforehand.
 TASK_ROWS = 2_000_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +33,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def no_shuffle_kept(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles inside is removed when it ends. Else it stays on the executors' disks until the driver happens to collect its
+    garbage, and the shuffles of a plan's steps add up."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ``df`` as a table that is kept small, and nothing beside it."""
+    with no_shuffle_kept(df.sparkSession):
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: computed once, lineage cut,
     and nothing is lost with an executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    write_table(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

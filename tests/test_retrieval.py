@@ -1,5 +1,6 @@
 import dataclasses
 import math
+import os
 import random
 import re
 
@@ -426,3 +427,72 @@ def test_cells_of_an_empty_table(spark):
     none = spark.createDataFrame([], "collection_id string, chunk_id bigint, embedding array<float>")
     asked = spark.createDataFrame([("q", "x", [1.0])], "query_id string, collection_id string, query_vector array<float>")
     assert cells.vector_topk_cells(cells.build_cells(none), asked).collect() == []
+
+
+def test_candidates_with_excerpts_are_the_same_without_their_texts(spark):
+    long = "word  \n" * 300
+    texts = [(1, long, 0), (2, long, 0), (3, long, 1), (4, None, 0), (5, None, 0), (6, " " * 2_000 + "end", 0), (7, "", 0)]
+    store = spark.createDataFrame([("a", i, t, "s", "pdf", "c", p, [1], None, None) for i, t, p in texts], chunks(spark).schema)
+    picks = spark.createDataFrame([("q", "a", 2, 1), ("q", "a", 3, 2)], "query_id string, collection_id string, chunk_id bigint, mmr_rank int")
+    hits = spark.createDataFrame([("q", "a", i, i) for i in (1, 4, 5, 6, 7)], "query_id string, collection_id string, chunk_id bigint, rank int")
+    whole = hybrid.hybrid_candidates(picks, hits, store).orderBy("ord").collect()
+    for many in (False, True):
+        with pytest.MonkeyPatch.context() as patch:
+            if many:
+                patch.setattr(session, "BROADCAST_ROWS", 1)
+            short = hybrid.hybrid_candidates(picks, hits, store, excerpts=True)
+            assert "text" not in short.columns and "digest" not in short.columns
+            got = short.orderBy("ord").collect()
+        assert [(r.ord, r.chunk_id, r.origin, r.page) for r in got] == [(r.ord, r.chunk_id, r.origin, r.page) for r in whole]
+        assert [r.excerpt for r in got] == [r.text if r.text is None else " ".join(r.text.split())[:300] for r in whole]
+
+
+def test_answers_write_no_texts_unless_a_model_reads_them(spark, monkeypatch):
+    written = {}
+
+    def kept(df, name, write=session.materialize):
+        written[name] = df.columns
+        return write(df, name)
+
+    monkeypatch.setattr(qa, "materialize", kept)
+    corpus = qa.Corpus(chunks(spark), lexical.build_index(chunks(spark)))
+    first = qa.answer(corpus, queries(spark)).collect()
+    assert "text" not in written["candidates"]
+    again = qa.answer(corpus, queries(spark), qa.Models(generate=lambda: lambda prompts: prompts)).collect()
+    assert "text" in written["candidates"]
+    assert sorted((r.query_id, r.sources) for r in first) == sorted((r.query_id, r.sources) for r in again)
+
+
+def test_reranking_makes_no_row_per_term(spark):
+    index = lexical.build_index(chunks(spark))
+    weights = lexical.query_weights(index, queries(spark))
+    slots = spark.createDataFrame(
+        [("q1", 0, "a", 0), ("q1", 1, "a", 1), ("q1", 2, "a", 2), ("q2", 0, "a", 0), ("q4", 0, "a", 0), ("q1", 3, "a", 3)],
+        "query_id string, ord int, collection_id string, chunk_id bigint",
+    )
+    idf = {(r.query_id, r.term): r.idf for r in weights.table.collect()}
+    total = idf["q1", "red"] + idf["q1", "fox"]
+    want = [("q1", 0, 1.0), ("q1", 1, round(idf["q1", "fox"] / total, 6)), ("q1", 2, 0.0), ("q1", 3, 0.0), ("q2", 0, 0.0), ("q4", 0, 0.0)]
+    for few in (True, False):
+        made = hybrid.rerank_overlap(slots, dataclasses.replace(weights, small=few))
+        assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r["index"], r.relevance_score) for r in made.collect()) == want
+
+
+def test_very_many_matches_are_scored_without_rows_for_them(spark, monkeypatch):
+    index = lexical.build_index(chunks(spark))
+    weights = lexical.query_weights(index, queries(spark))
+    want = sorted(lexical.keyword_topk(weights, 2).collect())
+    monkeypatch.setattr(lexical.QueryWeights, "matches", property(lambda self: 40_000_000_000))
+    monkeypatch.setattr(lexical, "candidates", None)
+    got = lexical.keyword_topk(weights, 2)
+    assert sorted(got.collect()) == want
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {name for top in folders for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+    before = shuffled()
+    kept = session.materialize(spark.range(1_000).repartition(5, "id"), "spread")
+    assert shuffled() <= before and kept.count() == 1_000
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
