@@ -23,6 +23,7 @@ from evispan.operators.lexical import (
 from evispan.operators.vector import embed
 from evispan.plans.quick_answer import Corpus, Models
 from evispan.schema import BLOCKS, CHUNKS, FORWARD, POSTINGS, VECTORS
+from evispan.session import write_table
 
 COMMITS = "ingest_id STRING, sequence BIGINT, as_of BIGINT, replaces ARRAY<STRING>"
 STATS = "collection_id STRING, n_chunks BIGINT, total_dl BIGINT"
@@ -53,7 +54,7 @@ class IndexStore:
 
     def _write(self, df: DataFrame, table: str, ingest_id: str) -> None:
         """``df`` is in the order of its table."""
-        df.write.mode("overwrite").parquet(f"{self._path(table)}/ingest_id={ingest_id}")
+        write_table(df, f"{self._path(table)}/ingest_id={ingest_id}", "overwrite")
 
     def _raw(self, table: str, ddl: str) -> DataFrame:
         return self.spark.read.schema(f"{ddl}, ingest_id STRING").parquet(self._path(table))

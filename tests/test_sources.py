@@ -1,4 +1,8 @@
+import os
+import uuid
+
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +264,21 @@ def test_store_embeds_every_text_once(spark, tmp_path):
     assert sorted(stored.blocks.collect()) == sorted(lexical.posting_blocks(stored.postings).collect())
 
 
+def test_store_keeps_small_tables_and_no_shuffle(spark, tmp_path):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f"{at}/{name}" for top in folders for at, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+    rows = [("c", i, " ".join(uuid.uuid4().hex for _ in range(100)), "s", "pdf", "docling_hybrid", 0, [1], None, None, None) for i in range(40)]
+    made = spark.createDataFrame(rows, CHUNKS.replace(", ingest_id STRING", ""))
+    kept = store.IndexStore(spark, str(tmp_path / "index"))
+    before = shuffled()
+    kept.add(made, "one")
+    kept.compact("two")
+    assert sum(os.path.getsize(name) for name in shuffled() - before) < 5_000  # of sums and counts; the texts are 132,000 bytes
+    parts = [p for name in ("chunks", "forward", "postings", "blocks", "vectors") for p in (tmp_path / "index" / name).rglob("part-*.parquet")]
+    codecs = {pq.read_metadata(p).row_group(0).column(0).compression for p in parts if pq.read_metadata(p).num_row_groups}
+    assert codecs == {"ZSTD"} and kept.chunks().count() == 40
+
+
 def test_two_writers_never_share_a_commit_number(spark, tmp_path, monkeypatch):
     kept = store.IndexStore(spark, str(tmp_path / "index"))
     kept._commit("a")
