@@ -7,11 +7,12 @@ the pilots' scores give a threshold, and only postings whose terms and blocks ca
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evispan.constants import BM25_B, BM25_K1, CANDIDATES
@@ -30,7 +31,9 @@ FULL_SCORING = 1_000_000_000_000
 # Matches up to which each is a row; more are added up in arrays, block by block.
 ROW_SCORING = 20_000_000
 # Postings of a block of chunks, and terms of a block of queries: what meets in one group.
-BLOCK_POSTINGS, BLOCK_TERMS = 1_000_000, 500_000
+BLOCK_POSTINGS, BLOCK_TERMS = 2_000_000, 500_000
+# Bytes of tokens that a task counts at a time.
+COUNTED_BYTES = 8_000_000
 # Scores are rounded; a bound must miss the threshold by more than this.
 SLACK = 1e-5
 
@@ -55,14 +58,44 @@ def forward_table(
     words = default_stopwords() if stopwords is None else stopwords
     filled = chunks.where(F.length(key) > 0)
     filled = filled if dealt else spread(filled, "collection_id", "chunk_id")
-    kept = filled.select(
-        "collection_id",
-        "chunk_id",
-        remove_stopwords(tokenize(normalize_text(F.col(key), exact)), words).alias("tokens"),
-    )
-    return kept.select(
-        "collection_id", "chunk_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("terms")
-    )
+    tokens = filled.select("collection_id", "chunk_id", F.array_join(tokenize(normalize_text(F.col(key), exact)), " ").alias("tokens"))
+    kept = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in tokens.schema[:2])
+    return tokens.mapInArrow(_count_terms(list(words)), f"{kept}, dl int, terms array<struct<term: string, tf: int>>")
+
+
+def _count_terms(stopwords: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``term_counts`` gives for the rows' tokens (one text, a blank between two) without stop words, for many rows at once: tokens
+    become numbers in the order of their text, and pairs of row and number are sorted and counted."""
+
+    def counted(part: pa.RecordBatch) -> pa.RecordBatch:
+        split = pc.split_pattern(part.column("tokens"), " ")
+        coded = split.flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        terms = coded.dictionary.take(pa.array(order))
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.arange(len(order))
+        left_out = pc.is_in(terms, value_set=pa.array([*stopwords, ""], terms.type)).to_numpy(zero_copy_only=False)
+        number = numbers[coded.indices.to_numpy()]
+        kept = ~left_out[number]
+        row = pc.list_parent_indices(split).to_numpy()[kept].astype(np.int64)
+        found, times = np.unique(row * len(terms) + number[kept], return_counts=True)
+        ends = np.searchsorted(found, np.arange(len(part) + 1) * len(terms)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([terms.take(pa.array(found % max(1, len(terms)))), pa.array(times.astype(np.int32))], ["term", "tf"])
+        length = pa.array(np.bincount(row, minlength=len(part)).astype(np.int32))
+        columns = [part.column(0), part.column(1), length, pa.ListArray.from_arrays(pa.array(ends), pairs)]
+        return pa.RecordBatch.from_arrays(columns, [*part.schema.names[:2], "dl", "terms"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column("tokens")).to_numpy())
+            start = 0
+            while start < len(batch):
+                before = upto[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(upto, before + COUNTED_BYTES, "right")))
+                yield counted(batch.slice(start, end - start))
+                start = end
+
+    return run
 
 
 def partial_stats(forward: DataFrame) -> DataFrame:
@@ -226,31 +259,25 @@ def _best_of_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         ends = np.append(starts[1:], len(by_term))
         chunks, slots = np.unique(column(postings_, "chunk_id")[by_term], return_inverse=True)
         parts = column(postings_, "part")[by_term]
-        named = asked.column("query_id").combine_chunks().dictionary_encode()
-        by_query = np.argsort(named.indices.to_numpy(), kind="stable")
-        queries, firsts = np.unique(named.indices.to_numpy()[by_query], return_index=True)
-        wanted, factors = column(asked, "asked_no")[by_query], column(asked, "factor")[by_query]
+        lists = asked.column("asked").combine_chunks()
+        wanted, factors = (pc.struct_field(lists.flatten(), name).to_numpy() for name in ("no", "factor"))
+        upto = np.cumsum(pc.list_value_length(lists).to_numpy())
         places = np.searchsorted(terms, wanted)
         here = places < len(terms)
         here[here] = terms[places[here]] == wanted[here]
         kept = []
-        for query, first, last in zip(queries, firsts, np.append(firsts[1:], len(wanted))):
-            lists = [(slice(starts[p], ends[p]), f) for p, f, h in zip(places[first:last], factors[first:last], here[first:last]) if h]
-            if not lists:
+        for query, first, last in zip(column(asked, "query_no"), np.append(0, upto[:-1]), upto):
+            rows = [(slice(starts[p], ends[p]), f) for p, f, h in zip(places[first:last], factors[first:last], here[first:last]) if h]
+            if not rows:
                 continue
-            added = np.concatenate([factor * parts[rows] for rows, factor in lists])
-            scores = np.bincount(np.concatenate([slots[rows] for rows, _ in lists]), added, len(chunks))
-            found = np.flatnonzero(scores)
+            scores = np.bincount(np.concatenate([slots[at] for at, _ in rows]), np.concatenate([factor * parts[at] for at, factor in rows]), len(chunks))
+            # Rounding brings no score to the k-th best that is further from it than two last digits.
+            least = np.partition(scores, -k)[-k] - 2 * 10.0**-SCORE_DECIMALS if len(scores) > k else 0.0
+            found = np.flatnonzero((scores >= least) & (scores != 0.0))
             scores = np.round(scores[found], SCORE_DECIMALS)
-            if len(found) > k:
-                able = scores >= np.partition(scores, -k)[-k]
-                found, scores = found[able], scores[able]
             first_k = np.lexsort((found, -scores))[:k]  # chunk numbers ascend with their slots
             kept.append((np.full(len(first_k), query), chunks[found[first_k]], scores[first_k]))
-        query, chunk, score = (np.concatenate(parts) for parts in zip(*kept)) if kept else (np.empty(0, "int32"), np.empty(0, "int64"), np.empty(0))
-        names = named.dictionary.take(pa.array(query, pa.int32()))
-        collection = pa.repeat(asked.column("collection_id")[0], len(names))
-        return pa.table({"query_id": names, "collection_id": collection, "chunk_id": chunk, "score": score})
+        return pa.table(dict(zip(BLOCK_SCHEMA.names, (np.concatenate(parts) for parts in zip(*kept))))) if kept else BLOCK_SCHEMA.empty_table()
 
     def run(postings_: pa.Table, asked: pa.Table) -> pa.Table:
         return best(postings_, asked) if postings_.num_rows and asked.num_rows else BLOCK_SCHEMA.empty_table()
@@ -258,7 +285,7 @@ def _best_of_block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-BLOCK_SCHEMA = pa.schema([("query_id", pa.string()), ("collection_id", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+BLOCK_SCHEMA = pa.schema([("query_no", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
 def block_scores(weights: QueryWeights, k: int) -> DataFrame:
@@ -266,7 +293,8 @@ def block_scores(weights: QueryWeights, k: int) -> DataFrame:
     a block of chunks and a block of queries hands on its best ``k`` a query.
 
     The matches are never rows, so neither a shuffle nor a task holds them. Blocks follow the counted postings and terms; chunks and queries are
-    dealt over them by hash, whatever the skew of collections and terms.
+    dealt over them by hash, whatever the skew of collections and terms. A query meets every block of its collection's chunks, as one row
+    of numbers.
     """
     keys = ["collection_id", "term"]
     found = weights.table.where("df > 0")
@@ -278,23 +306,30 @@ def block_scores(weights: QueryWeights, k: int) -> DataFrame:
     small = fits(terms)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     of = lambda column, count: F.pmod(F.xxhash64(column), F.col(count)).cast("int")
+    # Groups of two collections that share a number are one group: terms' numbers are those of one collection, so nothing else meets.
+    numbered = lambda df: df.withColumn("met", F.xxhash64("collection_id", "chunk_block", "query_block"))
     stored = prune(weights.index.postings, weights.table, "collection_id")
     left = salted_join(stored, terms.drop("df", "n_asked"), keys, F.col("chunk_id"), small_fits=small).select(
         "collection_id", "term_no", "chunk_id", tf_part(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("part"),
         of("chunk_id", "chunk_blocks").alias("chunk_block"), every("query_blocks").alias("query_block"),
     )
-    right = salted_join(found, terms.drop("df", "avgdl", "n_asked"), keys, F.col("query_id"), small_fits=small).select(
-        "query_id", "collection_id", F.col("term_no").alias("asked_no"), (F.col("qtf") * F.col("idf")).alias("factor"),
-        of("query_id", "query_blocks").alias("query_block"), every("chunk_blocks").alias("chunk_block"),
+    left = numbered(left).select("met", "term_no", "chunk_id", "part")
+    asked = salted_join(found, terms.drop("df", "avgdl", "n_asked"), keys, F.col("query_id"), small_fits=small)
+    asked = asked.groupBy("query_id", "collection_id").agg(
+        F.collect_list(F.struct(F.col("term_no").alias("no"), (F.col("qtf") * F.col("idf")).alias("factor"))).alias("asked"),
+        F.max("chunk_blocks").alias("chunk_blocks"), F.max("query_blocks").alias("query_blocks"),
     )
-    met = ["collection_id", "chunk_block", "query_block"]
+    asked = materialize(asked.withColumn("query_no", F.monotonically_increasing_id()), "block-queries")
+    right = asked.select("collection_id", "query_no", "asked", of("query_no", "query_blocks").alias("query_block"), every("chunk_blocks").alias("chunk_block"))
+    right = numbered(right).select("met", "query_no", "asked")
     rows = terms.agg(F.sum(F.col("df") * F.col("query_blocks")) + F.sum(F.col("n_asked") * F.col("chunk_blocks"))).first()[0] or 0
     parts = parts_of(terms.sparkSession, rows)
     if parts:
-        left, right = left.repartition(*parts, *met), right.repartition(*parts, *met)
-    return left.groupBy(*met).cogroup(right.groupBy(*met)).applyInArrow(
-        _best_of_block(k), "query_id string, collection_id string, chunk_id bigint, score double"
-    )
+        left, right = left.repartition(*parts, "met"), right.repartition(*parts, "met")
+    best = left.groupBy("met").cogroup(right.groupBy("met")).applyInArrow(_best_of_block(k), "query_no bigint, chunk_id bigint, score double")
+    best = top_k(best, k, F.col("score").desc(), "chunk_id", key="query_no")
+    named = asked.select("query_no", "query_id", "collection_id")
+    return counted_join(best, named, ["query_no"]).select("query_id", "collection_id", "chunk_id", "score")
 
 
 def scores_of(weights: QueryWeights, slots: DataFrame) -> DataFrame:

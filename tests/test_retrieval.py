@@ -496,3 +496,20 @@ def test_a_written_table_leaves_no_shuffle(spark):
     kept = session.materialize(spark.range(1_000).repartition(5, "id"), "spread")
     assert shuffled() <= before and kept.count() == 1_000
     assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
+
+
+def test_counted_terms_equal_those_of_the_native_functions(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["red", "Straße", "ÑAR", "de", "não", "x1", "ﬁn", "日本", "\U0001d54f", "e\u0301", "\uffee\U00010400", "--", "\n", "a_b"]
+    texts = ["", " ", "--", None, "red"] + [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(120)]
+    rows = [(rng.choice(["a", "b", None]), None if i % 40 == 7 else i // 2, text) for i, text in enumerate(texts)]
+    made = spark.createDataFrame(rows, "collection_id string, chunk_id bigint, text string")
+    monkeypatch.setattr(lexical, "COUNTED_BYTES", 300)
+    for stop in (None, ["red", "x1"], []):
+        tokens = lexical.remove_stopwords(lexical.tokenize(lexical.normalize_text(F.col("text"))), lexical.default_stopwords() if stop is None else stop)
+        filled = made.where(F.length("text") > 0).select("collection_id", "chunk_id", tokens.alias("tokens"))
+        want = filled.select("collection_id", "chunk_id", F.size("tokens").alias("dl"), lexical.term_counts(F.col("tokens")).alias("terms"))
+        got = lexical.forward_table(made, stop)
+        assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [(f.name, f.dataType.simpleString()) for f in want.schema]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "transform(" not in got._jdf.queryExecution().executedPlan().toString()
