@@ -16,7 +16,7 @@ from evispan.llm.linear import training_rows
 from evispan.llm.minhash import near_duplicates
 from evispan.llm.packing import pack
 from evispan.llm.queries import tokenizer_path
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ACCEPT = 0.3

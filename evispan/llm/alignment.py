@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from evispan.llm.common import arrow_pass, only
-from evispan.session import fits, materialize
+from evispan.session import fits, materialize_plain as materialize
 
 # Bytes of text that are aligned at a time (a longer text alone), distinct pairs that a task counts before it hands them on.
 PART_BYTES, TASK_PAIRS = 1 << 20, 1_000_000

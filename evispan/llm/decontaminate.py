@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evispan.llm.common import arrow_pass, only, utf8
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 WINDOW = 13
 # Test strings searched in one pass (their tables take some 50 MB in a worker); more are searched in blocks.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evispan.llm.common import SPACES
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 # Chunk ids in doubt that are listed one by one; with more of them, digests replace all short ids.

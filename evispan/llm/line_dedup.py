@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evispan.llm.common import free_names
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 RATIO, LEAST_PAGES = 0.1, 5
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evispan.llm.common import only
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 # Labelled rows a classifier is fitted on at most (those whose id hashes lowest); all when there are fewer.
 SAMPLE_ROWS = 20_000

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evispan.llm.common import arrow_pass, parts
 from evispan.llm.lattice import expected_counts, load_pieces, word_scores
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 # Most words (the frequent ones) whose counts and scores every task holds; all others are met by a join.
 HELD_WORDS = 300_000

@@ -14,7 +14,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 FANOUT = 3
 # Levels inside a partition: 3^7 = 2,187 leaves.

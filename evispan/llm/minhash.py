@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from evispan.llm.common import arrow_pass, forget, HashCache, mix64, only, parts, utf8, words
-from evispan.session import fits, materialize
+from evispan.session import fits, materialize_plain as materialize
 
 # 32 bands of 4: two texts at similarity 0.8 share no band with probability 5e-8.
 BANDS, ROWS = 32, 4

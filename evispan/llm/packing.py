@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from evispan.llm.common import arrow_pass, only, parts
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 SEQUENCE = 4096
 END_ID = 2

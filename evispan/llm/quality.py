@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evispan.llm.common import HashCache, arrow_pass, mix64, parts
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 BITS = 18
 EPOCHS, SHARDS = 8, 2

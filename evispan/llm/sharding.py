@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 # Ranges: FAN x FAN. Sampled keys: SAMPLE on average. A heavy key holds more than 1/HEAVY of a shard's bytes.
 FAN, SAMPLE, HEAVY = 32, 32_768, 64

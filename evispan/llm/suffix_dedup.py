@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evispan.llm.common import arrow_pass, mix64, only, parts
 from evispan.llm.suffix_array import repeated_starts
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 LENGTH = 200
 # Bytes of a gram: longer grams repeat by chance less often, shorter ones make longer runs.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evispan.llm.common import FOLD, arrow_pass, mix64, parts
-from evispan.session import materialize
+from evispan.session import materialize_plain as materialize
 
 BITS, SHORTEST, LONGEST = 20, 3, 5
 # Smoothing of the counts, least training texts per feature, and the settings of the fit.

@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evispan.llm.common import only
-from evispan.session import materialize, new_path
+from evispan.session import materialize_plain as materialize, new_path
 
 # RFC 4648 base32 digits beside those of base 32 numbers, and the profile of a revisit record.
 BASE32, NUMBER32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"

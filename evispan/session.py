@@ -60,6 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_plain(df: DataFrame, name: str) -> DataFrame:
+    """The same with Spark's own settings, as the training-data operators were measured with."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the cores when the input has fewer files than cores; a no-op on large inputs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
